@@ -79,10 +79,18 @@ def round_columns(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def softmax(logits: Column) -> Column:
-    """Max-shifted softmax of an array of doubles."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    """Max-shifted softmax of an array of doubles.
+
+    The maximum and the total are bound once per row, by a one-element array each; written
+    inside the lambda they would be worked out again for every element.
+    """
+
+    def bind(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    weights = bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+    return bind(F.struct(weights.alias("w"), total.alias("t")), lambda s: F.transform(s["w"], lambda x: x / s["t"]))
 
 
 def binary_confidence(p: Column) -> tuple[Column, Column]:

@@ -19,7 +19,15 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if format in ("csv", "tsv"):
-        writer.csv(path, header=True, sep="\t" if format == "tsv" else ",", quote='"', escape='"')
+        writer.csv(
+            path,
+            header=True,
+            sep="\t" if format == "tsv" else ",",
+            quote='"',
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     elif format in ("json", "jsonl"):
         writer.json(path)
     elif format == "parquet":
