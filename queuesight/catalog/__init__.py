@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _registered():
-    from . import curation, metrics, views  # noqa: F401
+    from . import curation, metrics, models, routing, views  # noqa: F401
 
     return views
 

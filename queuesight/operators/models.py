@@ -45,6 +45,14 @@ def fold_accents(c: Column) -> Column:
     return fold(F.lower(F.coalesce(c, F.lit(""))))
 
 
+FOLDED = "_folded"
+
+
+def with_folded(df: DataFrame, text: str) -> DataFrame:
+    """Add the folded text that the feature models read."""
+    return df.withColumn(FOLDED, fold_accents(F.col(text)))
+
+
 def tokenizing_stages(text: str) -> list:
     """Words of two characters or more and pairs of neighbouring words, as one array."""
     return [
@@ -87,9 +95,14 @@ class TextClassifier:
         return next(s for s in self.features.stages if hasattr(s, "vocabulary")).vocabulary
 
     def probabilities(self, df: DataFrame, text: str, name: str = "probabilities") -> DataFrame:
-        """Add the map label -> probability (class sigmoids scaled to sum to 1)."""
+        """Add the map label -> probability (class sigmoids scaled to sum to 1).
+
+        A frame that went through `with_folded` keeps its folded text; scored by several
+        models in a row, the text is then folded once, below all of them.
+        """
         columns = list(df.columns)
-        shaped = self.features.transform(df.withColumn("_folded", fold_accents(F.col(text))))
+        folded = df if FOLDED in columns else with_folded(df, text)
+        shaped = self.features.transform(folded)
         shaped = shaped.select(*columns, "features")
         for i, model in enumerate(self.models):
             scored = model.setRawPredictionCol("_raw").setProbabilityCol("_prob").setPredictionCol("_pred").transform(shaped)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.labels import complete_probabilities, ranked_probabilities
@@ -32,7 +33,8 @@ def score_external(
     `partitions` sets how many scorers work side by side.
     """
     source = df if partitions is None else df.repartition(partitions)
-    schema = source.schema.add("probabilities", "map<string,double>").add("latency_ms", "double").add("error", "string")
+    added = T.StructType.fromDDL("probabilities map<string,double>, latency_ms double, error string")
+    schema = T.StructType([*source.schema.fields, *added.fields])
 
     def run(batches):
         import time
