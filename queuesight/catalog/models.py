@@ -136,8 +136,8 @@ _PLACED = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, qu
 
 @query(
     f"""SELECT doc_id AS ticket_id, CASE WHEN any_value(refused) THEN NULL ELSE MAX(CASE WHEN place = 1 THEN queue END) END AS predicted_label,
-        CASE WHEN any_value(refused) THEN 0e0 ELSE round(MAX(CASE WHEN place = 1 THEN p END), 6) END AS confidence,
-        CASE WHEN any_value(refused) THEN 0e0 ELSE round(MAX(CASE WHEN place = 2 THEN p END), 6) END AS top_2_probability,
+        CASE WHEN any_value(refused) THEN 0e0 ELSE round_even(MAX(CASE WHEN place = 1 THEN p END), 6) END AS confidence,
+        CASE WHEN any_value(refused) THEN 0e0 ELSE round_even(MAX(CASE WHEN place = 2 THEN p END), 6) END AS top_2_probability,
         CASE WHEN any_value(refused) THEN 'ValueError: refused' END AS error
         FROM ({_PLACED}) GROUP BY doc_id"""
 )
@@ -151,7 +151,7 @@ def score_external(spark, sf):
 
 
 @query(
-    f"""SELECT doc_id AS ticket_id, round(MAX(CASE WHEN place = 1 THEN p END), 6) AS confidence FROM ({_PLACED})
+    f"""SELECT doc_id AS ticket_id, round_even(MAX(CASE WHEN place = 1 THEN p END), 6) AS confidence FROM ({_PLACED})
         WHERE NOT refused AND doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id"""
 )
 def resume_scoring(spark, sf):
@@ -173,9 +173,9 @@ def _stream(spark, sf, name):
 
 
 @query(
-    f"""SELECT event_id, queue AS predicted_queue, round(p, 6) AS confidence, CASE WHEN round(p, 6) >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END AS decision,
+    f"""SELECT event_id, queue AS predicted_queue, round_even(p, 6) AS confidence, CASE WHEN round_even(p, 6) >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END AS decision,
         'stored' AS state FROM ({_BEST}) WHERE event_id % 50 <> 0
-        UNION ALL SELECT event_id, queue, round(p, 6), CASE WHEN round(p, 6) >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END, 'rejected: probabilities,subject'
+        UNION ALL SELECT event_id, queue, round_even(p, 6), CASE WHEN round_even(p, 6) >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END, 'rejected: probabilities,subject'
         FROM ({_BEST}) WHERE event_id % 50 = 0"""
 )
 def route_stream(spark, sf):

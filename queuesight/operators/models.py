@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
@@ -162,6 +164,7 @@ def train_classifier(
     vocabulary: int = K.VOCABULARY_SIZE,
     max_iterations: int = K.MAX_ITERATIONS,
     balanced: bool = True,
+    parallelism: int = 4,
 ) -> TextClassifier:
     """Fit one logistic regression per class against the rest (one in all for two classes).
 
@@ -170,15 +173,17 @@ def train_classifier(
     is 0.5*|w|^2 against the plain sum of losses, hence 1 over the sum of weights here.
     """
     require_no_leak([text])
-    counts = {r[label]: r["n"] for r in class_counts(df.where(F.col(label).isNotNull()), label).collect()}
+    # The folded text is read by three passes (counts and vocabulary, idf, features).
+    base = df.where(F.col(label).isNotNull()).select(fold_accents(F.col(text)).alias(FOLDED), F.col(label).alias("_class"))
+    base = base.persist()
+    counts = {r["_class"]: r["n"] for r in class_counts(base, "_class").collect()}
     labels = sorted(counts)
     if len(labels) < 2:
+        base.unpersist()
         raise ValueError("a classifier needs at least two labels")
     rows = sum(counts.values())
     weight = {c: rows / (len(labels) * n) if balanced else 1.0 for c, n in counts.items()}
-
-    base = df.where(F.col(label).isNotNull()).select(fold_accents(F.col(text)).alias("_folded"), F.col(label).alias("_class"))
-    features = fit_features(base, "_folded", vocabulary)
+    features = fit_features(base, FOLDED, vocabulary)
     examples = features.transform(base).select("features", "_class").persist()
 
     def fit(positive: str, negative_weight: float) -> LogisticRegressionModel:
@@ -197,9 +202,12 @@ def train_classifier(
         if len(labels) == 2:
             models = [fit(labels[1], weight[labels[0]])]
         else:
-            models = [fit(c, 1.0) for c in labels]
+            # The class problems are independent jobs over the same cached features.
+            with ThreadPool(min(parallelism, len(labels))) as pool:
+                models = pool.map(inheritable_thread_target(base.sparkSession)(lambda c: fit(c, 1.0)), labels)
     finally:
         examples.unpersist()
+        base.unpersist()
     metadata = {
         "model_type": "tfidf_logistic_regression_baseline",
         "text": text,
