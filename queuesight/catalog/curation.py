@@ -10,10 +10,11 @@ from ..functions import text as tx
 from ..operators import columns, curate, ordinals, profile, splits, validation
 from ..plans import curation
 from ..session import fresh_path
+from ..sources import readers
 from ..sources.readers import read_splits, read_tickets
 from ..sources.writers import append_jsonl, write_table
 from .metrics import rounded
-from .views import EXPORT, PRED_A, query, shares_sql, table
+from .views import EXPORT, PRED_A, query, shares_sql, sql_round, table
 
 # The characters that strip() removes, as a SQL text.
 _WS = "'" + tx.WHITESPACE + "'"
@@ -95,6 +96,40 @@ def audit_summary(spark, sf):
     )
 
 
+def _dataset_folder(spark, sf):
+    """Datasets made of the documents: usable, without labels, and a generated output."""
+    root = fresh_path(spark, "datasets")
+    documents = table(spark, sf, "documents")
+    labelled = documents.selectExpr("text AS customer_message", "source AS queue", "lang AS language")
+    write_table(labelled, f"{root}/real", "csv")
+    write_table(documents.select("text"), f"{root}/no_label", "jsonl")
+    write_table(labelled, f"{root}/outputs", "csv")
+    return root
+
+
+@query(
+    """SELECT 'real' AS dataset, COUNT(*) AS row_count, TRUE AS usable, FALSE AS generated FROM documents
+       UNION ALL SELECT 'no_label', COUNT(*), FALSE, FALSE FROM documents UNION ALL SELECT 'outputs', COUNT(*), TRUE, TRUE FROM documents"""
+)
+def audit_files(spark, sf):
+    """Three folders of files written from the documents, listed, read and profiled."""
+    audit = readers.audit_files(spark, _dataset_folder(spark, sf))
+    folder = F.element_at(F.split("file_path", "/"), -2)
+    return audit.groupBy(folder.alias("dataset")).agg(
+        F.sum("row_count").alias("row_count"),
+        F.bool_and("has_required_training_columns").alias("usable"),
+        F.bool_and("is_smoke_or_generated_output").alias("generated"),
+    )
+
+
+@query("SELECT 'real' AS dataset, COUNT(*) > 0 AS found FROM documents")
+def resolve_input(spark, sf):
+    """With no path given: a file of the largest usable dataset that is no generated output."""
+    path = readers.resolve_input(spark, root=_dataset_folder(spark, sf))
+    rows = readers.read_tickets(spark, path)
+    return rows.agg((F.count(F.lit(1)) > 0).alias("found")).select(F.lit(path.split("/")[-2]).alias("dataset"), "found")
+
+
 @query(
     "SELECT 'documents' AS file_path, COUNT(*) AS row_count FROM documents"
 )
@@ -159,6 +194,12 @@ def normalize_tickets(spark, sf):
     return curation.normalize_tickets(EXPORT.frame(spark, sf), "documents").drop("_order")
 
 
+@query(_NORMALIZED_SQL + " SELECT * EXCLUDE (pos, answer, reference_answer) FROM n")
+def drop_leaky_columns(spark, sf):
+    """What a model may read: the normalised tickets without the agent's answer."""
+    return columns.drop_leaky_columns(curation.normalize_tickets(EXPORT.frame(spark, sf), "documents").drop("_order"))
+
+
 @query(
     _NORMALIZED_SQL
     + """ SELECT * EXCLUDE (pos, place) FROM (SELECT *, row_number() OVER (PARTITION BY customer_message ORDER BY pos) AS place FROM f)
@@ -468,6 +509,14 @@ def label_vocabulary(spark, sf):
     return splits.label_vocabulary(table(spark, sf, "documents"), "source")
 
 
+@query(
+    "SELECT doc_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label_id FROM documents"
+)
+def encode_labels(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "source")
+    return splits.encode_labels(documents, documents, "source")
+
+
 @query(
     """WITH t AS (SELECT DISTINCT lang || '-' || source AS label FROM documents WHERE lang = 'en'),
             v AS (SELECT DISTINCT lang || '-' || source AS label FROM documents)
@@ -516,7 +565,7 @@ def softmax(spark, sf):
 
 
 @query(
-    f"""SELECT ticket_id, CAST(confidence >= 0.5e0 AS INTEGER) AS prediction, greatest(confidence, round(1 - confidence, 4)) AS confidence
+    f"""SELECT ticket_id, CAST(confidence >= 0.5e0 AS INTEGER) AS prediction, {sql_round('greatest(confidence, 1 - confidence)', 4)} AS confidence
         FROM ({PRED_A.sql})"""
 )
 def binary_confidence(spark, sf):

@@ -8,7 +8,7 @@ from .. import constants as K
 from ..operators import bootstrap, calibration, compare, coverage, metrics, splits
 from ..plans import evaluation
 from ..sources.readers import prepare_predictions
-from .views import PRED_A, PRED_B, RAW_PREDICTIONS, View, class_scores_sql, coverage_sql, query, summary_sql
+from .views import PRED_A, PRED_B, RAW_PREDICTIONS, View, class_scores_sql, coverage_sql, query, sql_round, summary_sql
 
 
 def rounded(df, *names, digits=8):
@@ -33,7 +33,7 @@ def both_systems(spark, sf):
     f"""SELECT ticket_id, true_label, predicted_label,
         CASE WHEN ticket_id::BIGINT % 10 < 5 THEN 0e0 ELSE CAST(confidence AS DOUBLE) END AS confidence,
         top_1_probability, top_2_probability,
-        round(top_1_probability - COALESCE(top_2_probability, 0e0), 4) AS top1_top2_margin
+        {sql_round('top_1_probability - COALESCE(top_2_probability, 0e0)', 4)} AS top1_top2_margin
         FROM (SELECT * REPLACE (CASE WHEN ticket_id::BIGINT % 10 < 5 THEN NULL ELSE confidence END AS confidence)
               FROM ({RAW_PREDICTIONS.sql}))"""
 )

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import compare, models, scoring, splits
 from ..plans import evaluation
-from ..session import fresh_path
+from ..session import fresh_path, spread
 from ..streaming import jobs
 from .metrics import rounded
 from .routing import _P
-from .views import PRED_A, QUEUE_WEIGHTS, ROUTING, View, query, table
+from .views import PRED_A, QUEUE_WEIGHTS, ROUTING, View, query, sql_round, table
 
 # --- classifiers -----------------------------------------------------------------------
 
@@ -37,14 +37,11 @@ def _train(df, label):
 
 @query()
 def tfidf_features(spark, sf):
-    """Terms per document and the length of its TF-IDF vector."""
-    texts = table(spark, sf, "documents").select("doc_id", models.fold_accents(F.col("text")).alias("folded"))
+    """Terms per document and the largest weight of its TF-IDF vector."""
+    texts = spread(table(spark, sf, "documents")).select("doc_id", models.fold_accents(F.col("text")).alias("folded"))
     features = models.fit_features(texts, "folded").transform(texts)
-    weights = vector_to_array("features")
     return features.select(
-        "doc_id",
-        F.size("terms").alias("n_terms"),
-        F.round(F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"),
+        "doc_id", F.size("terms").alias("n_terms"), F.round(F.array_max(vector_to_array("features")), 6).alias("top_weight")
     )
 
 
@@ -136,8 +133,8 @@ _PLACED = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, qu
 
 @query(
     f"""SELECT doc_id AS ticket_id, CASE WHEN any_value(refused) THEN NULL ELSE MAX(CASE WHEN place = 1 THEN queue END) END AS predicted_label,
-        CASE WHEN any_value(refused) THEN 0e0 ELSE round_even(MAX(CASE WHEN place = 1 THEN p END), 6) END AS confidence,
-        CASE WHEN any_value(refused) THEN 0e0 ELSE round_even(MAX(CASE WHEN place = 2 THEN p END), 6) END AS top_2_probability,
+        CASE WHEN any_value(refused) THEN 0e0 ELSE {sql_round('MAX(CASE WHEN place = 1 THEN p END)', 6)} END AS confidence,
+        CASE WHEN any_value(refused) THEN 0e0 ELSE {sql_round('MAX(CASE WHEN place = 2 THEN p END)', 6)} END AS top_2_probability,
         CASE WHEN any_value(refused) THEN 'ValueError: refused' END AS error
         FROM ({_PLACED}) GROUP BY doc_id"""
 )
@@ -151,7 +148,7 @@ def score_external(spark, sf):
 
 
 @query(
-    f"""SELECT doc_id AS ticket_id, round_even(MAX(CASE WHEN place = 1 THEN p END), 6) AS confidence FROM ({_PLACED})
+    f"""SELECT doc_id AS ticket_id, {sql_round('MAX(CASE WHEN place = 1 THEN p END)', 6)} AS confidence FROM ({_PLACED})
         WHERE NOT refused AND doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id"""
 )
 def resume_scoring(spark, sf):
@@ -173,9 +170,9 @@ def _stream(spark, sf, name):
 
 
 @query(
-    f"""SELECT event_id, queue AS predicted_queue, round_even(p, 6) AS confidence, CASE WHEN round_even(p, 6) >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END AS decision,
+    f"""SELECT event_id, queue AS predicted_queue, {sql_round('p', 6)} AS confidence, CASE WHEN {sql_round('p', 6)} >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END AS decision,
         'stored' AS state FROM ({_BEST}) WHERE event_id % 50 <> 0
-        UNION ALL SELECT event_id, queue, round_even(p, 6), CASE WHEN round_even(p, 6) >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END, 'rejected: probabilities,subject'
+        UNION ALL SELECT event_id, queue, {sql_round('p', 6)}, CASE WHEN {sql_round('p', 6)} >= 0.25e0 THEN 'auto_route' ELSE 'human_review' END, 'rejected: probabilities,subject'
         FROM ({_BEST}) WHERE event_id % 50 = 0"""
 )
 def route_stream(spark, sf):
@@ -233,6 +230,18 @@ def ingest_stream(spark, sf):
     return spark.read.parquet(path).select("external_id", "doc_id", "customer_message")
 
 
+@query("SELECT DISTINCT user_id AS external_id FROM events")
+def ingest_event_time(spark, sf):
+    """Stream deduplication by key within a watermark longer than the data."""
+    incoming = _stream(spark, sf, "events").selectExpr("user_id AS external_id", "ts")
+    path, state = fresh_path(spark, "event-time"), fresh_path(spark, "event-time-state")
+    kept = jobs.ingest_event_time(incoming, "ts", "365 days").select("external_id")
+    jobs.run_available(
+        lambda: kept.writeStream.option("checkpointLocation", state).trigger(availableNow=True).start(path, format="parquet")
+    )
+    return spark.read.parquet(path)
+
+
 @query(
     f"""SELECT COUNT(*) AS rows, round(COUNT(*) / 2e0, 8) AS rows_per_second, round(AVG(CASE WHEN true_label = predicted_label THEN 1e0 ELSE 0e0 END), 8) AS accuracy
         FROM ({PRED_A.sql})"""

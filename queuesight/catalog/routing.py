@@ -32,6 +32,7 @@ from .views import (
     query,
     sql_count,
     sql_has,
+    sql_round,
     sql_terms,
     summary_sql,
     table,
@@ -320,7 +321,7 @@ def dashboard_summary(spark, sf):
 @query(
     f"""WITH r AS ({ROUTING.sql}) SELECT (SELECT COUNT(*) FROM documents) AS total_tickets, COUNT(*) AS total_predictions,
         concat_ws(',', {', '.join(f"'{q}=' || CAST(COUNT(*) FILTER (predicted_queue = '{q}') AS VARCHAR)" for q in _QUEUES)}) AS queues,
-        COUNT(*) FILTER (decision = 'auto_route') AS auto_route, round(AVG(confidence), 6) AS average_confidence FROM r"""
+        COUNT(*) FILTER (decision = 'auto_route') AS auto_route, round(AVG(confidence), 8) AS average_confidence FROM r"""
 )
 def dashboard_document(spark, sf):
     summary = dashboard.dashboard_summary(table(spark, sf, "documents"), ROUTING.frame(spark, sf), _QUEUES)
@@ -328,7 +329,7 @@ def dashboard_document(spark, sf):
     entries = F.transform(F.map_entries("queue_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return document.select(
         "total_tickets", "total_predictions", F.array_join(entries, ",").alias("queues"),
-        F.col("decision_counts")["auto_route"].alias("auto_route"), F.round("average_confidence", 6).alias("average_confidence"),
+        F.col("decision_counts")["auto_route"].alias("auto_route"), F.round("average_confidence", 8).alias("average_confidence"),
     )
 
 
@@ -340,6 +341,11 @@ def zero_fill_labels(spark, sf):
     return dashboard.zero_fill(counts, _QUEUES)
 
 
+@query("SELECT user_id AS ticket_id, COUNT(*) AS n FROM events GROUP BY ALL HAVING COUNT(*) > 1")
+def repeated_ids(spark, sf):
+    return compare.repeated_ids(table(spark, sf, "events").selectExpr("user_id AS ticket_id"))
+
+
 @query(
     f"""SELECT COUNT(*) AS total, COUNT(*) FILTER (decision = 'auto_route') AS auto_route, COUNT(*) FILTER (decision = 'human_review') AS human_review,
         CAST(COUNT(*) FILTER (decision = 'auto_route') AS DOUBLE) / COUNT(*) AS auto_route_rate,
@@ -427,7 +433,7 @@ def top_k_probabilities(spark, sf):
 
 
 @query(
-    f"""SELECT event_id, round_even(MAX(CASE WHEN place = 1 THEN p END) - MAX(CASE WHEN place = 2 THEN p END), 4) AS margin
+    f"""SELECT event_id, {sql_round('MAX(CASE WHEN place = 1 THEN p END) - MAX(CASE WHEN place = 2 THEN p END)', 4)} AS margin
         FROM ({_RANKED}) GROUP BY event_id"""
 )
 def top_margin(spark, sf):
@@ -436,7 +442,7 @@ def top_margin(spark, sf):
 
 
 @query(
-    f"""SELECT event_id, {', '.join(f'round_even({p}, 6) AS prob_{q}' for p, q in zip(_P, K.QUEUES))}, 0e0 AS prob_other FROM ({QUEUE_WEIGHTS.sql})"""
+    f"""SELECT event_id, {', '.join(f'{sql_round(p, 6)} AS prob_{q}' for p, q in zip(_P, K.QUEUES))}, 0e0 AS prob_other FROM ({QUEUE_WEIGHTS.sql})"""
 )
 def probability_columns(spark, sf):
     return _weighted(spark, sf).select(

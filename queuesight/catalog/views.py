@@ -159,9 +159,6 @@ POLICY_TAGS = ["security", "data breach"]
 POLICY_TEXTS = ["license", "mit"]
 URGENT_TEXTS = ["rights reserved"]
 
-WORD = r"[\p{L}\p{N}_]"
-
-
 def sql_has(text: str, term: str) -> str:
     """SQL test for a whole word, without look-around."""
     return f"regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_]){term}($|[^\\p{{L}}\\p{{N}}_])')"
@@ -176,6 +173,11 @@ def sql_count(text: str, terms: Sequence[str]) -> str:
     return "(" + " + ".join(f"CASE WHEN {sql_has(text, t)} THEN 1 ELSE 0 END" for t in terms) + ")"
 
 
+def sql_round(value: str, digits: int) -> str:
+    """Half-even on the exact binary value, as formatting a double does it."""
+    return f"CAST(format('{{{{:.{digits}f}}}}', {value}) AS DOUBLE)".replace("{{", "{").replace("}}", "}")
+
+
 def class_scores_sql(cells: str, by: Sequence[str] = ()) -> str:
     """Per-label support, predictions, hits and scores from a relation of (by, true, predicted, n)."""
     keys = "".join(f"{b}, " for b in by)

@@ -158,13 +158,13 @@ def metric_delta(metrics: DataFrame, baseline: str, candidate: str) -> DataFrame
 
 def not_yet_scored(tickets: DataFrame, scored: DataFrame, id_column: str = "ticket_id") -> DataFrame:
     """Tickets without a prediction so far; ids are compared as text."""
-    done = scored.select(F.col(id_column).cast("string").alias("_done"))
+    done = scored.select(F.col(id_column).cast("string").alias("_done")).distinct()
     return tickets.join(done, tickets[id_column].cast("string") == done["_done"], "left_anti")
 
 
 def only_scored(tickets: DataFrame, scored: DataFrame, id_column: str = "ticket_id") -> DataFrame:
     """Tickets the other system has scored."""
-    done = scored.select(F.col(id_column).cast("string").alias("_done"))
+    done = scored.select(F.col(id_column).cast("string").alias("_done")).distinct()
     return tickets.join(done, tickets[id_column].cast("string") == done["_done"], "left_semi")
 
 

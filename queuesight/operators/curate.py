@@ -43,11 +43,13 @@ def split_leak_check(df: DataFrame, keys: Sequence[str], split: str = "split") -
     value that fills much of the table costs no more than any other.
     """
     digests = [F.struct(F.lit(k).alias("key"), F.sha2(quoted(k).cast("string"), 256).alias("digest")) for k in keys]
-    pairs = df.select(split, F.explode(F.array(*digests)).alias("d")).select("d.key", "d.digest", split)
+    # The split as a number keeps the grouping a hash aggregation.
+    side = F.xxhash64(split).alias("side")
+    pairs = df.select(side, F.explode(F.array(*digests)).alias("d")).select("d.key", "d.digest", "side")
     per_value = (
         pairs.where(F.col("digest").isNotNull())
         .groupBy("key", "digest")
-        .agg((F.min(split) != F.max(split)).alias("leaks"))
+        .agg((F.min("side") != F.max("side")).alias("leaks"))
     )
     return per_value.groupBy("key").agg(
         F.count(F.lit(1)).alias("values"), F.count_if("leaks").alias("leaking_values")

@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import text as tx
 from ..functions.labels import ranked_probabilities
 from ..functions.numeric import ratio
+from .ranks import order_statistics, value_counts_of
 
 
 def zero_fill(counts: DataFrame, labels: Sequence[str], key: str = "label", n: str = "n") -> DataFrame:
@@ -148,9 +149,23 @@ def probability_breakdown(log: DataFrame, id_column: str = "id") -> DataFrame:
     )
 
 
+# A page that starts further in is found by its first id instead of sorting up to it.
+DEEP_PAGE = 100_000
+
+
 def ticket_page(tickets: DataFrame, skip: int = 0, limit: int = 100, order: str = "id") -> DataFrame:
-    """A page of tickets by id."""
-    return tickets.orderBy(order).offset(skip).limit(limit)
+    """A page of tickets by id.
+
+    The first pages are a top-n. For a deep page that would bring `skip` rows to one task,
+    so the id at its start is looked up as an order statistic and the page is a top-n above
+    it. Ids are unique whole numbers.
+    """
+    if skip <= DEEP_PAGE:
+        return tickets.orderBy(order).offset(skip).limit(limit)
+    start = order_statistics(value_counts_of(tickets, order), {"first": lambda total: F.lit(skip)}).first()
+    if start is None or start["first"] is None:
+        return tickets.where(F.lit(False))
+    return tickets.where(F.col(order) >= F.lit(int(start["first"]))).orderBy(order).limit(limit)
 
 
 def display_predictions(log: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.numeric import round_exact
+from ..session import spread
 from .columns import require_no_leak
 from .splits import class_counts
 
@@ -175,7 +176,7 @@ def train_classifier(
     require_no_leak([text])
     # The folded text is read by three passes (counts and vocabulary, idf, features).
     base = df.where(F.col(label).isNotNull()).select(fold_accents(F.col(text)).alias(FOLDED), F.col(label).alias("_class"))
-    base = base.persist()
+    base = spread(base).persist()
     counts = {r["_class"]: r["n"] for r in class_counts(base, "_class").collect()}
     labels = sorted(counts)
     if len(labels) < 2:

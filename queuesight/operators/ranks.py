@@ -26,9 +26,13 @@ _RANGES_PER_OCTAVE = 65536
 
 
 def _value_range(value: Column) -> Column:
-    """A non-decreasing function of the value with boundedly many results."""
+    """A non-decreasing function of the value with boundedly many results.
+
+    Never null, so the join on it adds no null test below the counting and both of its
+    uses read the same shuffled counts.
+    """
     magnitude = F.floor(F.log2(1 + F.abs(value)) * _RANGES_PER_OCTAVE)
-    return F.when(value < 0, -magnitude).otherwise(magnitude)
+    return F.coalesce(F.when(value < 0, -magnitude).otherwise(magnitude), F.lit(0).cast("long"))
 
 
 def value_counts_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -226,9 +226,10 @@ def unknown_labels(train: DataFrame, other: DataFrame, label: str) -> DataFrame:
 
 
 def encode_labels(train: DataFrame, other: DataFrame, label: str = "label_text", name: str = "split") -> DataFrame:
-    """Add the training vocabulary's `label` id; an unknown label is an error that names it."""
+    """Add `label_id` of the training vocabulary; an unknown label is an error that names it."""
     unknown = [r[0] for r in unknown_labels(train, other, label).orderBy(label).limit(20).collect()]
     if unknown:
         raise ValueError(f"{name} has labels that are not in the training part: {unknown}")
-    ids = label_vocabulary(train, label).select(F.col("label").alias(label), F.col("label_id").alias("label"))
-    return other.join(ids, label)
+    ids = settle(label_vocabulary(train, label).select(F.col("label").alias("_known"), "label_id"))
+    joined = other.join(broadcast_checked(ids, ids.count()), F.col(label) == F.col("_known"))
+    return joined.select(*other.columns, F.col("label_id"))

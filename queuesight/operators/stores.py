@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import broadcast_checked, settle
 from .columns import quoted
 from .ordinals import first_per_key, with_ordinal
 
@@ -40,7 +41,7 @@ def new_tickets(
     keyed = F.coalesce(F.col("external_id"), F.lit("")) != ""
     first = first_per_key(shaped.where(keyed), "external_id", "load_order")
     if stored is not None and not clear_existing:
-        known = stored.where(F.col("external_id").isNotNull()).select("external_id")
+        known = stored.where(F.col("external_id").isNotNull()).select("external_id").distinct()
         first = first.join(known, "external_id", "left_anti")
     return first.unionByName(shaped.where(~keyed))
 
@@ -87,9 +88,15 @@ def upsert_tickets(stored: DataFrame, changes: DataFrame, key: str = "id", stamp
 
 
 def detach_deleted(log: DataFrame, changes: DataFrame, key: str = "id", reference: str = "ticket_id") -> DataFrame:
-    """The routing log with references to deleted tickets set to null."""
-    gone = changes.where(F.coalesce("delete", F.lit(False))).select(F.col(key).alias("_gone")).distinct()
-    joined = log.join(gone, log[reference] == gone["_gone"], "left")
-    return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == reference else log[c] for c in log.columns]
+    """The routing log with references to deleted tickets set to null.
+
+    Rows without a reference stay out of the join: their null keys would all meet in one
+    task. The deleted ids are broadcast when there are few.
+    """
+    gone = settle(changes.where(F.coalesce("delete", F.lit(False))).select(F.col(key).alias("_gone")).distinct())
+    referring = log.where(F.col(reference).isNotNull())
+    joined = referring.join(broadcast_checked(gone, gone.count()), F.col(reference) == F.col("_gone"), "left")
+    kept = joined.select(
+        *[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == reference else F.col(c) for c in log.columns]
     )
+    return kept.unionByName(log.where(F.col(reference).isNull()))

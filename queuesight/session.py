@@ -55,6 +55,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a frame that has fewer partitions than there are cores.
+
+    For steps that are heavy per row or read their input many times; a table of many files
+    already has enough partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # A broadcast side stays below this many narrow rows (tens of MB); beyond it the
 # same join runs as an ordinary shuffled join.
 BROADCAST_ROWS = 200_000

@@ -123,7 +123,8 @@ def ingest_event_time(incoming: DataFrame, event_time: str, delay: str = "1 day"
 
     For sources with an event time: copies of a key are recognised within the delay.
     """
-    return incoming.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    timed = incoming.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def run_available(start: Callable[[], StreamingQuery]) -> None:
