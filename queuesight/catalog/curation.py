@@ -9,7 +9,7 @@ from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import columns, curate, ordinals, profile, splits, validation
 from ..plans import curation
-from ..session import fresh_path
+from ..session import fresh_path, spread
 from ..sources import readers
 from ..sources.readers import read_splits, read_tickets
 from ..sources.writers import append_jsonl, write_table
@@ -401,7 +401,7 @@ def describe_lengths(spark, sf):
         FROM (SELECT len(regexp_extract_all(text, '\S+')) AS t FROM documents)"""
 )
 def token_length_stats(spark, sf):
-    stats = profile.token_length_stats(table(spark, sf, "documents"), "text")
+    stats = profile.token_length_stats(spread(table(spark, sf, "documents")), "text")
     return rounded(stats, "mean_whitespace_tokens", "p95_whitespace_tokens", digits=6)
 
 

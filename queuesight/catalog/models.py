@@ -19,7 +19,7 @@ from .views import PRED_A, QUEUE_WEIGHTS, ROUTING, View, query, sql_round, table
 
 def _labelled(spark, sf):
     """Documents with a quality label as priority and their language as category."""
-    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    documents, labels = spread(table(spark, sf, "documents")), table(spark, sf, "labels")
     return documents.join(labels, "doc_id").selectExpr(
         "doc_id AS ticket_id", "text AS customer_message", "lang AS category",
         "CASE quality WHEN 1 THEN 'high' ELSE 'low' END AS priority",
@@ -83,7 +83,7 @@ def evaluate_models(spark, sf):
 def predict_frame(spark, sf):
     """Both models and the risk rules on every document."""
     labelled = _labelled(spark, sf)
-    tickets = table(spark, sf, "documents").selectExpr("doc_id AS ticket_id", "text AS customer_message")
+    tickets = spread(table(spark, sf, "documents")).selectExpr("doc_id AS ticket_id", "text AS customer_message")
     scored = evaluation.predict_frame(tickets, _train(labelled, "category"), _train(labelled, "priority"))
     return scored.select(
         "ticket_id", "predicted_category", "category_confidence", "predicted_priority", "priority_confidence",

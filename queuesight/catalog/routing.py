@@ -10,7 +10,7 @@ from ..operators import compare, coverage, dashboard, rules, stores, validation
 from ..operators.curate import non_empty_text
 from ..operators.metrics import confusion_cells, score_summary
 from ..plans import curation, evaluation
-from ..session import fresh_path
+from ..session import fresh_path, spread
 from ..sources.writers import append_predictions as append_records
 from ..sources.writers import apply_ticket_changes, load_tickets
 from .curation import _NORMALIZED_SQL
@@ -45,7 +45,7 @@ LEXICON = {"risk_terms": RISK_WORDS, "policy_terms": POLICY_WORDS}
 
 @query(f"SELECT doc_id, {sql_terms('lower(text)', RISK_WORDS)} AS matched FROM documents")
 def contains_terms(spark, sf):
-    found = rules.contains_terms(table(spark, sf, "documents"), "text", RISK_WORDS)
+    found = rules.contains_terms(spread(table(spark, sf, "documents")), "text", RISK_WORDS)
     return found.select("doc_id", F.array_join("matched_terms", "|").alias("matched"))
 
 
@@ -69,7 +69,7 @@ _RISK_SQL = _NORMALIZED_SQL + f""",
 
 
 def _risk_labels(spark, sf):
-    tickets = non_empty_text(curation.normalize_tickets(EXPORT.frame(spark, sf), "documents")).withColumn(
+    tickets = non_empty_text(curation.normalize_tickets(EXPORT.frame(spark, sf, spread_rows=True), "documents")).withColumn(
         "split", F.when(F.col("external_id").cast("long") % 3 == 0, "test").otherwise("train")
     )
     return rules.add_risk_labels(tickets, TAG_WORDS, TEXT_WORDS, POLICY_TAGS, POLICY_TEXTS, URGENT_TEXTS)
@@ -133,13 +133,13 @@ _SCORED_SQL = f"""
         SELECT ticket_id, {_POLICY_LIST} AS policy_signals, {_POLICY_LIST} <> '' AS policy_sensitive FROM s"""
 )
 def policy_sensitivity(spark, sf):
-    found = rules.policy_sensitivity(SCORED.frame(spark, sf), terms=POLICY_WORDS)
+    found = rules.policy_sensitivity(SCORED.frame(spark, sf, spread_rows=True), terms=POLICY_WORDS)
     return found.select("ticket_id", F.array_join("policy_signals", "|").alias("policy_signals"), "policy_sensitive")
 
 
 @query(_SCORED_SQL + " SELECT ticket_id, escalation_risk, risk_signals, policy AS policy_sensitive FROM risk")
 def escalation_risk(spark, sf):
-    scored = rules.score_risk(SCORED.frame(spark, sf), **LEXICON)
+    scored = rules.score_risk(SCORED.frame(spark, sf, spread_rows=True), **LEXICON)
     return scored.select(
         "ticket_id", "escalation_risk", F.array_join("risk_signals", "|").alias("risk_signals"), "policy_sensitive"
     )
@@ -157,7 +157,7 @@ _REASON = """CASE rule WHEN 1 THEN 'High escalation risk requires human review b
 
 
 def _routed(spark, sf):
-    return rules.route_tickets(SCORED.frame(spark, sf), **LEXICON)
+    return rules.route_tickets(SCORED.frame(spark, sf, spread_rows=True), **LEXICON)
 
 
 @query(
@@ -209,13 +209,13 @@ _GATED = f"""{_SCORED_SQL} SELECT category AS true_label, predicted_category AS
           macro_f1 AS macro_f1_on_auto_triaged, 0::BIGINT AS high_risk_auto_triaged_count FROM curve"""
 )
 def risk_gated_sweep(spark, sf):
-    scored = rules.score_risk(SCORED.frame(spark, sf), **LEXICON)
+    scored = rules.score_risk(SCORED.frame(spark, sf, spread_rows=True), **LEXICON)
     return rounded(coverage.risk_gated_sweep(scored), "macro_f1_on_auto_triaged")
 
 
 @query(_SCORED_SQL + " SELECT ticket_id, category_confidence, escalation_risk FROM risk WHERE category_confidence >= 0.7e0 AND h < 80 AND NOT policy")
 def gate_mask(spark, sf):
-    scored = rules.score_risk(SCORED.frame(spark, sf), **LEXICON)
+    scored = rules.score_risk(SCORED.frame(spark, sf, spread_rows=True), **LEXICON)
     keep = coverage.gate_mask(0.7, F.col("category_confidence"), F.col("escalation_risk"), F.col("policy_sensitive"))
     return scored.where(keep).select("ticket_id", "category_confidence", "escalation_risk")
 
@@ -251,12 +251,12 @@ _WORD_OPTIONS = {"ambiguous": _AMBIGUOUS, "intents": _INTENTS, "metadata": _META
 
 @query(_ERRORS_SQL + " SELECT ticket_id, error_type FROM e")
 def likely_reason(spark, sf):
-    return rules.likely_reason(SCORED.frame(spark, sf), **_WORD_OPTIONS).select("ticket_id", "error_type")
+    return rules.likely_reason(SCORED.frame(spark, sf, spread_rows=True), **_WORD_OPTIONS).select("ticket_id", "error_type")
 
 
 @query(_ERRORS_SQL + " SELECT ticket_id, category_correct, priority_correct FROM s WHERE NOT category_correct OR NOT priority_correct")
 def errors_only(spark, sf):
-    return rules.errors_only(SCORED.frame(spark, sf)).select("ticket_id", "category_correct", "priority_correct")
+    return rules.errors_only(SCORED.frame(spark, sf, spread_rows=True)).select("ticket_id", "category_correct", "priority_correct")
 
 
 @query(
@@ -265,14 +265,14 @@ def errors_only(spark, sf):
           WHERE NOT category_correct OR NOT priority_correct"""
 )
 def error_analysis(spark, sf):
-    return evaluation.error_analysis(SCORED.frame(spark, sf), **_WORD_OPTIONS).select(
+    return evaluation.error_analysis(SCORED.frame(spark, sf, spread_rows=True), **_WORD_OPTIONS).select(
         "ticket_id", "customer_message", "category_correct", "priority_correct", "error_type", "likely_reason"
     )
 
 
 @query(_ERRORS_SQL + " SELECT error_type, COUNT(*) AS n FROM e WHERE NOT category_correct OR NOT priority_correct GROUP BY ALL")
 def error_breakdown(spark, sf):
-    return rules.error_breakdown(evaluation.error_analysis(SCORED.frame(spark, sf), **_WORD_OPTIONS))
+    return rules.error_breakdown(evaluation.error_analysis(SCORED.frame(spark, sf, spread_rows=True), **_WORD_OPTIONS))
 
 
 @query(
@@ -627,7 +627,7 @@ def append_predictions(spark, sf):
 )
 def evaluate_targets(spark, sf):
     """Scores of both targets of one scored table."""
-    scored = SCORED.frame(spark, sf)
+    scored = SCORED.frame(spark, sf, spread_rows=True)
     rows = None
     for target in ("category", "priority"):
         cells = confusion_cells(scored, true=target, predicted=f"predicted_{target}")

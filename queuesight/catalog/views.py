@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -37,8 +39,13 @@ class View:
     def __init__(self, base: str | View, *columns: str):
         self.base, self.columns = base, columns
 
-    def frame(self, spark: SparkSession, sf: str) -> DataFrame:
-        source = table(spark, sf, self.base) if isinstance(self.base, str) else self.base.frame(spark, sf)
+    def frame(self, spark: SparkSession, sf: str, spread_rows: bool = False) -> DataFrame:
+        """The view; `spread_rows` for work that is heavy per row (see `session.spread`)."""
+        if isinstance(self.base, str):
+            source = table(spark, sf, self.base)
+            source = spread(source) if spread_rows else source
+        else:
+            source = self.base.frame(spark, sf, spread_rows)
         return source.selectExpr(*self.columns)
 
     @property

@@ -113,7 +113,7 @@ def describe_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     and never leave the map side.
     """
     listed = F.array(
-        *[F.struct(F.lit(c).alias("field"), quoted(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("field"), quoted(c).alias("value")) for c in columns]
     )
     long = df.select(F.explode(listed).alias("p")).select("p.field", "p.value")
     counts = value_counts_of(long, "value", ["field"])

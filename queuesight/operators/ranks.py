@@ -17,6 +17,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import broadcast_checked, settle
 
@@ -36,14 +37,16 @@ def _value_range(value: Column) -> Column:
 
 
 def value_counts_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values of a column as double with their row counts (null and NaN left out)."""
-    number = F.col(value).cast("double")
-    return (
-        df.select(*by, number.alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*by, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Distinct values of a column as double with their row counts (null and NaN left out).
+
+    Only a floating column is tested for NaN: the test sinks into the scan, where a computed
+    whole number, such as a token count, would be worked out a second time for it.
+    """
+    shaped = df.select(*by, F.col(value).alias("value")).where(F.col("value").isNotNull())
+    if isinstance(shaped.schema["value"].dataType, (T.DoubleType, T.FloatType)):
+        shaped = shaped.where(~F.isnan("value"))
+    counted = shaped.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("value", F.col("value").cast("double"))
 
 
 def order_statistics(

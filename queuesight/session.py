@@ -56,10 +56,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a frame that has fewer partitions than there are cores.
+    """Repartition a table scan that has fewer partitions than there are cores.
 
-    For steps that are heavy per row or read their input many times; a table of many files
-    already has enough partitions and is left as it is.
+    For steps that are heavy per row: one large file would otherwise keep a single task
+    busy. A table of many files has enough partitions and is left as it is. Meant for
+    scans only: counting the partitions of a frame with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

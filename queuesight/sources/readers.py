@@ -40,7 +40,8 @@ def read_tickets(
     Message bodies hold line breaks and quotes, so delimited files are read with quoted
     multi-line cells; pass `multi_line=False` for files without them, which lets Spark split
     a large file. Cells are text unless a schema is given or `infer` is set, and the usual
-    missing markers are null. A `.json` file is one document: a list of rows, a row or a value.
+    missing markers are null. A `.json` file is a document (a list of rows, a row or a value)
+    or one row per line.
     """
     kind = format or _suffix(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -58,7 +59,13 @@ def read_tickets(
     if kind == "jsonl":
         return reader.json(path)
     if kind == "json":
-        df = reader.json(path, multiLine=True)
+        if schema is not None:
+            return reader.json(path, multiLine=multi_line)
+        # One value per line (how Spark writes) reads whole in line mode, and so does a
+        # document on one line; a document over several lines shows up as corrupt lines.
+        df = reader.json(path)
+        if "_corrupt_record" in df.columns:
+            df = reader.json(path, multiLine=True)
         if df.columns == ["_corrupt_record"]:
             whole = spark.read.text(path, wholetext=True)
             wrapped = F.from_json(F.concat(F.lit('{"value":'), F.col("value"), F.lit("}")), "value string")
