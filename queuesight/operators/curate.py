@@ -31,9 +31,9 @@ def non_empty_text(df: DataFrame, columns: Sequence[str] = ("body", "customer_me
     return df.where(keep)
 
 
-def constant_columns(source: str) -> list[Column]:
+def constant_columns() -> list[Column]:
     """Fixed columns of the curated table."""
-    return [F.lit("new").alias("status"), F.lit("dataset").alias("channel"), F.lit(source).alias("source")]
+    return [F.lit("new").alias("status"), F.lit("dataset").alias("channel")]
 
 
 def split_leak_check(df: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:

@@ -68,7 +68,7 @@ def head_limit(df: DataFrame, n: int, order: str | None = None) -> DataFrame:
     return with_ordinal(df, "_ordinal").where(F.col("_ordinal") < n).drop("_ordinal")
 
 
-def dedupe_first(df: DataFrame, text: str, order: str | None = None) -> DataFrame:
+def dedupe_first(df: DataFrame, text: str | Column, order: str | None = None) -> DataFrame:
     """Keep the first row of each exact text, by `order` or else in source order.
 
     One shuffle. Rows are grouped by the SHA-256 of the text, so the text is not carried
@@ -77,8 +77,9 @@ def dedupe_first(df: DataFrame, text: str, order: str | None = None) -> DataFram
     """
     ordered = df if order else with_source_order(df, "_order")
     key = order or "_order"
+    content = F.col(text) if isinstance(text, str) else text
     return (
-        ordered.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest"), F.isnull(text).alias("_null"))
+        ordered.groupBy(F.sha2(F.coalesce(content, F.lit("")), 256).alias("_digest"), F.isnull(content).alias("_null"))
         .agg(F.min_by(F.struct(*df.columns), F.col(key)).alias("_row"))
         .select("_row.*")
     )

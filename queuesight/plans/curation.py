@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
 from ..operators.columns import distinct_names, find_column, quoted
-from ..operators.curate import constant_columns, language_filter, non_empty_text, require_rows
+from ..operators.curate import constant_columns, language_filter, require_rows
 from ..operators.ordinals import dedupe_first, surrogate_id, with_ordinal, with_source_order
 from ..operators.validation import require_labels, require_language
 
 
-def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None) -> DataFrame:
-    """English rows of a source export as normalised tickets, with a position in `_order`.
+def source_tickets(
+    df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None
+) -> DataFrame:
+    """English rows of a source export under fixed names, cleaned, with a position in `_order`.
 
-    Row-wise work only: filter, column resolution and derived columns in one pass. A source
-    without an id column is numbered from 1 among its English rows, in source order.
+    Row-wise work only. A source without an id column is numbered from 1 among its English
+    rows, in source order.
     """
     df = distinct_names(df)
     english = language_filter(df)
-    columns = [c for c in english.columns if c != order]
+    columns = english.columns
     role = {
         "id": find_column(columns, K.SOURCE_ID_COLUMNS),
         "category": find_column(columns, K.SOURCE_CATEGORY_COLUMNS),
@@ -35,8 +37,7 @@ def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = "
         "version": find_column(columns, ["version"]),
     }
     require_labels(columns)
-    texts = list(dict.fromkeys(role[r] for r in ("message", "subject", "body") if role[r]))
-    if not texts:
+    if not (role["message"] or role["subject"] or role["body"]):
         raise ValueError("no usable text columns; a message, or a subject and body, is needed")
 
     if role["id"]:
@@ -53,13 +54,15 @@ def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = "
         return tx.source_label(quoted(name)) if name else F.lit(None).cast("string")
 
     tags = [quoted(c) for c in columns if c.lower().startswith("tag")]
-    other_tags = find_column(columns, ["labels"])
-    combined = tx.tag_text(tags) if tags else cleaned(other_tags)
+    combined = tx.tag_text(tags) if tags else cleaned(find_column(columns, ["labels"]))
     tag_columns = [
         cleaned(find_column(columns, [f"tag_{i}", f"tag{i}"])).alias(f"tag_{i}") for i in range(1, K.TAG_COUNT + 1)
     ]
-    shaped = placed.select(
+    # A message column that already serves as the body would double the text.
+    separate = role["message"] if role["message"] not in (None, role["body"], role["subject"]) else None
+    return placed.select(
         "_order",
+        cleaned(separate).alias("_message"),
         external_id.alias("external_id"),
         cleaned(role["subject"]).alias("subject"),
         cleaned(role["body"] or role["subject"]).alias("body"),
@@ -71,20 +74,40 @@ def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = "
         cleaned(role["version"]).alias("version"),
         *tag_columns,
         combined.alias("combined_tags"),
-        tx.combine_text([quoted(c) for c in texts]).alias("customer_message"),
+        F.lit(source).alias("source"),
+        F.lit(role["body"] is not None and role["body"] != role["subject"]).alias("_has_body"),
     )
-    return shaped.select(
-        "*",
+
+
+def _message() -> Column:
+    """Message, subject and body of a cleaned source row, empty parts left out."""
+    blank = F.lit("")
+    body = F.when(F.col("_has_body"), F.nullif(F.col("body"), blank))
+    return F.concat_ws("\n\n", F.nullif(F.col("_message"), blank), F.nullif(F.col("subject"), blank), body)
+
+
+def _derived(base: DataFrame) -> DataFrame:
+    """The normalised columns that follow from a cleaned source row."""
+    kept = [c for c in base.columns if c not in ("_message", "_has_body", "source")]
+    return base.select(*kept, "source", _message().alias("customer_message")).select(
+        *kept,
+        "customer_message",
         tx.model_text(F.col("customer_message"), F.col("type"), F.col("combined_tags")).alias("model_text"),
         F.col("queue").alias("true_category"),
         F.col("priority").alias("true_priority"),
-        *constant_columns(source),
+        *constant_columns(),
+        "source",
         F.col("type").alias("ticket_type"),
         F.col("answer").alias("reference_answer"),
         F.col("combined_tags").alias("tags"),
     )
 
 
+def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None) -> DataFrame:
+    """English rows of a source export as normalised tickets, with a position in `_order`."""
+    return _derived(source_tickets(df, source, id_prefix, order))
+
+
 def curate_tickets(
     df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None, validate: bool = False
 ) -> DataFrame:
@@ -93,12 +116,17 @@ def curate_tickets(
     The first row of each message is kept. `validate` adds two checks that read the source:
     some English rows, and no other language left. `order` names a unique column that gives
     the source order; without it the order of the files is used.
+
+    The deduplication shuffles the cleaned source columns only; message, model text and the
+    alias columns, which repeat the texts, are made after it.
     """
-    normalized = normalize_tickets(df, source, id_prefix, order)
+    base = source_tickets(df, source, id_prefix, order)
     if validate:
-        require_rows(language_filter(df), "no rows are left after the language filter")
-        require_language(normalized)
-    return dedupe_first(non_empty_text(normalized), "customer_message", "_order").drop("_order")
+        require_rows(base, "no rows are left after the language filter")
+        require_language(base)
+    # The model text is never empty: it holds the words Type and Tags.
+    filled = base.where((F.col("body") != "") & (_message() != ""))
+    return _derived(dedupe_first(filled, _message(), "_order").drop("_order"))
 
 
 def curation_report(df: DataFrame, **options) -> DataFrame:
@@ -106,17 +134,14 @@ def curation_report(df: DataFrame, **options) -> DataFrame:
 
     Counted on digests of the message, next to one another in a single scan.
     """
-    normalized = normalize_tickets(df, **options)
-    filled = F.lit(True)
-    for name in ("body", "customer_message", "model_text"):
-        filled = filled & (F.length(tx.clean_text(F.col(name))) > 0)
-    digest = F.when(F.col("filled"), F.sha2(F.col("customer_message"), 256))
+    filled = (F.col("body") != "") & (_message() != "")
     return (
-        normalized.select("customer_message", filled.alias("filled"))
+        source_tickets(df, **options)
+        .select(F.when(filled, F.sha2(_message(), 256)).alias("digest"))
         .agg(
             F.count(F.lit(1)).alias("english_rows"),
-            F.count_if("filled").alias("filled"),
-            F.count_distinct(digest).alias("kept"),
+            F.count("digest").alias("filled"),
+            F.count_distinct("digest").alias("kept"),
         )
         .select(
             "english_rows",
