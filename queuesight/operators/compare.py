@@ -57,7 +57,7 @@ def mcnemar_counts(paired: DataFrame, suffixes: tuple[str, str] = ("_a", "_b"))
 
 
 def exact_binomial_p(wins: Column, losses: Column) -> Column:
-    """Two-sided exact binomial p-value at one half, for a column of a few rows."""
+    """Two-sided exact binomial p-value at one half, for a column of a few rows; null for 0 and 0."""
 
     @F.pandas_udf(T.DoubleType())
     def p_value(left, right):
@@ -81,7 +81,7 @@ def exact_binomial_p(wins: Column, losses: Column) -> Column:
                     break
             return min(1.0, 2 * math.exp(top + math.log(total)))
 
-        return pd.Series([one(int(b), int(c)) if b + c else float("nan") for b, c in zip(left, right)])
+        return pd.Series([one(int(b), int(c)) if b + c else None for b, c in zip(left, right)], dtype="float64")
 
     return p_value(wins.cast("long"), losses.cast("long"))
 
@@ -89,7 +89,7 @@ def exact_binomial_p(wins: Column, losses: Column) -> Column:
 def mcnemar(paired: DataFrame, suffixes: tuple[str, str] = ("_a", "_b"), level: float = 0.05) -> DataFrame:
     """`mcnemar_counts` with the exact p-value and the verdict; both null without disagreement."""
     p = exact_binomial_p(F.col("only_first"), F.col("only_second"))
-    counted = mcnemar_counts(paired, suffixes).withColumn("p_value", F.nullif(p, F.lit(float("nan"))))
+    counted = mcnemar_counts(paired, suffixes).withColumn("p_value", p)
     return counted.withColumn("significant", F.col("p_value") < level)
 
 

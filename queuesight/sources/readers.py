@@ -69,7 +69,10 @@ def read_tickets(
         if df.columns == ["_corrupt_record"]:
             whole = spark.read.text(path, wholetext=True)
             wrapped = F.from_json(F.concat(F.lit('{"value":'), F.col("value"), F.lit("}")), "value string")
-            return whole.select(wrapped["value"].alias("value"))
+            parsed = whole.select(wrapped["value"].alias("value"), F.trim("value").alias("text"))
+            if not parsed.where(F.col("value").isNull() & (F.col("text") != "null")).isEmpty():
+                raise ValueError(f"malformed JSON: {path}")
+            return parsed.select("value")
         return df
     if kind == "parquet":
         return reader.parquet(path)
@@ -136,8 +139,6 @@ def audit_files(spark: SparkSession, root: str) -> DataFrame:
         flag = F.lit(entry["is_smoke_or_generated_output"]).alias("is_smoke_or_generated_output")
         try:
             df = read_tickets(spark, entry["path"])
-            if "_corrupt_record" in df.columns:
-                raise ValueError("malformed JSON")
             row = profile_dataset(df, path=entry["path"]).select("*", flag, F.lit(None).cast("string").alias("read_error"))
         except Exception as problem:  # an unreadable file is a finding, not a failure
             message = f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"
