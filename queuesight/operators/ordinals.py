@@ -6,46 +6,58 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_checked, settle
+from ..session import broadcast_checked, fresh_path, settle
 
 
-def _with_place(df: DataFrame) -> DataFrame:
-    """Add (file, block, position): sorted together they give the order of the source.
-
-    Rows of one file split are read in order by one task, so the running number Spark
-    assigns inside a task orders them; the path and split start order the splits. Frames
-    that do not come from files are ordered by partition instead.
-    """
-    position = F.monotonically_increasing_id().alias("_position")
+def _has_column(df: DataFrame, name: str) -> bool:
     try:
-        placed = df.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-        )
-        placed.schema
+        df.select(name).schema
     except AnalysisException:
-        placed = df.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block"))
-    return placed.select("*", position)
+        return False
+    return True
 
 
 def with_source_order(df: DataFrame, name: str = "source_order") -> DataFrame:
-    """Add a sortable key that follows the source order (one pass, no shuffle)."""
-    return _with_place(df).withColumn(name, F.struct("_file", "_block", "_position")).drop("_file", "_block", "_position")
+    """Add a sortable key that follows the source order (one pass, no shuffle).
+
+    Parquet tells the row's place in its file. Other files are read in order by one task
+    per split, so a running number inside the task orders the rows of a split and the path
+    and split start order the splits; this needs a scan with row-wise steps only. Frames
+    that do not come from files are ordered by partition.
+    """
+    number = F.monotonically_increasing_id().alias("position")
+    if _has_column(df, "_metadata.row_index"):
+        parts = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("position")]
+    elif _has_column(df, "_metadata.file_path"):
+        parts = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), number]
+    else:
+        parts = [number]
+    return df.select("*", F.struct(*parts).alias(name))
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal", start: int = 0) -> DataFrame:
     """Number the rows start, start+1, ... in source order.
 
-    Two passes over the source and no sort of the rows: the first counts the rows of each
+    Two passes over a file scan and no sort of the rows: the first counts the rows of each
     file split (a table as long as the list of splits), the second adds the split's offset
-    to the position inside the split. The frame must be a scan with row-wise steps only,
-    so that both passes see the same splits.
+    to the position inside the split. A frame that is no plain scan could come out in
+    another order the second time, so it is written to the shared folder first.
     """
-    placed = _with_place(df)
+    if not _has_column(df, "_metadata.file_path"):
+        return with_ordinal(_written(df), name, start)
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.spark_partition_id().alias("_task"),
+        F.monotonically_increasing_id().alias("_position"),
+    )
     splits = settle(
-        placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_position").alias("_first"))
+        placed.groupBy("_file", "_block", "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_position").alias("_first"))
     )
+    if not splits.groupBy("_file", "_block").count().where("count > 1").isEmpty():
+        # Rows of one split in several tasks: there is a shuffle behind the frame.
+        return with_ordinal(_written(df), name, start)
     # Bounded input: one row per file split.
     earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
@@ -56,6 +68,12 @@ def with_ordinal(df: DataFrame, name: str = "ordinal", start: int = 0) -> DataFr
     return numbered.select(*df.columns, ordinal.cast("long").alias(name))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = fresh_path(df.sparkSession, "ordered")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def surrogate_id(ordinal: Column, prefix: str) -> Column:
     """`<prefix>000042`: zero-padded to six digits, longer numbers in full."""
     return F.concat(F.lit(prefix), F.format_string("%06d", ordinal))

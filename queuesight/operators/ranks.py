@@ -121,6 +121,15 @@ def order_hash(id_column: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit(""))))
 
 
+def with_order_hash(df: DataFrame, id_column: str, seed: int, name: str = "_hash") -> DataFrame:
+    """Add the row's position. A row with a blank id takes its message instead, if there is
+    one: rows without ids would otherwise all share one place."""
+    key = F.col(id_column).cast("string")
+    if "customer_message" in df.columns and id_column != "customer_message":
+        key = F.coalesce(F.nullif(key, F.lit("")), F.col("customer_message"))
+    return df.withColumn(name, order_hash(key, seed))
+
+
 def hash_histogram(df: DataFrame, hash_column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per group and hash prefix, computed once."""
     counted = df.groupBy(*by, F.substring(hash_column, 1, _PREFIX).alias("prefix")).agg(
@@ -151,13 +160,18 @@ def hash_thresholds(
         )
     placed = placed.where((F.col("quota") > F.col("below")) & (F.col("quota") <= F.col("below") + F.col("n")))
     placed = settle(placed.select(*by, "prefix", "cut", (F.col("quota") - F.col("below")).alias("place")))
-    inside = Window.partitionBy(*by, "cut").orderBy(hash_column)
-    return (
-        df.select(*by, hash_column, F.substring(hash_column, 1, _PREFIX).alias("prefix"))
+    # Rows that share a hash are counted first, so an id that repeats a lot is one row here.
+    near = (
+        df.select(*by, F.col(hash_column).alias("hash"), F.substring(hash_column, 1, _PREFIX).alias("prefix"))
         .join(broadcast_checked(placed, placed.count()), [*by, "prefix"])
-        .withColumn("position", F.row_number().over(inside))
-        .where(F.col("position") == F.col("place"))
-        .select(*by, "cut", F.col(hash_column).alias("threshold"))
+        .groupBy(*by, "cut", "place", "hash")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    inside = Window.partitionBy(*by, "cut").orderBy("hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        near.withColumn("upto", F.sum("n").over(inside))
+        .where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
+        .select(*by, "cut", F.col("hash").alias("threshold"))
     )
 
 

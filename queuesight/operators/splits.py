@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import broadcast_checked, settle
 from .columns import canonicalize_tickets
-from .ranks import hash_histogram, hash_thresholds, largest_remainder, order_hash
+from .ranks import hash_histogram, hash_thresholds, largest_remainder, with_order_hash
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -72,7 +72,7 @@ def fixed_splits(
     """
     if round(train_size + val_size + test_size, 6) != 1.0:
         raise ValueError("train_size, val_size and test_size must add up to 1")
-    hashed = df.withColumn("_hash", order_hash(F.col(id_column), seed))
+    hashed = with_order_hash(df, id_column, seed)
     histogram = hash_histogram(hashed, "_hash", [label])
     counts = histogram.groupBy(label).agg(F.sum("n").alias("n"))
     size = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
@@ -119,7 +119,7 @@ def create_fixed_splits(df: DataFrame, **options) -> tuple[DataFrame, str]:
 
 def one_cut(df: DataFrame, test_size: float = 0.25, seed: int = K.SEED, id_column: str = "ticket_id", label: str = "category") -> DataFrame:
     """Train and test parts with class proportions kept; the test part has ceil(share * n) rows."""
-    hashed = df.withColumn("_hash", order_hash(F.col(id_column), seed))
+    hashed = with_order_hash(df, id_column, seed)
     histogram = hash_histogram(hashed, "_hash", [label])
     counts = histogram.groupBy(label).agg(F.sum("n").alias("n"))
     size = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
@@ -134,7 +134,7 @@ def one_cut(df: DataFrame, test_size: float = 0.25, seed: int = K.SEED, id_colum
 
 def random_sample(df: DataFrame, n: int, seed: int = K.SEED, id_column: str = "ticket_id") -> DataFrame:
     """n rows in the order of md5(seed:id)."""
-    hashed = df.withColumn("_hash", order_hash(F.col(id_column), seed))
+    hashed = with_order_hash(df, id_column, seed)
     histogram = hash_histogram(hashed, "_hash")
     if (histogram.agg(F.sum("n")).first()[0] or 0) <= n:
         return df
@@ -153,7 +153,7 @@ def stratified_sample(
     """
     if not n or n <= 0:
         return df
-    hashed = df.withColumn("_hash", order_hash(F.col(id_column), seed))
+    hashed = with_order_hash(df, id_column, seed)
     histogram = hash_histogram(hashed, "_hash", [label])
     counts = histogram.groupBy(label).agg(F.sum("n").alias("n"))
     size = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()

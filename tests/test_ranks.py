@@ -107,3 +107,35 @@ def test_token_length_stats(spark):
     assert row["max_whitespace_tokens"] == max(counts)
     assert row["p95_whitespace_tokens"] == pytest.approx(np.percentile(counts, 95))
     assert not math.isnan(row["p95_whitespace_tokens"])
+
+
+def test_ordinals_behind_a_shuffle(spark, tmp_path):
+    """A frame with a shuffle is written first; its numbers are dense and consistent."""
+    spark.range(300).repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").repartition(5)
+    assert sorted(r["o"] for r in ordinals.with_ordinal(df, "o").collect()) == list(range(300))
+    assert sorted(r["o"] for r in ordinals.with_ordinal(df.groupBy("id").count(), "o").collect()) == list(range(300))
+
+
+def test_text_files_keep_their_order(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("k\n" + "".join(f"{name}{i:03d}\n" for i in range(150)))
+    df = spark.read.option("header", True).csv(str(tmp_path))
+    rows = ordinals.with_ordinal(df, "o").orderBy("o").collect()
+    assert [r["k"] for r in rows] == [f"{n}{i:03d}" for n in "ab" for i in range(150)]
+    kept = ordinals.dedupe_first(df.withColumn("g", F.substring("k", 3, 2)), "g").collect()
+    assert {r["k"] for r in kept} == {f"a0{i:02d}" for i in range(100)}
+
+
+def test_repeated_ids_stay_together(spark):
+    rows = [("same",)] * 400 + [(f"t{i}",) for i in range(600)]
+    sample = splits.random_sample(frame(spark, rows, "ticket_id string"), 300)
+    got = [r[0] for r in sample.collect()]
+    assert got.count("same") in (0, 400)
+    assert len(got) == 300 or got.count("same") == 400
+
+
+def test_blank_ids_fall_back_on_the_message(spark):
+    rows = [("", f"m{i}", "a" if i % 2 else "b") for i in range(100)]
+    parted, _ = splits.fixed_splits(frame(spark, rows, "ticket_id string, customer_message string, category string"))
+    assert sorted(r["count"] for r in parted.groupBy("split").count().collect()) == [15, 15, 70]
