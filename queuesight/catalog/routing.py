@@ -175,7 +175,7 @@ def route_ticket(spark, sf):
 @query(
     _ROUTED_SQL
     + f""" SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, predicted_category AS prediction, category_confidence AS confidence, FALSE AS fallback_applied,
-           predicted_priority AS priority, escalation_risk, {_DECISION} AS decision, 'ticket-intelligence-v1' AS model_version FROM routed"""
+           predicted_priority AS priority, escalation_risk, {_DECISION} AS decision, 'v1' AS model_version FROM routed"""
 )
 def triage_document(spark, sf):
     """The nested triage result, read back field by field."""

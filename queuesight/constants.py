@@ -157,6 +157,20 @@ MULTI_INTENT_TERMS = ["and", "also", "another", "refund", "login", "billing", "o
 METADATA_TERMS = ["priority", "urgent", "asap", "today", "deadline", "blocked"]
 OVERLAPPING_CATEGORIES = ["customer_service", "product_support", "technical_support"]
 
+# --- Fixed values: outcomes of the routing rules, in the order the rules apply ---
+
+HIGH_RISK_OUTCOME = ("human_review", "High escalation risk requires human review before action")
+POLICY_OUTCOME = ("supervisor_review", "Policy-sensitive language or category requires supervisor review")
+LOW_CONFIDENCE_OUTCOME = ("human_review", "Low category confidence requires human validation")
+HIGH_PRIORITY_OUTCOME = ("priority_queue", "High-priority prediction should be prioritized for operations review")
+DEFAULT_OUTCOME = ("auto_triage_suggestion", "Confidence and risk are acceptable for an auto-triage suggestion")
+
+# --- Fixed values: identifiers ---
+
+SOURCE_ID_PREFIX = "hf-tobi-"
+TICKET_ID_PREFIX = "ticket-"
+MODEL_TYPE = "tfidf_logistic_regression_baseline"
+
 # --- Fixed values: thresholds ---------------------------------------------------
 
 ROUTE_THRESHOLD = 0.80

@@ -88,7 +88,7 @@ def canonicalize_tickets(df: DataFrame) -> DataFrame:
             shaped = shaped.withColumn("ticket_id", quoted(names["external_id"]))
         else:
             shaped = with_ordinal(shaped, "_ordinal").withColumn(
-                "ticket_id", surrogate_id(F.col("_ordinal"), "ticket-")
+                "ticket_id", surrogate_id(F.col("_ordinal"), K.TICKET_ID_PREFIX)
             ).drop("_ordinal")
     return shaped.where(F.col("customer_message") != "")
 

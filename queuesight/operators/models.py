@@ -209,7 +209,7 @@ def train_classifier(
         examples.unpersist()
         base.unpersist()
     metadata = {
-        "model_type": "tfidf_logistic_regression_baseline",
+        "model_type": K.MODEL_TYPE,
         "text": text,
         "target": label,
         "rows": rows,

@@ -238,35 +238,23 @@ def route_tickets(
     level = quoted(priority) if priority else F.lit(None).cast("string")
     sure_priority = quoted(priority_name) if priority_name else F.lit(None).cast("double")
     high = level.isin(*options.get("high_priorities", K.HIGH_PRIORITIES))
+    sure_of_priority = sure_priority.isNull() | (sure_priority >= K.LOW_PRIORITY_CONFIDENCE)
     rules = [
-        (
-            F.col("escalation_risk") >= high_risk,
-            "human_review",
-            "High escalation risk requires human review before action",
-        ),
-        (
-            F.col("policy_sensitive"),
-            "supervisor_review",
-            "Policy-sensitive language or category requires supervisor review",
-        ),
-        (sure < low_confidence, "human_review", "Low category confidence requires human validation"),
-        (
-            high & (sure_priority.isNull() | (sure_priority >= K.LOW_PRIORITY_CONFIDENCE)),
-            "priority_queue",
-            "High-priority prediction should be prioritized for operations review",
-        ),
+        (F.col("escalation_risk") >= high_risk, K.HIGH_RISK_OUTCOME),
+        (F.col("policy_sensitive"), K.POLICY_OUTCOME),
+        (sure < low_confidence, K.LOW_CONFIDENCE_OUTCOME),
+        (high & sure_of_priority, K.HIGH_PRIORITY_OUTCOME),
+        (F.lit(True), K.DEFAULT_OUTCOME),
     ]
-    decision = reason = F
-    for test, outcome, why in rules:
-        decision, reason = decision.when(test, outcome), reason.when(test, why)
-    decision = decision.otherwise("auto_triage_suggestion")
-    reason = reason.otherwise("Confidence and risk are acceptable for an auto-triage suggestion")
+    outcome = F
+    for test, (decision, reason) in rules:
+        outcome = outcome.when(test, F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason")))
     signals = F.array_sort(F.array_union("risk_signals", "_policy_named"))
     return scored.select(
         *columns,
         "escalation_risk",
-        decision.alias("routing_decision"),
-        reason.alias("reason"),
+        outcome["decision"].alias("routing_decision"),
+        outcome["reason"].alias("reason"),
         signals.alias("risk_signals"),
         "policy_sensitive",
     )

@@ -14,7 +14,7 @@ from ..operators.validation import require_labels, require_language
 
 
 def source_tickets(
-    df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None
+    df: DataFrame, source: str = "dataset", id_prefix: str = K.SOURCE_ID_PREFIX, order: str | None = None
 ) -> DataFrame:
     """English rows of a source export under fixed names, cleaned, with a position in `_order`.
 
@@ -103,13 +103,13 @@ def _derived(base: DataFrame) -> DataFrame:
     )
 
 
-def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None) -> DataFrame:
+def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = K.SOURCE_ID_PREFIX, order: str | None = None) -> DataFrame:
     """English rows of a source export as normalised tickets, with a position in `_order`."""
     return _derived(source_tickets(df, source, id_prefix, order))
 
 
 def curate_tickets(
-    df: DataFrame, source: str = "dataset", id_prefix: str = "hf-tobi-", order: str | None = None, validate: bool = False
+    df: DataFrame, source: str = "dataset", id_prefix: str = K.SOURCE_ID_PREFIX, order: str | None = None, validate: bool = False
 ) -> DataFrame:
     """English, non-empty, deduplicated tickets under the normalised schema (28 columns).
 

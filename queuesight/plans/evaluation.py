@@ -186,7 +186,7 @@ def triage(df: DataFrame, category: TextClassifier, priority: TextClassifier, te
 
 
 def triage_document(routed: DataFrame, text: str = "customer_message", id_column: str = "ticket_id", metadata: Mapping[str, str] | None = None) -> DataFrame:
-    about = {"model_version": "ticket-intelligence-v1", "model_type": "tfidf_logistic_regression_baseline", "dataset_source": None}
+    about = {"model_version": "v1", "model_type": K.MODEL_TYPE, "dataset_source": None}
     about.update(metadata or {})
     return routed.select(
         F.col(id_column).cast("string").alias("ticket_id"),
