@@ -45,13 +45,19 @@ def subject_body_text(subject: Column, body: Column, *fallbacks: Column) -> Colu
 
 
 def word_pattern(term: str) -> str:
-    """Regex for `term` as a whole word (a Unicode word boundary on either side)."""
+    """Regex for `term` as a whole word (a Unicode word border on either side).
 
-    def edge(char: str, look: str) -> str:
-        inside = char.isalnum() or char == "_"
-        return f"(?{look}{'!' if inside else '='}{_WORD})"
+    The literal comes first and the border before it is checked afterwards, looking back
+    over the literal: the regex engine can then search for the literal itself.
+    """
+    literal = r"\Q" + term + r"\E"
 
-    return edge(term[0], "<") + r"\Q" + term + r"\E" + edge(term[-1], "")
+    def inside(char: str) -> bool:
+        return char.isalnum() or char == "_"
+
+    before = f"(?<{'!' if inside(term[0]) else '='}{_WORD}{literal})"
+    after = f"(?{'!' if inside(term[-1]) else '='}{_WORD})"
+    return literal + before + after
 
 
 def has_term(lowered: Column, term: str) -> Column:

@@ -217,12 +217,9 @@ def accuracy_at_budget(
     names = {name: b for name, b in names.items() if keep[name] > 0}
     if not names:
         return spark.createDataFrame([], schema)
-    around = rows.agg(
-        *[F.count_if(F.col("_conf") > cuts[n]).alias(f"{n}_above") for n in names],
-        *[F.count_if(F.col("_conf") == cuts[n]).alias(f"{n}_tied") for n in names],
-    ).first()
-    need = {n: keep[n] - around[f"{n}_above"] for n in names}
-    split = [(float(cuts[n]), n, need[n]) for n in names if 0 < need[n] < around[f"{n}_tied"]]
+    # Of the rows tied at the cut, those that the rows above it leave room for.
+    need = {n: keep[n] - (size - cuts[f"{n}_under"] - cuts[f"{n}_tied"]) for n in names}
+    split = [(float(cuts[n]), n, need[n]) for n in names if need[n] < cuts[f"{n}_tied"]]
     last = {n: "g" for n in names}  # above every hash: all ties are kept
     if split:
         tied = rows.where(F.col("_conf").isin(sorted({s[0] for s in split})))

@@ -55,7 +55,8 @@ def order_statistics(
     """Values at given 0-based ranks of the ascending order, one column per rank.
 
     `counts` is the output of `value_counts_of`. Each rank is a function of the number of
-    rows. Result: the `by` columns, `n` (rows counted) and one column per rank name.
+    rows. Result: the `by` columns, `n` (rows counted) and per rank name the value, how many
+    rows lie under it (`<name>_under`) and how many share it (`<name>_tied`).
     """
     by = list(by)
     ranges = counts.withColumn("range", _value_range(F.col("value")))
@@ -81,7 +82,12 @@ def order_statistics(
         .withColumn("upto", F.col("below") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
     )
-    picks = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks]
+    under = F.col("upto") - F.col("n")
+    picks = [
+        F.max(F.when(F.col("name") == name, c)).alias(name + suffix)
+        for name in ranks
+        for suffix, c in (("", F.col("value")), ("_under", under), ("_tied", F.col("n")))
+    ]
     return found.groupBy(*by).agg(F.max("total").alias("n"), *picks)
 
 
