@@ -97,21 +97,19 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(_TOKEN))
 
 
+def _kept_tags(columns: Sequence[Column]) -> list[Column]:
+    texts = [strip(c.cast("string")) for c in columns]
+    return [F.when(~F.lower(t).isin("", "none", "nan"), t) for t in texts]
+
+
 def clean_tags(columns: Sequence[Column]) -> Column:
     """Array of trimmed tags; null, blank, `none` and `nan` are left out, repeats are kept."""
-    kept = [
-        F.when(~F.lower(strip(c.cast("string"))).isin("", "none", "nan"), strip(c.cast("string")))
-        for c in columns
-    ]
-    return F.array_compact(F.array(*kept))
+    return F.array_compact(F.array(*_kept_tags(columns)))
 
 
 def tag_text(columns: Sequence[Column], separator: str = ", ") -> Column:
-    kept = [
-        F.when(~F.lower(strip(c.cast("string"))).isin("", "none", "nan"), strip(c.cast("string")))
-        for c in columns
-    ]
-    return F.concat_ws(separator, *kept)
+    """The same tags as one text."""
+    return F.concat_ws(separator, *_kept_tags(columns))
 
 
 def model_text(message: Column, ticket_type: Column, tags: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,19 @@ from .columns import find_column, quoted
 def language_filter(df: DataFrame, language: str = "en") -> DataFrame:
     """Rows in the language; a frame without a language column is kept whole."""
     name = find_column(df.columns, K.LANGUAGE_COLUMNS)
-    return df if name is None else df.where(F.lower(quoted(name).cast("string")) == language)
+    return df if name is None else df.where(_is_language(quoted(name).cast("string"), language))
+
+
+def _is_language(column: Column, language: str) -> Column:
+    """Equality without regard to case, as a list of spellings where that is short.
+
+    A list of values reaches the Parquet reader; a function of the column does not. (The
+    letter k has a second capital outside ASCII.)
+    """
+    code = language.lower()
+    if code.isascii() and code.isalpha() and len(code) <= 3 and "k" not in code:
+        return column.isin(*["".join(s) for s in product(*zip(code, code.upper()))])
+    return F.lower(column) == code
 
 
 def require_rows(df: DataFrame, message: str) -> None:

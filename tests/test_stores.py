@@ -177,6 +177,9 @@ def test_audit_and_choice_of_input(spark, tmp_path):
     assert readers.resolve_input(spark, normalized=f"{tmp_path}/none.csv", smoke="smoke.csv") == "smoke.csv"
     with pytest.raises(FileNotFoundError):
         readers.resolve_input(spark)
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.resolve_input(spark, root=f"{tmp_path}/empty")
 
 
 def test_split_files(spark, tmp_path):
@@ -245,3 +248,34 @@ def test_dashboard_stream_equals_batch(spark, log, tmp_path):
     batch = dashboard.summarize_cells(dashboard.log_cells(log))
     key = lambda df: sorted(map(tuple, df.select("section", "label", "n", F.round("average_confidence", 8)).collect()), key=str)
     assert key(spark.read.parquet(f"{tmp_path}/d")) == key(batch)
+
+
+def test_route_stream_scores_and_sets_aside(spark, tmp_path):
+    """Texts as a stream through a supplied scorer, routing, the record check and two sinks."""
+    schema = "id int, subject string, body string, created_at timestamp"
+    rows = [(1, "hr", "b", datetime(2024, 1, 1)), (2, "", "b", datetime(2024, 1, 1)), (3, "x", "fail", datetime(2024, 1, 1))]
+    source = f"{tmp_path}/in"
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    shape = spark.createDataFrame([], schema).schema
+
+    def make():
+        def score(texts):
+            if any("fail" in t for t in texts):
+                raise RuntimeError("no")
+            return [dict(zip(sorted(K_QUEUES), [0.9, 0.1, 0.0, 0.0, 0.0, 0.0, 0.0])) for _ in texts]
+
+        return score
+
+    K_QUEUES = list(K.QUEUES)
+    start = lambda: jobs.route_stream(
+        scoring.score_external(
+            jobs.read_stream(spark, source, shape).withColumn("input_text", F.concat_ws(" ", "subject", "body")), make
+        ).withColumn("probabilities", F.coalesce("probabilities", F.expr("CAST(map() AS MAP<STRING, DOUBLE>)"))),
+        f"{tmp_path}/out", f"{tmp_path}/bad", "m", checkpoint=f"{tmp_path}/cp",
+    )
+    jobs.run_available(start)
+    jobs.run_available(start)  # nothing new: nothing is stored twice
+    stored = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert [(r["id"], r["predicted_queue"], r["decision"], r["model_id"]) for r in stored] == [(1, "billing_and_payments", "auto_route", "m")]
+    aside = {r["id"]: r["errors"] for r in spark.read.parquet(f"{tmp_path}/bad").collect()}
+    assert aside[2] == ["subject"] and "probabilities" in aside[3]

@@ -270,3 +270,17 @@ def test_probability_contract(spark):
     }
     valid, invalid = validation.split_valid(df)
     assert (valid.count(), invalid.count()) == (1, 4)
+
+
+@pytest.mark.parametrize("language", ["en", "ko", "english"])
+def test_language_ignores_case(spark, language):
+    spellings = [language, language.upper(), language.title(), f" {language}", "xx", None, "\u212ao"]
+    df = spark.createDataFrame([(s,) for s in spellings], "locale string")
+    expected = [s for s in spellings if s is not None and s.lower() == language]
+    assert sorted(r[0] for r in curate.language_filter(df, language).collect()) == sorted(expected)
+
+
+def test_language_filter_reaches_the_reader(spark, tmp_path, capsys):
+    spark.createDataFrame([("a", "en")], "text string, lang string").write.parquet(f"{tmp_path}/t")
+    curate.language_filter(spark.read.parquet(f"{tmp_path}/t")).explain()
+    assert "PushedFilters: [In(lang" in capsys.readouterr().out
