@@ -320,17 +320,19 @@ def duplicate_count(spark, sf):
 
 
 @query(
-    f"""SELECT NULL::VARCHAR AS file_path, COUNT(*) AS row_count, 'customer_message, true_category, true_priority, ticket_type, language' AS columns,
+    f"""SELECT 'export' AS file_path, COUNT(*) AS row_count,
+        'customer_message, true_category, true_priority, ticket_type, language, reference_answer, tags' AS columns,
         0::BIGINT AS missing_customer_message, 0::BIGINT AS missing_true_category, 0::BIGINT AS missing_true_priority,
         COUNT(*) FILTER (type IS NULL) AS missing_ticket_type, 0::BIGINT AS missing_language,
-        NULL::BIGINT AS missing_reference_answer, NULL::BIGINT AS missing_tags,
+        0::BIGINT AS missing_reference_answer, COUNT(*) FILTER (tag_2 IS NULL) AS missing_tags,
         COUNT(*) - COUNT(DISTINCT body) AS duplicate_customer_message_count, TRUE AS has_required_training_columns FROM ({EXPORT.sql})"""
 )
 def profile_dataset(spark, sf):
     tickets = EXPORT.frame(spark, sf).selectExpr(
-        "body AS customer_message", "queue AS true_category", "priority AS true_priority", "type AS ticket_type", "language"
+        "body AS customer_message", "queue AS true_category", "priority AS true_priority", "type AS ticket_type", "language",
+        "answer AS reference_answer", "tag_2 AS tags",
     )
-    return profile.profile_dataset(tickets)
+    return profile.profile_dataset(tickets, path="export")
 
 
 @query(

@@ -8,7 +8,7 @@ from .. import constants as K
 from ..operators import bootstrap, calibration, compare, coverage, metrics, splits
 from ..plans import evaluation
 from ..sources.readers import prepare_predictions
-from .views import PRED_A, PRED_B, RAW_PREDICTIONS, View, class_scores_sql, coverage_sql, query, sql_round, summary_sql
+from .views import PRED_A, PRED_B, RAW_PREDICTIONS, View, class_scores_sql, coverage_sql, query, summary_sql
 
 
 def rounded(df, *names, digits=8):
@@ -33,7 +33,7 @@ def both_systems(spark, sf):
     f"""SELECT ticket_id, true_label, predicted_label,
         CASE WHEN ticket_id::BIGINT % 10 < 5 THEN 0e0 ELSE CAST(confidence AS DOUBLE) END AS confidence,
         top_1_probability, top_2_probability,
-        {sql_round('top_1_probability - COALESCE(top_2_probability, 0e0)', 4)} AS top1_top2_margin
+        round_even((top_1_probability - COALESCE(top_2_probability, 0e0)) * 1e4, 0) / 1e4 AS top1_top2_margin
         FROM (SELECT * REPLACE (CASE WHEN ticket_id::BIGINT % 10 < 5 THEN NULL ELSE confidence END AS confidence)
               FROM ({RAW_PREDICTIONS.sql}))"""
 )
@@ -320,6 +320,20 @@ def summarize_systems(spark, sf):
     return rounded(compare.summarize_systems(both_systems(spark, sf)), "macro_f1", "weighted_f1")
 
 
+@query(
+    f"""WITH p AS ({_BOTH}), cells AS (SELECT system, true_label, predicted_label, COUNT(*) AS n FROM p GROUP BY ALL),
+        s AS ({summary_sql('cells', ['system'])}),
+        b AS (SELECT system, bin, COUNT(*) AS k, AVG(ok) AS acc, AVG(confidence) AS conf FROM ({_BINNED}) GROUP BY system, bin),
+        e AS (SELECT b.system, round(SUM(CAST(k AS DOUBLE) / s.n * abs(acc - conf)), 8) AS ece FROM b JOIN s USING (system) GROUP BY b.system)
+        SELECT system, s.accuracy, s.macro_f1, e.ece FROM s JOIN e USING (system)"""
+)
+def compare_systems(spark, sf):
+    """Summary and calibration of the full comparison, after its check of ids and labels."""
+    frames = evaluation.compare_systems(PRED_A.frame(spark, sf), PRED_B.frame(spark, sf))
+    joined = frames["summary"].select("system", "accuracy", "macro_f1").join(frames["calibration"].drop("n"), "system")
+    return rounded(joined, "macro_f1", "ece")
+
+
 _BOARD = f"""
   SELECT 'queue' AS task, 'system_a' AS model_name, accuracy, macro_f1, weighted_f1, 'first' AS notes
   FROM ({summary_sql(f"(SELECT true_label, predicted_label, COUNT(*) AS n FROM ({PRED_A.sql}) GROUP BY ALL)")})

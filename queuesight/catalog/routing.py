@@ -441,6 +441,19 @@ def top_margin(spark, sf):
     return _weighted(spark, sf).select("event_id", lb.top_margin(ranked).alias("margin"))
 
 
+@query(
+    f"""WITH r AS (SELECT event_id, place, queue, {sql_round('p', 4)} AS p FROM ({_RANKED}))
+        SELECT event_id, MAX(CASE WHEN place = 1 THEN queue END) AS top_1_label, MAX(CASE WHEN place = 1 THEN p END) AS top_1_probability,
+        MAX(CASE WHEN place = 2 THEN queue END) AS top_2_label, MAX(CASE WHEN place = 2 THEN p END) AS top_2_probability,
+        MAX(CASE WHEN place = 3 THEN queue END) AS top_3_label, MAX(CASE WHEN place = 3 THEN p END) AS top_3_probability,
+        round_even((MAX(CASE WHEN place = 1 THEN p END) - MAX(CASE WHEN place = 2 THEN p END)) * 1e4, 0) / 1e4 AS top1_top2_margin
+        FROM r GROUP BY event_id"""
+)
+def ranked_columns(spark, sf):
+    """The flat columns of a prediction file with the three best labels."""
+    return _weighted(spark, sf).select("event_id", *lb.ranked_columns(F.col("probabilities")))
+
+
 @query(
     f"""SELECT event_id, {', '.join(f'{sql_round(p, 6)} AS prob_{q}' for p, q in zip(_P, K.QUEUES))}, 0e0 AS prob_other FROM ({QUEUE_WEIGHTS.sql})"""
 )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import round_exact
+from .numeric import round_exact, round_scaled
 
 
 def map_label(c: Column, mapping: Mapping[str, str]) -> Column:
@@ -43,6 +43,22 @@ def top_margin(ranked: Column, digits: int = 4) -> Column:
     return round_exact(first - second, digits)
 
 
+def ranked_columns(probabilities: Column, k: int = 3, digits: int = 4) -> list[Column]:
+    """Flat columns of a prediction file: top_<i>_label, top_<i>_probability and the margin.
+
+    The probabilities are rounded first; the margin is taken between the rounded ones.
+    """
+    ranked = ranked_probabilities(probabilities)
+    columns, shown = [], []
+    for i in range(k):
+        entry = F.get(ranked, F.lit(i))
+        shown.append(round_exact(entry["probability"], digits))
+        columns += [entry["label"].alias(f"top_{i + 1}_label"), shown[i].alias(f"top_{i + 1}_probability")]
+    if k > 1:
+        columns.append(round_scaled(shown[0] - shown[1], digits).alias("top1_top2_margin"))
+    return columns
+
+
 def complete_probabilities(probabilities: Column, labels: Sequence[str], digits: int = 6) -> Column:
     """Map over exactly the given labels; a label without a probability gets 0."""
     return F.create_map(

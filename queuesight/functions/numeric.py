@@ -72,6 +72,12 @@ def round_exact(c: Column, digits: int) -> Column:
     return F.when(F.abs(product) < 2.0**52, rounded).otherwise(c)
 
 
+def round_scaled(c: Column, digits: int) -> Column:
+    """Rounding as data frames do it: the scaled double to the nearest even whole number."""
+    scale = F.lit(float(10**digits))
+    return F.rint(c * scale) / scale
+
+
 def round_columns(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Round the named columns for display (all double columns if none is named)."""
     chosen = set(names) or {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}

@@ -104,5 +104,9 @@ def dedupe_first(df: DataFrame, text: str | Column, order: str | None = None) ->
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by a unique order column."""
-    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")).select("_row.*")
+    """The first row of each key by a unique order column.
+
+    The key stays the grouping column, so a following join on it needs no further shuffle.
+    """
+    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
+    return first.select(*[F.col(c) if c == key else F.col("_row")[c].alias(c) for c in df.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.numeric import coerce_double, round_exact
+from ..functions.numeric import coerce_double, round_scaled
 from ..operators.columns import require_columns
 from ..operators.profile import profile_dataset, select_largest
 
@@ -100,7 +100,7 @@ def prepare_predictions(df: DataFrame) -> DataFrame:
     shaped = df.withColumn("confidence", coerce_double(df, "confidence"))
     if "top1_top2_margin" not in df.columns and {"top_1_probability", "top_2_probability"} <= set(df.columns):
         gap = coerce_double(df, "top_1_probability") - coerce_double(df, "top_2_probability")
-        shaped = shaped.withColumn("top1_top2_margin", round_exact(gap, 4))
+        shaped = shaped.withColumn("top1_top2_margin", round_scaled(gap, 4))
     return shaped
 
 

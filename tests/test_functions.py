@@ -140,3 +140,19 @@ def test_probabilities(spark):
 def test_label_map_passes_unknown_through(spark):
     got = apply(spark, ["it_support", "general_inquiry", "human_resources", None], lambda c: lb.map_label(c, K.MERGED_QUEUE_MAP))
     assert got == ["technical_product_support", "customer_general", "human_resources", None]
+
+
+def test_round_scaled_is_numpys(spark):
+    import numpy as np
+
+    values = [0.00005, 0.12345, 0.00015, 2.5, -0.12345] + [i / 20000 for i in range(1000)]
+    got = apply(spark, values, lambda c: num.round_scaled(c, 4), "double")
+    assert got == [float(np.round(v, 4)) for v in values]
+
+
+def test_prediction_file_columns(spark):
+    df = spark.createDataFrame([({"a": 0.50005, "b": 0.29994, "c": 0.2},), ({"x": 1.0},)], "p map<string,double>")
+    rows = [tuple(r) for r in df.select(*lb.ranked_columns(F.col("p"))).collect()]
+    first = (round(0.50005, 4), round(0.29994, 4))
+    assert rows[0] == ("a", first[0], "b", first[1], "c", 0.2, round(first[0] - first[1], 4))
+    assert rows[1] == ("x", 1.0, None, None, None, None, None)
