@@ -8,7 +8,7 @@ from ..functions import labels as lb
 from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import columns, curate, ordinals, profile, splits, validation
-from ..plans import curation
+from ..plans import curation, training
 from ..session import fresh_path, spread
 from ..sources import readers
 from ..sources.readers import read_splits, read_tickets
@@ -460,6 +460,19 @@ def split_report(spark, sf):
     return splits.split_report(_split(spark, sf))
 
 
+@query(
+    _SPLIT_SQL
+    + """ SELECT split, field, value, n, 'category_stratified' AS split_strategy, CAST(42 AS INTEGER) AS random_state FROM (
+          SELECT split, 'rows' AS field, 'all' AS value, COUNT(*) AS n FROM s GROUP BY ALL
+          UNION ALL SELECT split, 'category', category, COUNT(*) FROM s GROUP BY ALL
+          UNION ALL SELECT split, 'priority', priority, COUNT(*) FROM s GROUP BY ALL)"""
+)
+def write_splits(spark, sf):
+    """Splits written as a table partitioned by split, with the report of what was written."""
+    tickets = _tickets(spark, sf).withColumnRenamed("text", "customer_message")
+    return training.write_splits(tickets, fresh_path(spark, "splits")).drop("source_dataset")
+
+
 @query(
     _SPLIT_SQL
     + """, joined AS (SELECT s.split, s.ticket_id, documents.text FROM s JOIN documents ON doc_id = s.ticket_id)

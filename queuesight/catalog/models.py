@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import compare, models, scoring, splits
-from ..plans import evaluation
+from ..plans import evaluation, training
 from ..session import fresh_path, spread
 from ..streaming import jobs
 from .metrics import rounded
@@ -47,10 +47,9 @@ def tfidf_features(spark, sf):
 
 @query()
 def train_classifier(spark, sf):
-    """Metadata of a category model trained on the labelled documents."""
-    model = _train(_labelled(spark, sf), "category")
-    row = (model.metadata["model_type"], model.metadata["rows"], ",".join(model.labels), len(model.vocabulary))
-    return spark.createDataFrame([row], "model_type string, rows long, labels string, vocabulary int")
+    """The model table after training a category model on the labelled documents."""
+    models_by_target = training.train_models(_labelled(spark, sf), ["category"], max_iterations=50)
+    return training.model_table(spark, models_by_target).withColumn("labels", F.array_join("labels", ","))
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from queuesight.operators import models
-from queuesight.plans import evaluation
+from queuesight.plans import evaluation, training
 
 TEXTS = [
     "Réfund my refund, please!", "login fails; password reset fails", "refund the invoice", "a I to be", "", None,
@@ -97,6 +97,21 @@ def test_top_features(spark, category, priority):
     assert sides == {"high", "low"}
 
 
+def test_split_train_and_describe(spark, tickets, tmp_path):
+    path = str(tmp_path / "splits")
+    report = training.write_splits(tickets.withColumn("priority", F.lit("p")), path, "tickets")
+    rows = {r["split"]: r["n"] for r in report.where("field = 'rows'").collect()}
+    assert rows == {"train": 63, "val": 13, "test": 14}
+    assert report.first()["split_strategy"] == "category_stratified"
+    train = training.read_split(spark, path, "train")
+    found = training.train_models(train, max_iterations=5)
+    assert list(found) == ["category"]  # one priority only
+    row = training.model_table(spark, found).first()
+    assert (row["target"], row["train_rows"], row["labels"]) == ("category", 63, ["access", "billing", "shipping"])
+    with pytest.raises(ValueError, match="two values"):
+        training.train_models(train, ["priority"])
+
+
 def test_training_needs_two_labels_and_no_answers(spark, tickets):
     with pytest.raises(ValueError, match="two labels"):
         models.train_classifier(tickets.where("category = 'billing'"))
