@@ -110,26 +110,43 @@ def select_label(df: DataFrame, task: str, candidates: Mapping[str, Sequence[str
 
 def task_examples(df: DataFrame, task: str, label_map: Mapping[str, str] | None = None) -> DataFrame:
     """Add input_text, original_label_text and label_text for a task; keep usable rows."""
-    label = select_label(df, task)
-    original = tx.normalize_label(quoted(label))
+    text, _ = select_input(df)
+    original = tx.normalize_label(quoted(select_label(df, task)))
     shaped = df.select(
         "*",
-        input_text(df).alias("input_text"),
+        text.alias("input_text"),
         original.alias("original_label_text"),
         map_label(original, label_map or {}).alias("label_text"),
     )
     return usable_examples(shaped, "input_text", "label_text")
 
 
-def input_text(df: DataFrame) -> Column:
-    """Subject and body, else model_text, else customer_message, chosen per row."""
+def select_input(df: DataFrame) -> tuple[Column, str]:
+    """Training input chosen for the whole frame, and its name (one pass).
+
+    Subject and body, else model_text, else customer_message: the first that is not empty
+    everywhere. Rows it leaves empty are dropped by `usable_examples`.
+    """
     names = {c.lower(): c for c in df.columns}
-    fallbacks = [quoted(names[c]) for c in ("model_text", "customer_message") if c in names]
+    choices = []
     if "subject" in names and "body" in names:
-        return tx.subject_body_text(quoted(names["subject"]), quoted(names["body"]), *fallbacks)
-    if not fallbacks:
-        raise ValueError("no input text: subject and body, model_text or customer_message is needed")
-    return F.coalesce(*[F.nullif(tx.clean_text(c), F.lit("")) for c in fallbacks], F.lit(""))
+        text = tx.combine_text([quoted(names["subject"]), quoted(names["body"])])
+        choices.append(("subject + body", text))
+    choices += [(c, tx.clean_text(quoted(names[c]))) for c in ("model_text", "customer_message") if c in names]
+    if choices:
+        longest = df.agg(*[F.max(F.length(c)).alias(f"c{i}") for i, (_, c) in enumerate(choices)]).first()
+        for (name, c), length in zip(choices, longest):
+            if length:
+                return c, name
+    raise ValueError("no input text: subject and body, model_text or customer_message is needed")
+
+
+def input_text(df: DataFrame) -> Column:
+    """Text a predictor reads: subject and body, and customer_message for rows without both."""
+    names = {c.lower(): c for c in df.columns}
+    none = F.lit(None).cast("string")
+    subject, body, message = (quoted(names[c]) if c in names else none for c in ("subject", "body", "customer_message"))
+    return tx.subject_body_text(subject, body, message)
 
 
 def usable_examples(df: DataFrame, text: str, label: str) -> DataFrame:

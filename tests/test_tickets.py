@@ -128,6 +128,18 @@ def test_task_examples(spark):
         columns.select_label(df, "ticket_type")
 
 
+def test_training_input_is_chosen_for_the_frame(spark):
+    schema = "subject string, body string, model_text string, customer_message string"
+    mixed = spark.createDataFrame([("s", "b", "m", "c"), (None, " ", "m", "c")], schema)
+    text, name = columns.select_input(mixed)
+    assert name == "subject + body" and [r[0] for r in mixed.select(text).collect()] == ["s\n\nb", ""]
+    assert [r[0] for r in mixed.select(columns.input_text(mixed)).collect()] == ["s\n\nb", "c"]
+    empty = spark.createDataFrame([(None, " ", "", "c")], schema)
+    assert columns.select_input(empty)[1] == "customer_message"
+    with pytest.raises(ValueError, match="input text"):
+        columns.select_input(empty.select("subject", "body"))
+
+
 def test_answers_stay_out():
     columns.require_no_leak(["customer_message"])
     with pytest.raises(ValueError, match="answer"):
