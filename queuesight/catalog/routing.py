@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels as lb
 from ..operators import compare, coverage, dashboard, rules, stores, validation
-from ..operators.curate import non_empty_text
 from ..operators.metrics import confusion_cells, score_summary
 from ..plans import curation, evaluation
 from ..session import fresh_path, spread
@@ -69,7 +68,7 @@ _RISK_SQL = _NORMALIZED_SQL + f""",
 
 
 def _risk_labels(spark, sf):
-    tickets = non_empty_text(curation.normalize_tickets(EXPORT.frame(spark, sf, spread_rows=True), "documents")).withColumn(
+    tickets = curation.normalize_tickets(EXPORT.frame(spark, sf, spread_rows=True), "documents", drop_empty=True).withColumn(
         "split", F.when(F.col("external_id").cast("long") % 3 == 0, "test").otherwise("train")
     )
     return rules.add_risk_labels(tickets, TAG_WORDS, TEXT_WORDS, POLICY_TAGS, POLICY_TEXTS, URGENT_TEXTS)

@@ -103,9 +103,22 @@ def _derived(base: DataFrame) -> DataFrame:
     )
 
 
-def normalize_tickets(df: DataFrame, source: str = "dataset", id_prefix: str = K.SOURCE_ID_PREFIX, order: str | None = None) -> DataFrame:
+def _filled() -> Column:
+    """A row with text. The body, or the subject in its place, is always part of the message,
+    and the model text holds at least the words Type and Tags: one test covers all three."""
+    return F.col("body") != ""
+
+
+def normalize_tickets(
+    df: DataFrame,
+    source: str = "dataset",
+    id_prefix: str = K.SOURCE_ID_PREFIX,
+    order: str | None = None,
+    drop_empty: bool = False,
+) -> DataFrame:
     """English rows of a source export as normalised tickets, with a position in `_order`."""
-    return _derived(source_tickets(df, source, id_prefix, order))
+    base = source_tickets(df, source, id_prefix, order)
+    return _derived(base.where(_filled()) if drop_empty else base)
 
 
 def curate_tickets(
@@ -124,9 +137,7 @@ def curate_tickets(
     if validate:
         require_rows(base, "no rows are left after the language filter")
         require_language(base)
-    # The model text is never empty: it holds the words Type and Tags.
-    filled = base.where((F.col("body") != "") & (_message() != ""))
-    return _derived(dedupe_first(filled, _message(), "_order").drop("_order"))
+    return _derived(dedupe_first(base.where(_filled()), _message(), "_order").drop("_order"))
 
 
 def curation_report(df: DataFrame, **options) -> DataFrame:
@@ -134,10 +145,9 @@ def curation_report(df: DataFrame, **options) -> DataFrame:
 
     Counted on digests of the message, next to one another in a single scan.
     """
-    filled = (F.col("body") != "") & (_message() != "")
     return (
         source_tickets(df, **options)
-        .select(F.when(filled, F.sha2(_message(), 256)).alias("digest"))
+        .select(F.when(_filled(), F.sha2(_message(), 256)).alias("digest"))
         .agg(
             F.count(F.lit(1)).alias("english_rows"),
             F.count("digest").alias("filled"),
