@@ -22,16 +22,27 @@ def correct_flag(true: Column, predicted: Column) -> Column:
     return true.eqNullSafe(predicted).cast("int")
 
 
-def ranked_probabilities(probabilities: Column) -> Column:
-    """Array of (label, probability), most probable first, ties by label."""
-    keyed = F.transform(
+def _keyed(probabilities: Column) -> Column:
+    """Entries as (negative probability, label): their natural order is the ranking."""
+    return F.transform(
         F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("key"), e["key"].alias("label"))
     )
+
+
+def ranked_probabilities(probabilities: Column) -> Column:
+    """Array of (label, probability), most probable first, ties by label."""
     return F.transform(
-        F.array_sort(keyed), lambda e: F.struct(e["label"].alias("label"), (-e["key"]).alias("probability"))
+        F.array_sort(_keyed(probabilities)),
+        lambda e: F.struct(e["label"].alias("label"), (-e["key"]).alias("probability")),
     )
 
 
+def best_label(probabilities: Column) -> Column:
+    """The first of `ranked_probabilities` as (key, label), without a sort; key is the
+    negative probability."""
+    return F.array_min(_keyed(probabilities))
+
+
 def top_probabilities(probabilities: Column, k: int = 3) -> Column:
     return F.slice(ranked_probabilities(probabilities), 1, k)
 

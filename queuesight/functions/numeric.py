@@ -64,11 +64,11 @@ def round_exact(c: Column, digits: int) -> Column:
     high, low = halves(c)
     product = c * F.lit(scale)
     error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
-    whole = F.floor(product).cast("double")
-    beyond = product - whole - F.lit(0.5)
-    odd = F.pmod(whole, F.lit(2.0)) == 1.0
-    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & odd)))
-    rounded = (whole + up.cast("double")) / F.lit(scale)
+    # rint is half-even already; only a product rounded onto a tie needs its error.
+    nearest = F.rint(product)
+    onto_tie = F.abs(product - nearest) == 0.5
+    whole = F.when(onto_tie & (error > 0), F.ceil(product)).when(onto_tie & (error < 0), F.floor(product))
+    rounded = F.coalesce(whole.cast("double"), nearest) / F.lit(scale)
     return F.when(F.abs(product) < 2.0**52, rounded).otherwise(c)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.labels import complete_probabilities, ranked_probabilities
+from ..functions.labels import best_label, complete_probabilities, ranked_probabilities
 from ..functions.numeric import round_exact
 from .compare import not_yet_scored
 from .rules import gate_decision
@@ -109,10 +109,9 @@ def route_scored(scored: DataFrame, model_id: str, threshold: float = K.ROUTE_TH
 
     A model whose labels are not exactly the queues gives records that validation rejects.
     """
-    ranked = F.get(ranked_probabilities(F.col("probabilities")), F.lit(0))
     exact = F.array_sort(F.map_keys("probabilities")) == F.array(*[F.lit(x) for x in sorted(labels)])
-    shaped = scored.withColumn("_top", ranked)
-    confidence = round_exact(F.col("_top.probability"), 6)
+    shaped = scored.withColumn("_top", best_label(F.col("probabilities")))
+    confidence = round_exact(-F.col("_top.key"), 6)
     rounded = F.when(exact, complete_probabilities(F.col("probabilities"), labels)).otherwise(F.col("probabilities"))
     kept = [c for c in scored.columns if c not in ("probabilities", "latency_ms", "predicted_queue", "confidence")]
     return shaped.select(
