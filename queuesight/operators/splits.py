@@ -91,7 +91,7 @@ def fixed_splits(
         parted = hashed.withColumn("_rest", F.lit(cuts.get("rest"))).withColumn("_test", F.lit(cuts.get("test")))
         strategy = "random_no_stratification"
     else:
-        rest = settle(largest_remainder(counts, label, F.lit(rest_rows), F.lit(size["n"])))
+        rest = largest_remainder(counts, label, F.lit(rest_rows), F.lit(size["n"]))
         least = rest.where(F.col("quota") > 0).agg(F.min("quota")).first()[0]
         if stratifiable(least, test_share):
             part = rest.where(F.col("quota") > 0).select(label, F.col("quota").alias("n"))
