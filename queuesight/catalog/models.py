@@ -35,7 +35,19 @@ def _train(df, label):
     return models.train_classifier(df, "customer_message", label, max_iterations=50)
 
 
-@query()
+_WORDS = """SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2) AS w FROM documents"""
+
+
+@query(
+    f"""WITH d AS ({_WORDS}), t AS (SELECT doc_id, unnest(w) AS term FROM d
+          UNION ALL SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM d),
+        v AS (SELECT term FROM (SELECT term, COUNT(*) AS n FROM t GROUP BY term) ORDER BY n DESC, term LIMIT 5000),
+        c AS (SELECT doc_id, term, COUNT(*) AS tf FROM t SEMI JOIN v USING (term) GROUP BY ALL),
+        i AS (SELECT term, ln(((SELECT COUNT(*) FROM documents) + 1e0) / (COUNT(*) + 1)) + 1 AS idf FROM c GROUP BY term),
+        x AS (SELECT doc_id, MAX(tf * idf) / sqrt(SUM(tf * idf * tf * idf)) AS top FROM c JOIN i USING (term) GROUP BY doc_id)
+        SELECT doc_id, CAST(greatest(2 * len(w) - 1, 0) AS INTEGER) AS n_terms, round(COALESCE(top, 0e0), 6) AS top_weight
+        FROM d LEFT JOIN x USING (doc_id)"""
+)
 def tfidf_features(spark, sf):
     """Terms per document and the largest weight of its TF-IDF vector."""
     texts = spread(table(spark, sf, "documents")).select("doc_id", models.fold_accents(F.col("text")).alias("folded"))
@@ -45,7 +57,11 @@ def tfidf_features(spark, sf):
     )
 
 
-@query()
+@query(
+    """SELECT 'category' AS target, 'tfidf_logistic_regression_baseline' AS model_type, 'customer_message' AS text, COUNT(*) AS train_rows,
+       string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels, 5000::INTEGER AS vocabulary, 50::INTEGER AS max_iterations,
+       'balanced' AS class_weight FROM documents JOIN labels USING (doc_id)"""
+)
 def train_classifier(spark, sf):
     """The model table after training a category model on the labelled documents."""
     models_by_target = training.train_models(_labelled(spark, sf), ["category"], max_iterations=50)

@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IDF,
     NGram,
@@ -67,20 +67,35 @@ def tokenizing_stages(text: str) -> list:
     ]
 
 
+def frequent_terms(tokenized: DataFrame, size: int) -> DataFrame:
+    """(term, n): the terms that occur most often in the corpus, ties in alphabetical order."""
+    return (
+        tokenized.select(F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), "term")
+        .limit(size)
+    )
+
+
 def fit_features(df: DataFrame, text: str, vocabulary: int = K.VOCABULARY_SIZE) -> PipelineModel:
     """TF-IDF model: the most frequent terms, idf = ln((n+1)/(df+1)) + 1, unit-length rows.
 
-    Spark's idf lacks the `+ 1`, which would erase a term found in every text; the counts
-    are therefore multiplied by the fitted idf plus one.
+    The vocabulary is chosen here rather than by CountVectorizer, whose choice among equally
+    frequent terms depends on the partitioning. Spark's idf lacks the `+ 1`, which would
+    erase a term found in every text; the counts are multiplied by the fitted idf plus one.
     """
-    counting = Pipeline(
-        stages=[*tokenizing_stages(text), CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=1)]
-    ).fit(df)
-    counted = counting.transform(df).select("counts")
+    tokenizing = PipelineModel(stages=tokenizing_stages(text))
+    tokenized = tokenizing.transform(df)
+    terms = [r["term"] for r in frequent_terms(tokenized, vocabulary).collect()]
+    if not terms:
+        raise ValueError("the texts hold no terms")
+    counting = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts")
+    counted = counting.transform(tokenized.select("terms")).select("counts")
     idf = IDF(inputCol="counts", outputCol="unused").fit(counted).idf.toArray()
     weigh = ElementwiseProduct(scalingVec=DenseVector(idf + 1.0), inputCol="counts", outputCol="weighted")
     unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    return PipelineModel(stages=[*counting.stages, weigh, unit])
+    return PipelineModel(stages=[*tokenizing.stages, counting, weigh, unit])
 
 
 @dataclass

@@ -48,6 +48,17 @@ def test_vocabulary_keeps_the_most_frequent_terms(spark):
     assert set(vocabulary) <= {"aa", "bb", "aa aa"} and "aa" in vocabulary
 
 
+def test_equally_frequent_terms_are_taken_alphabetically(spark):
+    rows = [(f"w{i % 30:02d} x{i % 30:02d}",) for i in range(60)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "folded string").repartition(parts)
+        fitted = models.fit_features(df, "folded", vocabulary=7)
+        vocabulary = next(s for s in fitted.stages if hasattr(s, "vocabulary")).vocabulary
+        assert vocabulary == ["w00", "w00 x00", "w01", "w01 x01", "w02", "w02 x02", "w03"]
+    with pytest.raises(ValueError, match="no terms"):
+        models.fit_features(spark.createDataFrame([("a",)], "folded string"), "folded")
+
+
 @pytest.fixture(scope="module")
 def tickets(spark):
     words = {"billing": "invoice charge refund", "access": "login password locked", "shipping": "parcel courier late"}
