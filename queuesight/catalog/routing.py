@@ -424,8 +424,9 @@ _RANKED = f"SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p DESC,
     f"""SELECT event_id, CAST(place AS INTEGER) AS place, queue, round(p, 8) AS probability FROM ({_RANKED}) WHERE place <= 3"""
 )
 def top_k_probabilities(spark, sf):
-    rows = _weighted(spark, sf).select("event_id", F.posexplode(lb.top_probabilities(F.col("probabilities"), 3)).alias("i", "t"))
-    return rows.select(
+    best = F.posexplode_outer(lb.top_probabilities(F.col("probabilities"), 3))
+    rows = _weighted(spark, sf).select("event_id", best.alias("i", "t"))
+    return rows.where(F.col("t").isNotNull()).select(
         "event_id", (F.col("i") + 1).cast("int").alias("place"), F.col("t.label").alias("queue"),
         F.round("t.probability", 8).alias("probability"),
     )

@@ -138,10 +138,12 @@ def recent_confidences(log: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def probability_breakdown(log: DataFrame, id_column: str = "id") -> DataFrame:
-    """(id, rank, queue, probability), most probable first."""
-    return log.select(
-        id_column, F.posexplode(ranked_probabilities(F.col("probabilities"))).alias("i", "p")
-    ).select(
+    """(id, rank, queue, probability), most probable first.
+
+    The outer form of explode saves ranking each map a second time to see if it is empty.
+    """
+    ranked = F.posexplode_outer(ranked_probabilities(F.col("probabilities")))
+    return log.select(id_column, ranked.alias("i", "p")).where(F.col("p").isNotNull()).select(
         id_column,
         (F.col("i") + 1).cast("int").alias("rank"),
         tx.humanize(F.col("p.label"), K.QUEUE_DISPLAY).alias("queue"),

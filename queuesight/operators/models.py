@@ -68,9 +68,14 @@ def tokenizing_stages(text: str) -> list:
 
 
 def frequent_terms(tokenized: DataFrame, size: int) -> DataFrame:
-    """(term, n): the terms that occur most often in the corpus, ties in alphabetical order."""
+    """(term, n): the terms that occur most often in the corpus, ties in alphabetical order.
+
+    The outer form of explode keeps Spark from testing first whether the array is empty,
+    which would tokenize every text again for the test.
+    """
     return (
-        tokenized.select(F.explode("terms").alias("term"))
+        tokenized.select(F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "term")
