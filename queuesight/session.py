@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def build_session(master: str | None = None, app: str = "queuesight", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir` as the session names it.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; a cluster whose
+    executors have disks of their own must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="queuesight-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,6 +46,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small frame once and read it back from the shared folder.
 
