@@ -6,38 +6,62 @@ read again as the next stage's docs. All but the last keep the columns of `docum
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuesight.llm.common import named, stored, table
-from queuesight.llm.decontaminate import contamination
+from queuesight.llm.common import stored, table
+from queuesight.llm.decontaminate import contamination, drop_contaminated
 from queuesight.llm.language_id import UNDETERMINED, identify_languages, learn_languages
-from queuesight.llm.simhash import near_duplicate_groups
+from queuesight.llm.mixing import draw_documents, label_domains, mix_documents
+from queuesight.llm.simhash import keep_one_of_each, near_duplicate_groups
+from queuesight.llm.token_files import token_digest
+
+END_ID = 2
+SHARES = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those with no letter go."""
+    """Documents whose language can be told; those without a letter go."""
     scored = identify_languages(docs, learn_languages(docs))
     return scored.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal fingerprints: the one with the smallest id.
+    """One document of each group of near-equal fingerprints stays."""
+    groups = stored(near_duplicate_groups(docs, shingle=4, radius=4), "near-duplicate-groups")
+    return keep_one_of_each(docs, groups)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark stay."""
+    return drop_contaminated(docs, contamination(docs, table(spark, sf_dir, "benchmark"), span=13, k=8, share=20))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Poor and toxic documents are drawn at their rates; good ones keep their total, so their rate is about 1."""
+    rates, _ = mix_documents(docs, label_domains(table(spark, sf_dir, "labels")), SHARES, keep_whole="good")
+    return draw_documents(docs, rates)
+
 
-    Rows that repeat that id with the same text are one document; a null id is never kept
-    beside another, and a group of null ids alone keeps one row.
-    """
-    groups = near_duplicate_groups(docs, shingle=4, radius=4)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The corpus as token files, and each document as read back from them."""
+    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
-STAGES = [("language_id", language_id), ("simhash_near_dedup", simhash_near_dedup)]
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mix_sources", mix_sources),
+    ("token_files", token_files),
+]
+ORACLE_SQL = None  # language, fingerprints, rates and tokens are beyond SQL; tests/llm/test_pipeline.py checks each
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

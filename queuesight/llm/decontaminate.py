@@ -165,3 +165,10 @@ def contamination(
         F.coalesce("found_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(documents: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that `contamination` over the same rows calls clean, with all their columns."""
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct()
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("own_id")) & (text_key(F.col(f"`{text}`")) == F.col("own_th"))
+    return documents.join(small(stored(bad, "contaminated")), same, "left_anti")

@@ -57,13 +57,18 @@ class BackoffModel:
             i = place[language]
             if n >= min_count:
                 words[i][word] += n
-            padded = f" {word} "
             for k in range(1, order + 1):
-                for at in range(len(padded) - k + 1):
-                    grams[k - 1][i][padded[at : at + k]] += n
+                for gram in self._grams(word, k):
+                    grams[k - 1][i][gram] += n
         self.words = self._logs(words, max_words)
         self.grams = [self._logs(level, max_grams) for level in grams]
 
+    @staticmethod
+    def _grams(word: str, k: int) -> list[str]:
+        """The n-grams of order k of a word between spaces; single characters without them."""
+        padded = f" {word} " if k > 1 else word
+        return [padded[at : at + k] for at in range(len(padded) - k + 1)]
+
     @staticmethod
     def _logs(counters: list[Counter], most: int) -> dict[str, np.ndarray]:
         out: dict[str, np.ndarray] = {}
@@ -80,10 +85,9 @@ class BackoffModel:
         known = self.words.get(word)
         if known is not None:
             return known
-        padded = f" {word} "
         for k in range(self.order, 0, -1):
             level = self.grams[k - 1]
-            found = [level[g] for at in range(len(padded) - k + 1) if (g := padded[at : at + k]) in level]
+            found = [level[g] for g in self._grams(word, k) if g in level]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.languages))

@@ -1,0 +1,188 @@
+"""Documents scored by masked pseudo-likelihood of a small bidirectional network, in numpy.
+
+Every token is predicted from its two neighbours, itself masked; a document's score is the
+sum of the logarithms. The network looks at one token on each side, so the counts of all
+(left, token, right) triples are all that training needs: Spark counts them over the whole
+corpus, and numpy fits the network to the counts, whose number the vocabulary bounds.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import named
+
+EDGE = 0  # before the first and after the last token
+SHAPES = 32  # classes of words outside the vocabulary: length and kind of the last character
+VOCABULARY = 128
+
+
+def shape(word: str) -> int:
+    last = word[-1]
+    kind = 0 if "a" <= last <= "z" else 1 if last.isalpha() else 2 if last.isdigit() else 3
+    return 1 + min(len(word), 8) - 1 + 8 * kind
+
+
+class Tokens(dict):
+    """Ids of words; those outside the vocabulary by their shape, remembered in bounded room."""
+
+    def __init__(self, words: list[str], room: int = 400_000):
+        super().__init__((w, 1 + SHAPES + i) for i, w in enumerate(words))
+        self.room, self.size = room, 1 + SHAPES + len(words)
+
+    def __missing__(self, word: str) -> int:
+        found = shape(word)
+        if len(self) < self.room:
+            self[word] = found
+        return found
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of a text's words between white space, with an edge on either side."""
+        words = text.lower().split() if text else []
+        return np.array([EDGE, *map(self.__getitem__, words), EDGE], np.int64)
+
+
+def learn_vocabulary(documents: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[str]:
+    """The most frequent words of all documents, as many as fit beside edge and shapes; ties by spelling."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for body in batch["text"]:
+                if body:
+                    counts.update(body.lower().split())
+            if len(counts) > 300_000:
+                yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                counts = Counter()
+        if counts:
+            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+
+    words = named(documents, text=text).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size - 1 - SHAPES).collect()]
+
+
+def count_triples(documents: DataFrame, vocabulary: list[str], text: str = "text") -> DataFrame:
+    """(code, n): how often each (left, token, right) occurs over all documents."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens(vocabulary)
+        size, held, total = tokens.size, [], 0
+
+        def flush() -> pd.DataFrame:
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"code": codes, "n": n})
+
+        for batch in batches:
+            for body in batch["text"]:
+                ids = tokens.ids(body)
+                if len(ids) > 2:
+                    held.append((ids[:-2] * size + ids[1:-1]) * size + ids[2:])
+                    total += len(ids)
+            if total > 8_000_000:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
+
+    counted = named(documents, text=text).mapInPandas(count, "code long, n long")
+    return counted.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+class WindowNetwork:
+    """log p(token | left, right) = log softmax(O tanh(L[left] + R[right] + b) + c)."""
+
+    def __init__(self, size: int, hidden: int = 32, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
+        self.size = size
+        self.p = {"L": draw(size, hidden), "R": draw(size, hidden), "b": np.zeros(hidden, np.float32), "O": draw(hidden, size), "c": np.zeros(size, np.float32)}
+
+    def _logits(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.tanh(self.p["L"][left] + self.p["R"][right] + self.p["b"])
+        return h, h @ self.p["O"] + self.p["c"]
+
+    def log_probabilities(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """A row over all tokens for each pair of neighbours."""
+        z = self._logits(left, right)[1].astype(np.float64)
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def table(self) -> np.ndarray:
+        """All of them: [left, right, token]."""
+        out = np.empty((self.size, self.size, self.size), np.float32)
+        every = np.arange(self.size)
+        for left in range(self.size):
+            out[left] = self.log_probabilities(np.full(self.size, left), every)
+        return out
+
+    def fit(self, codes: np.ndarray, n: np.ndarray, steps: int = 160, rate: float = 0.05) -> WindowNetwork:
+        """Adam on the pseudo-likelihood of all counted triples, every step over all of them."""
+        size = self.size
+        if not len(codes):
+            return self
+        left, token, right = codes // size**2, codes // size % size, codes % size
+        pairs, place = np.unique(left * size + right, return_inverse=True)
+        counts = np.zeros((len(pairs), size), np.float32)
+        np.add.at(counts, (place, token), (n / n.sum()).astype(np.float32))
+        weight = counts.sum(axis=1, keepdims=True)
+        left, right = pairs // size, pairs % size
+        self.p["c"] = np.log(counts.sum(axis=0) + 1e-7).astype(np.float32)
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        for step in range(1, steps + 1):
+            h, z = self._logits(left, right)
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            dz = weight * (z / z.sum(axis=1, keepdims=True)) - counts
+            dh = (dz @ self.p["O"].T) * (1 - h * h)
+            g = {"O": h.T @ dz, "c": dz.sum(axis=0), "b": dh.sum(axis=0), "L": np.zeros_like(self.p["L"]), "R": np.zeros_like(self.p["R"])}
+            np.add.at(g["L"], left, dh)
+            np.add.at(g["R"], right, dh)
+            pace = rate * (1 - (step - 1) / steps)
+            for k in self.p:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+                self.p[k] = (self.p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-10)).astype(np.float32)
+        return self
+
+
+def learn_network(documents: DataFrame, text: str = "text", size: int = VOCABULARY, **settings) -> tuple[list[str], WindowNetwork]:
+    """Vocabulary and network learned from all documents.
+
+    At most size^3 distinct triples come to the driver, whatever the corpus holds. Without
+    any word the network predicts every token alike.
+    """
+    vocabulary = learn_vocabulary(documents, text, size)
+    counts = count_triples(documents, vocabulary, text).toPandas().sort_values("code")
+    network = WindowNetwork(1 + SHAPES + len(vocabulary))
+    return vocabulary, network.fit(counts["code"].to_numpy(np.int64), counts["n"].to_numpy(np.float64), **settings)
+
+
+def score_documents(documents: DataFrame, vocabulary: list[str], network: WindowNetwork, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob) of every row.
+
+    `log_prob` is the sum over the tokens of the whole text; a null or empty text has no
+    tokens, sum 0 and a null mean.
+    """
+    spark: SparkSession = documents.sparkSession
+    shared = spark.sparkContext.broadcast((vocabulary, network))
+
+    @F.pandas_udf("n_tokens long, log_prob double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words, own = shared.value
+        tokens, table = Tokens(words), own.table()
+        for batch in batches:
+            rows = []
+            for body in batch:
+                ids = tokens.ids(body)
+                rows.append((len(ids) - 2, float(table[ids[:-2], ids[2:], ids[1:-1]].sum(dtype=np.float64))))
+            yield pd.DataFrame(rows, columns=["n_tokens", "log_prob"])
+
+    scored = named(documents, doc_id=doc_id, text=text).select("doc_id", score("text").alias("x"))
+    out = scored.select("doc_id", "x.n_tokens", "x.log_prob")
+    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

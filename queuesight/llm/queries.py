@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .decontaminate import contamination
+from .embedding_dedup import embedding_duplicates
 from .language_id import identify_languages, learn_languages
+from .lm_scoring import learn_network, score_documents
+from .mixing import label_domains, mix_documents
+from .quality import learn_quality, score_quality
 from .simhash import near_duplicate_groups
+from .span_dedup import remove_repeated_spans
+from .token_counts import count_tokens
+from .token_files import token_digest
+
+TOKEN_END = 2
+DOMAIN_SHARES = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +39,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return groups.select("doc_id", "fingerprint", "component_id")
 
 
 @query
@@ -74,3 +86,43 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_
   coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN places p USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = label_domains(table(spark, sf_dir, "labels"))
+    return mix_documents(table(spark, sf_dir, "documents"), labelled, DOMAIN_SHARES)[0].drop("th")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = learn_quality(documents, table(spark, sf_dir, "labels"))
+    scored = score_quality(documents, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_documents(documents, *learn_network(documents))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_END)
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1_024)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, stored
+from .common import named, small, stored, text_key
 from .components import connected_components
 
 BITS = 64
@@ -180,21 +180,47 @@ def near_duplicate_groups(
     radius: int = 4,
     most_in_bucket: int = 8_192,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+    """(doc_id, th, fingerprint, component_id, group_id) of every row.
 
     `fingerprint` is 16 lowercase hex digits. `component_id` is the smallest id among the
     rows reachable over links of at most `radius` differing bits, itself included. Texts
     without words (null, empty, white space) have fingerprint zero and link like others. A
     row with a null id belongs to its group but never names it; a group of such rows alone
-    has a null component_id. Rows that repeat an id stay rows. An empty table gives none.
+    has a null component_id. Rows that repeat an id stay rows; `th`, a hash of the text, tells
+    them apart. `group_id` is a fingerprint of the group. An empty table gives no rows.
     """
     rows = named(documents, doc_id=doc_id, text=text)
-    rows = stored(rows.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
+    print_of = fingerprint_column(F.col("text"), shingle)
+    rows = stored(rows.select("doc_id", text_key(F.col("text")).alias("th"), print_of.alias("fp")), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     groups = connected_components(near_links(distinct.select("fp"), radius, most_in_bucket))
     linked = distinct.join(groups.withColumnRenamed("node", "fp"), "fp")
     named_by = linked.groupBy("component").agg(F.min("least").alias("name"))
-    of_linked = linked.join(named_by, "component").select("fp", "name")
+    of_linked = linked.join(named_by, "component").select("fp", "name", "component")
     out = rows.join(distinct, "fp").join(of_linked, "fp", "left")
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return out.select("doc_id", hex_digits.alias("fingerprint"), F.coalesce("name", "least").alias("component_id"))
+    return out.select(
+        "doc_id", "th", hex_digits.alias("fingerprint"), F.coalesce("name", "least").alias("component_id"), F.coalesce("component", "fp").alias("group_id")
+    )
+
+
+def keep_one_of_each(documents: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without all but one of each group: the one with the smallest id (null ids last), then text hash.
+
+    `groups` comes from `near_duplicate_groups` over the same rows. Of rows that repeat id and
+    text one stays. All columns are kept.
+    """
+    rows = groups.groupBy("group_id", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = rows.groupBy("group_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("first"))
+    judged = rows.join(first, "group_id")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    judged = judged.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), is_first.alias("stays"), "n")
+    judged = stored(judged.where(~F.col("stays") | (F.col("n") > 1)), "near-duplicates")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("own_id")) & (text_key(F.col(f"`{text}`")) == F.col("own_th"))
+    gone, again = small(judged.where(~F.col("stays"))), judged.where("stays")
+    kept = documents.join(gone, same, "left_anti")
+    if again.limit(1).count() == 0:
+        return kept
+    again = small(again)
+    once = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(again, same, "left_anti").unionByName(once)

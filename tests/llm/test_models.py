@@ -1,0 +1,124 @@
+import random
+
+import numpy as np
+from helpers import DOCS, awkward, clashing, documents, prose, rows_of
+
+from queuesight.llm.lm_scoring import EDGE, SHAPES, Tokens, WindowNetwork, count_triples, learn_network, learn_vocabulary, score_documents, shape
+from queuesight.llm.quality import WIDTH, AttentionModel, learn_quality, passages, score_quality
+
+
+def corpus(n=400):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(n):
+        text = prose(rng, rng.randint(60, 400))
+        good = rng.random() < 0.7
+        if not good:  # one bad passage in an otherwise usual text
+            w = text.split()
+            at = rng.randint(0, max(0, len(w) - 60))
+            w[at : at + 60] = [x.upper() + "!!" for x in w[at : at + 60]]
+            text = " ".join(w)
+        rows.append((i, text))
+        labels.append((i, int(good)))
+    return rows, labels
+
+
+def test_quality_of_held_out_documents(spark):
+    rows, labels = corpus()
+    df = clashing(documents(spark, rows + [(None if i is None else 1000 + i, t) for i, t in awkward()]))
+    taught = spark.createDataFrame(labels + [(None, 1), (3, None), (5, 0)], "doc_id long, quality int")
+    got = score_quality(df, learn_quality(df, taught)).collect()
+    assert len(got) == len(rows) + len(awkward())
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    import zlib
+
+    own = {r.doc_id: r.predicted for r in got}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([own[i] == labels[i][1] for i in held]) > 0.95
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    model = AttentionModel(6, 4)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, starts, labels = rng.random((9, WIDTH)), np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        y = model.forward(x, starts)["y"]
+        return -np.mean(labels * np.log(y) + (1 - labels) * np.log(1 - y))
+
+    for k, g in model.gradients(x, starts, labels).items():
+        flat, at = model.p[k].reshape(-1), 1 % model.p[k].size
+        keep, step = flat[at], 1e-6
+        flat[at] = keep + step
+        up = loss()
+        flat[at] = keep - step
+        down = loss()
+        flat[at] = keep
+        assert abs((up - down) / (2 * step) - g.reshape(-1)[at]) < 1e-5, k
+
+
+def test_scores_do_not_depend_on_the_company():
+    model = AttentionModel()
+    bags = [passages(t) for _, t in awkward()]
+    alone = np.concatenate([model.scores([b]) for b in bags])
+    assert np.allclose(alone, model.scores(bags), atol=1e-5)
+    assert all(b.shape[1] == WIDTH for b in bags) and np.isfinite(alone).all()
+
+
+def test_quality_without_labels_or_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    df = documents(spark, awkward())
+    assert score_quality(df, learn_quality(df, none)).count() == len(awkward())
+    empty = spark.createDataFrame([], DOCS)
+    assert rows_of(score_quality(empty, learn_quality(empty, none))) == []
+
+
+def test_counts_cover_every_token(spark):
+    rows = awkward() + [(60 + i, prose(random.Random(i), 50)) for i in range(20)]
+    df = clashing(documents(spark, rows))
+    words = learn_vocabulary(df, size=48)
+    plain = {}
+    for _, t in rows:
+        for w in (t or "").lower().split():
+            plain[w] = plain.get(w, 0) + 1
+    assert words == sorted(plain, key=lambda w: (-plain[w], w))[: 48 - 1 - SHAPES]
+    tokens, want = Tokens(words), {}
+    for _, t in rows:
+        ids = tokens.ids(t).tolist()
+        for a, b, c in zip(ids, ids[1:], ids[2:], strict=False):
+            code = (a * tokens.size + b) * tokens.size + c
+            want[code] = want.get(code, 0) + 1
+    assert {r.code: r.n for r in count_triples(df, words).collect()} == want
+    assert sum(want.values()) == sum(plain.values())
+
+
+def test_score_is_the_sum_of_conditional_logarithms(spark):
+    rows = awkward() + [(60 + i, prose(random.Random(i), 80)) for i in range(30)]
+    df = clashing(documents(spark, rows))
+    words, network = learn_network(df, steps=40)
+    got = {(r.doc_id, r.n_tokens): r for r in score_documents(df, words, network).collect()}
+    for doc, text in rows:
+        ids = Tokens(words).ids(text)
+        want = sum(network.log_probabilities(ids[i - 1 : i], ids[i + 1 : i + 2])[0, ids[i]] for i in range(1, len(ids) - 1))
+        r = got[doc, len(ids) - 2]
+        assert abs(r.log_prob - want) < 1e-3 * max(1, abs(want))
+        assert (r.mean_log_prob is None) == (r.n_tokens == 0)
+
+
+def test_order_matters_to_the_network(spark):
+    rng = random.Random(2)
+    sentence = "the cat sat on the mat and then the dog ran to the old house".split()
+    rows = [(i, " ".join(sentence[k:] + sentence[:k])) for i in range(60) for k in [rng.randint(0, 3)]]
+    words, network = learn_network(documents(spark, rows))
+    shuffled = sentence[:]
+    rng.shuffle(shuffled)
+    both = {r.doc_id: r.mean_log_prob for r in score_documents(documents(spark, [(1, " ".join(sentence)), (2, " ".join(shuffled))]), words, network).collect()}
+    assert both[1] > both[2] + 1
+
+
+def test_nothing_to_learn(spark):
+    empty = spark.createDataFrame([], DOCS)
+    words, network = learn_network(empty)
+    assert words == [] and rows_of(score_documents(empty, words, network)) == []
+    assert isinstance(network, WindowNetwork) and EDGE == 0 and 1 <= shape("é") <= SHAPES
