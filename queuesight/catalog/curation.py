@@ -69,6 +69,29 @@ def read_splits_union(spark, sf):
     )
 
 
+@query(
+    """SELECT 'lines' AS file, COUNT(*) AS rows, CAST(SUM(length(text)) AS BIGINT) AS characters FROM documents
+       UNION ALL SELECT 'document', COUNT(*), CAST(SUM(length(text)) AS BIGINT) FROM documents
+       UNION ALL SELECT 'value', COUNT(*), CAST(SUM(length(text)) AS BIGINT) FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)"""
+)
+def read_tickets_json(spark, sf):
+    """`.json` files of clean lines, of one document over several lines and of one bare value."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    lines = write_table(documents.select("text"), fresh_path(spark, "lines"), "json")
+    listed = documents.agg(F.to_json(F.sort_array(F.collect_list(F.struct("text")))).alias("value"))
+    pretty = listed.select(F.replace("value", F.lit('},{"text"'), F.lit('},\n{"text"')).alias("value"))
+    document, value = fresh_path(spark, "document"), fresh_path(spark, "value")
+    pretty.coalesce(1).write.text(document)
+    first = documents.orderBy("doc_id").limit(1).select(F.to_json(F.struct("text")).alias("j"))
+    first.select(F.substring("j", len('{"text":') + 1, 1_000_000_000).alias("j")).select(F.expr("substr(j, 1, length(j) - 1)").alias("value")).coalesce(1).write.text(value)
+    rows = None
+    for name, path in (("lines", lines), ("document", document), ("value", value)):
+        read = read_tickets(spark, path, format="json")
+        row = read.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("rows"), F.sum(F.length(read.columns[0])).alias("characters"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS ticket_id, text AS customer_message, 2::BIGINT AS copies FROM documents")
 def append_jsonl_lines(spark, sf):
     """Two appends of the table as JSON lines."""

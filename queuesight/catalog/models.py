@@ -192,26 +192,42 @@ def _stream(spark, sf, name):
 )
 def route_stream(spark, sf):
     """Events as a stream of scored tickets: routed, checked, stored or set aside."""
-    source = _stream(spark, sf, "events")
+    path, rejected = fresh_path(spark, "routing"), fresh_path(spark, "rejected")
+    jobs.run_available(lambda: jobs.route_stream(_scored_events(spark, sf), path, rejected, threshold=0.25))
+    stored = spark.read.parquet(path).select("event_id", "predicted_queue", "confidence", "decision", F.lit("stored").alias("state"))
+    aside = spark.read.parquet(rejected).select(
+        "event_id", "predicted_queue", "confidence", "decision",
+        F.concat(F.lit("rejected: "), F.array_join("errors", ",")).alias("state"),
+    )
+    return stored.unionByName(aside)
+
+
+def _scored_events(spark, sf, where="true"):
+    source = _stream(spark, sf, "events").where(where)
     inner = source.selectExpr(*QUEUE_WEIGHTS.base.columns).selectExpr(*QUEUE_WEIGHTS.columns)
     pairs = [x for q, p in zip(K.QUEUES, _P) for x in (F.lit(q), F.expr(p))]
     broken = F.col("event_id") % 50 == 0
     extra = F.when(broken, F.create_map(F.lit("unknown"), F.lit(0.0))).otherwise(F.expr("CAST(map() AS MAP<STRING, DOUBLE>)"))
-    scored = inner.select(
+    return inner.select(
         "event_id",
         F.when(broken, "").otherwise(F.col("props")).alias("subject"),
         F.col("event_type").alias("body"),
         F.map_concat(F.create_map(*pairs), extra).alias("probabilities"),
         F.col("ts").alias("created_at"),
     )
-    path, rejected = fresh_path(spark, "routing"), fresh_path(spark, "rejected")
-    jobs.run_available(lambda: jobs.route_stream(scored, path, rejected, threshold=0.25))
-    stored = spark.read.parquet(path).select("event_id", "predicted_queue", "confidence", "decision", F.lit("stored").alias("state"))
-    aside = spark.read.parquet(rejected).select(
-        "event_id", "predicted_queue", "confidence", "decision",
-        F.concat(F.lit("rejected: "), F.array_join("errors", ",")).alias("state"),
-    )
-    return stored.unionByName(aside)
+
+
+@query(
+    f"""SELECT event_id, queue AS predicted_queue, 1::BIGINT AS stored FROM ({_BEST}) WHERE event_id % 50 <> 0"""
+)
+def route_stream_twice(spark, sf):
+    """Two jobs of their own, even and odd events, into one store: both parts are there."""
+    path = fresh_path(spark, "routing")
+    for part in (0, 1):
+        scored = _scored_events(spark, sf, f"event_id % 2 = {part}")
+        own = fresh_path(spark, "routing-progress") if part else None
+        jobs.run_available(lambda: jobs.route_stream(scored, path, threshold=0.25, checkpoint=own))  # noqa: B023
+    return spark.read.parquet(path).groupBy("event_id", "predicted_queue").agg(F.count(F.lit(1)).alias("stored"))
 
 
 @query(
@@ -245,16 +261,41 @@ def ingest_stream(spark, sf):
     return spark.read.parquet(path).select("external_id", "doc_id", "customer_message")
 
 
-@query("SELECT DISTINCT user_id AS external_id FROM events")
+@query(
+    f"""SELECT external_id, count(*) AS rows, min(doc_id) AS first FROM (
+          SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY part, doc_id) AS place
+          FROM (SELECT {_KEY} AS external_id, doc_id, doc_id % 2 AS part FROM documents))
+        WHERE place = 1 OR COALESCE(external_id, '') = '' GROUP BY external_id"""
+)
+def ingest_stream_twice(spark, sf):
+    """Two runs with default options, even and then odd documents, from folders of their own: the store holds both."""
+    path = fresh_path(spark, "ingest")
+    rows = table(spark, sf, "documents").selectExpr(f"{_KEY} AS external_id", "doc_id")
+    for part in (0, 1):
+        folder = fresh_path(spark, "incoming")
+        rows.where(f"doc_id % 2 = {part}").write.parquet(folder)
+        incoming = jobs.read_stream(spark, folder, rows.schema)
+        jobs.run_available(lambda: jobs.ingest_stream(incoming, path, "doc_id"))  # noqa: B023
+    stored = spark.read.parquet(path)
+    return stored.groupBy("external_id").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
+
+
+_USER = "CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN '' ELSE CAST(user_id AS STRING) END"
+
+
+@query(
+    f"""SELECT external_id, COUNT(*) AS rows FROM (SELECT DISTINCT {_USER} AS external_id, CASE WHEN event_id % 10 < 2 THEN event_id END AS own FROM events)
+        GROUP BY external_id"""
+)
 def ingest_event_time(spark, sf):
-    """Stream deduplication by key within a watermark longer than the data."""
-    incoming = _stream(spark, sf, "events").selectExpr("user_id AS external_id", "ts")
+    """Stream deduplication by key within a watermark longer than the data; rows without a key all stay."""
+    incoming = _stream(spark, sf, "events").selectExpr(f"{_USER} AS external_id", "ts")
     path, state = fresh_path(spark, "event-time"), fresh_path(spark, "event-time-state")
     kept = jobs.ingest_event_time(incoming, "ts", "365 days").select("external_id")
     jobs.run_available(
         lambda: kept.writeStream.option("checkpointLocation", state).trigger(availableNow=True).start(path, format="parquet")
     )
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).groupBy("external_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(

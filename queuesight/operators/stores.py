@@ -52,23 +52,34 @@ def upsert_tickets(stored: DataFrame, changes: DataFrame, key: str = "id", stamp
     `changes` has the key, `set_fields` (the fields present in the change), the fields,
     `delete` (boolean) and optionally `seq` (order of several changes to one row) and `at`
     (time of the change). A field named in `set_fields` is set even when its value is null;
-    others keep the stored value. Unknown keys are inserted; deleted keys are left out.
+    others keep the stored value. Unknown keys are inserted; deleted keys are left out. A
+    change after a delete starts from an empty row; a delete with the same `seq` comes last.
     """
     fields = [c for c in stored.columns if c not in (key, stamp) and c in changes.columns]
     if "seq" not in changes.columns:
         changes = changes.withColumn("seq", F.lit(0))
     if "at" not in changes.columns:
         changes = changes.withColumn("at", F.current_timestamp())
+    removes = F.coalesce("delete", F.lit(False))
+    last_delete, last_change = F.max(F.when(removes, F.col("seq"))), F.max(F.when(~removes, F.col("seq")))
     folded = []
     for field in fields:
-        named = F.when(F.array_contains("set_fields", field), F.col("seq"))
+        named = F.when(~removes & F.array_contains("set_fields", field), F.col("seq"))
         folded.append(F.max_by(F.struct(F.col(field).alias("value")), named).alias(f"new_{field}"))
-        folded.append((F.max(named)).isNotNull().alias(f"set_{field}"))
+        folded.append((F.max(named) > F.coalesce(last_delete, F.max(named) - 1)).alias(f"set_{field}"))
     latest = changes.groupBy(key).agg(
-        F.max_by(F.coalesce("delete", F.lit(False)), F.col("seq")).alias("_delete"), F.max("at").alias("_at"), *folded
+        F.coalesce(last_delete >= F.coalesce(last_change, last_delete), F.lit(False)).alias("_delete"),
+        last_delete.isNotNull().alias("_emptied"),
+        F.max("at").alias("_at"),
+        *folded,
     ).withColumn("_changed", F.lit(True))
     old = stored.withColumn("_stored", F.lit(True))
     joined = old.join(latest, key, "full_outer").where(~F.coalesce("_delete", F.lit(False)))
+    # A row deleted and then changed keeps nothing of what was stored.
+    emptied = F.coalesce("_emptied", F.lit(False))
+    joined = joined.select(
+        *[F.when(~emptied, F.col(c)).alias(c) if c in old.columns and c != key else F.col(c) for c in joined.columns]
+    )
 
     def value(name: str):
         if name == key:

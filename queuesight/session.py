@@ -52,6 +52,36 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write `df` beside a stored table and put it in the table's place by renaming.
+
+    Until the new rows are written in full the old table stays as it is, so a job that fails
+    changes nothing and `df` may read the table it replaces. Should the last rename fail, the
+    old table gets its name back. Readers that listed the old files must read again.
+    """
+    spark = df.sparkSession
+    parent, _, name = path.rstrip("/").rpartition("/")
+    fresh = f"{parent}/_{name}-new-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(fresh)
+    except Exception:
+        remove_path(spark, fresh)
+        raise
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{parent}/_{name}-old-{uuid.uuid4().hex}"
+    had = files.exists(at(path))
+    if had and not files.rename(at(path), at(old)):
+        remove_path(spark, fresh)
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(at(fresh), at(path)):
+        if had:
+            files.rename(at(old), at(path))
+        raise OSError(f"cannot put the new table at {path}")
+    if had:
+        remove_path(spark, old)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small frame once and read it back from the shared folder.
 

@@ -41,7 +41,7 @@ def read_tickets(
     multi-line cells; pass `multi_line=False` for files without them, which lets Spark split
     a large file. Cells are text unless a schema is given or `infer` is set, and the usual
     missing markers are null. A `.json` file is a document (a list of rows, a row or a value)
-    or one row per line.
+    or one row per line; malformed JSON is an error that names the path.
     """
     kind = format or _suffix(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -57,28 +57,42 @@ def read_tickets(
         )
         return _missing_to_null(df, missing)
     if kind == "jsonl":
-        return reader.json(path)
-    if kind == "json":
         if schema is not None:
-            return reader.json(path, multiLine=multi_line)
-        # One value per line (how Spark writes) reads whole in line mode, and so does a
-        # document on one line; a document over several lines shows up as corrupt lines.
+            return reader.json(path, mode="FAILFAST")
         df = reader.json(path)
         if "_corrupt_record" in df.columns:
-            df = reader.json(path, multiLine=True)
-        if df.columns == ["_corrupt_record"]:
-            whole = spark.read.text(path, wholetext=True)
-            wrapped = F.from_json(F.concat(F.lit('{"value":'), F.col("value"), F.lit("}")), "value string")
-            parsed = whole.select(wrapped["value"].alias("value"), F.trim("value").alias("text"))
-            if not parsed.where(F.col("value").isNull() & (F.col("text") != "null")).isEmpty():
-                raise ValueError(f"malformed JSON: {path}")
-            return parsed.select("value")
+            raise ValueError(f"malformed JSON lines: {path}")
         return df
+    if kind == "json":
+        if schema is not None:
+            return reader.json(path, multiLine=multi_line, mode="FAILFAST")
+        return _read_json(spark, path)
     if kind == "parquet":
         return reader.parquet(path)
     raise ValueError(f"unsupported dataset format: {path}")
 
 
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    """One value per line (how Spark writes) or one document over several lines; anything else is an error.
+
+    Lines that all parse are read as lines. Otherwise every file must hold one JSON value as
+    a whole, which a file of lines with a bad one among them does not.
+    """
+    df = spark.read.json(path)
+    if "_corrupt_record" not in df.columns:
+        return df
+    whole = spark.read.text(path, wholetext=True)
+    options = {"columnNameOfCorruptRecord": "bad"}
+    wrapped = F.from_json(F.concat(F.lit('{"value":'), F.col("value"), F.lit("}")), "value string, bad string", options)
+    parsed = whole.select(wrapped.alias("r"))
+    if not parsed.where(F.col("r").isNull() | F.col("r.bad").isNotNull()).isEmpty():
+        raise ValueError(f"malformed JSON: {path}")
+    document = spark.read.json(path, multiLine=True)
+    if document.columns == ["_corrupt_record"]:  # a bare value
+        return parsed.select("r.value")
+    return document
+
+
 def read_splits(spark: SparkSession, paths: Mapping[str, str], **options) -> DataFrame:
     """Union of the split files with a `split` column; columns a file lacks are null."""
     if not paths:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stores import detach_deleted, new_tickets, upsert_tickets
-from ..session import fresh_path
+from ..session import replace_table
 
 
 def write_table(
@@ -52,22 +52,15 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    """Overwrite a table that `df` itself reads: stage the rows in the shared folder first."""
-    spark = df.sparkSession
-    staged = fresh_path(spark, "staged")
-    df.write.parquet(staged)
-    spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").parquet(path)
-
-
 def load_tickets(
     incoming: DataFrame, path: str, limit: int | None = None, clear_existing: bool = False, order: str | None = None
 ) -> int:
     """Add a batch to the stored tickets; returns how many rows were added.
 
     Repeating a load adds nothing but the rows without an external id. The rows are written
-    by one job whose commit makes all of them visible, or none when it fails. Ids go on
-    from the largest stored one in batch order.
+    once, by one job whose commit makes all of them visible, or none when it fails; with
+    `clear_existing` the old table stays until the new one is complete. Ids go on from the
+    largest stored one in batch order.
     """
     spark = incoming.sparkSession
     stored = read_or_none(spark, path)
@@ -82,22 +75,23 @@ def load_tickets(
         now.alias("created_at"),
         now.alias("updated_at"),
     )
-    staged = fresh_path(spark, "load")
-    rows.write.parquet(staged)
-    written = spark.read.schema(rows.schema).parquet(staged)
-    count = written.count()
-    written.write.mode("overwrite" if clear_existing else "append").parquet(path)
-    return count
+    counter = Observation()
+    rows = rows.observe(counter, F.count(F.lit(1)).alias("n"))
+    if clear_existing:
+        replace_table(rows, path)
+    else:
+        rows.write.mode("append").parquet(path)
+    return counter.get["n"]
 
 
 def apply_ticket_changes(changes: DataFrame, tickets_path: str, log_path: str | None = None) -> None:
     """Rewrite the ticket table after inserts, partial updates and deletes; references to
     deleted tickets in the routing log become null."""
     spark = changes.sparkSession
-    _replace(upsert_tickets(spark.read.parquet(tickets_path), changes), tickets_path)
+    replace_table(upsert_tickets(spark.read.parquet(tickets_path), changes), tickets_path)
     log = read_or_none(spark, log_path) if log_path else None
     if log is not None:
-        _replace(detach_deleted(log, changes), log_path)
+        replace_table(detach_deleted(log, changes), log_path)
 
 
 def append_predictions(valid: DataFrame, path: str, rejected: DataFrame | None = None, rejected_path: str | None = None) -> None:

@@ -5,6 +5,8 @@ Each job is the batch operator on a stream; `run_available` drains what is there
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,8 @@ from ..operators.dashboard import log_cells, summarize_cells
 from ..operators.ordinals import first_per_key
 from ..operators.scoring import route_scored
 from ..operators.validation import check_predictions
-from ..session import fresh_path
+from ..session import fresh_path, replace_table
+from ..sources.writers import read_or_none
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,8 +33,27 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
     return reader.parquet(folder)
 
 
-def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
-    return given or fresh_path(spark, f"stream-{name}")
+def _checkpoint(stream: DataFrame, path: str, given: str | None) -> str:
+    """Where a job's progress is kept: inside its store, apart for each source, unless given.
+
+    A second run over the same source goes on where the first ended; another source has
+    progress of its own, since a checkpoint cannot change its source.
+    """
+    if given:
+        return given
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    sources = ",".join(sorted(set(re.findall(r"\w+Source\[[^\]]*\]", plan)))) or "source"
+    return f"{path.rstrip('/')}/_progress/{hashlib.sha256(sources.encode()).hexdigest()[:16]}"
+
+
+def _run(batch: DataFrame) -> str:
+    """The streaming query a micro-batch belongs to; the same after a restart from its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _write_batch(rows: DataFrame, path: str, run: str, number: int) -> None:
+    """Store a micro-batch under its query and number, in place of what an earlier attempt of it left."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
 
 def route_stream(
@@ -45,27 +67,28 @@ def route_stream(
     """Route scored tickets and append the records that keep the contract.
 
     `scored` has subject, body, probabilities and created_at. Records are written under
-    their micro-batch number, replacing what an interrupted attempt left there, so a batch
-    that runs twice is stored once. Rejected records go to `rejected_path` with their errors.
+    their query and micro-batch number, replacing what an interrupted attempt left there, so
+    a batch that runs twice is stored once and another query's records stay. Rejected records
+    go to `rejected_path` with their errors. Progress is kept in the store, for each source
+    apart, unless `checkpoint` names another place.
     """
-    spark = scored.sparkSession
     if "latency_ms" not in scored.columns:
         scored = scored.withColumn("latency_ms", F.lit(0.0))
     records = check_predictions(route_scored(scored, model_id, threshold))
 
     def store(batch: DataFrame, number: int) -> None:
+        run = _run(batch)
         batch = batch.persist()
         try:
-            good = batch.where(F.size("errors") == 0).drop("errors")
-            good.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            _write_batch(batch.where(F.size("errors") == 0).drop("errors"), path, run, number)
             if rejected_path:
-                batch.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+                _write_batch(batch.where(F.size("errors") > 0), rejected_path, run, number)
         finally:
             batch.unpersist()
 
     return (
         records.writeStream.foreachBatch(store)
-        .option("checkpointLocation", _checkpoint(spark, checkpoint, "route"))
+        .option("checkpointLocation", _checkpoint(scored, path, checkpoint))
         .trigger(availableNow=True)
         .start()
     )
@@ -76,13 +99,13 @@ def dashboard_stream(log: DataFrame, path: str, checkpoint: str | None = None) -
     spark = log.sparkSession
 
     def store(cells: DataFrame, number: int) -> None:
-        summarize_cells(cells).coalesce(1).write.mode("overwrite").parquet(path)
+        replace_table(summarize_cells(cells).coalesce(1), path)
 
     return (
         log_cells(log)
         .writeStream.outputMode("complete")
         .foreachBatch(store)
-        .option("checkpointLocation", _checkpoint(spark, checkpoint, "dashboard"))
+        .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-dashboard"))
         .trigger(availableNow=True)
         .start()
     )
@@ -93,26 +116,27 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Add tickets whose external id is not stored yet; tickets without one are always added.
 
-    The stored table itself answers which ids are known, so no state grows with the stream.
-    A micro-batch is written under its number and ignores what an interrupted attempt of
-    itself left, so a repeat gives the same table. `order` decides which of several rows
-    with one id comes first inside a batch.
+    The stored table itself answers which ids are known, so no state grows with the stream,
+    and any number of runs, from any source, may add to one store. A micro-batch is written
+    under its query and number and ignores what an interrupted attempt of itself left, so a
+    repeat gives the same table. `order` decides which of several rows with one id comes
+    first inside a batch. Progress is kept in the store, for each source apart, unless
+    `checkpoint` names another place.
     """
-    spark = incoming.sparkSession
-    schema = T.StructType([*incoming.schema.fields, T.StructField("batch", T.LongType())])
-
     def store(batch: DataFrame, number: int) -> None:
+        run, spark = _run(batch), batch.sparkSession
         keyed = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
         first = first_per_key(batch.where(keyed), key, order)
-        if number > 0:
-            known = batch.sparkSession.read.schema(schema).option("basePath", path).parquet(path)
-            known = known.where((F.col("batch") < number) & F.col(key).isNotNull()).select(key)
+        known = read_or_none(spark, path)
+        if known is not None:
+            own = (F.col("run") == run) & (F.col("batch") == number)
+            known = known.where(~own & F.col(key).isNotNull()).select(key)
             first = first.join(known, key, "left_anti").select(*batch.columns)
-        first.unionByName(batch.where(~keyed)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _write_batch(first.unionByName(batch.where(~keyed)), path, run, number)
 
     return (
         incoming.writeStream.foreachBatch(store)
-        .option("checkpointLocation", _checkpoint(spark, checkpoint, "ingest"))
+        .option("checkpointLocation", _checkpoint(incoming, path, checkpoint))
         .trigger(availableNow=True)
         .start()
     )
@@ -121,10 +145,15 @@ def ingest_stream(
 def ingest_event_time(incoming: DataFrame, event_time: str, delay: str = "1 day", key: str = "external_id") -> DataFrame:
     """Streaming deduplication by key whose state is bounded by a watermark.
 
-    For sources with an event time: copies of a key are recognised within the delay.
+    For sources with an event time: copies of a key are recognised within the delay. Rows
+    with a null or blank key all stay: each takes a key of its own, so they neither count as
+    copies nor meet in one partition.
     """
     timed = incoming.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    given = F.nullif(F.col(key).cast("string"), F.lit(""))
+    own = F.coalesce(F.concat(F.lit("k"), given), F.concat(F.lit("u"), F.expr("uuid()")))
+    once = timed.withColumn("_own_key", own).withWatermark(event_time, delay)
+    return once.dropDuplicatesWithinWatermark(["_own_key"]).drop("_own_key")
 
 
 def run_available(start: Callable[[], StreamingQuery]) -> None:

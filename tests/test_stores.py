@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuesight import constants as K
+from queuesight import session
 from queuesight.operators import dashboard, scoring, stores
 from queuesight.sources import readers, writers
 from queuesight.streaming import jobs
@@ -157,6 +158,49 @@ def test_read_by_suffix(spark, tmp_path):
         readers.read_tickets(spark, f"{tmp_path}/a.xlsx")
 
 
+def test_malformed_json_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"id": 1}\n{"id": 2}\n{"id": \n{"id": 3}\n')
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n{"id": 2}\nnot json\n')
+    (tmp_path / "two.json").write_text('{\n"id": 1\n}\n{\n"id": 2\n}\n')
+    for name in ("bad.json", "bad.jsonl", "two.json"):
+        with pytest.raises(ValueError, match=name):
+            readers.read_tickets(spark, f"{tmp_path}/{name}")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_tickets(spark, f"{tmp_path}/bad.jsonl", schema="id int").collect()
+    (tmp_path / "good.jsonl").write_text('{"message": "x", "queue": "a"}\n')
+    audit = {r["file_path"].rsplit("/", 1)[-1]: r for r in readers.audit_files(spark, str(tmp_path)).collect()}
+    assert all("malformed" in audit[n]["read_error"] and not audit[n]["has_required_training_columns"] for n in ("bad.json", "bad.jsonl", "two.json"))
+    assert audit["good.jsonl"]["read_error"] is None
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "tickets")
+    batch = spark.createDataFrame([("a", "1"), (None, "2")], "external_id string, customer_message string").coalesce(1)
+    assert writers.load_tickets(batch, path) == 2
+    broken = batch.withColumn("customer_message", F.when(F.col("external_id") == "a", F.raise_error(F.lit("half-way"))).otherwise("x"))
+    with pytest.raises(Exception, match="half-way"):
+        writers.load_tickets(broken, path, clear_existing=True)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(Exception, match="half-way"):
+        session.replace_table(broken, path)
+    assert sorted(r[0] for r in spark.read.parquet(path).select("customer_message").collect()) == ["1", "2"]
+    session.replace_table(spark.read.parquet(path).limit(1), path)
+    assert spark.read.parquet(path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["tickets"]
+
+
+def test_a_change_after_a_delete_starts_afresh(spark):
+    stored = spark.createDataFrame([(1, "en", "mail"), (2, "en", "mail"), (3, "en", "mail")], "id int, language string, channel string")
+    rows = [
+        (1, ["channel"], None, "early", False, 1), (1, [], None, None, True, 2), (1, ["language"], "fr", None, False, 3),
+        (2, ["channel"], None, "web", False, 2), (2, [], None, None, True, 2),
+        (3, [], None, None, True, 1), (3, ["channel"], None, None, False, 2), (3, [], None, None, True, 3),
+        (4, [], None, None, True, 1), (4, ["channel"], None, "new", False, 2),
+    ]
+    changes = spark.createDataFrame(rows, "id int, set_fields array<string>, language string, channel string, delete boolean, seq int")
+    got = sorted(map(tuple, stores.upsert_tickets(stored, changes).collect()))
+    assert got == [(1, "fr", None), (4, None, "new")]
+
+
 def test_audit_and_choice_of_input(spark, tmp_path):
     (tmp_path / "big.csv").write_text("message,queue\n" + "hello,a\n" * 5)
     (tmp_path / "nolabel.csv").write_text("message\n" + "hello\n" * 9)
@@ -241,6 +285,26 @@ def test_ingest_stream_over_several_batches(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(target).collect()) == [1, 3, 4, 6, 7]
 
 
+def test_runs_of_their_own_add_to_one_store(spark, tmp_path):
+    schema = spark.createDataFrame([], "external_id string, k int").schema
+    target = f"{tmp_path}/out"
+    for n, rows in enumerate([[("x1", 1), ("y", 2), (None, 3)], [("x2", 4), ("y", 5), ("", 6)], [("x1", 7), ("x3", 8)]]):
+        source = f"{tmp_path}/in{n}"
+        spark.createDataFrame(rows, schema).write.parquet(source)
+        own = f"{tmp_path}/cp" if n == 2 else None
+        jobs.run_available(lambda: jobs.ingest_stream(jobs.read_stream(spark, source, schema), target, "k", checkpoint=own))  # noqa: B023
+    assert sorted(r["k"] for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4, 6, 8]
+
+
+def test_event_time_keeps_rows_without_a_key(spark, tmp_path):
+    rows = [(None, 1), (None, 1), ("", 1), ("", 1), ("a", 1), ("a", 1)]
+    df = spark.createDataFrame(rows, "external_id string, n int").withColumn("ts", F.lit(datetime(2024, 1, 1)))
+    df.write.parquet(f"{tmp_path}/in")
+    kept = jobs.ingest_event_time(jobs.read_stream(spark, f"{tmp_path}/in", df.schema), "ts")
+    jobs.run_available(lambda: kept.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet"))
+    assert sorted((r["external_id"] or "-") for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["-", "-", "-", "-", "a"]
+
+
 def test_dashboard_stream_equals_batch(spark, log, tmp_path):
     source = f"{tmp_path}/log"
     log.repartition(2).write.parquet(source)
