@@ -243,13 +243,13 @@ def curation_report(spark, sf):
 
 
 @query(
-    f"""SELECT printf('hf-tobi-%06d', row_number() OVER (ORDER BY doc_id)) AS external_id, {_strip('text')} AS customer_message
+    f"""SELECT printf('row-%06d', row_number() OVER (ORDER BY doc_id)) AS external_id, {_strip('text')} AS customer_message
         FROM documents WHERE lang = 'en'"""
 )
 def row_ordinal_id(spark, sf):
     """Surrogate ids numbered in source order among the English rows of a table without ids."""
     source = table(spark, sf, "documents").selectExpr("text", "source AS queue", "lang AS language")
-    return curation.normalize_tickets(source, "documents").select("external_id", "customer_message")
+    return curation.normalize_tickets(source, "documents", id_prefix="row-").select("external_id", "customer_message")
 
 
 _CANONICAL_SQL = f"""
@@ -279,8 +279,8 @@ def canonicalize_without_ids(spark, sf):
     return columns.canonicalize_tickets(source).select("ticket_id", "customer_message", "category", "priority")
 
 
-_THREADS = """SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS subject, max(CASE WHEN turn = 1 THEN text END) AS body
-  FROM conversations GROUP BY conv_id"""
+_THREADS = """SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS subject,
+  string_agg(text, chr(10) ORDER BY turn, text) FILTER (turn > 0) AS body FROM conversations GROUP BY conv_id"""
 
 
 @query(
@@ -289,9 +289,12 @@ _THREADS = """SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS subject,
         FROM ({_THREADS})"""
 )
 def subject_body_text(spark, sf):
-    """First turn as subject, second as body; some threads lack one of them."""
-    turn = lambda i: F.max(F.when(F.col("turn") == i, F.col("text")))
-    threads = table(spark, sf, "conversations").groupBy("conv_id").agg(turn(0).alias("subject"), turn(1).alias("body"))
+    """First turn as subject, all later turns in order as body; some threads lack one of them."""
+    later = F.sort_array(F.collect_list(F.when((F.col("turn") > 0) & F.col("text").isNotNull(), F.struct("turn", "text"))))
+    threads = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("subject"),
+        F.array_join(F.transform(later, lambda x: x["text"]), "\n").alias("body"),
+    )
     return threads.select("conv_id", tx.subject_body_text(F.col("subject"), F.col("body"), F.lit("none")).alias("input_text"))
 
 

@@ -128,15 +128,29 @@ def preview(c: Column, length: int = 90) -> Column:
 
 
 def humanize(c: Column, names: dict[str, str]) -> Column:
-    """Display name of a label; labels without one are title-cased, blank -> `Unknown`."""
-    titled = F.initcap(F.translate(c, "_", " "))
+    """Display name of a label; labels without one are title-cased, blank -> `Unknown`.
+
+    A letter is a capital at the start and after whatever is no cased letter (`Pre-Sales`,
+    `3Rd`, `Don'T`), small elsewhere.
+    """
+    words = F.regexp_extract_all(F.translate(c, "_", " "), F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
     named = F.lit(None).cast("string")
     if names:
         named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[c]
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("Unknown")).otherwise(F.coalesce(named, titled))
 
 
-def display_time(c: Column) -> Column:
-    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm 'UTC'"), F.lit("N/A"))
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def display_time(c: Column, text: bool = False) -> Column:
+    """Minutes in UTC, `N/A` for none. A time that comes as `text` shows the clock time it
+    names when it is ISO, and as it is otherwise."""
+    shape = "yyyy-MM-dd HH:mm 'UTC'"
+    if not text:
+        return F.coalesce(F.date_format(c, shape), F.lit("N/A"))
+    iso = F.when(c.rlike(_ISO), F.try_to_timestamp(F.regexp_replace(c, r"(Z|[+-]\d{2}:\d{2})$", "")))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("N/A")).otherwise(F.coalesce(F.date_format(iso, shape), c))
 
 

@@ -195,10 +195,16 @@ def running_accuracy(df: DataFrame, order: str, every: int = 25, true: str = TRU
     )
 
 
-def throughput(scored: DataFrame, seconds: float) -> DataFrame:
-    """One row: rows scored, rows per second and accuracy of a finished run."""
+def throughput(scored: DataFrame, completed: str = "completed_at") -> DataFrame:
+    """One row: rows scored, rows per second and accuracy of a finished run.
+
+    The seconds lie between the first and the last completion time; a run without any has
+    no rate.
+    """
+    at = F.unix_micros(F.col(completed).cast("timestamp"))
+    seconds = (F.max(at) - F.min(at)) / 1e6
     return scored.agg(
         F.count(F.lit(1)).alias("rows"),
-        (F.count(F.lit(1)) / F.lit(float(seconds))).alias("rows_per_second"),
+        F.try_divide(F.count(F.lit(1)).cast("double"), seconds).alias("rows_per_second"),
         F.avg(correct_flag(F.col(TRUE), F.col(PREDICTED))).alias("accuracy"),
     )

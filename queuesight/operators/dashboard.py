@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.labels import ranked_probabilities
 from ..functions.numeric import ratio
-from .ranks import order_statistics, value_counts_of
+from ..session import settle
 
 
 def zero_fill(counts: DataFrame, labels: Sequence[str], key: str = "label", n: str = "n") -> DataFrame:
@@ -151,29 +152,41 @@ def probability_breakdown(log: DataFrame, id_column: str = "id") -> DataFrame:
     )
 
 
-# A page that starts further in is found by its first id instead of sorting up to it.
-DEEP_PAGE = 100_000
-
-
 def ticket_page(tickets: DataFrame, skip: int = 0, limit: int = 100, order: str = "id") -> DataFrame:
-    """A page of tickets by id.
+    """A page of tickets by id, of any type, nulls first; rows with one id by a hash of the row.
 
-    The first pages are a top-n. For a deep page that would bring `skip` rows to one task,
-    so the id at its start is looked up as an order statistic and the page is a top-n above
-    it. Ids are unique whole numbers.
+    A top-n down to a deep page would bring `skip` rows to one task. Ids are counted and put
+    into ranges instead; the range where the page starts is found from the ranges' sizes, the
+    starting id and the place among its rows inside that range, and the page is a top-n from
+    there on.
     """
-    if skip <= DEEP_PAGE:
-        return tickets.orderBy(order).offset(skip).limit(limit)
-    start = order_statistics(value_counts_of(tickets, order), {"first": lambda total: F.lit(skip)}).first()
-    if start is None or start["first"] is None:
+    tie = F.xxhash64(*[F.col(c) for c in tickets.columns])
+    counts = tickets.groupBy(F.col(order).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(tickets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(counts.repartitionByRange(parts, F.asc_nulls_first("key")).withColumn("part", F.spark_partition_id()))
+    before = 0
+    for row in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        if skip < before + row["n"]:
+            break
+        before += row["n"]
+    else:
         return tickets.where(F.lit(False))
-    return tickets.where(F.col(order) >= F.lit(int(start["first"]))).orderBy(order).limit(limit)
+    running = Window.partitionBy("part").orderBy(F.asc_nulls_first("key")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.where(F.col("part") == row["part"]).withColumn("upto", F.sum("n").over(running) + before)
+    start = inside.where(F.col("upto") > skip).orderBy("upto").first()
+    key = F.lit(start["key"])
+    rest = tickets if start["key"] is None else tickets.where(F.col(order) >= key)
+    return rest.orderBy(F.asc_nulls_first(order), tie).offset(skip - (start["upto"] - start["n"])).limit(limit)
+
+
+def _time(df: DataFrame, name: str) -> Column:
+    return tx.display_time(F.col(name), isinstance(df.schema[name].dataType, T.StringType))
 
 
 def display_predictions(log: DataFrame) -> DataFrame:
     """Predictions as the dashboard table shows them."""
     return log.select(
-        tx.display_time(F.col("created_at")).alias("timestamp"),
+        _time(log, "created_at").alias("timestamp"),
         tx.humanize(F.col("predicted_queue"), K.QUEUE_DISPLAY).alias("queue"),
         "confidence",
         tx.humanize(F.col("decision"), {}).alias("decision"),
@@ -194,6 +207,6 @@ def display_tickets(tickets: DataFrame) -> DataFrame:
         tx.humanize(F.col("true_priority"), K.QUEUE_DISPLAY).alias("priority"),
         F.coalesce(F.nullif(origin, blank), F.lit("Unknown")).alias("source_channel"),
         tx.preview(F.col("customer_message"), 110).alias("message"),
-        tx.display_time(F.col("created_at")).alias("created"),
-        tx.display_time(F.col("updated_at")).alias("updated"),
+        _time(tickets, "created_at").alias("created"),
+        _time(tickets, "updated_at").alias("updated"),
     )

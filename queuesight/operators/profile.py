@@ -118,11 +118,14 @@ def describe_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(listed).alias("p")).select("p.field", "p.value")
     counts = value_counts_of(long, "value", ["field"])
     quartiles = percentiles_of(counts, {"p25": 0.25, "p50": 0.50, "p75": 0.75}, ["field"]).drop("n")
-    n, total, squares = F.sum("n"), F.sum(F.col("n") * F.col("value")), F.sum(F.col("n") * F.col("value") * F.col("value"))
-    moments = counts.groupBy("field").agg(
+    means = counts.groupBy("field").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    # One row per field; deviations from the mean do not cancel as sums of squares do.
+    about = counts.join(F.broadcast(means), "field")
+    n, squares = F.sum("n"), F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2))
+    moments = about.groupBy("field").agg(
         n.alias("n"),
-        (total / n).alias("mean"),
-        F.when(n > 1, F.sqrt(F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1))).alias("std"),
+        F.first("mean").alias("mean"),
+        F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )

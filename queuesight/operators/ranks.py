@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_checked, settle
+from .ordinals import with_ordinal
 
 # Ranges per doubling of |value|: bounds the range table to some million rows even for
 # values spread over many magnitudes, at about 1e-5 relative width.
@@ -136,6 +137,12 @@ def with_order_hash(df: DataFrame, id_column: str, seed: int, name: str = "_hash
     return df.withColumn(name, order_hash(key, seed))
 
 
+def with_position_hash(df: DataFrame, seed: int, name: str = "_hash") -> DataFrame:
+    """Add a position of its own for every row, from its place in source order."""
+    placed = with_ordinal(df, "_place")
+    return placed.withColumn(name, order_hash(F.col("_place"), seed)).drop("_place")
+
+
 def hash_histogram(df: DataFrame, hash_column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per group and hash prefix, computed once."""
     counted = df.groupBy(*by, F.substring(hash_column, 1, _PREFIX).alias("prefix")).agg(
@@ -150,6 +157,8 @@ def hash_thresholds(
     """For each group and cut, the hash of the `quota`-th row in hash order.
 
     `quotas` holds the `by` columns, `cut` (a name) and `quota`; a quota of 0 gives no row.
+    `exact` tells whether the rows up to that hash are `quota` in number: rows that share
+    the hash may reach beyond.
     """
     by = list(by)
     # Bounded input: at most one row per prefix and group.
@@ -177,7 +186,7 @@ def hash_thresholds(
     return (
         near.withColumn("upto", F.sum("n").over(inside))
         .where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
-        .select(*by, "cut", F.col("hash").alias("threshold"))
+        .select(*by, "cut", F.col("hash").alias("threshold"), (F.col("upto") == F.col("place")).alias("exact"))
     )
 
 

@@ -1,12 +1,15 @@
 """Deterministic splits and samples of exact size.
 
 Rows are ordered inside each class by md5(seed:id) and cut at exact places (see `ranks`).
-The same id always lands on the same side, for any number of partitions.
+The same id always lands on the same side, for any number of partitions, as long as no cut
+falls among rows that share an id. Where one does, sizes come first: the rows are ordered by
+their place in source order instead.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import broadcast_checked, settle
 from .columns import canonicalize_tickets
-from .ranks import hash_histogram, hash_thresholds, largest_remainder, with_order_hash
+from .ranks import hash_histogram, hash_thresholds, largest_remainder, with_order_hash, with_position_hash
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -34,13 +37,29 @@ def _quotas(shares: DataFrame, label: str, cut: str) -> DataFrame:
     return shares.select(label, F.lit(cut).alias("cut"), F.col("quota").cast("long").alias("quota"))
 
 
+class _TiedCut(Exception):
+    """A cut falls among rows that share a hash."""
+
+
+def _exactly(cut: Callable, df: DataFrame, seed: int, id_column: str):
+    try:
+        return cut(with_order_hash(df, id_column, seed))
+    except _TiedCut:
+        return cut(with_position_hash(df, seed))
+
+
 def _class_cuts(df: DataFrame, histogram: DataFrame, quotas: DataFrame, label: str, classes: int) -> DataFrame:
     """Per class the hash thresholds of the cuts `rest` and `test`."""
     found = hash_thresholds(df, "_hash", histogram, quotas, [label])
-    wide = found.groupBy(label).agg(
-        *[F.max(F.when(F.col("cut") == cut, F.col("threshold"))).alias(f"_{cut}") for cut in ("rest", "test")]
+    wide = settle(
+        found.groupBy(label).agg(
+            *[F.max(F.when(F.col("cut") == cut, F.col("threshold"))).alias(f"_{cut}") for cut in ("rest", "test")],
+            F.min("exact").alias("_exact"),
+        )
     )
-    return broadcast_checked(settle(wide), classes)
+    if not wide.where(~F.col("_exact")).isEmpty():
+        raise _TiedCut
+    return broadcast_checked(wide.drop("_exact"), classes)
 
 
 def _plain_cuts(df: DataFrame, histogram: DataFrame, sizes: dict[str, int]) -> dict[str, str]:
@@ -49,7 +68,10 @@ def _plain_cuts(df: DataFrame, histogram: DataFrame, sizes: dict[str, int]) -> d
     if not rows:
         return {}
     quotas = df.sparkSession.createDataFrame(rows, "cut string, quota long")
-    return {r["cut"]: r["threshold"] for r in hash_thresholds(df, "_hash", histogram, quotas).collect()}
+    found = hash_thresholds(df, "_hash", histogram, quotas).collect()
+    if not all(r["exact"] for r in found):
+        raise _TiedCut
+    return {r["cut"]: r["threshold"] for r in found}
 
 
 def _below(threshold: Column) -> Column:
@@ -72,7 +94,10 @@ def fixed_splits(
     """
     if round(train_size + val_size + test_size, 6) != 1.0:
         raise ValueError("train_size, val_size and test_size must add up to 1")
-    hashed = with_order_hash(df, id_column, seed)
+    return _exactly(lambda hashed: _fixed(hashed, df.columns, val_size, test_size, label), df, seed, id_column)
+
+
+def _fixed(hashed: DataFrame, outputs: list[str], val_size: float, test_size: float, label: str) -> tuple[DataFrame, str]:
     histogram = hash_histogram(hashed, "_hash", [label])
     counts = histogram.groupBy(label).agg(F.sum("n").alias("n"))
     size = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
@@ -83,7 +108,6 @@ def fixed_splits(
     rest_rows = math.ceil(rest_share * size["n"])
     test_share = test_size / rest_share
     test_rows = math.ceil(test_share * rest_rows)
-    outputs = df.columns
 
     if not stratifiable(size["least"], rest_share):
         overall = settle(histogram.groupBy("prefix").agg(F.sum("n").alias("n")))
@@ -119,7 +143,10 @@ def create_fixed_splits(df: DataFrame, **options) -> tuple[DataFrame, str]:
 
 def one_cut(df: DataFrame, test_size: float = 0.25, seed: int = K.SEED, id_column: str = "ticket_id", label: str = "category") -> DataFrame:
     """Train and test parts with class proportions kept; the test part has ceil(share * n) rows."""
-    hashed = with_order_hash(df, id_column, seed)
+    return _exactly(lambda hashed: _one_cut(hashed, df.columns, test_size, label), df, seed, id_column)
+
+
+def _one_cut(hashed: DataFrame, outputs: list[str], test_size: float, label: str) -> DataFrame:
     histogram = hash_histogram(hashed, "_hash", [label])
     counts = histogram.groupBy(label).agg(F.sum("n").alias("n"))
     size = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
@@ -129,17 +156,20 @@ def one_cut(df: DataFrame, test_size: float = 0.25, seed: int = K.SEED, id_colum
     quotas = _quotas(largest_remainder(counts, label, F.lit(test_rows), F.lit(size["n"])), label, "test")
     cuts = _class_cuts(hashed, histogram, quotas, label, size["k"])
     split = F.when(_below(F.col("_test")), "test").otherwise("train")
-    return hashed.join(cuts, label, "left").select(*df.columns, split.alias("split"))
+    return hashed.join(cuts, label, "left").select(*outputs, split.alias("split"))
 
 
 def random_sample(df: DataFrame, n: int, seed: int = K.SEED, id_column: str = "ticket_id") -> DataFrame:
     """n rows in the order of md5(seed:id)."""
-    hashed = with_order_hash(df, id_column, seed)
-    histogram = hash_histogram(hashed, "_hash")
-    if (histogram.agg(F.sum("n")).first()[0] or 0) <= n:
-        return df
-    cuts = _plain_cuts(hashed, histogram, {"sample": n})
-    return hashed.where(_below(F.lit(cuts.get("sample")))).select(*df.columns)
+
+    def cut(hashed: DataFrame) -> DataFrame:
+        histogram = hash_histogram(hashed, "_hash")
+        if (histogram.agg(F.sum("n")).first()[0] or 0) <= n:
+            return df
+        cuts = _plain_cuts(hashed, histogram, {"sample": n})
+        return hashed.where(_below(F.lit(cuts.get("sample")))).select(*df.columns)
+
+    return _exactly(cut, df, seed, id_column)
 
 
 def stratified_sample(
@@ -153,7 +183,10 @@ def stratified_sample(
     """
     if not n or n <= 0:
         return df
-    hashed = with_order_hash(df, id_column, seed)
+    return _exactly(lambda hashed: _stratified(hashed, df, n, label), df, seed, id_column)
+
+
+def _stratified(hashed: DataFrame, df: DataFrame, n: int, label: str) -> DataFrame:
     histogram = hash_histogram(hashed, "_hash", [label])
     counts = histogram.groupBy(label).agg(F.sum("n").alias("n"))
     size = counts.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
@@ -227,7 +260,7 @@ def unknown_labels(train: DataFrame, other: DataFrame, label: str) -> DataFrame:
 
 def encode_labels(train: DataFrame, other: DataFrame, label: str = "label_text", name: str = "split") -> DataFrame:
     """Add `label_id` of the training vocabulary; an unknown label is an error that names it."""
-    unknown = [r[0] for r in unknown_labels(train, other, label).orderBy(label).limit(20).collect()]
+    unknown = [r[0] for r in unknown_labels(train, other, label).orderBy(label).collect()]
     if unknown:
         raise ValueError(f"{name} has labels that are not in the training part: {unknown}")
     ids = settle(label_vocabulary(train, label).select(F.col("label").alias("_known"), "label_id"))

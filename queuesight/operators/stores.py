@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import broadcast_checked, settle
 from .columns import quoted
-from .ordinals import first_per_key, with_ordinal
+from .ordinals import first_by_position, with_ordinal
 
 
 def new_tickets(
@@ -28,8 +28,8 @@ def new_tickets(
     added. Missing columns are null and a blank status is `new`. The batch position is kept
     as `load_order`; `order` names a dense 0-based position if the batch brings one.
 
-    Keyed rows are reduced to the first of each id before they meet the stored ids, so a
-    repeated id costs one row per map task in both steps.
+    Later rows of an id are found from ids and positions alone and taken out before the rest
+    meets the stored ids.
     """
     positioned = incoming.withColumn("load_order", F.col(order).cast("long")) if order else with_ordinal(incoming, "load_order")
     if limit is not None:
@@ -39,7 +39,7 @@ def new_tickets(
         *[(quoted(c) if c in present else F.lit(None)).cast("string").alias(c) for c in columns], "load_order"
     ).withColumn("status", F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("new")))
     keyed = F.coalesce(F.col("external_id"), F.lit("")) != ""
-    first = first_per_key(shaped.where(keyed), "external_id", "load_order")
+    first = first_by_position(shaped.where(keyed), "external_id", "load_order")
     if stored is not None and not clear_existing:
         known = stored.where(F.col("external_id").isNotNull()).select("external_id").distinct()
         first = first.join(known, "external_id", "left_anti")

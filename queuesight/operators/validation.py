@@ -23,7 +23,7 @@ def require_language(df: DataFrame, language: str = "en") -> None:
     """Raise when a row in another language is left; the languages are named."""
     if find_column(df.columns, K.LANGUAGE_COLUMNS) is None:
         return
-    rows = other_languages(df, language).orderBy("language").limit(20).collect()
+    rows = other_languages(df, language).orderBy("language").collect()
     if rows:
         raise ValueError(f"rows in other languages remain: {[r['language'] for r in rows]}")
 

@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import text as tx
 from ..operators.columns import distinct_names, find_column, quoted
 from ..operators.curate import constant_columns, language_filter, require_rows
-from ..operators.ordinals import dedupe_first, surrogate_id, with_ordinal, with_source_order
+from ..operators.ordinals import dedupe_first, surrogate_id, with_ordinal
 from ..operators.validation import require_labels, require_language
 
 
@@ -41,7 +41,7 @@ def source_tickets(
         raise ValueError("no usable text columns; a message, or a subject and body, is needed")
 
     if role["id"]:
-        placed = english.withColumn("_order", F.col(order)) if order else with_source_order(english, "_order")
+        placed = english.withColumn("_order", F.col(order)) if order else with_ordinal(english, "_order", start=1)
         external_id = tx.clean_text(quoted(role["id"]))
     else:
         placed = with_ordinal(english, "_order", start=1)
@@ -130,8 +130,8 @@ def curate_tickets(
     some English rows, and no other language left. `order` names a unique column that gives
     the source order; without it the order of the files is used.
 
-    The deduplication shuffles the cleaned source columns only; message, model text and the
-    alias columns, which repeat the texts, are made after it.
+    The deduplication groups digests and positions; message, model text and the alias
+    columns, which repeat the texts, are made after it.
     """
     base = source_tickets(df, source, id_prefix, order)
     if validate:

@@ -110,6 +110,6 @@ def spread(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_checked(df: DataFrame, rows: int) -> DataFrame:
+def broadcast_checked(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """Mark `df` for broadcast when its known row count is small, else leave it to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df

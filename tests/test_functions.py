@@ -91,6 +91,11 @@ def test_model_text_is_never_empty(spark):
 
 def test_display(spark):
     assert apply(spark, ["a\nb ", "x" * 91, None], tx.preview) == ["a b", "x" * 89 + "...", ""]
+    odd = ["Sales and Pre-Sales", "3rd", "don't", "ÉCOLE d'été", "a1b_c", "x"]
+    assert apply(spark, odd, lambda c: tx.humanize(c, {})) == [x.replace("_", " ").title() for x in odd]
+    times = ["2024-05-01T10:20:30Z", "2024-05-01 10:20", "2024-05-01", "2024-05-01T10:20:30.5+02:00", "soon", "2024-13-01", "", None]
+    shown = ["2024-05-01 10:20 UTC", "2024-05-01 10:20 UTC", "2024-05-01 00:00 UTC", "2024-05-01 10:20 UTC", "soon", "2024-13-01", "N/A", "N/A"]
+    assert apply(spark, times, lambda c: tx.display_time(c, text=True)) == shown
     got = apply(spark, ["human_resources", "it_support", "", None], lambda c: tx.humanize(c, K.QUEUE_DISPLAY))
     assert got == ["Human Resources", "It Support", "Unknown", "Unknown"]
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuesight import session
-from queuesight.operators import compare, coverage, metrics, ranks, rules, splits, stores
+from queuesight.operators import compare, coverage, metrics, ordinals, ranks, rules, splits, stores
 from queuesight.plans import curation
 
 
@@ -77,12 +77,11 @@ def test_rules_stay_in_the_jvm(predictions, capsys):
     assert "Python" not in text and "Exchange" not in text and "ReadSchema: struct<true_label:string,confidence:double,body:string>" in text
 
 
-def test_curation_is_one_shuffle_without_the_derived_texts(predictions, capsys):
+def test_deduplication_shuffles_no_rows(predictions, capsys):
     source = predictions.selectExpr("body", "true_label AS queue", "ticket_id AS id")
-    text = plan(curation.curate_tickets(source), capsys)
-    assert text.count("Exchange hashpartitioning") == 1
-    below = text[text.index("Exchange hashpartitioning"):]
-    assert "Type: " not in below
+    for df in (curation.curate_tickets(source), ordinals.dedupe_first(source, "id")):
+        text = plan(df, capsys)
+        assert "Exchange hashpartitioning" not in text and "SortAggregate" not in text and "Sort [" not in text
 
 
 def test_loads_shuffle_each_side_once(predictions, spark, capsys):
@@ -92,7 +91,7 @@ def test_loads_shuffle_each_side_once(predictions, spark, capsys):
         text = plan(stores.new_tickets(batch, batch.select("external_id"), order="k"), capsys)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("Exchange hashpartitioning") == 2
+    assert "SortAggregate" not in text
 
 
 def test_already_scored_ids_are_made_unique_before_the_join(predictions, capsys):
@@ -100,6 +99,23 @@ def test_already_scored_ids_are_made_unique_before_the_join(predictions, capsys)
     assert "LeftAnti" in text and "keys=[_done" in text
 
 
+def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session)
+
+
 def test_folder_of_its_own_only_when_none_is_named(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert session.shared_dir(spark) == (named or session.shared_dir(spark)).rstrip("/")

@@ -84,6 +84,18 @@ def test_dedupe_by_column_with_nulls(spark):
     assert sorted((r["text"] is None, r["k"]) for r in ordinals.dedupe_first(df, "text", "k").collect()) == [(False, 1), (False, 9), (True, 4)]
 
 
+def test_order_of_a_sorted_frame_is_its_own(spark, tmp_path):
+    for part in range(3):
+        spark.range(part * 100, part * 100 + 100, 1, 1).write.parquet(f"{tmp_path}/p{part}")
+    df = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path))
+    down = df.where("id % 2 = 1").orderBy(F.desc("id"))
+    assert [r[0] for r in ordinals.head_limit(down, 3).collect()] == [299, 297, 295]
+    assert [r["o"] for r in ordinals.with_ordinal(down, "o").orderBy(F.desc("id")).collect()] == list(range(150))
+    assert sorted(r[0] for r in ordinals.head_limit(df, 130).collect()) == list(range(130))
+    assert ordinals.head_limit(df.where("id < 0"), 3).count() == 0
+    assert ordinals.dedupe_first(df.withColumn("t", (F.col("id") % 7).cast("string")), "t").agg(F.sum("id")).first()[0] == 21
+
+
 def test_head_limit(spark):
     df = spark.range(0, 50, 1, 5)
     assert [r[0] for r in ordinals.head_limit(df, 7).orderBy("id").collect()] == list(range(7))
@@ -99,6 +111,11 @@ def test_describe_lengths(spark):
     assert [row["p25"], row["p50"], row["p75"]] == pytest.approx(list(np.percentile(values, [25, 50, 75])))
 
 
+def test_deviation_of_large_numbers(spark):
+    df = spark.createDataFrame([(1e9,), (1e9 + 1,), (1e9 + 2,)], "n double")
+    assert profile.describe_lengths(df, ["n"]).first()["std"] == pytest.approx(1.0)
+
+
 def test_token_length_stats(spark):
     texts = ["a b c", "", None, "one\n\ntwo", "x " * 50]
     row = profile.token_length_stats(spark.createDataFrame([(t,) for t in texts], "t string"), "t").first()
@@ -127,12 +144,16 @@ def test_text_files_keep_their_order(spark, tmp_path):
     assert {r["k"] for r in kept} == {f"a0{i:02d}" for i in range(100)}
 
 
-def test_repeated_ids_stay_together(spark):
-    rows = [("same",)] * 400 + [(f"t{i}",) for i in range(600)]
-    sample = splits.random_sample(frame(spark, rows, "ticket_id string"), 300)
-    got = [r[0] for r in sample.collect()]
-    assert got.count("same") in (0, 400)
-    assert len(got) == 300 or got.count("same") == 400
+def test_sizes_are_exact_over_repeated_and_missing_ids(spark):
+    for ids in (["same"] * 400 + [f"t{i}" for i in range(600)], [None] * 1000, [f"t{i % 20}" for i in range(1000)]):
+        df = frame(spark, [(t, "ab"[i % 2], i) for i, t in enumerate(ids)], "ticket_id string, category string, k int")
+        for n in (1, 100, 999):
+            assert splits.random_sample(df, n).count() == n
+        assert splits.stratified_sample(df, 100, label="category").groupBy("category").count().collect().__len__() == 2
+        parted, _ = splits.fixed_splits(df)
+        assert {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()} == {"train": 700, "val": 150, "test": 150}
+        assert parted.select("k").distinct().count() == 1000
+        assert splits.one_cut(df, 0.25).where("split = 'test'").count() == 250
 
 
 def test_blank_ids_fall_back_on_the_message(spark):

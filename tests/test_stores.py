@@ -63,13 +63,20 @@ def test_recent(log):
             dashboard.recent_predictions(log, bad)
 
 
-def test_pages(spark, monkeypatch):
+def test_pages(spark):
     df = spark.range(0, 500, 1, 8).withColumn("v", F.col("id") * 2)
     expected = list(range(120, 150))
     assert [r["id"] for r in dashboard.ticket_page(df, 120, 30).collect()] == expected
-    monkeypatch.setattr(dashboard, "DEEP_PAGE", 50)
-    assert [r["id"] for r in dashboard.ticket_page(df, 120, 30).collect()] == expected
     assert dashboard.ticket_page(df, 500, 30).count() == 0
+    ties = [None, None, 1, 1, 2, 2**53, 2**53 + 1, 2**53 + 2] + list(range(10, 60))
+    want = sorted(ties, key=lambda x: (x is not None, x or 0))
+    for kind in ("long", "string"):
+        rows = [(None if x is None else x if kind == "long" else f"{x:020d}", n) for n, x in enumerate(ties)]
+        df = spark.createDataFrame(rows, f"id {kind}, n int").repartition(5)
+        pages = [[tuple(r) for r in dashboard.ticket_page(df, skip, 7).collect()] for skip in range(0, 63, 7)]
+        got = [r for page in pages for r in page]
+        assert [None if r[0] is None else int(r[0]) for r in got] == want
+        assert sorted(r[1] for r in got) == list(range(len(ties)))
 
 
 def test_display(log):
