@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import labels as lb
 from ..functions import numeric as num
 from ..functions import text as tx
@@ -145,12 +148,58 @@ def audit_files(spark, sf):
     )
 
 
-@query("SELECT 'real' AS dataset, COUNT(*) > 0 AS found FROM documents")
+@query("SELECT 'real' AS dataset, COUNT(*) AS rows, COUNT(DISTINCT source) AS queues FROM documents")
 def resolve_input(spark, sf):
-    """With no path given: a file of the largest usable dataset that is no generated output."""
+    """With no path given: a file of the largest usable dataset that is no generated output; its dataset is read."""
     path = readers.resolve_input(spark, root=_dataset_folder(spark, sf))
-    rows = readers.read_tickets(spark, path)
-    return rows.agg((F.count(F.lit(1)) > 0).alias("found")).select(F.lit(path.split("/")[-2]).alias("dataset"), "found")
+    folder = path.rsplit("/", 1)[0]
+    rows = readers.read_tickets(spark, folder, format="csv")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("queue").alias("queues")).select(
+        F.lit(folder.rsplit("/", 1)[-1]).alias("dataset"), "rows", "queues"
+    )
+
+
+_TABLES = ["documents", "labels", "events", "customer"]
+
+
+@query(
+    f"""SELECT t AS source, COALESCE(string_agg(name, ',' ORDER BY name), '') AS missing, (SELECT COUNT(*) FROM documents) AS documents
+        FROM (VALUES {', '.join(f"('{t}')" for t in _TABLES)}) s(t) CROSS JOIN (VALUES ('doc_id'), ('text'), ('quality')) n(name)
+        WHERE name NOT IN (SELECT column_name FROM information_schema.columns WHERE table_name = t) GROUP BY t"""
+)
+def required_columns(spark, sf):
+    """What each table lacks of the columns a job needs, as the check says it."""
+    rows = None
+    for name in _TABLES:
+        try:
+            columns.require_columns(table(spark, sf, name), ["doc_id", "text", "quality"])
+            missing = ""
+        except ValueError as problem:
+            missing = ",".join(ast.literal_eval(str(problem).split(": ", 1)[1]))
+        row = table(spark, sf, "documents").agg(F.lit(name).alias("source"), F.lit(missing).alias("missing"), F.count(F.lit(1)).alias("documents"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(
+    f"""SELECT t AS source, bool_or(column_name IN ({', '.join(f"'{c}'" for c in [*K.SOURCE_CATEGORY_COLUMNS, *K.SOURCE_PRIORITY_COLUMNS])})) AS labelled,
+        (SELECT COUNT(*) FROM documents) AS documents FROM (
+          SELECT table_name AS t, column_name FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in _TABLES)})
+          UNION ALL SELECT 'labels with a category', 'category') GROUP BY t"""
+)
+def label_availability(spark, sf):
+    """Whether a category or priority can be made from each table, as the check says it."""
+    rows = None
+    for name in [*_TABLES, "labels with a category"]:
+        named = table(spark, sf, name.split()[0]).columns + (["category"] if " " in name else [])
+        try:
+            validation.require_labels(named)
+            labelled = True
+        except ValueError:
+            labelled = False
+        row = table(spark, sf, "documents").agg(F.lit(name).alias("source"), F.lit(labelled).alias("labelled"), F.count(F.lit(1)).alias("documents"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
 
 
 @query(
@@ -612,3 +661,35 @@ def softmax(spark, sf):
 def binary_confidence(spark, sf):
     prediction, confidence = num.binary_confidence(F.col("confidence"))
     return PRED_A.frame(spark, sf).select("ticket_id", prediction.alias("prediction"), confidence.alias("confidence"))
+
+
+@query(
+    """WITH n AS (SELECT COUNT(*) AS n FROM events), r AS (SELECT n, CAST(ceil(0.3e0 * n) AS BIGINT) AS rest FROM n),
+          s AS (SELECT n, rest, CAST(ceil(0.5e0 * rest) AS BIGINT) AS test FROM r)
+        SELECT unnest(['train', 'val', 'test']) AS split, unnest([n - rest, rest - test, test]) AS rows FROM s"""
+)
+def fixed_splits_repeated_ids(spark, sf):
+    """Sizes are exact where most rows share an id or have none."""
+    rows = table(spark, sf, "events").selectExpr(
+        "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 5 AS STRING) END AS ticket_id", "event_type AS category", "event_id"
+    )
+    return splits.fixed_splits(rows)[0].groupBy("split").agg(F.count_distinct("event_id").alias("rows"))
+
+
+@query("SELECT 100::BIGINT AS random_rows, 150::BIGINT AS stratified_rows, COUNT(DISTINCT event_type) AS classes FROM events")
+def samples_repeated_ids(spark, sf):
+    """Samples have the rows asked for where all rows share one id or have none."""
+    rows = table(spark, sf, "events").selectExpr("CAST(NULL AS STRING) AS ticket_id", "event_type AS label_text", "event_id")
+    drawn = splits.random_sample(rows, 100).agg(F.count_distinct("event_id").alias("n")).scalar()
+    same = rows.withColumn("ticket_id", F.lit("same"))
+    kept = splits.stratified_sample(same, 150)
+    return kept.agg(F.count_distinct("event_id").alias("stratified_rows"), F.count_distinct("label_text").alias("classes")).select(
+        drawn.alias("random_rows"), "stratified_rows", "classes"
+    )
+
+
+@query("SELECT doc_id FROM documents ORDER BY length(text) DESC, doc_id LIMIT 40")
+def head_limit_sorted(spark, sf):
+    """The first rows of a sorted frame follow its sort, not the files."""
+    ordered = table(spark, sf, "documents").orderBy(F.desc(F.length("text")), "doc_id")
+    return ordinals.head_limit(ordered, 40).select("doc_id")

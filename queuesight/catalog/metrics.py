@@ -374,9 +374,27 @@ def running_accuracy(spark, sf):
     return compare.running_accuracy(PRED_A.frame(spark, sf), "ticket_id")
 
 
-@query()
+_OK = f"SELECT AVG(CASE WHEN true_label = predicted_label THEN 1e0 ELSE 0e0 END) AS p, COUNT(*) AS n FROM ({PRED_A.sql})"
+# Half the width of the normal approximation; bootstrap ends may differ by a fifth of it.
+_HALF = "1.959964e0 * sqrt(p * (1 - p) / n)"
+
+
+def _near(ends, low="low", high="high"):
+    """Whether both ends lie near those of the normal approximation, whose centre and half width are `p` and `half`."""
+    off = F.greatest(F.abs(F.col(low) - (F.col("p") - F.col("half"))), F.abs(F.col(high) - (F.col("p") + F.col("half"))))
+    return ends.withColumn("near_normal", off <= 0.2 * F.col("half"))
+
+
+@query(f"SELECT 'accuracy' AS metric, round(p, 8) AS accuracy, round({_HALF}, 8) AS half_width, TRUE AS near_normal, TRUE AS ordered FROM ({_OK})")
 def bootstrap_ci(spark, sf):
-    return bootstrap.bootstrap_ci(PRED_A.frame(spark, sf))
+    """The interval of the accuracy against its normal approximation; low and high ends in order for all metrics."""
+    frame = PRED_A.frame(spark, sf)
+    ends = bootstrap.bootstrap_ci(frame)
+    ordered = ends.agg(F.bool_and(F.col("low") < F.col("high")).alias("ordered"))
+    known = frame.agg(F.avg(F.when(F.col("true_label") == F.col("predicted_label"), 1.0).otherwise(0.0)).alias("p"), F.count(F.lit(1)).alias("n"))
+    one = known.agg(F.first(F.struct("p", F.expr(_HALF.replace("e0", "D")).alias("half")))).scalar()
+    near = _near(ends.where("metric = 'accuracy'").withColumns({"p": one["p"], "half": one["half"], "ordered": ordered.scalar()}))
+    return near.select("metric", F.round("p", 8).alias("accuracy"), F.round("half", 8).alias("half_width"), "near_normal", "ordered")
 
 
 _MAJOR = "SELECT true_label, COUNT(*) AS k FROM p GROUP BY ALL ORDER BY k DESC, true_label LIMIT 1"
@@ -392,10 +410,25 @@ def headline(spark, sf):
     return rounded(evaluation.headline(PRED_A.frame(spark, sf)), "macro_f1", "weighted_f1", "ece")
 
 
-@query()
+@query(
+    f"""{_A}, m AS (SELECT (SELECT true_label FROM ({_MAJOR})) AS majority_label, (SELECT CAST(k AS DOUBLE) FROM ({_MAJOR})) / (SELECT COUNT(*) FROM p) AS share)
+        SELECT 'system_a' AS name, s.*, m.majority_label, round(s.accuracy - m.share, 8) AS lift_over_majority, TRUE AS near_normal,
+               s.accuracy - (SELECT {_HALF} FROM ({_OK})) > m.share AS beats_majority_at_95ci,
+               (SELECT quantile_cont(CAST(latency_ms AS DOUBLE), 0.5) FROM p) AS latency_p50_ms,
+               (SELECT round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.95), 8) FROM p) AS latency_p95_ms
+        FROM ({summary_sql(_CELLS)}) s, m"""
+)
 def final_evaluation(spark, sf):
-    """Metrics row of the locked evaluation; the intervals rest on random draws."""
-    return evaluation.final_evaluation(PRED_A.frame(spark, sf), "system_a")["metrics"]
+    """Metrics row of the locked evaluation; its random interval is compared with the normal approximation."""
+    row = evaluation.final_evaluation(PRED_A.frame(spark, sf), "system_a")["metrics"]
+    summary = [c for c in row.columns if c in ("n", "n_correct", "accuracy", "macro_f1", "weighted_f1")]
+    half = F.lit(1.959964) * F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n"))
+    near = _near(row.withColumn("p", F.col("accuracy")).withColumn("half", half), "accuracy_ci95_low", "accuracy_ci95_high")
+    shown = near.select(
+        "name", *summary, "majority_label", F.round("lift_over_majority", 8).alias("lift_over_majority"), "near_normal",
+        "beats_majority_at_95ci", "latency_p50_ms", F.round("latency_p95_ms", 8).alias("latency_p95_ms"),
+    )
+    return rounded(shown, "macro_f1", "weighted_f1")
 
 
 @query(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -12,7 +15,7 @@ from ..session import fresh_path, spread
 from ..streaming import jobs
 from .metrics import rounded
 from .routing import _P
-from .views import PRED_A, QUEUE_WEIGHTS, ROUTING, View, query, sql_round, table
+from .views import PRED_A, QUEUE_WEIGHTS, ROUTING, View, query, sql_round, summary_sql, table
 
 # --- classifiers -----------------------------------------------------------------------
 
@@ -69,41 +72,101 @@ def train_classifier(spark, sf):
 
 
 @query()
-def top_features(spark, sf):
+def trained_features(spark, sf):
+    """The strongest terms of a fitted priority model."""
     return models.top_features(_train(_labelled(spark, sf), "priority"), spark)
 
 
 @query()
+def trained_models_evaluated(spark, sf):
+    """Category and priority models trained on the train part, scored on the test part."""
+    train, test = _parts(spark, sf)
+    frames = evaluation.evaluate_models(test, _train(train, "category"), _train(train, "priority"))
+    return frames["category_metrics"].select(F.lit("category").alias("target"), "*").unionByName(
+        frames["priority_metrics"].select(F.lit("priority").alias("target"), "*")
+    )
+
+
+# Scoring is checked with stated coefficients: term number i of the vocabulary and class number k.
+def _stated(spark, sf, label):
+    """A classifier of category or priority over the documents' own terms, with stated coefficients."""
+    documents = spread(table(spark, sf, "documents"))
+    features = models.fit_features(models.with_folded(documents, "text"), models.FOLDED)
+    terms = next(s for s in features.stages if hasattr(s, "vocabulary")).vocabulary
+    labels = sorted(r[0] for r in _labelled(spark, sf).select(label).distinct().collect())
+    fitted = []
+    for k in range(len(labels) if len(labels) > 2 else 1):
+        weights = DenseVector([((i * 37 + k * 101) % 199 - 99) / 50.0 for i in range(len(terms))])
+        java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"stated-{label}-{k}", _py2java(spark.sparkContext, weights), (k - 1) / 4.0)
+        fitted.append(LogisticRegressionModel(java))
+    return models.TextClassifier(features, labels, fitted)
+
+
+_STATED = f"""d AS ({_WORDS}), t AS (SELECT doc_id, unnest(w) AS term FROM d
+    UNION ALL SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM d),
+  v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS i FROM (SELECT term, COUNT(*) AS n FROM t GROUP BY term) ORDER BY n DESC, term LIMIT 5000),
+  c AS (SELECT doc_id, term, any_value(i) AS i, COUNT(*) AS tf FROM t JOIN v USING (term) GROUP BY doc_id, term),
+  idf AS (SELECT term, ln(((SELECT COUNT(*) FROM documents) + 1e0) / (COUNT(*) + 1)) + 1 AS idf FROM c GROUP BY term),
+  x AS (SELECT doc_id, i, tf * idf / sqrt(SUM(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS x FROM c JOIN idf USING (term)),
+  s AS (SELECT doc_id, k, (k - 1) / 4e0 + COALESCE(SUM(x * (((i * 37 + k * 101) % 199 - 99) / 50e0)), 0e0) AS s
+        FROM documents CROSS JOIN range(4) r(k) LEFT JOIN x USING (doc_id) GROUP BY doc_id, k),
+  p AS (SELECT doc_id, k, 1 / (1 + exp(-s)) AS p FROM s),
+  names AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k FROM (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id))),
+  category AS (SELECT doc_id, lang AS label, p / SUM(p) OVER (PARTITION BY doc_id) AS p FROM p JOIN names USING (k)),
+  priority AS (SELECT doc_id, unnest(['high', 'low']) AS label, unnest([1 - p, p]) AS p FROM p WHERE k = 0),
+  best_category AS (SELECT doc_id, label, p FROM category QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) = 1),
+  best_priority AS (SELECT doc_id, label, p FROM priority QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) = 1)"""
+
+
+@query(
+    f"""WITH {_STATED}, w AS (SELECT lang AS class, term AS feature, ((i * 37 + k * 101) % 199 - 99) / 50e0 AS weight FROM v CROSS JOIN names)
+        SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY weight DESC, feature) AS INTEGER) AS rank, feature, weight FROM w
+        QUALIFY row_number() OVER (PARTITION BY class ORDER BY weight DESC, feature) <= 25"""
+)
+def top_features(spark, sf):
+    """The strongest terms of a category model."""
+    return models.top_features(_stated(spark, sf, "category"), spark)
+
+
+@query(
+    f"""WITH {_STATED} SELECT doc_id AS ticket_id, label AS predicted_category, {sql_round('p', 4)} AS category_confidence,
+        (SELECT CAST(COUNT(*) AS INTEGER) FROM names) AS classes FROM best_category"""
+)
 def score_batch(spark, sf):
     """Every document scored by a category model that went through storage."""
     path = fresh_path(spark, "model")
-    _train(_labelled(spark, sf), "category").save(path)
+    _stated(spark, sf, "category").save(path)
     model = models.TextClassifier.load(spark, path)
     tickets = table(spark, sf, "documents").selectExpr("doc_id AS ticket_id", "text")
     scored = model.score(tickets, "text", "category")
     return scored.select("ticket_id", "predicted_category", "category_confidence", F.size("category_distribution").alias("classes"))
 
 
-@query()
+@query(
+    f"""WITH {_STATED},
+        a AS (SELECT lang AS true_label, label AS predicted_label, COUNT(*) AS n FROM labels JOIN documents USING (doc_id) JOIN best_category USING (doc_id) GROUP BY ALL),
+        b AS (SELECT CASE quality WHEN 1 THEN 'high' ELSE 'low' END AS true_label, label AS predicted_label, COUNT(*) AS n FROM labels JOIN best_priority USING (doc_id) GROUP BY ALL)
+        SELECT 'category' AS target, * FROM ({summary_sql('a')}) UNION ALL SELECT 'priority', * FROM ({summary_sql('b')})"""
+)
 def evaluate_models(spark, sf):
-    """Category and priority models trained on the train part, scored on the test part."""
-    train, test = _parts(spark, sf)
-    frames = evaluation.evaluate_models(test, _train(train, "category"), _train(train, "priority"))
-    return frames["category_metrics"].select(F.lit("category").alias("target"), "*").unionByName(
+    """Category and priority models scored against the labels."""
+    frames = evaluation.evaluate_models(_labelled(spark, sf), _stated(spark, sf, "category"), _stated(spark, sf, "priority"))
+    rows = frames["category_metrics"].select(F.lit("category").alias("target"), "*").unionByName(
         frames["priority_metrics"].select(F.lit("priority").alias("target"), "*")
     )
+    return rounded(rows, "macro_f1", "weighted_f1")
 
 
-@query()
+@query(
+    f"""WITH {_STATED} SELECT a.doc_id AS ticket_id, a.label AS predicted_category, round(a.p, 8) AS category_confidence,
+        b.label AS predicted_priority, round(b.p, 8) AS priority_confidence FROM best_category a JOIN best_priority b USING (doc_id)"""
+)
 def predict_frame(spark, sf):
-    """Both models and the risk rules on every document."""
-    labelled = _labelled(spark, sf)
+    """Both models on every document; the risk columns have queries of their own."""
     tickets = spread(table(spark, sf, "documents")).selectExpr("doc_id AS ticket_id", "text AS customer_message")
-    scored = evaluation.predict_frame(tickets, _train(labelled, "category"), _train(labelled, "priority"))
-    return scored.select(
-        "ticket_id", "predicted_category", "category_confidence", "predicted_priority", "priority_confidence",
-        "escalation_risk", "policy_sensitive",
-    )
+    scored = evaluation.predict_frame(tickets, _stated(spark, sf, "category"), _stated(spark, sf, "priority"))
+    kept = scored.select("ticket_id", "predicted_category", "category_confidence", "predicted_priority", "priority_confidence")
+    return rounded(kept, "category_confidence", "priority_confidence")
 
 
 # --- a supplied scorer -----------------------------------------------------------------

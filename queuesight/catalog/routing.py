@@ -386,16 +386,19 @@ def display_predictions(spark, sf):
 
 
 @query(
-    """SELECT doc_id AS id, 'New' AS status, upper(source[1]) || source[2:] AS category, 'Unknown' AS priority,
+    """SELECT doc_id AS id, 'New' AS status, CASE doc_id % 3 WHEN 0 THEN upper(source[1]) || source[2:] WHEN 1 THEN 'Sales And Pre-Sales' ELSE '3Rd Don''T' END AS category, 'Unknown' AS priority,
        source || CASE WHEN doc_id % 2 = 0 THEN ' / mail' ELSE '' END AS source_channel,
        CASE WHEN length(line) <= 110 THEN line ELSE substr(line, 1, 109) || '...' END AS message,
-       'N/A' AS created, 'N/A' AS updated FROM (SELECT *, translate(trim(text, ' ' || chr(10)), chr(10), ' ') AS line FROM documents)"""
+       'N/A' AS created, CASE doc_id % 4 WHEN 0 THEN '2024-05-01 10:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') || ' UTC' WHEN 1 THEN 'soon' ELSE 'N/A' END AS updated
+       FROM (SELECT *, translate(trim(text, ' ' || chr(10)), chr(10), ' ') AS line FROM documents)"""
 )
 def display_tickets(spark, sf):
     tickets = table(spark, sf, "documents").selectExpr(
-        "doc_id AS id", "'new' AS status", "source AS true_category", "'' AS true_priority", "source",
+        "doc_id AS id", "'new' AS status",
+        "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'Sales and Pre-Sales' ELSE \"3rd don't\" END AS true_category", "'' AS true_priority", "source",
         "CASE WHEN doc_id % 2 = 0 THEN 'mail' END AS channel", "text AS customer_message",
-        "CAST(NULL AS TIMESTAMP) AS created_at", "CAST(NULL AS TIMESTAMP) AS updated_at",
+        "CAST(NULL AS TIMESTAMP) AS created_at",
+        "CASE doc_id % 4 WHEN 0 THEN concat('2024-05-01T10:', lpad(CAST(doc_id % 60 AS STRING), 2, '0'), ':30+02:00') WHEN 1 THEN 'soon' WHEN 2 THEN '' END AS updated_at",
     )
     return dashboard.display_tickets(tickets)
 
@@ -405,6 +408,18 @@ def ticket_page(spark, sf):
     return dashboard.ticket_page(table(spark, sf, "documents").selectExpr("doc_id AS id", "lang"), 40, 25)
 
 
+@query(
+    """WITH d AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE printf('%08d', doc_id // 3) END AS id FROM documents),
+          p AS (SELECT id FROM d ORDER BY id NULLS FIRST LIMIT 60 OFFSET 130) SELECT id, COUNT(*) AS n FROM p GROUP BY id"""
+)
+def ticket_page_deep(spark, sf):
+    """A page further in over text ids with ties and nulls: how many rows of each id it holds."""
+    tickets = table(spark, sf, "documents").selectExpr(
+        "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE format_string('%08d', doc_id DIV 3) END AS id", "lang", "doc_id"
+    )
+    return dashboard.ticket_page(tickets, 130, 60).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- probabilities and the record contract ----------------------------------------------
 
 _P = [f"CAST(1 + w{i} AS DOUBLE) / (total + 6)" for i in range(7)]
@@ -558,7 +573,8 @@ _AFTER_SQL = f"""
   SELECT s.id, CASE WHEN c.id IS NOT NULL THEN NULL ELSE s.language END AS language, CASE WHEN c.quality = 1 THEN 'good' ELSE s.channel END AS channel,
          CASE WHEN c.id IS NOT NULL THEN 'changed' ELSE s.status END AS status, c.id IS NOT NULL AS stamped
   FROM s LEFT JOIN c ON s.id = c.id WHERE NOT COALESCE(gone, FALSE)
-  UNION ALL SELECT -1 - doc_id, NULL, 'added', 'new', TRUE FROM labels WHERE toxic = 0"""
+  UNION ALL SELECT -1 - doc_id, NULL, 'added', 'new', TRUE FROM labels WHERE toxic = 0
+  UNION ALL SELECT doc_id, NULL, 'again', 'new', TRUE FROM labels WHERE toxic = 1 AND doc_id % 2 = 0"""
 
 
 def _stored(spark, sf):
@@ -585,7 +601,11 @@ def _changes(spark, sf):
         "-1 - doc_id AS id", "array('channel') AS set_fields", "CAST(NULL AS STRING) AS language", "'added' AS channel",
         "CAST(NULL AS STRING) AS status", "false AS delete", "1 AS seq",
     )
-    return changed.unionByName(later).unionByName(added).withColumn("at", F.expr("timestamp'2024-06-01 00:00:00'"))
+    again = labels.where("toxic = 1 AND doc_id % 2 = 0").selectExpr(
+        "doc_id AS id", "array('channel') AS set_fields", "CAST(NULL AS STRING) AS language", "'again' AS channel",
+        "CAST(NULL AS STRING) AS status", "false AS delete", "3 AS seq",
+    )
+    return changed.unionByName(later).unionByName(added).unionByName(again).withColumn("at", F.expr("timestamp'2024-06-01 00:00:00'"))
 
 
 @query(_AFTER_SQL)

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_point
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"train_classifier", "top_features", "score_batch", "evaluate_models", "predict_frame", "tfidf_features"}
+SLOW = {"trained_features", "trained_models_evaluated"}  # fits of several models; tests/test_models.py checks fitting
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
