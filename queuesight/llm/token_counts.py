@@ -11,6 +11,7 @@ follows. Documents without such a place in some overlap are encoded again with a
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -47,6 +48,7 @@ class Counter:
 
             self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already take every core
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
@@ -114,6 +116,7 @@ def _chunks(size: int, overlap: int):
 
 def _encoded(path: str, size: int, overlap: int):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
