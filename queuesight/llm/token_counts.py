@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +40,11 @@ def splits_at_spaces(tokenizer: str) -> bool:
 
 
 class Counter:
-    """Counts tokens of texts; remembers the counts of pieces between stable places."""
+    """Counts tokens of texts; remembers the counts of pieces between stable places.
+
+    Up to `room` pieces are remembered. Then further ones are counted as they come, until as
+    many more have passed: the memory starts over, in case the texts have changed.
+    """
 
     def __init__(self, path: str, room: int = 1_000_000):
         self.sentencepiece = path.endswith(".model")
@@ -53,7 +58,7 @@ class Counter:
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
         self.by_piece = not self.sentencepiece and splits_at_spaces(path)
-        self.room, self.seen = room, {}
+        self.room, self.seen, self.passed = room, {}, 0
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.sentencepiece:
@@ -69,20 +74,31 @@ class Counter:
         try:
             return sum([seen[p] for p in rest]) + self._alone(first)
         except KeyError:
-            new = list({p for p in rest if p not in seen})
-            if len(seen) + len(new) > self.room:
-                seen.clear()
-                new = list(set(rest))
-            for at in range(0, len(new), 1_000):
-                part = new[at : at + 1_000]
+            new = {}
+            pieces = list({p for p in rest if p not in seen})
+            for at in range(0, len(pieces), 1_000):
+                part = pieces[at : at + 1_000]
                 found = self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
-                seen.update(zip(part, (len(x.ids) for x in found), strict=True))
-            return sum([seen[p] for p in rest]) + self._alone(first)
+                new.update(zip(part, (len(x.ids) for x in found), strict=True))
+            total = sum([seen[p] if p in seen else new[p] for p in rest]) + self._alone(first)
+            if len(seen) + len(new) <= self.room:
+                seen.update(new)
+            else:
+                self.passed += len(new)
+                if self.passed > self.room:
+                    self.seen, self.passed = {}, 0
+            return total
 
     def _alone(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else 0
 
 
+@lru_cache(maxsize=1)
+def worker_counter(path: str) -> Counter:
+    """One counter for all tasks that a Python worker runs, with what it remembers."""
+    return Counter(path)
+
+
 def stable_starts(tokenizer: Tokenizer, chunk: str) -> tuple[int, list[tuple[int, int]]]:
     """Tokens of a chunk, and (place, tokens before it) of every piece that starts at a stable place."""
     found = tokenizer.encode(chunk, add_special_tokens=False)
@@ -185,7 +201,7 @@ def count_tokens(
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(tokenizer)
+        counter = worker_counter(tokenizer)
         for batch in batches:
             yield pd.Series(counter.counts(batch.tolist()), dtype="int64")
 
