@@ -127,8 +127,8 @@ class TextClassifier:
         shaped = self.features.transform(folded)
         shaped = shaped.select(*columns, "features")
         for i, model in enumerate(self.models):
-            scored = model.setRawPredictionCol("_raw").setProbabilityCol("_prob").setPredictionCol("_pred").transform(shaped)
-            shaped = scored.withColumn(f"_p{i}", vector_to_array("_prob")[1]).drop("_raw", "_prob", "_pred")
+            scored = model.setRawPredictionCol("").setProbabilityCol("_prob").setPredictionCol("").transform(shaped)
+            shaped = scored.withColumn(f"_p{i}", vector_to_array("_prob")[1]).drop("_prob")
         if len(self.labels) == 2 and len(self.models) == 1:
             parts = [1 - F.col("_p0"), F.col("_p0")]
         else:

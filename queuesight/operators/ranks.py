@@ -3,9 +3,9 @@
 A global `row_number` would send every row through one task. These operators count
 first and sort only what lies next to the wanted rank:
 
-* `order_statistics`: values are counted, the counts are summed into value ranges, the
-  range holding the wanted rank is found from the range totals, and only the distinct
-  values inside that range are put in order.
+* `order_statistics`: values are counted, the counts are summed by doublings of the value,
+  the doubling that holds the wanted rank is summed into value ranges, and only the distinct
+  values inside the range that holds it are put in order.
 * `hash_thresholds`: rows get a fixed pseudo-random order by md5; the n-th hash is found
   from a histogram of hash prefixes and the rows of a single prefix. A cut is then the
   row-local test `hash <= threshold`, so no wide row is ever shuffled or sorted.
@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from ..session import broadcast_checked, settle
 from .ordinals import with_ordinal
 
-# Ranges per doubling of |value|: bounds the range table to some million rows even for
-# values spread over many magnitudes, at about 1e-5 relative width.
-_RANGES_PER_OCTAVE = 65536
+# Ranges per doubling of |value|: about 1e-5 relative width. A running sum sees the some
+# thousand doublings that doubles have, then the ranges of one of them.
+_OCTAVE_BITS = 16
+_RANGES_PER_OCTAVE = 1 << _OCTAVE_BITS
 
 
 def _value_range(value: Column) -> Column:
@@ -61,22 +62,38 @@ def order_statistics(
     """
     by = list(by)
     ranges = counts.withColumn("range", _value_range(F.col("value")))
-    totals = ranges.groupBy(*by, "range").agg(F.sum("n").alias("n"))
-    # Bounded input: at most one row per value range and group.
+    ranges = ranges.withColumn("octave", F.shiftright("range", _OCTAVE_BITS))  # never null, like the range
+    totals = ranges.groupBy(*by, "octave").agg(F.sum("n").alias("n"))
+    # Bounded input: at most one row per doubling and group.
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    running = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = whole.orderBy("octave").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("total")).cast("long").alias("rank")) for name, rank in ranks.items()]
     )
     located = (
         totals.withColumn("total", F.sum("n").over(whole))
         .withColumn("below", F.sum("n").over(running) - F.col("n"))
-        .select(*by, "range", "n", "total", "below", F.explode(wanted).alias("w"))
+        .select(*by, "octave", "n", "total", "below", F.explode(wanted).alias("w"))
         .where((F.col("w.rank") >= F.col("below")) & (F.col("w.rank") < F.col("below") + F.col("n")))
-        .select(*by, "range", "total", "below", F.col("w.name").alias("name"), F.col("w.rank").alias("rank"))
+        .select(*by, "octave", "total", "below", F.col("w.name").alias("name"), F.col("w.rank").alias("rank"))
     )
     if not by:
         located = F.broadcast(located)  # one row per wanted rank
+    place = [*by, "name"]
+    near = ranges.join(located, [*by, "octave"]).groupBy(*place, "range").agg(
+        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("total", "below", "rank")]
+    )
+    # Bounded input: the ranges of one doubling, for each group and wanted rank.
+    upto = F.col("below") + F.sum("n").over(
+        Window.partitionBy(*place).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    located = (
+        near.withColumn("upto", upto)
+        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        .select(*by, "range", "total", (F.col("upto") - F.col("n")).alias("below"), "name", "rank")
+    )
+    if not by:
+        located = F.broadcast(located)
     inside = Window.partitionBy(*by, "name").orderBy("value")
     found = (
         ranges.join(located, [*by, "range"])

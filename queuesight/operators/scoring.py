@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.labels import best_label, complete_probabilities, ranked_probabilities
@@ -33,10 +33,9 @@ def score_external(
     `partitions` sets how many scorers work side by side.
     """
     source = df if partitions is None else df.repartition(partitions)
-    added = T.StructType.fromDDL("probabilities map<string,double>, latency_ms double, error string")
-    schema = T.StructType([*source.schema.fields, *added.fields])
 
-    def run(batches):
+    @F.pandas_udf("probabilities map<string,double>, latency_ms double, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import time
 
         scorer = make_scorer()
@@ -50,7 +49,7 @@ def score_external(
 
         for batch in batches:
             results = []
-            texts = batch[text].tolist()
+            texts = batch.tolist()
             for start in range(0, len(texts), batch_size):
                 part = texts[start : start + batch_size]
                 try:
@@ -63,13 +62,11 @@ def score_external(
                             results.append((found[0], each, None))
                         except Exception as problem:
                             results.append((None, None, f"{type(problem).__name__}: {problem}"))
-            batch = batch.copy()
-            batch["probabilities"] = [r[0] for r in results]
-            batch["latency_ms"] = [r[1] for r in results]
-            batch["error"] = [r[2] for r in results]
-            yield batch
+            yield pd.DataFrame(results, columns=["probabilities", "latency_ms", "error"])
 
-    return source.mapInPandas(run, schema)
+    # Only the text goes through Python. Scored once: a scorer is no function to be run twice.
+    scored = source.select("*", run.asNondeterministic()(F.col(text)).alias("_scored"))
+    return scored.select(*source.columns, "_scored.probabilities", "_scored.latency_ms", "_scored.error")
 
 
 def prediction_records(scored: DataFrame, labels: Sequence[str] = K.QUEUES, digits: int = 6) -> DataFrame:
