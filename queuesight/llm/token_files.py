@@ -8,10 +8,14 @@ name and moved, so a repeated or lost task leaves whole files only.
 from __future__ import annotations
 
 import json
+import os
 import re
+import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,15 +31,31 @@ from .common import named, small, stored, text_key
 from .wavelet import WaveletShard, write_shard
 
 
+MARKS = string.punctuation
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies.
+
+    Visible Latin-1 characters stand for themselves, the other bytes in turn for those from U+0100 on.
+    """
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Encodes texts by their chunks between spaces and line feeds, remembering chunks met before.
 
     Only for tokenizers that drop white space and never join text across it, so that the ids
     of a text are those of its chunks in turn; `whole` tells. Other tokenizers get whole
-    texts. `room` bounds the chunks remembered (more only where one text has more).
+    texts. Up to `room` words, without case and marks, and half as many chunks as they stand
+    are remembered; further ones are encoded as they come, until as many more have passed:
+    the memory starts over, in case the texts have changed.
     """
 
-    def __init__(self, path: str, end_id: int, room: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, room: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already take every core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             setting = json.load(f)
@@ -45,26 +65,64 @@ class ChunkEncoder:
         drops_space = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
         self.whole = not (drops_space and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"))
         folds = [step["type"] for step in (setting.get("normalizer") or {}).get("normalizers", [])]
-        # A chunk of ASCII letters is one piece to such a tokenizer, in lower case.
-        self.letters = not self.whole and folds == ["NFC", "Replace", "Lowercase"]
+        # A run of letters is one piece to such a tokenizer, in lower case and by its bytes'
+        # characters; letters below U+0130 are composed and have a plain lower case.
+        bytewise = [step.get("type") for step in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space")
+        self.letters = not self.whole and bytewise and folds == ["NFC", "Replace", "Lowercase"]
+        characters = byte_characters()
+        self.bytewise = {o: "".join(characters[b] for b in chr(o).encode()) for o in range(128, 0x130)}
         highest = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
         self.bits = max(1, highest.bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.room, self.seen = room, {"": b""}
+        self.room, self.passed = room, 0
+        self.seen: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
+        new, rest, split = {}, [], {}
+        tokenize, code, words = self.tokenizer.model.tokenize, "H" if self.kind.itemsize == 2 else "I", self.words
+
+        def is_word(text: str) -> bool:
+            return text.isalpha() and (text.isascii() or max(text) < "\u0130")
+
+        def word(text: str) -> bytes:
+            text = text.lower()
+            found = words.get(text)
+            if found is None:
+                found = array(code, [t.id for t in tokenize(text if text.isascii() else text.translate(self.bytewise))]).tobytes()
+                if len(words) < self.room:
+                    words[text] = found
+                else:
+                    self.passed += 1
+            return found
 
-    def _learn(self, chunks: set[str]) -> None:
-        rest = []
         for chunk in chunks:
-            if self.letters and chunk.isascii() and chunk.isalpha():
-                ids = [t.id for t in self.tokenizer.model.tokenize(chunk.lower())]
-                self.seen[chunk] = np.array(ids, self.kind).tobytes()
-            else:
+            if not self.letters:
                 rest.append(chunk)
+            elif is_word(chunk):
+                new[chunk] = word(chunk)
+            else:
+                # Marks after a word are pieces of their own, but for special tokens.
+                head = chunk.rstrip(MARKS)
+                if head is not chunk and is_word(head):
+                    split[chunk] = head, chunk[len(head) :]
+                else:
+                    rest.append(chunk)
+        rest += {tail for _, tail in split.values()}
+        new |= {chunk: words[chunk] for chunk in rest if chunk in words}  # no letters' word is among them
+        rest = [chunk for chunk in rest if chunk not in new]
         for at in range(0, len(rest), 1_000):
             part = rest[at : at + 1_000]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[chunk] = np.array(found.ids, self.kind).tobytes()
+                new[chunk] = np.array(found.ids, self.kind).tobytes()
+                if len(words) < self.room:
+                    words[chunk] = new[chunk]
+                else:
+                    self.passed += 1
+        for chunk, (head, tail) in split.items():
+            new[chunk] = word(head) + new[tail]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the end id, as bytes."""
@@ -74,19 +132,26 @@ class ChunkEncoder:
         out = []
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
-            seen = self.seen
-            try:
-                ids = b"".join([seen[c] for c in chunks])
-            except KeyError:
-                new = {c for c in chunks if c not in seen}
-                if len(seen) + len(new) > self.room:  # start over with this text's chunks
-                    self.seen, new = {"": b""}, set(chunks) - {""}
-                self._learn(new)
-                ids = b"".join([self.seen[c] for c in chunks])
-            out.append(ids + self.end)
+            found = list(map(self.seen.get, chunks))
+            if None in found:
+                missing = [i for i, ids in enumerate(found) if ids is None]
+                new = self._encoded({chunks[i] for i in missing})
+                for i in missing:
+                    found[i] = new[chunks[i]]
+                if len(self.seen) + len(new) <= max(2, self.room // 2):
+                    self.seen.update(new)
+                if self.passed > self.room:
+                    self.seen, self.words, self.passed = {"": b""}, {}, 0
+            out.append(b"".join(found) + self.end)
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, end_id: int) -> ChunkEncoder:
+    """One encoder for all tasks that a Python worker runs, with what it remembers."""
+    return ChunkEncoder(path, end_id)
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
 
@@ -123,7 +188,7 @@ def write_token_files(
     rows = rows.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, end_id)
+        encoder = worker_encoder(tokenizer, end_id)
         part, ids, docs, lengths, made = TaskContext.get().partitionId(), [], [], [], []
 
         def close() -> None:

@@ -15,7 +15,7 @@ from queuesight.session import fresh_path
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "Don't  stop<|endoftext|>now <|endoftext|> ok <|startoftext|>", "é é ﬁ Ⅷ x² ½", "A B C\x1cD\x85E", "tab\tand\r\nlines\n\n\nend ", "   lead",
-    "'s 'S 's's don'T", "日本語 テキスト。 한국어", "a​b İstanbul ΑΣ ΑΣ.b", "x" * 300, "\U0001f600\U0001f600 <|endof", "\n", " ", "a \n b", "!!! ??? ...,;", "́ start", "word,word , word",
+    "'s 'S 's's don'T", "日本語 テキスト。 한국어", "a​b İstanbul ΑΣ ΑΣ.b", "x" * 300, "\U0001f600\U0001f600 <|endof", "\n", " ", "a \n b", "!!! ??? ...,;", "́ start", "word,word , word", "éa, Ünï! ÀÉ?? naïve's œuvre, İx. ĭ ſ ªº µ.", "ok<|endoftext|>, a<|endoftext|>", "x's, don't. it'll!! we're?", "a_b_ _c_ 3rd, 4. é1, 日本,", "ß. ŉ, Ĳ! ﬁ.", "é, ȩ́. é́,", "…, a…, —. a—, 5%.",
 ]
 
 
