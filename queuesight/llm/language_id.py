@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,31 +37,32 @@ class BackoffModel:
 
     Built from (language, word, count) triples. Words below `min_count` are left to the
     n-grams; the `max_words` most frequent words and `max_grams` most frequent n-grams of
-    an order are kept for each language, which bounds the model by its parameters.
+    an order are kept for each language, which bounds the model by its parameters. A level
+    is the row of each key in a table with a column for each language.
     """
 
     def __init__(
         self,
-        counts: list[tuple[str, str, int]],
+        counts: Iterable[tuple[str, str, int]],
         order: int = 4,
         min_count: int = 2,
         max_words: int = 30_000,
         max_grams: int = 8_000,
     ):
-        self.languages = sorted({language for language, _, _ in counts})
         self.order = order
-        place = {language: i for i, language in enumerate(self.languages)}
-        words = [Counter() for _ in self.languages]
-        grams = [[Counter() for _ in self.languages] for _ in range(order)]
+        words: dict[str, Counter] = {}
+        grams: list[dict[str, Counter]] = [{} for _ in range(order)]
         for language, word, n in counts:
-            i = place[language]
+            own = words.setdefault(language, Counter())
             if n >= min_count:
-                words[i][word] += n
+                own[word] += n
             for k in range(1, order + 1):
+                level = grams[k - 1].setdefault(language, Counter())
                 for gram in self._grams(word, k):
-                    grams[k - 1][i][gram] += n
-        self.words = self._logs(words, max_words)
-        self.grams = [self._logs(level, max_grams) for level in grams]
+                    level[gram] += n
+        self.languages = sorted(words)
+        self.words = self._logs([words[x] for x in self.languages], max_words)
+        self.grams = [self._logs([level[x] for x in self.languages], max_grams) for level in grams]
 
     @staticmethod
     def _grams(word: str, k: int) -> list[str]:
@@ -70,26 +71,28 @@ class BackoffModel:
         return [padded[at : at + k] for at in range(len(padded) - k + 1)]
 
     @staticmethod
-    def _logs(counters: list[Counter], most: int) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
+    def _logs(counters: list[Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
         totals = [max(1, sum(c.values())) for c in counters]
-        floor = np.array([math.log(0.5 / t) for t in totals])
-        for i, counter in enumerate(counters):
-            for key, n in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:most]:
-                if key not in out:
-                    out[key] = floor.copy()
-                out[key][i] = math.log(n / totals[i])
-        return out
+        kept = [sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] for c in counters]
+        rows: dict[str, int] = {}
+        for own in kept:
+            for key, _ in own:
+                rows.setdefault(key, len(rows))
+        table = np.tile(np.array([math.log(0.5 / t) for t in totals]), (len(rows), 1))
+        for i, own in enumerate(kept):
+            for key, n in own:
+                table[rows[key], i] = math.log(n / totals[i])
+        return rows, table
 
     def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        rows, table = self.words
+        if word in rows:
+            return table[rows[word]]
         for k in range(self.order, 0, -1):
-            level = self.grams[k - 1]
-            found = [level[g] for g in self._grams(word, k) if g in level]
+            rows, table = self.grams[k - 1]
+            found = [rows[g] for g in self._grams(word, k) if g in rows]
             if found:
-                return np.mean(found, axis=0)
+                return table[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -132,13 +135,15 @@ def learn_languages(
     text: str = "text",
     lang: str = "lang",
     rows_per_language: int = 2_000,
+    min_count: int = 2,
     **settings: int,
 ) -> BackoffModel:
     """Fit a model on the rows that are not held out and name a language.
 
     The fit uses whole texts of about `rows_per_language` rows of each language (all, where
     there are fewer), chosen by a hash of the id: a bound on labelled rows, whatever the
-    table's size. Rows with a null id, text or language teach nothing.
+    table's size. Only words met `min_count` times in a language come to the driver; n-grams
+    are taken from them too. Rows with a null id, text or language teach nothing.
     """
     rows = named(documents, _id=doc_id, _text=text, _lang=lang)
     rows = rows.where(learnable(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
@@ -158,8 +163,10 @@ def learn_languages(
             yield pd.DataFrame(flat, columns=["lang", "word", "n"])
 
     counted = sample.select("_lang", "_text").mapInPandas(count, "lang string, word string, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return BackoffModel([tuple(r) for r in counted.toPandas().itertuples(index=False)], **settings)
+    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    found = counted.toArrow()
+    triples = (row for batch in found.to_batches(10_000) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return BackoffModel(triples, min_count=min_count, **settings)
 
 
 def language_column(spark, model: BackoffModel, text: Column) -> Column:
