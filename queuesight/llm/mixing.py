@@ -3,7 +3,9 @@
 A classifier fitted on a labelled table gives every document a posterior over the domains.
 A document of t tokens at rate r is expected to give r * t * p_k tokens to domain k. Projected
 gradient descent finds rates, none negative, whose totals are closest to the targets in
-least squares, each domain weighed by its natural size, starting from rate 1.
+least squares, starting from rate 1. The gaps are weighed by the inverse of the posteriors'
+second moments, which makes the curvature the same in all directions: without a rate at zero
+one step meets the targets, and with the least change to the rates.
 
 Every step moves a rate by the same few numbers (one for each domain) times the posterior and
 cuts it at zero, so a rate is an expression of the posterior and the steps so far. A step is
@@ -116,6 +118,19 @@ class Mix:
         return out
 
 
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a system of as many equations as domains (symmetric, positive definite)."""
+    rows = [[*row, x] for row, x in zip(matrix, right, strict=True)]
+    for i, row in enumerate(rows):
+        for other in rows[i + 1 :]:
+            share = other[i] / row[i]
+            other[i:] = [x - share * y for x, y in zip(other[i:], row[i:], strict=True)]
+    out = [0.0] * len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        out[i] = (rows[i][-1] - sum(rows[i][j] * out[j] for j in range(i + 1, len(rows)))) / rows[i][i]
+    return out
+
+
 def fit_rates(
     posteriors: DataFrame,
     domains: list[str],
@@ -148,18 +163,18 @@ def fit_rates(
     mix = Mix(domains, natural, [total * s for s in share], list(natural))
     if not sum(natural):
         return mix
-    # Residuals are weighed by natural size; the step is one over a bound on the curvature:
-    # the largest row sum of the weighed matrix of second moments.
-    scale = [max(n, 1e-9 * sum(natural)) for n in natural]
-    bound = max(sum(first[f"m{i}_{j}"] / (scale[i] * scale[j]) ** 0.5 for j in ks) for i in ks)
+    # A little is added to the diagonal for domains that no document belongs to.
+    least = 1e-9 * sum(natural)
+    moments = [[first[f"m{i}_{j}"] + (least if i == j else 0.0) for j in ks] for i in ks]
     error = float("inf")
     for _ in range(most_steps):
         gaps = [r - t for r, t in zip(mix.reached, mix.targets, strict=True)]
-        now = sum(g * g / s for g, s in zip(gaps, scale, strict=True))
-        if max(abs(g) for g in gaps) <= tolerance * total or now >= error * (1 - 1e-9):
+        step = _solved(moments, gaps)
+        now = sum(g * s for g, s in zip(gaps, step, strict=True))
+        if max(abs(g) for g in gaps) <= tolerance * total or now >= error * (1 - 1e-6):
             break
         error = now
-        mix.steps.append([g / s / bound for g, s in zip(gaps, scale, strict=True)])
+        mix.steps.append(step)
         rate = mix.rate()
         sums = posteriors.agg(*[F.sum(m * rate).alias(f"n{k}") for k, m in enumerate(mass)]).first()
         mix.reached = [sums[f"n{k}"] or 0.0 for k in ks]
