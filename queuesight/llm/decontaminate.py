@@ -58,22 +58,32 @@ def _fingerprints(rows: DataFrame, keys: list[str], k: int, window: int, pos: st
     return kept.select(*keys, F.shiftright("v", 32).alias("hash"), F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(pos))
 
 
-def _spans(doc_words: Column, item_words: Column, shift: Column, span: int) -> Column:
-    """Spans of document words where the aligned texts agree on at least `span` words (or the whole, shorter item)."""
-    start = F.greatest(F.lit(0), shift)
-    length = F.least(F.size(doc_words), shift + F.size(item_words)) - start
-    need = F.least(F.lit(span), F.size(item_words))
-    same = F.zip_with(
-        F.slice(doc_words, start + 1, length), F.slice(item_words, start - shift + 1, length), lambda a, b: a == b
-    )
-    at = F.sequence(F.lit(0), length - need)
-    full = F.transform(at, lambda i: F.forall(F.slice(same, i + 1, need), lambda x: x))
-    first = lambda full: F.filter(F.transform(full, lambda x, i: F.when(x & ((i == 0) | ~F.get(full, i - 1)), i)), lambda x: x.isNotNull())
-    last = lambda full: F.filter(F.transform(full, lambda x, i: F.when(x & ((i == F.size(full) - 1) | ~F.get(full, i + 1)), i)), lambda x: x.isNotNull())
-    spans = F.zip_with(
-        first(full), last(full), lambda b, e: F.struct((start + b).alias("s"), (start + e + need - 1).alias("e"))
+def _with_spans(aligned: DataFrame, span: int) -> DataFrame:
+    """A row per span of document words (s to e) where the aligned texts agree on at least `span` words.
+
+    `aligned` has the words of document and item (dw, iw) and where the item starts (shift);
+    an item of fewer words must agree as a whole. One pass over the aligned places counts the
+    words that agree in a row up to each; runs end where the next place does not agree.
+    """
+    start = F.greatest(F.lit(0), F.col("shift"))
+    length = F.least(F.size("dw"), F.col("shift") + F.size("iw")) - start
+    same = F.zip_with(F.slice("dw", F.col("start") + 1, F.col("length")), F.slice("iw", F.col("start") - F.col("shift") + 1, F.col("length")), lambda a, b: a == b)
+    runs = F.aggregate(
+        F.concat("same", F.array(F.lit(False))),
+        F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<struct<s:int,e:int>>").alias("spans")),
+        lambda acc, x: F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(x, acc["n"] + 1).otherwise(F.lit(0)).alias("n"),
+            F.when(
+                ~x & (acc["n"] >= F.col("need")),
+                F.concat(acc["spans"], F.array(F.struct((F.col("start") + acc["i"] - acc["n"]).alias("s"), (F.col("start") + acc["i"] - 1).alias("e")))),
+            ).otherwise(acc["spans"]).alias("spans"),
+        ),
+        lambda acc: acc["spans"],
     )
-    return F.when(length >= need, spans)
+    need = F.least(F.lit(span), F.size("iw"))
+    placed = aligned.select("*", start.alias("start"), length.alias("length"), need.alias("need")).where(F.col("length") >= F.col("need"))
+    return placed.withColumn("same", same).withColumn("x", F.explode(runs))
 
 
 def _union_length(spans: Column) -> Column:
@@ -128,8 +138,7 @@ def shared_spans(
     texts = texts.dropDuplicates(KEY).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), words_of(F.col("text")).alias("dw"))
     aligned = hits.join(small(items.select("item_id", "ih", "iw")), ["item_id", "ih"])
     aligned = aligned.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")))
-    runs = aligned.select(*KEY, "item_id", F.explode(_spans(F.col("dw"), F.col("iw"), F.col("shift"), span)).alias("x"))
-    return runs.select(*KEY, "item_id", "x.s", "x.e")
+    return _with_spans(aligned, span).select(*KEY, "item_id", "x.s", "x.e")
 
 
 def contamination(
