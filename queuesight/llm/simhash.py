@@ -197,7 +197,9 @@ def near_duplicate_groups(
     linked = distinct.join(groups.withColumnRenamed("node", "fp"), "fp")
     named_by = linked.groupBy("component").agg(F.min("least").alias("name"))
     of_linked = linked.join(named_by, "component").select("fp", "name", "component")
-    out = rows.join(distinct, "fp").join(of_linked, "fp", "left")
+    # Written, so that the join with the rows stands alone and a hot fingerprint can be split.
+    groups_of = stored(distinct.join(of_linked, "fp", "left"), "fingerprint-groups")
+    out = rows.join(groups_of, "fp")
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select(
         "doc_id", "th", hex_digits.alias("fingerprint"), F.coalesce("name", "least").alias("component_id"), F.coalesce("component", "fp").alias("group_id")
