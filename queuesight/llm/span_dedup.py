@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS
 from .common import named, small, stored, text_key
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*")
@@ -86,19 +88,35 @@ def _spans(sentences: int, words: int):
     """(h1, h2, doc_id, th, s, e, repeat) of every run; `repeat`: the text had it before."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["h1", "h2", "doc_id", "th", "s", "e", "repeat"]
-        rows: list[tuple] = []
+        digests, starts, ends, repeats, docs = [], [], [], [], []
+
+        def flush() -> pd.DataFrame:
+            hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            own = np.array(docs, np.int64).reshape(-1, 3)
+            frame = {"h1": hashes[:, 0], "h2": hashes[:, 1], "doc_id": np.repeat(own[:, 0], own[:, 2]), "th": np.repeat(own[:, 1], own[:, 2]), "s": starts, "e": ends, "repeat": repeats}
+            return pd.DataFrame(frame).astype({"s": "int32", "e": "int32", "repeat": "bool"})
+
         for batch in batches:
             for doc_id, th, text in zip(batch["doc_id"].tolist(), batch["th"].tolist(), batch["text"], strict=True):
-                met = set()
-                for s, e, digest in runs_of(sentences_of(text), sentences, words):
-                    h1, h2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                    rows.append((h1, h2, doc_id, th, s, e, digest in met))
-                    met.add(digest)
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-        yield pd.DataFrame(rows, columns=columns)
+                runs = runs_of(sentences_of(text), sentences, words)
+                if not runs:
+                    continue
+                s, e, found = zip(*runs, strict=True)
+                if len(set(found)) == len(found):
+                    repeats += [False] * len(found)
+                else:
+                    met = set()
+                    for x in found:
+                        repeats.append(x in met)
+                        met.add(x)
+                digests += found
+                starts += s
+                ends += e
+                docs.append((doc_id, th, len(found)))
+                if len(digests) > 50_000:
+                    yield flush()
+                    digests, starts, ends, repeats, docs = [], [], [], [], []
+        yield flush()
 
     return spans
 
@@ -116,10 +134,24 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     spans = rows.mapInPandas(_spans(sentences, words), "h1 long, h2 long, doc_id long, th long, s int, e int, repeat boolean")
     kinds = spans.where(~F.col("repeat")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     kinds = stored(kinds.where(F.col("first") < F.col("last")).select("h1", "h2", "first"), "repeated-runs")
-    later = spans.where(~F.col("repeat")).select("h1", "h2", "doc_id", "th", "s", "e").join(small(kinds), ["h1", "h2"]).where(F.col("doc_id") > F.col("first"))
-    own = spans.where("repeat")
-    found = later.select("doc_id", "th", "s", "e").unionByName(own.select("doc_id", "th", "s", "e"))
-    return found.withColumn("doc_id", F.nullif("doc_id", lowest))
+    judged = spans.join(small(kinds), ["h1", "h2"], "left").where(F.col("repeat") | (F.col("doc_id") > F.col("first")))
+    return judged.select(F.nullif("doc_id", lowest).alias("doc_id"), "th", "s", "e")
+
+
+def _merged(spans: Column) -> Column:
+    """Spans of sentences without overlaps, in order."""
+    kind = "array<struct<s:int,e:int>>"
+    return F.aggregate(
+        F.array_sort(spans),
+        F.array().cast(kind),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"] + 1),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
+    )
 
 
 def remove_repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 12) -> DataFrame:
@@ -130,7 +162,11 @@ def remove_repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: st
     """
     found = repeated_spans(documents, doc_id, text, sentences, words)
     covers = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("covers"))
-    covers = small(stored(covers.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "covers"), "covered-sentences"))
+    covers = covers.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), _merged(F.col("covers")).alias("covers"))
+    covers = stored(covers, "covered-sentences")
+    size = covers.agg(F.count("*"), F.coalesce(F.sum(F.size("covers")), F.lit(0))).first()
+    if sum(size) <= 2 * BROADCAST_ROWS:  # documents and spans: some tens of bytes each
+        covers = F.broadcast(covers)
     rows = named(documents, doc_id=doc_id, text=text).select("doc_id", text_key(F.col("text")).alias("th"), "text")
     marked = rows.join(covers, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
 
