@@ -10,7 +10,7 @@ from .common import held_out, table
 from .decontaminate import contamination
 from .embedding_dedup import embedding_duplicates
 from .language_id import identify_languages, learn_languages
-from .lm_scoring import learn_network, score_documents
+from .masked_lm import score_documents_masked
 from .mixing import label_domains, mix_documents
 from .quality import learn_quality, score_quality
 from .simhash import near_duplicate_groups
@@ -114,8 +114,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return score_documents(documents, *learn_network(documents))
+    return score_documents_masked(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query
