@@ -73,3 +73,27 @@ def test_a_passage_stays_once_and_other_text_stays(spark):
 
 def test_empty_table(spark):
     assert rows_of(remove_repeated_spans(spark.createDataFrame([], DOCS))) == []
+
+
+def test_any_fifty_shared_words_give_an_equal_run():
+    rng = random.Random(21)
+    words = lambda n, mark: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randint(0, 400)) + ("." if mark and rng.random() < 0.07 else "") for _ in range(n))
+    for trial in range(400):
+        passage = words(50, trial % 2)
+        runs = []
+        for _ in range(2):
+            text = " ".join(filter(None, (words(rng.randint(0, 30), trial % 3 == 0), passage, words(rng.randint(0, 30), trial % 3 == 0))))
+            pieces = sentences_of(text)
+            assert "".join(pieces) == text and all(len(p.split()) <= 8 for p in pieces)
+            runs.append({h for _, _, h in runs_of(pieces)})
+        assert runs[0] & runs[1]
+
+
+def test_lead_in_words_do_not_hide_a_passage(spark):
+    for marks in (True, False):
+        passage = " ".join(f"word{i}" + ("." if marks and i % 18 == 17 else "") for i in range(54))
+        rows = [(1, "Heading\n" + passage + "\nother text"), (2, "Before all of it " + passage + " and after it")]
+        got = {r.doc_id: r.text for r in remove_repeated_spans(documents(spark, rows)).collect()}
+        left = [w for w in got[2].replace(".", " ").split() if w.startswith("word")]
+        assert passage in got[1] and len(left) <= 28
+        assert all(w in got[2].split() for w in "Before all of it and after it".split())
