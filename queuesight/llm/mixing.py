@@ -109,12 +109,15 @@ class Mix:
     targets: list[float]
     reached: list[float]
     steps: list[list[float]] = field(default_factory=list)
+    most: float | None = None
 
     def rate(self) -> Column:
         """The rate of a row with the posteriors p0, p1, ..."""
         out = F.lit(1.0)
         for step in self.steps:
             out = F.greatest(F.lit(0.0), out - sum((F.col(f"p{k}") * g for k, g in enumerate(step)), F.lit(0.0)))
+            if self.most is not None:
+                out = F.least(F.lit(self.most), out)
         return out
 
 
@@ -139,6 +142,7 @@ def fit_rates(
     keep_whole: str | None = None,
     tolerance: float = 1e-6,
     most_steps: int = 60,
+    most: float | None = None,
 ) -> Mix:
     """Projected gradient descent on the rates.
 
@@ -147,6 +151,12 @@ def fit_rates(
     total of all. Ends when every reached total is within `tolerance` of the sum of targets,
     or no longer comes closer (targets that no rates can meet, such as a domain that no
     document belongs to). Without tokens every rate stays 1.
+
+    `most` bounds the rates, at 1 for rows that are drawn once or not at all. Where the total
+    cannot be had with such rates, it is lowered to what the scarcest domain reached allows,
+    again until the shares are met within a thousandth of it: that domain is then kept whole.
+    `targets` are those of the lowered total. A domain of under a millionth of all tokens
+    lowers nothing, so its target is not met.
     """
     ks = range(len(domains))
     mass = [F.col("copies") * F.col("n_tokens") * F.col(f"p{k}") for k in ks]
@@ -160,7 +170,7 @@ def fit_rates(
     if total is None:
         at = domains.index(keep_whole) if keep_whole else None
         total = sum(natural) if at is None else natural[at] / share[at]
-    mix = Mix(domains, natural, [total * s for s in share], list(natural))
+    mix = Mix(domains, natural, [total * s for s in share], list(natural), most=most)
     if not sum(natural):
         return mix
     # A little is added to the diagonal for domains that no document belongs to.
@@ -171,8 +181,22 @@ def fit_rates(
         gaps = [r - t for r, t in zip(mix.reached, mix.targets, strict=True)]
         step = _solved(moments, gaps)
         now = sum(g * s for g, s in zip(gaps, step, strict=True))
-        if max(abs(g) for g in gaps) <= tolerance * total or now >= error * (1 - 1e-6):
+        if max(abs(g) for g in gaps) <= tolerance * total or most is None and now >= error * (1 - 1e-6):
             break
+        if most is not None and now >= error * 0.5:  # the bound holds the rates back
+            scarce = [r / s for r, s, n in zip(mix.reached, share, natural, strict=True) if s and n > 1e-6 * sum(natural)]
+            lower = min([total, *scarce])
+            if max(abs(g) for g in gaps) <= 1e-3 * total:
+                break
+            if lower < total:
+                total = lower
+                mix.targets = [total * s for s in share]
+                error = float("inf")
+                gaps = [r - t for r, t in zip(mix.reached, mix.targets, strict=True)]
+                step = _solved(moments, gaps)
+                now = sum(g * s for g, s in zip(gaps, step, strict=True))
+            elif now >= error * (1 - 1e-6):
+                break
         error = now
         mix.steps.append(step)
         rate = mix.rate()
@@ -197,12 +221,13 @@ def mix_documents(
 
     Columns doc_id, th (a hash of the text), copies, n_tokens, rate and p_<domain>. The rate
     is how often the document should be drawn; a row that repeats id and text is another copy
-    at the same rate. An empty table gives no rows.
+    at the same rate. An empty table gives no rows. With `keep_whole` no rate exceeds 1, so
+    that rows can be drawn; see fit_rates for the total then met.
     """
     domains = sorted(shares)
     weights = stored(learn_domains(documents, labelled, domains, doc_id, text, label_id, domain, **settings), "domain-weights")
     posteriors = stored(domain_posteriors(documents, weights, domains, doc_id, text), "domain-posteriors")
-    mix = fit_rates(posteriors, domains, shares, total, keep_whole)
+    mix = fit_rates(posteriors, domains, shares, total, keep_whole, most=1.0 if keep_whole else None)
     named_posteriors = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
     return posteriors.select("doc_id", "th", "copies", "n_tokens", mix.rate().alias("rate"), *named_posteriors), mix
 
@@ -210,7 +235,8 @@ def mix_documents(
 def draw_documents(documents: DataFrame, rates: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 29) -> DataFrame:
     """The rows kept when each stays with probability min(1, rate), fixed by a hash of id and text.
 
-    A rate of 1 or more keeps a row once. All columns are kept.
+    Rates of over 1 keep a row once, so rates to draw by should be fitted with `most` 1, as
+    mix_documents does with `keep_whole`. All columns are kept.
     """
     draw = F.pmod(F.xxhash64("doc_id", "th", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     gone = stored(rates.where(draw >= F.col("rate")).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")), "not-drawn")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from helpers import DOCS, awkward, clashing, documents, prose, rows_of
 
-from queuesight.llm.mixing import domain_posteriors, fit_rates, label_domains, learn_domains, mix_documents
+from queuesight.llm.mixing import domain_posteriors, draw_documents, fit_rates, label_domains, learn_domains, mix_documents
 
 SHARES = {"good": 0.7, "poor": 0.2, "toxic": 0.1}
 
@@ -98,3 +98,20 @@ def test_empty_tables(spark):
     got = mix_documents(df, labelled, SHARES)[0].collect()
     assert len(got) == 2 and all(abs(r.p_good - 1 / 3) < 1e-9 for r in got)
     assert spark.createDataFrame([], DOCS).count() == 0
+
+
+def test_domains_below_their_targets_reach_them_when_drawn(spark):
+    rows = [(i, *((0.02, 0.97, 0.01) if i % 40 == 0 else (0.01, 0.02, 0.97) if i % 90 == 1 else (0.98, 0.015, 0.005))) for i in range(3_600)]
+    df = spark.createDataFrame([(i, 0, 1, 100, *p) for i, *p in rows], "doc_id long, th long, copies long, n_tokens long, p0 double, p1 double, p2 double")
+    shares = {"good": 0.87, "poor": 0.09, "toxic": 0.04}  # poor has under 5 % of the tokens, toxic under 2 %
+    mix = fit_rates(df, list(shares), shares, keep_whole="good", most=1.0)
+    got = df.withColumn("rate", mix.rate()).toPandas()
+    assert got["rate"].between(0, 1).all()
+    share = [(got["rate"] * got[f"p{k}"]).sum() / got["rate"].sum() for k in range(3)]
+    assert np.allclose(share, [0.87, 0.09, 0.04], atol=2e-3)
+    assert np.allclose(mix.reached, mix.targets, atol=2e-3 * sum(mix.targets)) and sum(mix.targets) < sum(mix.natural)
+    assert got["rate"].max() > 0.99
+    texts = df.selectExpr("doc_id", "CAST(NULL AS STRING) AS text", "p1", "p2")
+    key = spark.sql("SELECT xxhash64('') AS th").first().th
+    drawn = draw_documents(texts, df.withColumn("rate", mix.rate()).withColumn("th", df["th"] + key)).toPandas()
+    assert abs(drawn["p1"].mean() - 0.09) < 0.02 and abs(drawn["p2"].mean() - 0.04) < 0.015
