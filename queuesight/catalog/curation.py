@@ -72,19 +72,26 @@ def read_splits_union(spark, sf):
     )
 
 
+def _write_json_documents(texts, path, rows=1_000):
+    """Write `.json` files of one array over several lines each, about `rows` texts to a file; their number grows with the rows."""
+    groups = 1 + texts.count() // rows
+    dealt = texts.groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("part"))
+    listed = dealt.agg(F.to_json(F.sort_array(F.collect_list(F.struct("text")))).alias("value"))
+    pretty = listed.select("part", F.replace("value", F.lit('},{"text"'), F.lit('},\n{"text"')).alias("value"))
+    pretty.write.partitionBy("part").text(path)  # a folder, so a file, for each array
+
+
 @query(
     """SELECT 'lines' AS file, COUNT(*) AS rows, CAST(SUM(length(text)) AS BIGINT) AS characters FROM documents
        UNION ALL SELECT 'document', COUNT(*), CAST(SUM(length(text)) AS BIGINT) FROM documents
        UNION ALL SELECT 'value', COUNT(*), CAST(SUM(length(text)) AS BIGINT) FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)"""
 )
 def read_tickets_json(spark, sf):
-    """`.json` files of clean lines, of one document over several lines and of one bare value."""
+    """`.json` files of clean lines, of documents over several lines and of one bare value."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
     lines = write_table(documents.select("text"), fresh_path(spark, "lines"), "json")
-    listed = documents.agg(F.to_json(F.sort_array(F.collect_list(F.struct("text")))).alias("value"))
-    pretty = listed.select(F.replace("value", F.lit('},{"text"'), F.lit('},\n{"text"')).alias("value"))
     document, value = fresh_path(spark, "document"), fresh_path(spark, "value")
-    pretty.coalesce(1).write.text(document)
+    _write_json_documents(documents, document)
     first = documents.orderBy("doc_id").limit(1).select(F.to_json(F.struct("text")).alias("j"))
     first.select(F.substring("j", len('{"text":') + 1, 1_000_000_000).alias("j")).select(F.expr("substr(j, 1, length(j) - 1)").alias("value")).coalesce(1).write.text(value)
     rows = None
