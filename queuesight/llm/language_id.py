@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, named
+from .common import learnable, named, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -64,6 +64,18 @@ class BackoffModel:
         self.words = self._logs([words[x] for x in self.languages], max_words)
         self.grams = [self._logs([level[x] for x in self.languages], max_grams) for level in grams]
 
+    @classmethod
+    def of_tables(cls, languages: list[str], levels: list[dict[str, Counter]], totals: list[dict[str, int]], most: list[int]) -> BackoffModel:
+        """From the largest counts of words (level 0) and n-grams of each order, and the sums of all counts."""
+        model = cls([], len(levels) - 1)
+        model.languages = sorted(languages)
+        tables = [
+            cls._logs([level.get(x, Counter()) for x in model.languages], n, [total.get(x, 0) for x in model.languages])
+            for level, total, n in zip(levels, totals, most, strict=True)
+        ]
+        model.words, model.grams = tables[0], tables[1:]
+        return model
+
     @staticmethod
     def _grams(word: str, k: int) -> list[str]:
         """The n-grams of order k of a word between spaces; single characters without them."""
@@ -71,14 +83,15 @@ class BackoffModel:
         return [padded[at : at + k] for at in range(len(padded) - k + 1)]
 
     @staticmethod
-    def _logs(counters: list[Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
-        totals = [max(1, sum(c.values())) for c in counters]
+    def _logs(counters: list[Counter], most: int, sums: list[int] | None = None) -> tuple[dict[str, int], np.ndarray]:
+        """Unknown keys count alike in all languages, so that one of few rows does not win by what it lacks."""
+        totals = [max(1, n) for n in sums or [sum(c.values()) for c in counters]]
         kept = [sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] for c in counters]
         rows: dict[str, int] = {}
         for own in kept:
             for key, _ in own:
                 rows.setdefault(key, len(rows))
-        table = np.tile(np.array([math.log(0.5 / t) for t in totals]), (len(rows), 1))
+        table = np.full((len(rows), len(counters)), math.log(0.5 / max(totals, default=1)))
         for i, own in enumerate(kept):
             for key, n in own:
                 table[rows[key], i] = math.log(n / totals[i])
@@ -136,20 +149,23 @@ def learn_languages(
     lang: str = "lang",
     rows_per_language: int = 2_000,
     min_count: int = 2,
-    **settings: int,
+    order: int = 4,
+    max_words: int = 30_000,
+    max_grams: int = 8_000,
 ) -> BackoffModel:
     """Fit a model on the rows that are not held out and name a language.
 
     The fit uses whole texts of about `rows_per_language` rows of each language (all, where
     there are fewer), chosen by a hash of the id: a bound on labelled rows, whatever the
-    table's size. Only words met `min_count` times in a language come to the driver; n-grams
-    are taken from them too. Rows with a null id, text or language teach nothing.
+    table's size. N-grams are counted of all words, those met once too, in Spark; only the
+    counts that the model keeps, and those equal to the least kept, come to the driver. Rows
+    with a null id, text or language teach nothing, nor do languages without a letter.
     """
     rows = named(documents, _id=doc_id, _text=text, _lang=lang)
     rows = rows.where(learnable(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return BackoffModel([], **settings)
+        return BackoffModel([], order)
     share = F.create_map(*[F.lit(x) for lang_, n in sizes.items() for x in (lang_, min(1.0, rows_per_language / n))])
     draw = F.pmod(F.xxhash64("_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
     sample = rows.where(draw < share[F.col("_lang")])
@@ -163,10 +179,39 @@ def learn_languages(
             yield pd.DataFrame(flat, columns=["lang", "word", "n"])
 
     counted = sample.select("_lang", "_text").mapInPandas(count, "lang string, word string, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    found = counted.toArrow()
-    triples = (row for batch in found.to_batches(10_000) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    return BackoffModel(triples, min_count=min_count, **settings)
+    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    def levels_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for language, word, n in zip(batch["lang"], batch["word"], batch["n"].tolist(), strict=True):
+                if n >= min_count:
+                    counts[language, 0, word] += n
+                for k in range(1, order + 1):
+                    for gram in BackoffModel._grams(word, k):
+                        counts[language, k, gram] += n
+            flat = [(*key, n) for key, n in counts.items()]
+            yield pd.DataFrame(flat, columns=["lang", "level", "key", "n"])
+
+    kind = "lang string, level int, key string, n long"
+    tables = stored(counted.mapInPandas(levels_of, kind).groupBy("lang", "level", "key").agg(F.sum("n").alias("n")), "language-counts")
+    # How many keys have each count: from it the sums, and the least count that is kept.
+    totals: list[dict[str, int]] = [{} for _ in range(order + 1)]
+    least, met = {}, Counter()
+    most = [max_words, *[max_grams] * order]
+    for r in sorted(tables.groupBy("lang", "level", "n").agg(F.count("*").alias("keys")).collect(), key=lambda r: -r["n"]):
+        language, level = r["lang"], r["level"]
+        totals[level][language] = totals[level].get(language, 0) + r["n"] * r["keys"]
+        if met[language, level] < most[level]:
+            least[language, level] = r["n"]
+        met[language, level] += r["keys"]
+    bounds = documents.sparkSession.createDataFrame([(*key, n) for key, n in least.items()], "lang string, level int, least long")
+    found = tables.join(F.broadcast(bounds), ["lang", "level"]).where(F.col("n") >= F.col("least")).select("lang", "level", "key", "n").toArrow()
+    levels: list[dict[str, Counter]] = [{} for _ in range(order + 1)]
+    for batch in found.to_batches(10_000):
+        for language, level, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            levels[level].setdefault(language, Counter())[key] = n
+    return BackoffModel.of_tables(list(totals[1]) if order else list(totals[0]), levels, totals, most)
 
 
 def language_column(spark, model: BackoffModel, text: Column) -> Column:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from helpers import CLASHING, DOCS, awkward, documents, rows_of
 
@@ -89,3 +90,30 @@ def test_split_is_crc32(spark):
     df = spark.createDataFrame(pd.DataFrame({"i": range(300)}))
     got = df.select("i", held_out(F.col("i")).alias("h"), learnable(F.col("i")).alias("l")).collect()
     assert all(r.h == (zlib.crc32(str(r.i).encode()) % 3 == 1) and r.l != r.h for r in got)
+
+
+def test_words_met_once_teach_their_grams(spark):
+    once = ["wuxoq woxuq quxow", "xoquw xuwoq qoxuw", "wuqox oxuqwo uqoxw"]  # no word twice
+    few = [(1000 + i, once[i % 3] if i < 3 else "quwox xowuq", "qq", "s", 1) for i in range(3)]
+    ids = [i for i in range(2000, 2060) if __import__("zlib").crc32(str(i).encode()) % 3 != 1][:3]
+    few = [(i, *r[1:]) for i, r in zip(ids, few, strict=True)]
+    df = spark.createDataFrame(corpus() + few + [(3000, "xowuq quwox", None, "s", 1)], DOCS)
+    model = learn_languages(df)
+    got = {r.doc_id: r.lang_pred for r in identify_languages(df, model).collect()}
+    assert "qq" in model.languages and got[3000] == "qq" and all(got[i] == "qq" for i in ids)
+    assert all(got[i] == lang for i, _, lang, _, _ in corpus())  # the small language takes no others
+    alone = spark.createDataFrame(few, DOCS)
+    assert {r.lang_pred for r in identify_languages(alone, learn_languages(alone)).collect()} == {"qq"}
+
+
+def test_tables_are_those_of_all_counts(spark):
+    rows = [r for r in corpus(60) if __import__("zlib").crc32(str(r[0]).encode()) % 3 != 1]
+    counts = {}
+    for _, text, lang, _, _ in rows:
+        for w in words_of(text):
+            counts[lang, w] = counts.get((lang, w), 0) + 1
+    want = BackoffModel([(*k, n) for k, n in counts.items()], max_words=20, max_grams=15)
+    got = learn_languages(spark.createDataFrame(rows, DOCS), max_words=20, max_grams=15)
+    assert got.languages == want.languages
+    for (a, x), (b, y) in zip([got.words, *got.grams], [want.words, *want.grams], strict=True):
+        assert a.keys() == b.keys() and all(np.allclose(x[a[k]], y[b[k]]) for k in a)
