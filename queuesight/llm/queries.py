@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .decontaminate import contamination
 from .embedding_dedup import embedding_duplicates
+from .importance import resample
 from .language_id import identify_languages, learn_languages
 from .masked_lm import score_documents_masked
 from .mixing import label_domains, mix_documents
@@ -125,3 +126,50 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1_024)
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, buckets=10_000, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op11_importance_resampling"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark
+), dw AS (
+  SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY ALL
+), hexed AS (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM dw UNION SELECT f FROM b)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, y: xor(c // 256, tab[CAST(xor(c % 256, y) AS BIGINT) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc
+), s AS (
+  SELECT bucket, sum(n) AS s FROM dw JOIN hashed USING (f) GROUP BY ALL
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN hashed USING (f) GROUP BY ALL
+), gains AS (
+  SELECT r.bucket, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+    / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY ALL
+), scored AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN able AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed
+"""
