@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .embedding_dedup import embedding_duplicates
 from .importance import resample
 from .language_id import identify_languages, learn_languages
@@ -173,3 +174,49 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN able AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
 FROM placed
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), least_documents=3, top=200)
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), met AS (
+  SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM met GROUP BY ALL HAVING count(DISTINCT row) >= 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM met JOIN kept USING (lang, term) GROUP BY ALL
+), size AS (
+  SELECT g.lang, g.source, coalesce(any_value(k.v), 0) AS v, CAST(coalesce(any_value(t.n), 0) AS HUGEINT) AS total
+  FROM g LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY ALL) k USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) t USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (s.total + s.v) AS p
+  FROM size s JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 1)) // (any_value(a.total) + any_value(a.v)) AS q
+  FROM p JOIN (SELECT lang, CAST(sum(total) AS HUGEINT) AS total, any_value(v) AS v FROM size GROUP BY ALL) a USING (lang) GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM every UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 200
+"""
