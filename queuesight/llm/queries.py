@@ -12,6 +12,8 @@ from .divergence import source_divergence
 from .embedding_dedup import embedding_duplicates
 from .importance import resample
 from .language_id import identify_languages, learn_languages
+from .license_rules import CONFIDENCE, parsed
+from .licenses import PHRASE_CONFIDENCE, scan_licenses
 from .masked_lm import score_documents_masked
 from .mixing import label_domains, mix_documents
 from .quality import learn_quality, score_quality
@@ -220,3 +222,67 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM ranked QUALIFY part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    joined = [F.concat_ws(",", c).alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def _rule_rows() -> str:
+    """The rules as SQL rows; the patterns are those of the rule list, with a space of its own around each word."""
+    return ",\n  ".join(f"({r.number}, {r.level}, '{r.label}', ' {r.pattern.replace(' ', '  ')} ')" for r in parsed())
+
+
+# Every rule over every text, without keywords; overlaps are resolved one section after another.
+ORACLES["op12_license_scan"] = (
+    r"""
+WITH rules(number, level, label, pattern) AS (VALUES
+  RULES
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS body FROM d
+), phrases(label, phrase) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS i FROM d, phrases) GROUP BY ALL
+), matched AS (
+  SELECT doc_id, number, level, label, string_split_regex(body, pattern) AS gaps, regexp_extract_all(body, pattern) AS hits
+  FROM t, rules WHERE regexp_matches(body, pattern)
+), parts AS (
+  SELECT doc_id, number, level, label, unnest(list_transform(gaps[:-2], lambda g: length(trim(g)))) AS gap_chars, unnest(gaps[:-2]) AS gap, unnest(hits) AS hit,
+    unnest(range(len(hits))) AS k FROM matched
+), counted AS (
+  SELECT doc_id, number, level, label, k, CASE WHEN gap_chars = 0 THEN 0 ELSE len(string_split(trim(gap), '  ')) END AS before, len(string_split(trim(hit), '  ')) AS own FROM parts
+), found AS (
+  SELECT doc_id, number, level, label, CAST(sum(before + own) OVER w - own AS BIGINT) AS s, CAST(sum(before + own) OVER w AS BIGINT) AS e
+  FROM counted WINDOW w AS (PARTITION BY doc_id, number ORDER BY k ROWS UNBOUNDED PRECEDING)
+), KEPT labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM (
+    SELECT doc_id, label, CONFIDENCES AS c FROM (KEPT_ALL)
+    UNION ALL SELECT doc_id, unnest(string_split(base_labels, ',')), PHRASE FROM base) GROUP BY ALL
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id)
+""".replace("RULES", _rule_rows())
+    .replace(
+        "KEPT_ALL", " UNION ALL ".join(f"SELECT * FROM kept{n}" for n in range(len(CONFIDENCE)))
+    )
+    .replace(
+        "KEPT",
+        "".join(
+            f"free{n} AS (SELECT * FROM found a WHERE level = {n}"
+            + "".join(f" AND NOT EXISTS (SELECT 1 FROM kept{m} b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)" for m in range(n))
+            + f"), kept{n} AS (SELECT * FROM free{n} a WHERE NOT EXISTS (SELECT 1 FROM free{n} b WHERE b.doc_id = a.doc_id AND b.s <= a.s AND a.e <= b.e"
+            + " AND (b.s < a.s OR a.e < b.e OR b.number < a.number))), "
+            for n in range(len(CONFIDENCE))
+        ),
+    )
+    .replace("CONFIDENCES", "CASE level " + " ".join(f"WHEN {n} THEN {c}" for n, c in enumerate(CONFIDENCE)) + " END")
+    .replace("PHRASE ", f"{PHRASE_CONFIDENCE} ")
+)
