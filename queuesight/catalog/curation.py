@@ -32,13 +32,13 @@ def _strip(c: str) -> str:
 _AS_TEXT = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
 
 
-def _round_trip(spark, sf, kind):
+def _round_trip(spark, sf, kind, **options):
     folder = fresh_path(spark, f"documents-{kind}")
     texts = table(spark, sf, "documents").selectExpr(
         "CAST(doc_id AS STRING) AS doc_id", "text", "lang", "source", "CAST(n_chars AS STRING) AS n_chars"
     )
     write_table(texts, folder, kind)
-    return read_tickets(spark, folder, format=kind).select("doc_id", "text", "lang", "source", "n_chars")
+    return read_tickets(spark, folder, format=kind, **options).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query(_AS_TEXT)
@@ -47,6 +47,22 @@ def read_tickets_csv(spark, sf):
     return _round_trip(spark, sf, "csv")
 
 
+@query(_AS_TEXT)
+def read_csv_blocks(spark, sf):
+    """The same files, each read by as many tasks as it has blocks."""
+    return _round_trip(spark, sf, "csv", parallel=True)
+
+
+@query("SELECT COUNT(*) AS rows, CAST(SUM(length(text)) AS BIGINT) AS characters, CAST(bit_xor(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT)) AS BIGINT) AS digest FROM documents")
+def read_json_blocks(spark, sf):
+    """`.json` files, each one list of rows, read by as many tasks as they have blocks."""
+    folder = fresh_path(spark, "lists")
+    _write_json_documents(table(spark, sf, "documents").select("doc_id", "text"), folder)
+    read = read_tickets(spark, folder, format="json", parallel=True)
+    digest = F.bit_xor(F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+    return read.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("characters"), digest.alias("digest"))
+
+
 @query(_AS_TEXT)
 def read_tickets_tsv(spark, sf):
     return _round_trip(spark, sf, "tsv")

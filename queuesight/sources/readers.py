@@ -12,6 +12,8 @@ from .. import constants as K
 from ..functions.numeric import coerce_double, round_scaled
 from ..operators.columns import require_columns
 from ..operators.profile import profile_dataset, select_largest
+from .delimited import read_delimited_blocks
+from .json_documents import read_json_blocks
 
 
 def _suffix(path: str) -> str:
@@ -22,7 +24,7 @@ def _suffix(path: str) -> str:
 def _missing_to_null(df: DataFrame, cells: Sequence[str]) -> DataFrame:
     texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     return df.select(
-        *[F.when(~df[c].isin(*cells), df[c]).alias(c) if c in texts else df[c] for c in df.columns]
+        *[F.when(~df[f"`{c}`"].isin(*cells), df[f"`{c}`"]).alias(c) if c in texts else df[f"`{c}`"] for c in df.columns]
     )
 
 
@@ -34,17 +36,27 @@ def read_tickets(
     multi_line: bool = True,
     infer: bool = False,
     missing: Sequence[str] = K.MISSING_CELLS,
+    parallel: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Read a table by the suffix of its path (csv, tsv, jsonl, json, parquet).
 
     Message bodies hold line breaks and quotes, so delimited files are read with quoted
-    multi-line cells; pass `multi_line=False` for files without them, which lets Spark split
-    a large file. Cells are text unless a schema is given or `infer` is set, and the usual
+    multi-line cells, a file by one task. With `parallel` many tasks read a large file
+    (`read_delimited_blocks`); `position` then names a column that orders the rows as in the
+    files. Pass `multi_line=False` for files without line breaks in cells. Cells are text unless a schema is given or `infer` is set, and the usual
     missing markers are null. A `.json` file is a document (a list of rows, a row or a value)
-    or one row per line; malformed JSON is an error that names the path.
+    or one row per line; malformed JSON is an error that names the path. With `parallel` a
+    `.json` document has to be a list of rows, and many tasks read it (`read_json_blocks`).
     """
     kind = format or _suffix(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
+    if parallel and kind == "json" and schema is None and position is None:
+        return read_json_blocks(spark, path)
+    if parallel and (kind not in ("csv", "tsv") or infer):
+        raise ValueError("delimited files without type inference, and JSON lists without a schema, can be read in parallel")
+    if parallel:
+        return _missing_to_null(read_delimited_blocks(spark, path, "\t" if kind == "tsv" else ",", schema, position), missing)
     if kind in ("csv", "tsv"):
         df = reader.csv(
             path,
