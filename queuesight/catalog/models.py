@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.common import _py2java
+import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import compare, models, scoring, splits
+from ..operators import compare, logistic, models, scoring, splits
 from ..plans import evaluation, training
 from ..session import fresh_path, spread
 from ..streaming import jobs
@@ -87,6 +85,32 @@ def trained_models_evaluated(spark, sf):
     )
 
 
+@query(
+    """WITH e AS (SELECT lang, CASE quality WHEN 1 THEN 'high' ELSE 'low' END AS priority FROM documents JOIN labels USING (doc_id)),
+        n AS (SELECT 'category' AS target, lang AS class, COUNT(*) AS n FROM e WHERE lang IS NOT NULL GROUP BY ALL
+              UNION ALL SELECT 'priority', priority, COUNT(*) FROM e GROUP BY ALL),
+        t AS (SELECT target, SUM(n) AS rows, COUNT(*) AS classes FROM n GROUP BY target)
+        SELECT target, class, CAST(rows AS BIGINT) AS rows, n AS positives,
+          round(CASE WHEN classes = 2 THEN rows ELSE rows / classes + rows - n END * ln(2), 6) AS loss_at_zero,
+          TRUE AS fell, TRUE AS gradient_within_bound
+        FROM n JOIN t USING (target) WHERE classes > 2 OR class = 'low'"""
+)
+def trained_optimality(spark, sf):
+    """Per fitted problem: its rows, the loss it began with, and that the least loss was reached."""
+    labelled = _labelled(spark, sf)
+    rows = []
+    for target in ("category", "priority"):
+        model = _train(labelled, target)
+        about = model.metadata
+        classes = model.labels if len(model.models) > 1 else model.labels[1:]
+        found = zip(classes, about["losses_at_zero"], about["losses"], about["gradient_norms"], about["gradient_bounds"], strict=True)
+        rows += [(target, c, about["rows"], round(first, 6), last < first, norm <= bound) for c, first, last, norm, bound in found]
+    fitted = spark.createDataFrame(rows, "target string, class string, rows long, loss_at_zero double, fell boolean, gradient_within_bound boolean")
+    counted = labelled.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("class")) for t in ("category", "priority")])).alias("x"))
+    counted = counted.groupBy("x.target", "x.class").agg(F.count(F.lit(1)).alias("positives"))
+    return fitted.join(counted, ["target", "class"])
+
+
 # Scoring is checked with stated coefficients: term number i of the vocabulary and class number k.
 def _stated(spark, sf, label):
     """A classifier of category or priority over the documents' own terms, with stated coefficients."""
@@ -94,11 +118,8 @@ def _stated(spark, sf, label):
     features = models.fit_features(models.with_folded(documents, "text"), models.FOLDED)
     terms = next(s for s in features.stages if hasattr(s, "vocabulary")).vocabulary
     labels = sorted(r[0] for r in _labelled(spark, sf).select(label).distinct().collect())
-    fitted = []
-    for k in range(len(labels) if len(labels) > 2 else 1):
-        weights = DenseVector([((i * 37 + k * 101) % 199 - 99) / 50.0 for i in range(len(terms))])
-        java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"stated-{label}-{k}", _py2java(spark.sparkContext, weights), (k - 1) / 4.0)
-        fitted.append(LogisticRegressionModel(java))
+    weights = [[((i * 37 + k * 101) % 199 - 99) / 50.0 for i in range(len(terms))] for k in range(len(labels) if len(labels) > 2 else 1)]
+    fitted = [models.linear_model(spark, f"stated-{label}-{k}", np.array([*w, (k - 1) / 4.0])) for k, w in enumerate(weights)]
     return models.TextClassifier(features, labels, fitted)
 
 
@@ -118,6 +139,33 @@ _STATED = f"""d AS ({_WORDS}), t AS (SELECT doc_id, unnest(w) AS term FROM d
   best_priority AS (SELECT doc_id, label, p FROM priority QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) = 1)"""
 
 
+@query(
+    f"""WITH {_STATED}, e AS (SELECT doc_id, names.k AS own FROM documents JOIN labels USING (doc_id) JOIN names USING (lang)),
+        n AS (SELECT own AS k, COUNT(*) AS n FROM e GROUP BY own),
+        r AS (SELECT doc_id, k, s, CASE WHEN own = k THEN 1 ELSE -1 END AS y,
+              CASE WHEN own = k THEN (SELECT SUM(n) / COUNT(*) FROM n) / n ELSE 1 END AS weight FROM e JOIN s USING (doc_id) JOIN n USING (k)),
+        sums AS (SELECT k, SUM(weight * ln(1 + exp(-y * s))) AS loss, SUM(-weight * y / (1 + exp(y * s))) AS free FROM r GROUP BY k),
+        g AS (SELECT k, i, SUM(-weight * y / (1 + exp(y * s)) * x) AS g FROM r JOIN x USING (doc_id) GROUP BY k, i),
+        w AS (SELECT k, i, ((i * 37 + k * 101) % 199 - 99) / 50e0 AS w FROM v, names),
+        pen AS (SELECT k, SUM(w * w) / 2 AS penalty, SUM((w + COALESCE(g, 0)) * (w + COALESCE(g, 0))) AS squares FROM w LEFT JOIN g USING (k, i) GROUP BY k)
+        SELECT lang AS class, n AS positives, round(loss + penalty, 6) AS loss, round(sqrt(squares + free * free), 6) AS gradient_norm
+        FROM names JOIN n USING (k) JOIN sums USING (k) JOIN pen USING (k)"""
+)
+def joint_gradient(spark, sf):
+    """Losses and gradients of all classes at stated coefficients, from one distributed evaluation."""
+    model = _stated(spark, sf, "category")
+    names = F.create_map(*[x for i, c in enumerate(model.labels) for x in (F.lit(c), F.lit(i))])
+    labelled = _labelled(spark, sf).where("category IS NOT NULL")
+    examples = model.features.transform(models.with_folded(labelled, "customer_message")).select("features", names[F.col("category")].alias("code"))
+    counts = {r["category"]: r["count"] for r in labelled.groupBy("category").count().collect()}
+    weights = np.stack([np.append(m.coefficients.toArray(), m.intercept) for m in model.models])
+    positive = np.array([sum(counts.values()) / (len(counts) * counts[c]) for c in model.labels])
+    problems = logistic.Problems(logistic.packed(examples, "features", "code"), np.arange(len(counts)), positive, np.ones(len(counts)), weights.shape[1] - 1)
+    losses, gradients = problems.evaluated(problems.codes, weights)
+    rows = [(c, counts[c], round(float(loss), 6), round(float(np.linalg.norm(g)), 6)) for c, loss, g in zip(model.labels, losses, gradients, strict=True)]
+    return spark.createDataFrame(rows, "class string, positives long, loss double, gradient_norm double")
+
+
 @query(
     f"""WITH {_STATED}, w AS (SELECT lang AS class, term AS feature, ((i * 37 + k * 101) % 199 - 99) / 50e0 AS weight FROM v CROSS JOIN names)
         SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY weight DESC, feature) AS INTEGER) AS rank, feature, weight FROM w

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.numeric import round_exact
 from .columns import require_no_leak
+from .logistic import Problems, fitted, packed
 from .splits import class_counts
 
 
@@ -177,6 +178,14 @@ class TextClassifier:
         return cls(PipelineModel.load(f"{path}/features"), json.loads(about["labels"]), models, json.loads(about["metadata"]))
 
 
+def linear_model(spark: SparkSession, name: str, weights: np.ndarray) -> LogisticRegressionModel:
+    """A binary model of given weights, the intercept last."""
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"class-{name}", _py2java(spark.sparkContext, DenseVector(weights[:-1])), float(weights[-1])
+    )
+    return LogisticRegressionModel(java)
+
+
 def train_classifier(
     df: DataFrame,
     text: str = "customer_message",
@@ -184,13 +193,15 @@ def train_classifier(
     vocabulary: int = K.VOCABULARY_SIZE,
     max_iterations: int = K.MAX_ITERATIONS,
     balanced: bool = True,
-    parallelism: int = 4,
+    tolerance: float = 1e-5,
 ) -> TextClassifier:
     """Fit one logistic regression per class against the rest (one in all for two classes).
 
     A class's rows weigh n/(K*n_c) in its own problem and the other rows 1, as a
     per-class liblinear fit has it; with two classes both carry their weight. The penalty
-    is 0.5*|w|^2 against the plain sum of losses, hence 1 over the sum of weights here.
+    is 0.5*|w|^2 against the plain sum of losses. All classes are fitted together, a job for
+    each evaluation, until each gradient is `tolerance` times what it was at zero weights or
+    `max_iterations` is reached; the metadata says what was reached.
     """
     require_no_leak([text])
     # The folded text is read by three passes (counts and vocabulary, idf, features).
@@ -203,31 +214,23 @@ def train_classifier(
         raise ValueError("a classifier needs at least two labels")
     rows = sum(counts.values())
     weight = {c: rows / (len(labels) * n) if balanced else 1.0 for c, n in counts.items()}
-    features = fit_features(base, FOLDED, vocabulary)
-    examples = features.transform(base).select("features", "_class").persist()
-
-    def fit(positive: str, negative_weight: float) -> LogisticRegressionModel:
-        is_positive = F.col("_class") == positive
-        shaped = examples.select(
-            "features",
-            is_positive.cast("double").alias("label"),
-            F.when(is_positive, F.lit(weight[positive])).otherwise(F.lit(negative_weight)).alias("weight"),
-        )
-        total = weight[positive] * counts[positive] + negative_weight * (rows - counts[positive])
-        return LogisticRegression(
-            weightCol="weight", maxIter=max_iterations, regParam=1.0 / total, standardization=False, tol=1e-4
-        ).fit(shaped)
-
     try:
-        if len(labels) == 2:
-            models = [fit(labels[1], weight[labels[0]])]
-        else:
-            # The class problems are independent jobs over the same cached features.
-            with ThreadPool(min(parallelism, len(labels))) as pool:
-                models = pool.map(inheritable_thread_target(base.sparkSession)(lambda c: fit(c, 1.0)), labels)
+        features = fit_features(base, FOLDED, vocabulary)
+        code = F.create_map(*[x for i, c in enumerate(labels) for x in (F.lit(c), F.lit(i))])
+        examples = features.transform(base).select("features", code[F.col("_class")].alias("code"))
+        blocks = packed(examples, "features", "code")
     finally:
-        examples.unpersist()
         base.unpersist()
+    positive = labels[1:] if len(labels) == 2 else labels
+    problems = Problems(
+        blocks,
+        np.array([labels.index(c) for c in positive]),
+        np.array([weight[c] for c in positive]),
+        np.array([weight[labels[0]] if len(labels) == 2 else 1.0] * len(positive)),
+        len(next(s for s in features.stages if hasattr(s, "vocabulary")).vocabulary),
+    )
+    found, figures = fitted(problems, tolerance, max_iterations)
+    models = [linear_model(df.sparkSession, c, found[k]) for k, c in enumerate(positive)]
     metadata = {
         "model_type": K.MODEL_TYPE,
         "text": text,
@@ -237,6 +240,7 @@ def train_classifier(
         "vocabulary": vocabulary,
         "max_iterations": max_iterations,
         "class_weight": "balanced" if balanced else "none",
+        **figures,
     }
     return TextClassifier(features, labels, models, metadata)
 

@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as entry_point
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"trained_features", "trained_models_evaluated"}  # fits of several models; tests/test_models.py checks fitting
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -44,7 +43,7 @@ def test_query_matches_sql(spark, con, name):
     assert comparable(df.select(*columns).collect()) == comparable(cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
