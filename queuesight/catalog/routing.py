@@ -10,6 +10,7 @@ from ..operators import compare, coverage, dashboard, rules, stores, validation
 from ..operators.metrics import confusion_cells, score_summary
 from ..plans import curation, evaluation
 from ..session import fresh_path, spread
+from ..sources import merge_store, paged
 from ..sources.writers import append_predictions as append_records
 from ..sources.writers import apply_ticket_changes, load_tickets
 from .curation import _NORMALIZED_SQL
@@ -420,6 +421,20 @@ def ticket_page_deep(spark, sf):
     return dashboard.ticket_page(tickets, 130, 60).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """SELECT 'first' AS page, * FROM (SELECT doc_id AS id, lang FROM documents ORDER BY doc_id LIMIT 20)
+       UNION ALL SELECT 'deep', * FROM (SELECT doc_id AS id, lang FROM documents ORDER BY doc_id LIMIT 30 OFFSET 145)"""
+)
+def ticket_page_indexed(spark, sf):
+    """Two pages of a store that was written in two parts whose ranges overlap; only files that cross a page are read."""
+    path = fresh_path(spark, "paged")
+    tickets = table(spark, sf, "documents").selectExpr("doc_id AS id", "lang")
+    for part in (0, 1):
+        paged.append_paged(tickets.where(f"id % 2 = {part}"), path)
+    pages = [paged.read_page(spark, path, skip, limit).select(F.lit(name).alias("page"), "id", "lang") for name, skip, limit in (("first", 0, 20), ("deep", 145, 30))]
+    return pages[0].unionByName(pages[1])
+
+
 # --- probabilities and the record contract ----------------------------------------------
 
 _P = [f"CAST(1 + w{i} AS DOUBLE) / (total + 6)" for i in range(7)]
@@ -624,6 +639,20 @@ def detach_deleted(spark, sf):
     return stores.detach_deleted(log, _changes(spark, sf))
 
 
+@query(f"SELECT *, 2::BIGINT AS copies FROM ({_AFTER_SQL})")
+def ticket_changes_merged(spark, sf):
+    """Changes added to a bucketed store in two batches: the table as read before and after compaction, alike."""
+    path, changes = fresh_path(spark, "merged-tickets"), _changes(spark, sf)
+    merge_store.create_store(_stored(spark, sf), path)
+    for batch in ("seq < 3", "seq = 3"):  # what comes again after a delete comes later
+        merge_store.add_changes(changes.where(batch), path)
+    before = merge_store.read_store(spark, path)
+    merge_store.compact(spark, path, remove=False)
+    rows = before.unionByName(merge_store.read_store(spark, path))
+    rows = rows.select("id", "language", "channel", "status", (F.month("updated_at") == 6).alias("stamped"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query(
     f"""WITH s AS ({_AFTER_SQL}) SELECT 'tickets' AS store, COUNT(*) AS n, COUNT(language) AS filled FROM s
         UNION ALL SELECT 'log', COUNT(*), COUNT(CASE WHEN user_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL ELSE user_id END) FROM events"""

@@ -19,8 +19,10 @@ from ..operators.dashboard import log_cells, summarize_cells
 from ..operators.ordinals import first_per_key
 from ..operators.scoring import route_scored
 from ..operators.validation import check_predictions
-from ..session import fresh_path, replace_table
-from ..sources.writers import read_or_none
+from ..session import broadcast_checked, fresh_path, replace_table
+from ..sources.key_index import KeyIndex
+
+MERGED_AFTER = 32  # batches
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -116,23 +118,28 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Add tickets whose external id is not stored yet; tickets without one are always added.
 
-    The stored table itself answers which ids are known, so no state grows with the stream,
-    and any number of runs, from any source, may add to one store. A micro-batch is written
-    under its query and number and ignores what an interrupted attempt of itself left, so a
-    repeat gives the same table. `order` decides which of several rows with one id comes
-    first inside a batch. Progress is kept in the store, for each source apart, unless
-    `checkpoint` names another place.
+    An index of the stored ids (`KeyIndex`) lies beside the table: a micro-batch opens only
+    the buckets of ids that its own may be in, so no state grows with the stream and the
+    stored rows are not read; any number of runs, from any source, may add to one store. A
+    micro-batch is written under its query and number and ignores what an interrupted attempt
+    of itself left, so a repeat gives the same table. `order` decides which of several rows
+    with one id comes first inside a batch. Progress is kept in the store, for each source
+    apart, unless `checkpoint` names another place. Entries of `MERGED_AFTER` batches are
+    folded into one.
     """
     def store(batch: DataFrame, number: int) -> None:
         run, spark = _run(batch), batch.sparkSession
+        own = (f"run={run}", f"batch={number}")
+        index = KeyIndex(spark, path, key)
         keyed = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
         first = first_per_key(batch.where(keyed), key, order)
-        known = read_or_none(spark, path)
-        if known is not None:
-            own = (F.col("run") == run) & (F.col("batch") == number)
-            known = known.where(~own & F.col(key).isNotNull()).select(key)
-            first = first.join(known, key, "left_anti").select(*batch.columns)
+        known, _ = index.known(first.select(F.col(key).cast("string").alias("key")), but=own)
+        few = broadcast_checked(known.select(F.col("key").alias("_known")), known.count())
+        first = first.join(few, F.col(key).cast("string") == F.col("_known"), "left_anti").select(*batch.columns)
         _write_batch(first.unionByName(batch.where(~keyed)), path, run, number)
+        index.caught_up()
+        if number % MERGED_AFTER == MERGED_AFTER - 1:
+            index.merge()
 
     return (
         incoming.writeStream.foreachBatch(store)
