@@ -3,206 +3,229 @@
 Every run of consecutive sentences is hashed: from each sentence on, and up to each sentence,
 the shortest run of at least `sentences` sentences and `words` words. Runs with equal hashes
 are joined over the whole corpus, and the sentences that a run covers go wherever it is not
-the first of its kind.
+the first of its kind. Words, cuts and hashes are computed for many texts at once in numpy.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS
 from .common import named, small, stored, text_key
 
-SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*")
-WORD = re.compile(r"\s*\S+\s*")
-WINDOW = 8  # of any so many words of a sentence, at least one ends a piece
-
-
-class WordHashes(dict):
-    """Hashes of words, whatever their case and the white space around, remembered in bounded room."""
-
-    def __init__(self, room: int = 400_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh32_intdigest(word.strip().lower().encode("utf-8", "replace"))
-        if len(self) < self.room:
-            self[word] = found
-        return found
+WINDOW = 8  # of any so many words of a sentence, at least one ends a piece; a power of two
+CHUNK = 4 << 20  # bytes of text handled at a time
+STEP = 1 << 19  # words hashed at a time
+SPACE = np.zeros(256, bool)
+SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+LOWERED = np.arange(256, dtype=np.uint64)
+LOWERED[0x41:0x5B] += np.uint64(32)
+FULL_STOP = np.zeros(256, bool)
+FULL_STOP[[0x21, 0x2E, 0x3F]] = True
+# Odd multipliers of the three rolling hashes, modulo 2**64.
+OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of a number over all of its bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word buffer[start:end], A-Z taken as a-z."""
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), STEP):
+        s, e = starts[at : at + STEP], ends[at : at + STEP]
+        sizes = e - s
+        offsets = np.cumsum(sizes) - sizes
+        inside = np.arange(sizes.sum()) - np.repeat(offsets, sizes)
+        values = (LOWERED[buffer[inside + np.repeat(s, sizes)]] + np.uint64(1)) * _powers(OF_BYTES, int(sizes.max()))[inside]
+        out[at : at + STEP] = _mixed(np.add.reduceat(values, offsets))
+    return out
 
 
-HASHES = WordHashes()
+def _least(values: np.ndarray) -> np.ndarray:
+    """The least of each WINDOW successive values, by doubling."""
+    size = 1
+    while size < WINDOW:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return values
 
 
-def ends_of_pieces(hashes: np.ndarray, sentences: np.ndarray) -> np.ndarray:
-    """True where a word's hash is the least of some WINDOW successive words of its sentence.
+def ends_of_pieces(hashes: np.ndarray, stops: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """True where a word ends a piece: a full stop, the end of its text, or the least hash of some WINDOW words of its sentence.
 
-    `sentences` has the number of each word's sentence, ascending. Whether a word ends a
-    piece depends on fewer than WINDOW words to either side.
+    Whether a word ends a piece depends on fewer than WINDOW words of its sentence to either side.
     """
-    n = len(hashes) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(len(hashes), bool)
-    least = np.where(sentences[:n] == sentences[WINDOW - 1 :], np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).min(axis=1), -1)
+    last = np.r_[docs[1:] != docs[:-1], True] if len(docs) else np.zeros(0, bool)
+    ends = stops | last
+    if len(hashes) < WINDOW:
+        return ends
+    sentence = np.cumsum(np.r_[0, ends[:-1]])
+    values = (hashes >> np.uint64(1)).astype(np.int64)
+    least = np.where(sentence[: len(values) - WINDOW + 1] == sentence[WINDOW - 1 :], _least(values), -1)
     none = np.full(WINDOW - 1, -1)
-    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, least, none]), WINDOW)
-    return around.max(axis=1) == hashes
+    return ends | (-_least(-np.r_[none, least, none]) == values)
 
 
-def sentences_of(text: str | None) -> list[str]:
-    """Pieces that together are the text: up to a full stop, mark or line feed and the white space after it.
+class Pieces(NamedTuple):
+    """The pieces of some texts: their words (first, end), text, first byte, and the words' hashes."""
 
-    Sentences of WINDOW words or more are cut further after words whose hash is the least of a
-    window. A piece has at most WINDOW words, and all but the first and last WINDOW - 1 words
-    of a passage are cut alike wherever it stands. So any 50 words that two texts share, with
-    or without marks, hold an equal run of three pieces and twelve words: a cut within the first
-    15 words, and from it three pieces of up to 8 words or up to 11 + 8 words.
-    """
-    parts = SENTENCE.findall(text or "")
-    words = [WORD.findall(part) for part in parts]
-    long = [i for i, found in enumerate(words) if len(found) >= WINDOW]
-    if not long:
-        return parts
-    flat = [w for i in long for w in words[i]]
-    ends = ends_of_pieces(np.array([HASHES[w] for w in flat], np.int64), np.repeat(long, [len(words[i]) for i in long])).tolist()
-    out, at, cut = [], 0, set(long)
-    for i, part in enumerate(parts):
-        if i not in cut:
-            out.append(part)
-            continue
-        start, own = 0, words[i]
-        for k in range(len(own)):
-            if ends[at + k]:
-                out.append("".join(own[start : k + 1]))
-                start = k + 1
-        if start < len(own):
-            out.append("".join(own[start:]))
-        at += len(own)
-    return out
+    first: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    byte: np.ndarray
+    hashes: np.ndarray
 
 
-def runs_of(pieces: list[str], sentences: int = 3, words: int = 12) -> list[tuple[int, int, bytes]]:
-    """(first, last, digest) of the runs; case and white space do not matter.
+def pieces_of(texts: Sequence[bytes]) -> Pieces:
+    """Cuts texts into pieces: up to a full stop and the white space after it, or a word of least hash.
 
-    Pieces without a word belong to no count and end no run.
+    Line ends are white space like any other, so a text wrapped otherwise is cut alike. A
+    piece has at most WINDOW words, and all but the first and last WINDOW - 1 words of a
+    passage are cut alike wherever it stands. So any 50 words that two texts share hold an
+    equal run of three pieces and twenty words: 15 words up to the first sure cut, from it at
+    most 28 words, and the last cut is sure 7 words before the end. Texts of white space only
+    have no pieces.
     """
-    normal = [" ".join(p.lower().split()) for p in pieces]
-    solid = [i for i, p in enumerate(normal) if p]
-    if len(solid) < sentences:
-        return []
-    texts = [normal[i] for i in solid]
-    sizes = [p.count(" ") + 1 for p in texts]
-    n, spans = len(solid), set()
-    end, total = 0, 0
-    for start in range(n):  # the window [start, end) only ever moves on
-        while end < n and (end - start < sentences or total < words):
-            total += sizes[end]
-            end += 1
-        if end - start < sentences or total < words:
-            break
-        spans.add((start, end - 1))
-        total -= sizes[start]
-    start, total = n, 0
-    for last in range(n - 1, -1, -1):
-        while start > 0 and (last - start + 1 < sentences or total < words):
-            start -= 1
-            total += sizes[start]
-        if last - start + 1 < sentences or total < words:
-            break
-        spans.add((start, last))
-        total -= sizes[last]
-    digest = xxhash.xxh3_128_digest
-    return [(solid[s], solid[e], digest("\n".join(texts[s : e + 1]).encode("utf-8", "replace"))) for s, e in sorted(spans)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    buffer = np.frombuffer(b"\n".join(texts), np.uint8)
+    inside = np.zeros(len(buffer) + 2, np.int8)
+    inside[1:-1] = ~SPACE[buffer]
+    edges = np.diff(inside)
+    word_starts, word_ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    docs = np.searchsorted(starts, word_starts, "right") - 1
+    hashes = word_hashes(buffer, word_starts, word_ends)
+    end = np.flatnonzero(ends_of_pieces(hashes, FULL_STOP[buffer[word_ends - 1]], docs)) + 1
+    first = np.r_[0, end[:-1]] if len(end) else end
+    doc = docs[first]
+    leads = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
+    return Pieces(first, end, doc, np.where(leads, starts[doc], word_starts[first]), hashes)
+
+
+def runs_of(pieces: Pieces, sentences: int = 3, words: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) piece of every run: the shortest from each piece and up to each piece."""
+    n = len(pieces.end)
+    at = np.arange(n)
+    last = np.maximum(at + sentences - 1, np.searchsorted(pieces.end, pieces.first + words))
+    lead = np.minimum(at - sentences + 1, np.searchsorted(pieces.first, pieces.end - words, "right") - 1)
+    good, also = last < n, lead >= 0
+    good[good] = pieces.doc[last[good]] == pieces.doc[good]
+    also[also] = pieces.doc[lead[also]] == pieces.doc[also]
+    pairs = np.unique(np.r_[at[good] * n + last[good], lead[also] * n + at[also]])
+    return (pairs // n, pairs % n) if n else (pairs, pairs)
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words first up to end, as two arrays; the same words give the same bits anywhere."""
+    out = []
+    for base in OF_WORDS:
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, len(hashes)), dtype=np.uint64)]
+        back = _powers(pow(base, -1, 1 << 64), len(hashes))
+        out.append(_mixed((sums[end] - sums[first]) * back[first]).view(np.int64))
+    return out[0], out[1]
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[slice, list[bytes]]]:
+    """The rows of a batch, about CHUNK bytes of text at a time; nulls as empty texts."""
+    held, size, at = [], 0, 0
+    for i, text in enumerate(batch["text"]):
+        data = (text or "").encode("utf-8", "replace")
+        held.append(data)
+        size += len(data)
+        if size > CHUNK:
+            yield slice(at, i + 1), held
+            held, size, at = [], 0, i + 1
+    if held:
+        yield slice(at, len(batch)), held
 
 
 def _spans(sentences: int, words: int):
     """(h1, h2, doc_id, th, s, e, repeat) of every run; `repeat`: the text had it before."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digests, starts, ends, repeats, docs = [], [], [], [], []
-
-        def flush() -> pd.DataFrame:
-            hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            own = np.array(docs, np.int64).reshape(-1, 3)
-            frame = {"h1": hashes[:, 0], "h2": hashes[:, 1], "doc_id": np.repeat(own[:, 0], own[:, 2]), "th": np.repeat(own[:, 1], own[:, 2]), "s": starts, "e": ends, "repeat": repeats}
-            return pd.DataFrame(frame).astype({"s": "int32", "e": "int32", "repeat": "bool"})
-
         for batch in batches:
-            for doc_id, th, text in zip(batch["doc_id"].tolist(), batch["th"].tolist(), batch["text"], strict=True):
-                runs = runs_of(sentences_of(text), sentences, words)
-                if not runs:
+            for rows, texts in _chunks(batch):
+                pieces = pieces_of(texts)
+                s, e = runs_of(pieces, sentences, words)
+                if not len(s):
                     continue
-                s, e, found = zip(*runs, strict=True)
-                if len(set(found)) == len(found):
-                    repeats += [False] * len(found)
-                else:
-                    met = set()
-                    for x in found:
-                        repeats.append(x in met)
-                        met.add(x)
-                digests += found
-                starts += s
-                ends += e
-                docs.append((doc_id, th, len(found)))
-                if len(digests) > 50_000:
-                    yield flush()
-                    digests, starts, ends, repeats, docs = [], [], [], [], []
-        yield flush()
+                h1, h2 = run_hashes(pieces.hashes, pieces.first[s], pieces.end[e])
+                doc = pieces.doc[s]
+                order = np.lexsort((s, h2, h1, doc))
+                same = (doc[order][1:] == doc[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+                repeat = np.zeros(len(s), bool)
+                repeat[order[1:]] = same
+                base = np.searchsorted(pieces.doc, doc)  # a text's first piece
+                ids, hashes = batch["doc_id"].to_numpy()[rows], batch["th"].to_numpy()[rows]
+                yield pd.DataFrame({"h1": h1, "h2": h2, "doc_id": ids[doc], "th": hashes[doc], "s": (s - base).astype(np.int32), "e": (e - base).astype(np.int32), "repeat": repeat})
 
     return spans
 
 
-def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 12) -> DataFrame:
+def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 20) -> DataFrame:
     """(doc_id, th, s, e): runs of sentences, s to e, that are not the first of their kind.
 
-    Order is by id, then place; a null id comes first. Rows that repeat an id do not count
-    against one another; rows that repeat id and text are one document. `th` is a hash of the
-    text that tells rows of one id apart.
+    Order is by id, a null id first, then by `th`, a hash of the text that tells rows of one id
+    apart, then by place. Rows that repeat id and text are one document. Columns of other
+    names play no part.
     """
     lowest = F.lit(-(1 << 63))
     rows = named(documents, doc_id=doc_id, text=text)
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), text_key(F.col("text")).alias("th"), "text")
     spans = rows.mapInPandas(_spans(sentences, words), "h1 long, h2 long, doc_id long, th long, s int, e int, repeat boolean")
-    kinds = spans.where(~F.col("repeat")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    kinds = stored(kinds.where(F.col("first") < F.col("last")).select("h1", "h2", "first"), "repeated-runs")
-    judged = spans.join(small(kinds), ["h1", "h2"], "left").where(F.col("repeat") | (F.col("doc_id") > F.col("first")))
+    least = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "th") for n, f in (("least", F.min), ("most", F.max))]
+    kinds = spans.groupBy("h1", "h2").agg(*least, F.max("repeat").alias("inside"))
+    kinds = kinds.where((F.col("least_doc_id") < F.col("most_doc_id")) | (F.col("least_th") < F.col("most_th")) | F.col("inside"))
+    kinds = stored(kinds.select("h1", "h2", F.col("least_doc_id").alias("first")), "repeated-runs")
+    met = stored(spans.join(small(kinds), ["h1", "h2"]), "repeated-places")
+    # Of several texts with the least id the one with the least hash is first.
+    tied = met.where(F.col("doc_id") == F.col("first")).groupBy("h1", "h2").agg(F.min("th").alias("first_th"), F.max("th").alias("last_th"))
+    tied = stored(tied.where(F.col("first_th") < F.col("last_th")).drop("last_th"), "tied-runs")
+    judged = met.join(small(tied), ["h1", "h2"], "left")
+    later = (F.col("doc_id") > F.col("first")) | (F.col("th") > F.col("first_th"))
+    judged = judged.where(F.col("repeat") | F.coalesce(later, F.lit(False)))
     return judged.select(F.nullif("doc_id", lowest).alias("doc_id"), "th", "s", "e")
 
 
-def _merged(spans: Column) -> Column:
-    """Spans of sentences without overlaps, in order."""
-    kind = "array<struct<s:int,e:int>>"
-    return F.aggregate(
-        F.array_sort(spans),
-        F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"] + 1),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
-    )
+def _islands(spans: DataFrame) -> DataFrame:
+    """(hit_id, hit_th, covers): the spans of each text without overlaps, in order.
+
+    Spans of one text are sorted and merged as rows; what is gathered is shorter than the text.
+    """
+    spans = spans.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "s", "e").distinct()
+    before = Window.partitionBy("hit_id", "hit_th").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("fresh", (F.col("s") > F.coalesce(F.max("e").over(before), F.lit(-2)) + 1).cast("int"))
+    upto = Window.partitionBy("hit_id", "hit_th").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
+    islands = spans.withColumn("island", F.sum("fresh").over(upto)).groupBy("hit_id", "hit_th", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return islands.groupBy("hit_id", "hit_th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("covers"))
 
 
-def remove_repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 12) -> DataFrame:
+def remove_repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 20) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) of every row, the text without repeated passages.
 
-    The text kept is the remaining sentences as they were. A null text stays null with no
-    sentences; a text all of whose sentences repeat becomes empty.
+    The text kept is the remaining sentences as they were. A null text stays null and, like a
+    blank one, has no sentences; a text all of whose sentences repeat becomes empty. Different
+    texts count against one another whatever their ids, null and repeated ones included; rows
+    that repeat id and text are treated alike. Columns of other names play no part.
     """
-    found = repeated_spans(documents, doc_id, text, sentences, words)
-    covers = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("covers"))
-    covers = covers.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), _merged(F.col("covers")).alias("covers"))
-    covers = stored(covers, "covered-sentences")
+    covers = stored(_islands(repeated_spans(documents, doc_id, text, sentences, words)), "covered-sentences")
     size = covers.agg(F.count("*"), F.coalesce(F.sum(F.size("covers")), F.lit(0))).first()
     if sum(size) <= 2 * BROADCAST_ROWS:  # documents and spans: some tens of bytes each
         covers = F.broadcast(covers)
@@ -211,12 +234,24 @@ def remove_repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: st
 
     @F.pandas_udf("n_sentences int, n_removed int, text string")
     def cut(texts: pd.Series, covered: pd.Series) -> pd.DataFrame:
-        out = []
-        for body, spans in zip(texts, covered, strict=True):
-            pieces = sentences_of(body)
-            gone = {i for span in (spans if spans is not None else ()) for i in range(span["s"], span["e"] + 1)}
-            kept = None if body is None else "".join(p for i, p in enumerate(pieces) if i not in gone) if gone else body
-            out.append((len(pieces), len(gone), kept))
-        return pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
+        counts, removed, kept = [], [], []
+        for rows, data in _chunks(pd.DataFrame({"text": texts})):
+            pieces = pieces_of(data)
+            total = np.bincount(pieces.doc, minlength=len(data))
+            begin = np.cumsum([0] + [len(d) + 1 for d in data])  # of each text in the joined ones
+            firsts = np.cumsum(total) - total
+            for i, (spans, body) in enumerate(zip(covered.iloc[rows], texts.iloc[rows], strict=True)):
+                counts.append(total[i])
+                if spans is None or not len(spans):
+                    removed.append(0)
+                    kept.append(body)
+                    continue
+                gone = np.zeros(total[i], bool)
+                for span in spans:
+                    gone[span["s"] : span["e"] + 1] = True
+                edges = np.r_[pieces.byte[firsts[i] : firsts[i] + total[i]] - begin[i], len(data[i])]
+                removed.append(gone.sum())
+                kept.append(b"".join(data[i][edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)).decode("utf-8", "replace"))
+        return pd.DataFrame({"n_sentences": counts, "n_removed": removed, "text": kept}).astype({"n_sentences": "int32", "n_removed": "int32"})
 
     return marked.select("doc_id", cut("text", "covers").alias("x")).select("doc_id", "x.n_sentences", "x.n_removed", "x.text")
