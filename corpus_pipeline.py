@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from queuesight.llm.common import stored, table
 from queuesight.llm.decontaminate import contamination, drop_contaminated
-from queuesight.llm.language_id import UNDETERMINED, identify_languages, learn_languages
+from queuesight.llm.language_id import UNDETERMINED, language_column, learn_languages
 from queuesight.llm.mixing import draw_documents, label_domains, mix_documents
 from queuesight.llm.simhash import keep_one_of_each, near_duplicate_groups
 from queuesight.llm.token_files import token_digest
@@ -22,30 +22,33 @@ SHARES = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
-    scored = identify_languages(docs, learn_languages(docs))
-    return scored.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language can be told; those without a letter go. All columns stay as they are."""
+    found = language_column(spark, learn_languages(docs), F.col("text"))
+    return docs.where(found["lang_pred"] != UNDETERMINED)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal fingerprints stays."""
+    """One document of each group of near-equal fingerprints stays, with all its columns."""
     groups = stored(near_duplicate_groups(docs, shingle=4, radius=4), "near-duplicate-groups")
     return keep_one_of_each(docs, groups)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark stay."""
+    """Documents that are not contaminated by the benchmark stay, with all their columns."""
     return drop_contaminated(docs, contamination(docs, table(spark, sf_dir, "benchmark"), span=13, k=8, share=20))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Poor and toxic documents are drawn at their rates; good ones keep their total, so their rate is about 1."""
+    """Poor and toxic documents are drawn at their rates; good ones keep their total, so their rate is about 1.
+
+    All columns stay as they are; a table without documents stays empty.
+    """
     rates, _ = mix_documents(docs, label_domains(table(spark, sf_dir, "labels")), SHARES, keep_whole="good")
     return draw_documents(docs, rates)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token files, and each document as read back from them."""
+    """The corpus as token files, and each document as read back from them; other columns play no part."""
     return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 

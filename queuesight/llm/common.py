@@ -50,6 +50,27 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, or longer ones where `df` has a column of that name in any letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def matching(documents: DataFrame, keys: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
+    """(`keys` with its doc_id and th under names that `documents` has not, the condition that joins the two).
+
+    Only those two columns are kept, so nothing that `documents` carries can clash with them.
+    """
+    own_id, own_th = unused(documents, "own_id", "own_th")
+    renamed = keys.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th))
+    return renamed, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (text_key(F.col(f"`{text}`")) == F.col(own_th))
+
+
 def small(df: DataFrame) -> DataFrame:
     """Mark a stored frame for broadcast when its counted rows are few (see BROADCAST_ROWS)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, named, small, stored, text_key
+from .common import ascii_lower, matching, named, small, stored, text_key
 
 # What parts words once A-Z are lower-cased: every ASCII character but digits and letters.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -177,7 +177,7 @@ def contamination(
 
 
 def drop_contaminated(documents: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that `contamination` over the same rows calls clean, with all their columns."""
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct()
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("own_id")) & (text_key(F.col(f"`{text}`")) == F.col("own_th"))
-    return documents.join(small(stored(bad, "contaminated")), same, "left_anti")
+    """The rows that `contamination` over the same rows calls clean, with all their columns, whatever these are called."""
+    bad = judged.where("contaminated").select("doc_id", "th").distinct()
+    found, same = matching(documents, small(stored(bad, "contaminated")), doc_id, text)
+    return documents.join(found, same, "left_anti")

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, small, stored, text_key
+from .common import matching, named, small, stored, text_key
 
 BETWEEN_WORDS = r"[\s.,;:]+"
 ANY = ""  # the pseudo-word every document has; its weights are the priors
@@ -236,12 +236,12 @@ def draw_documents(documents: DataFrame, rates: DataFrame, doc_id: str = "doc_id
     """The rows kept when each stays with probability min(1, rate), fixed by a hash of id and text.
 
     Rates of over 1 keep a row once, so rates to draw by should be fitted with `most` 1, as
-    mix_documents does with `keep_whole`. All columns are kept.
+    mix_documents does with `keep_whole`. All columns are kept as they are, whatever their names.
     """
     draw = F.pmod(F.xxhash64("doc_id", "th", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    gone = stored(rates.where(draw >= F.col("rate")).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")), "not-drawn")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("own_id")) & (text_key(F.col(f"`{text}`")) == F.col("own_th"))
-    return documents.join(small(gone), same, "left_anti")
+    gone = stored(rates.where(draw >= F.col("rate")).select("doc_id", "th"), "not-drawn")
+    found, same = matching(documents, small(gone), doc_id, text)
+    return documents.join(found, same, "left_anti")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, small, stored, text_key
+from .common import matching, named, small, stored, text_key
 from .components import connected_components
 
 BITS = 64
@@ -210,19 +210,19 @@ def keep_one_of_each(documents: DataFrame, groups: DataFrame, doc_id: str = "doc
     """The rows without all but one of each group: the one with the smallest id (null ids last), then text hash.
 
     `groups` comes from `near_duplicate_groups` over the same rows. Of rows that repeat id and
-    text one stays. All columns are kept.
+    text one stays. All columns are kept as they are, whatever their names.
     """
     rows = groups.groupBy("group_id", "doc_id", "th").agg(F.count("*").alias("n"))
     first = rows.groupBy("group_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("first"))
     judged = rows.join(first, "group_id")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    judged = judged.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), is_first.alias("stays"), "n")
+    judged = judged.select("doc_id", "th", is_first.alias("stays"), "n")
     judged = stored(judged.where(~F.col("stays") | (F.col("n") > 1)), "near-duplicates")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("own_id")) & (text_key(F.col(f"`{text}`")) == F.col("own_th"))
     gone, again = small(judged.where(~F.col("stays"))), judged.where("stays")
-    kept = documents.join(gone, same, "left_anti")
+    found, same = matching(documents, gone, doc_id, text)
+    kept = documents.join(found, same, "left_anti")
     if again.limit(1).count() == 0:
         return kept
-    again = small(again)
+    again, same = matching(documents, small(again), doc_id, text)
     once = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
     return kept.join(again, same, "left_anti").unionByName(once)

@@ -98,3 +98,35 @@ def test_run_is_the_stages_in_turn(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert sorted(map(tuple, docs.collect()), key=repr) == sorted(map(tuple, corpus_pipeline.run(spark, path).collect()), key=repr)
+
+
+EXTRA = {"own_id": "long", "own_th": "long", "score": "double", "lang_pred": "string", "stays": "boolean", "n": "int", "th": "long", "_own_id": "string", "found": "string"}
+
+
+def with_extra(docs):
+    return docs.selectExpr("*", *[f"CAST(doc_id % 7 AS {t}) AS `{c}`" for c, t in EXTRA.items()])
+
+
+def test_extra_columns_pass_through_as_they_are(spark, folder, tmp_path):
+    """Every filtering stage leaves the columns of its input alone, whatever they are called, and decides as without them."""
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(900, prose(random.Random(3), 30_000), "en", "src0", 0)], docs.schema))
+    wide = with_extra(docs)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, extra = stage(spark, docs, path), stage(spark, wide, path)
+        assert extra.columns == wide.columns
+        rows = sorted(map(tuple, with_extra(plain).collect()), key=repr)
+        assert sorted(map(tuple, extra.collect()), key=repr) == rows and rows
+        docs, wide = plain, extra
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(tuple, last(spark, wide, path).collect()), key=repr) == sorted(map(tuple, last(spark, docs, path).collect()), key=repr)
+
+
+def test_no_documents(spark, folder):
+    path = folder[0]
+    none = with_extra(spark.read.parquet(f"{path}/documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, none, path)
+        assert out.columns == none.columns and out.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, none, path).collect() == []
