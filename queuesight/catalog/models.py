@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import compare, logistic, models, scoring, splits
+from ..operators import compare, logistic, models, scoring, sketches, splits
 from ..plans import evaluation, training
 from ..session import fresh_path, spread
 from ..streaming import jobs
@@ -418,3 +418,42 @@ def throughput(spark, sf):
     at = table(spark, sf, "events").select(F.col("event_id").alias("ticket_id"), F.col("ts").alias("completed_at"))
     scored = PRED_A.frame(spark, sf).join(at, "ticket_id")
     return rounded(compare.throughput(scored), "rows_per_second", "accuracy")
+
+
+@query(
+    f"""SELECT COUNT(*) AS done, CAST(SUM(CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+        round(AVG(CASE WHEN true_label = predicted_label THEN 1e0 ELSE 0e0 END), 8) AS accuracy,
+        round(COUNT(*) / ((SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) / 1e6), 8) AS rows_per_second, TRUE AS several_batches FROM ({PRED_A.sql})"""
+)
+def observed_throughput(spark, sf):
+    """The same figures observed batch by batch while a stream of scored rows is stored: the last row is the whole."""
+    at = table(spark, sf, "events").select(F.col("event_id").alias("ticket_id"), F.col("ts").alias("completed_at"))
+    scored = PRED_A.frame(spark, sf).select("ticket_id", "true_label", "predicted_label").join(at, "ticket_id")
+    source, path = fresh_path(spark, "scored"), fresh_path(spark, "observed")
+    scored.repartition(8).write.parquet(source)
+    incoming = jobs.read_stream(spark, source, scored.schema, files_per_trigger=2)
+    jobs.run_available(lambda: jobs.observed_stream(incoming, path))
+    last = jobs.running_figures(spark, path).orderBy(F.desc("batch")).limit(1)
+    last = last.select("done", "n_correct", "accuracy", "rows_per_second", (F.col("batch") > 0).alias("several_batches"))
+    return rounded(last, "accuracy", "rows_per_second")
+
+
+_ROUTED = f"SELECT CAST(created_at AS DATE) AS day, * FROM ({ROUTING.sql})"
+
+
+@query(
+    f"""SELECT strftime(day, '%Y-%m') AS period, COUNT(*) AS n, TRUE AS p50, TRUE AS p95, TRUE AS distinct_close FROM ({_ROUTED}) GROUP BY 1
+        UNION ALL SELECT 'all', COUNT(*), TRUE, TRUE, TRUE FROM ({_ROUTED})"""
+)
+def daily_sketches(spark, sf):
+    """Latency quantiles and distinct confidences by month and in all, from stored day sketches: each keeps its bound."""
+    path, quantiles = fresh_path(spark, "sketches"), {"p50": 0.5, "p95": 0.95}
+    log = ROUTING.frame(spark, sf).select("created_at", "latency_ms", "confidence")
+    sketches.day_sketches(log, "created_at", "latency_ms", "confidence").write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = None
+    for period in (F.date_format("day", "yyyy-MM"), F.lit("all")):
+        merged = sketches.merged_sketches(stored, quantiles, period)
+        checked = sketches.rank_checked(log, "created_at", "latency_ms", "confidence", merged, quantiles, period)
+        rows = checked if rows is None else rows.unionByName(checked)
+    return rows

@@ -9,17 +9,19 @@ import hashlib
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
+from ..functions.labels import correct_flag
 from ..operators.dashboard import log_cells, summarize_cells
 from ..operators.ordinals import first_per_key
 from ..operators.scoring import route_scored
 from ..operators.validation import check_predictions
-from ..session import broadcast_checked, fresh_path, replace_table
+from ..session import broadcast_checked, remove_path, replace_table
+from ..sources import folders
 from ..sources.key_index import KeyIndex
 
 MERGED_AFTER = 32  # batches
@@ -96,23 +98,97 @@ def route_stream(
     )
 
 
+def _latest_versions(spark: SparkSession, root: str, but: str | None = None) -> list[str]:
+    """The folder of each run's last complete version."""
+    found = []
+    for run in folders.names(spark, root):
+        versions = sorted((int(n[8:]) for n in folders.names(spark, f"{root}/{run}") if n.startswith("version=")), reverse=True)
+        whole = (v for v in versions if "_SUCCESS" in folders.names(spark, f"{root}/{run}/version={v}"))
+        last = next(whole, None)
+        if run != but and last is not None:
+            found.append(f"{root}/{run}/version={last}")
+    return found
+
+
 def dashboard_stream(log: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Keep the dashboard figures up to date: state is one row per (queue, decision)."""
-    spark = log.sparkSession
+    """Keep the dashboard figures up to date, reading each log file once.
+
+    State is one row per (queue, decision), in versions beside the figures (`<path>-state`):
+    version n of a run is version n - 1 and the cells of micro-batch n, so a batch that is
+    repeated gives the same version. Progress lies there too, for each source apart, unless
+    `checkpoint` names another place; a later run over the same log takes in new files only.
+    The figures add up the last versions of all runs.
+    """
+    root = f"{path.rstrip('/')}-state"
 
-    def store(cells: DataFrame, number: int) -> None:
-        replace_table(summarize_cells(cells).coalesce(1), path)
+    def store(batch: DataFrame, number: int) -> None:
+        spark, run = batch.sparkSession, f"run={_run(batch)}"
+        cells = log_cells(batch)
+        schema = cells.schema
+
+        def with_stored(cells: DataFrame, stored: list[str]) -> DataFrame:
+            both = cells.unionByName(spark.read.schema(schema).parquet(*stored)) if stored else cells
+            return both.groupBy("predicted_queue", "decision").agg(F.sum("n").alias("n"), F.sum("sum_confidence").alias("sum_confidence"))
+
+        own = f"{root}/cells/{run}"
+        before = [f"{own}/version={number - 1}"] if number and folders.names(spark, f"{own}/version={number - 1}") else []
+        with_stored(cells, before).coalesce(1).write.mode("overwrite").parquet(f"{own}/version={number}")
+        if number > 1 and folders.names(spark, f"{own}/version={number - 2}"):
+            remove_path(spark, f"{own}/version={number - 2}")
+        current = [f"{own}/version={number}", *_latest_versions(spark, f"{root}/cells", but=run)]
+        whole = with_stored(spark.createDataFrame([], schema), current)
+        replace_table(summarize_cells(whole).coalesce(1), path)
 
     return (
-        log_cells(log)
-        .writeStream.outputMode("complete")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-dashboard"))
+        log.writeStream.foreachBatch(store)
+        .option("checkpointLocation", _checkpoint(log, root, checkpoint))
         .trigger(availableNow=True)
         .start()
     )
 
 
+def observed_stream(scored: DataFrame, path: str, checkpoint: str | None = None, completed: str = "completed_at") -> StreamingQuery:
+    """Store scored rows and, per micro-batch, one row of figures observed while they are written.
+
+    Rows go to `<path>/rows`, figures to `<path>/figures` (see `running_figures`), both under
+    query and batch, so a repeated batch replaces itself. No row is read again for a figure.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        run, seen = _run(batch), Observation()
+        at = F.unix_micros(F.col(completed).cast("timestamp"))
+        watched = batch.observe(
+            seen,
+            F.count(F.lit(1)).alias("n"),
+            F.sum(correct_flag(F.col("true_label"), F.col("predicted_label")).cast("long")).alias("n_correct"),
+            F.min(at).alias("first_micros"),
+            F.max(at).alias("last_micros"),
+        )
+        _write_batch(watched, f"{path.rstrip('/')}/rows", run, number)
+        figures = seen.get
+        row = batch.sparkSession.createDataFrame([tuple(figures[c] for c in FIGURES)], ", ".join(f"{c} long" for c in FIGURES))
+        _write_batch(row.coalesce(1), f"{path.rstrip('/')}/figures", run, number)
+
+    return (
+        scored.writeStream.foreachBatch(store)
+        .option("checkpointLocation", _checkpoint(scored, path, checkpoint))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+FIGURES = ["n", "n_correct", "first_micros", "last_micros"]
+
+
+def running_figures(spark: SparkSession, path: str) -> DataFrame:
+    """(run, batch, done, n_correct, accuracy, rows_per_second) up to each stored micro-batch of a run; one row a batch."""
+    stored = spark.read.parquet(f"{path.rstrip('/')}/figures").select(F.col("run").cast("string").alias("run"), F.col("batch").cast("long").alias("batch"), *FIGURES)
+    upto = Window.partitionBy("run").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    done, right = F.sum("n").over(upto), F.sum("n_correct").over(upto)
+    seconds = (F.max("last_micros").over(upto) - F.min("first_micros").over(upto)) / 1e6
+    return stored.select("run", "batch", done.alias("done"), right.alias("n_correct"), F.try_divide(right.cast("double"), done.cast("double")).alias("accuracy"), F.try_divide(done.cast("double"), seconds).alias("rows_per_second"))
+
+
 def ingest_stream(
     incoming: DataFrame, path: str, order: str, key: str = "external_id", checkpoint: str | None = None
 ) -> StreamingQuery:
