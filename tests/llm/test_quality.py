@@ -3,7 +3,6 @@ import random
 import numpy as np
 from helpers import DOCS, awkward, clashing, documents, prose, rows_of
 
-from queuesight.llm.lm_scoring import EDGE, SHAPES, Tokens, WindowNetwork, count_triples, learn_network, learn_vocabulary, score_documents, shape
 from queuesight.llm.quality import WIDTH, AttentionModel, learn_quality, passages, score_quality
 
 
@@ -74,51 +73,51 @@ def test_quality_without_labels_or_documents(spark):
     assert rows_of(score_quality(empty, learn_quality(empty, none))) == []
 
 
-def test_counts_cover_every_token(spark):
-    rows = awkward() + [(60 + i, prose(random.Random(i), 50)) for i in range(20)]
-    df = clashing(documents(spark, rows))
-    words = learn_vocabulary(df, size=48)
-    plain = {}
-    for _, t in rows:
-        for w in (t or "").lower().split():
-            plain[w] = plain.get(w, 0) + 1
-    assert words == sorted(plain, key=lambda w: (-plain[w], w))[: 48 - 1 - SHAPES]
-    tokens, want = Tokens(words), {}
-    for _, t in rows:
-        ids = tokens.ids(t).tolist()
-        for a, b, c in zip(ids, ids[1:], ids[2:], strict=False):
-            code = (a * tokens.size + b) * tokens.size + c
-            want[code] = want.get(code, 0) + 1
-    assert {r.code: r.n for r in count_triples(df, words).collect()} == want
-    assert sum(want.values()) == sum(plain.values())
-
-
-def test_score_is_the_sum_of_conditional_logarithms(spark):
-    rows = awkward() + [(60 + i, prose(random.Random(i), 80)) for i in range(30)]
-    df = clashing(documents(spark, rows))
-    words, network = learn_network(df, steps=40)
-    got = {(r.doc_id, r.n_tokens): r for r in score_documents(df, words, network).collect()}
-    for doc, text in rows:
-        ids = Tokens(words).ids(text)
-        want = sum(network.log_probabilities(ids[i - 1 : i], ids[i + 1 : i + 2])[0, ids[i]] for i in range(1, len(ids) - 1))
-        r = got[doc, len(ids) - 2]
-        assert abs(r.log_prob - want) < 1e-3 * max(1, abs(want))
-        assert (r.mean_log_prob is None) == (r.n_tokens == 0)
-
-
-def test_order_matters_to_the_network(spark):
-    rng = random.Random(2)
-    sentence = "the cat sat on the mat and then the dog ran to the old house".split()
-    rows = [(i, " ".join(sentence[k:] + sentence[:k])) for i in range(60) for k in [rng.randint(0, 3)]]
-    words, network = learn_network(documents(spark, rows))
-    shuffled = sentence[:]
-    rng.shuffle(shuffled)
-    both = {r.doc_id: r.mean_log_prob for r in score_documents(documents(spark, [(1, " ".join(sentence)), (2, " ".join(shuffled))]), words, network).collect()}
-    assert both[1] > both[2] + 1
-
-
-def test_nothing_to_learn(spark):
-    empty = spark.createDataFrame([], DOCS)
-    words, network = learn_network(empty)
-    assert words == [] and rows_of(score_documents(empty, words, network)) == []
-    assert isinstance(network, WindowNetwork) and EDGE == 0 and 1 <= shape("é") <= SHAPES
+def plain_passages(text):
+    """Features of each 512 bytes, one byte after another."""
+    data = (text or "").encode()
+    if not data:
+        return [[0.0] * WIDTH]
+
+    def bucket(a, b):
+        x = ((a * 2654435761 + b * 40503 * 65537) % 2**32) >> 16
+        return (x ^ (x >> 7)) % 512
+
+    def kind(b):
+        c = chr(b)
+        if b >= 128:
+            return 6
+        return 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c == " " else 5 if c == "\n" else 7 if c in ".,;" else 0
+
+    out, earlier = [], []
+    for at in range(0, len(data), 512):
+        part = data[at : at + 512]
+        pairs, kinds = [0.0] * 512, [0.0] * 8
+        for i, b in enumerate(part):
+            pairs[bucket(b, data[at + i + 1] if at + i + 1 < len(data) else 10)] += 1 / len(part)
+            kinds[kind(b)] += 1 / len(part)
+        seen = [sum(p[j] for p in earlier) / len(earlier) for j in range(512)] if earlier else [0.0] * 512
+        out.append([p**0.5 for p in pairs] + [k**0.5 for k in kinds] + [sum(p * p for p in pairs) ** 0.5, sum(map(min, pairs, seen))])
+        earlier.append(pairs)
+    return out
+
+
+def plain_score(model, rows):
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    hidden = [np.tanh(np.array(x) @ p["E"] + p["e"]) for x in rows]
+    weight = [np.exp((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]) for h in hidden]
+    mean = sum(w * h for w, h in zip(weight, hidden, strict=True)) / sum(weight)
+    return float(1 / (1 + np.exp(-(mean @ p["c"] + p["d"][0]))))
+
+
+def test_passages_and_scores_against_a_plain_version(spark):
+    rng = random.Random(8)
+    texts = [t for _, t in awkward(rng)][:12] + [prose(rng, n) for n in (1, 90, 300)] + ["ABC. 12;\n" * 300]
+    model = AttentionModel(seed=3)
+    for text in texts:
+        assert np.allclose(passages(text), plain_passages(text), atol=2e-6)
+    df = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: (r.score, r.predicted) for r in score_quality(df, model).collect()}
+    for i, text in enumerate(texts):
+        want = plain_score(model, plain_passages(text))
+        assert abs(got[i][0] - want) < 1e-4 and got[i][1] == int(got[i][0] >= 0.5)
