@@ -167,7 +167,7 @@ DEFAULT_OUTCOME = ("auto_triage_suggestion", "Confidence and risk are acceptable
 
 # --- Fixed values: identifiers ---
 
-SOURCE_ID_PREFIX = "hf-tobi-"
+SOURCE_ID_PREFIX = "source-"
 TICKET_ID_PREFIX = "ticket-"
 MODEL_TYPE = "tfidf_logistic_regression_baseline"
 

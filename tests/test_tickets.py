@@ -37,8 +37,8 @@ def test_curated_schema_and_rows(spark, export):
         "status", "channel", "source", "ticket_type", "reference_answer", "tags",
     ]
     rows = {r["external_id"]: r for r in curated.collect()}
-    assert sorted(rows) == ["hf-tobi-000001", "hf-tobi-000002"]
-    first, second = rows["hf-tobi-000001"], rows["hf-tobi-000002"]
+    assert sorted(rows) == ["source-000001", "source-000002"]
+    first, second = rows["source-000001"], rows["source-000002"]
     assert first["customer_message"] == 'Login\n\ncannot access\n"my" account'
     assert (first["priority"], first["answer"], first["version"]) == ("high", "done", "51")
     assert first["model_text"] == first["customer_message"] + "\n\nType: Incident\nTags: Security"
