@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS
-from .common import named, small, stored, text_key
+from .common import named, stored, text_key
 
 WINDOW = 8  # of any so many words of a sentence, at least one ends a piece; a power of two
 CHUNK = 4 << 20  # bytes of text handled at a time
 STEP = 1 << 19  # words hashed at a time
+HELD = 1 << 20  # runs compared inside a task before they are sent on
 SPACE = np.zeros(256, bool)
 SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 LOWERED = np.arange(256, dtype=np.uint64)
@@ -156,10 +157,45 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[slice, list[bytes]]]:
         yield slice(at, len(batch)), held
 
 
+def _first_here(runs: pd.DataFrame) -> pd.DataFrame:
+    """Of equal runs held together only the first can be the first of all; the others are marked `later`.
+
+    A copy of a row says nothing new and goes.
+    """
+    order = ["h1", "h2", "doc_id", "th", "place"]
+    runs = runs.sort_values(order, ignore_index=True)
+    columns = {c: runs[c].to_numpy() for c in order}
+    equal = lambda names: np.logical_and.reduce([columns[c][1:] == columns[c][:-1] for c in names])
+    keep = np.r_[True, ~equal(order)]
+    follows = np.r_[False, equal(order[:2])]
+    runs["later"] |= follows
+    return pd.concat([runs[keep & ~runs["later"]], _merged(runs[keep & runs["later"]])])
+
+
+def _merged(runs: pd.DataFrame) -> pd.DataFrame:
+    """Places of a text that overlap or touch as one."""
+    if not len(runs):
+        return runs
+    runs = runs.sort_values(["doc_id", "th", "place"], ignore_index=True)
+    ids, hashes, place = (runs[c].to_numpy() for c in ("doc_id", "th", "place"))
+    s, e = place >> 32, place & 0xFFFFFFFF
+    text = np.cumsum(np.r_[False, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])
+    reach = np.maximum.accumulate((text << 32) + e)  # within its text, since texts ascend
+    fresh = np.r_[True, (text << 32)[1:] + s[1:] > reach[:-1] + 1]
+    fresh[1:] |= text[1:] != text[:-1]
+    at = np.flatnonzero(fresh)
+    ends = reach[np.r_[at[1:], len(reach)] - 1] & 0xFFFFFFFF
+    return runs.iloc[at].assign(place=(s[at] << 32) + ends)
+
+
 def _spans(sentences: int, words: int):
-    """(h1, h2, doc_id, th, s, e, repeat) of every run; `repeat`: the text had it before."""
+    """(h1, h2, doc_id, th, place, later) of every run, place being s * 2**32 + e.
+
+    `later`: the text had the run before, or another one among the HELD runs at hand did.
+    """
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for rows, texts in _chunks(batch):
                 pieces = pieces_of(texts)
@@ -170,11 +206,17 @@ def _spans(sentences: int, words: int):
                 doc = pieces.doc[s]
                 order = np.lexsort((s, h2, h1, doc))
                 same = (doc[order][1:] == doc[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-                repeat = np.zeros(len(s), bool)
-                repeat[order[1:]] = same
+                later = np.zeros(len(s), bool)
+                later[order[1:]] = same
                 base = np.searchsorted(pieces.doc, doc)  # a text's first piece
                 ids, hashes = batch["doc_id"].to_numpy()[rows], batch["th"].to_numpy()[rows]
-                yield pd.DataFrame({"h1": h1, "h2": h2, "doc_id": ids[doc], "th": hashes[doc], "s": (s - base).astype(np.int32), "e": (e - base).astype(np.int32), "repeat": repeat})
+                held.append(pd.DataFrame({"h1": h1, "h2": h2, "doc_id": ids[doc], "th": hashes[doc], "place": ((s - base) << 32) + (e - base), "later": later}))
+                size += len(s)
+                if size > HELD:
+                    yield _first_here(pd.concat(held))
+                    held, size = [], 0
+        if held:
+            yield _first_here(pd.concat(held))
 
     return spans
 
@@ -185,23 +227,21 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     Order is by id, a null id first, then by `th`, a hash of the text that tells rows of one id
     apart, then by place. Rows that repeat id and text are one document. Columns of other
     names play no part.
+
+    Of a run as common as may be each task sends one row for every HELD runs to the run's
+    group, so groups stay short; places known to be later are dealt evenly beside them.
     """
     lowest = F.lit(-(1 << 63))
     rows = named(documents, doc_id=doc_id, text=text)
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), text_key(F.col("text")).alias("th"), "text")
-    spans = rows.mapInPandas(_spans(sentences, words), "h1 long, h2 long, doc_id long, th long, s int, e int, repeat boolean")
-    least = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "th") for n, f in (("least", F.min), ("most", F.max))]
-    kinds = spans.groupBy("h1", "h2").agg(*least, F.max("repeat").alias("inside"))
-    kinds = kinds.where((F.col("least_doc_id") < F.col("most_doc_id")) | (F.col("least_th") < F.col("most_th")) | F.col("inside"))
-    kinds = stored(kinds.select("h1", "h2", F.col("least_doc_id").alias("first")), "repeated-runs")
-    met = stored(spans.join(small(kinds), ["h1", "h2"]), "repeated-places")
-    # Of several texts with the least id the one with the least hash is first.
-    tied = met.where(F.col("doc_id") == F.col("first")).groupBy("h1", "h2").agg(F.min("th").alias("first_th"), F.max("th").alias("last_th"))
-    tied = stored(tied.where(F.col("first_th") < F.col("last_th")).drop("last_th"), "tied-runs")
-    judged = met.join(small(tied), ["h1", "h2"], "left")
-    later = (F.col("doc_id") > F.col("first")) | (F.col("th") > F.col("first_th"))
-    judged = judged.where(F.col("repeat") | F.coalesce(later, F.lit(False)))
-    return judged.select(F.nullif("doc_id", lowest).alias("doc_id"), "th", "s", "e")
+    spans = rows.mapInPandas(_spans(sentences, words), "h1 long, h2 long, doc_id long, th long, place long, later boolean")
+    dealt = F.when(F.col("later"), F.xxhash64("doc_id", "th", "place")).otherwise(F.col("h1"))
+    spans = spans.select(dealt.alias("h1"), "h2", "doc_id", "th", "place", "later")
+    kind = Window.partitionBy("h1", "h2").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
+    judged = spans.select("doc_id", "th", "place", "later", F.first("doc_id").over(kind).alias("first_id"), F.first("th").over(kind).alias("first_th"))
+    judged = judged.where(F.col("later") | (F.col("doc_id") != F.col("first_id")) | (F.col("th") != F.col("first_th")))
+    ends = [F.shiftright("place", 32).cast("int").alias("s"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("e")]
+    return judged.select(F.nullif("doc_id", lowest).alias("doc_id"), "th", *ends)
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -209,7 +249,7 @@ def _islands(spans: DataFrame) -> DataFrame:
 
     Spans of one text are sorted and merged as rows; what is gathered is shorter than the text.
     """
-    spans = spans.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "s", "e").distinct()
+    spans = spans.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "s", "e")
     before = Window.partitionBy("hit_id", "hit_th").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("fresh", (F.col("s") > F.coalesce(F.max("e").over(before), F.lit(-2)) + 1).cast("int"))
     upto = Window.partitionBy("hit_id", "hit_th").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)

@@ -97,6 +97,7 @@ def test_against_the_plain_rule(spark, monkeypatch):
     check(spark, rows)
     monkeypatch.setattr(span_dedup, "CHUNK", 700)
     monkeypatch.setattr(span_dedup, "STEP", 37)
+    monkeypatch.setattr(span_dedup, "HELD", 60)
     check(spark, rows, sentences=2, words=9)
 
 
