@@ -292,7 +292,7 @@ _BEST = f"""SELECT event_id, queue, p FROM (SELECT *, row_number() OVER (PARTITI
 
 
 def _stream(spark, sf, name):
-    return jobs.read_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    return jobs.read_table_stream(spark, f"{sf}/{name}.parquet", table(spark, sf, name).schema)
 
 
 @query(

@@ -20,6 +20,11 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in files.listStatus(place))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
 def create_json(spark: SparkSession, path: str, value: dict) -> None:
     """Write a small file that must not be there yet: of two writers one fails."""
     place, files = _place(spark, path)

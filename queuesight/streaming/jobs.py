@@ -37,6 +37,14 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table as a stream, be it one Parquet file or a folder of them."""
+    if folders.is_folder(spark, path):
+        return read_stream(spark, path, schema)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return read_stream(spark, parent, schema, name)
+
+
 def _checkpoint(stream: DataFrame, path: str, given: str | None) -> str:
     """Where a job's progress is kept: inside its store, apart for each source, unless given.
 

@@ -350,3 +350,19 @@ def test_route_stream_scores_and_sets_aside(spark, tmp_path):
     assert [(r["id"], r["predicted_queue"], r["decision"], r["model_id"]) for r in stored] == [(1, "billing_and_payments", "auto_route", "m")]
     aside = {r["id"]: r["errors"] for r in spark.read.parquet(f"{tmp_path}/bad").collect()}
     assert aside[2] == ["subject"] and "probabilities" in aside[3]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_or_many_are_streams(spark, tmp_path, files):
+    from queuesight import catalog
+
+    rows = [(i, f"text {i}", "en", f"s{i % 2}", 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(files).write.parquet(f"{tmp_path}/written")
+    path = tmp_path / "documents.parquet"
+    if files == 1:
+        next((tmp_path / "written").glob("part-*.parquet")).rename(path)
+    else:
+        (tmp_path / "written").rename(path)
+    stored = catalog.queries()["ingest_stream"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in stored} == {2, 3, *[i for i in range(40) if i % 10 < 2]}
