@@ -100,3 +100,27 @@ def test_no_examples(spark, problems):
 def test_linear_model_keeps_its_weights(spark):
     model = linear_model(spark, "x", np.array([0.5, -2.0, 0.25]))
     assert model.coefficients.toArray().tolist() == [0.5, -2.0] and model.intercept == 0.25
+
+
+def test_curvature_spares_evaluations(spark):
+    """Columns of very different size and much alike, labels by chance: plain steps need more than a hundred jobs."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(600, 1)) + 0.1 * rng.normal(size=(600, WIDTH))) * np.logspace(-1, 1, WIDTH)
+    codes = rng.integers(0, 2, 600)
+    rows = [(Vectors.dense(r), int(c)) for r, c in zip(x, codes)]
+    blocks = logistic.packed(spark.createDataFrame(rows, ["features", "code"]).repartition(3), "features", "code")
+    problems = logistic.Problems(blocks, np.array([1]), np.array([1.0]), np.array([1.0]), WIDTH)
+    found, figures = logistic.fitted(problems, 1e-8, 200)
+    assert figures["evaluations"] <= 12 and figures["gradient_norms"][0] <= figures["gradient_bounds"][0]
+    w = np.zeros(WIDTH + 1)
+    for _ in range(50):
+        _, gradient, curve = plain((x, 1 - codes), problems, 0, w)  # there the class of problem 0 has code 0
+        w -= np.linalg.solve(curve, gradient)
+    assert np.allclose(found[0], w, atol=1e-5)
+
+
+def test_wide_problems_go_without_curvature(problems, monkeypatch):
+    monkeypatch.setattr(logistic, "CURVATURE_WIDTH", WIDTH)
+    assert logistic.inverse_curvature(problems, 240.0) is None
+    _, figures = logistic.fitted(problems, 1e-6, 200)
+    assert all(n <= b for n, b in zip(figures["gradient_norms"], figures["gradient_bounds"]))
