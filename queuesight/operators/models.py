@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
-    IDF,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -26,22 +28,33 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.numeric import round_exact
+from ..session import BROADCAST_ROWS, fresh_path
 from .columns import require_no_leak
 from .logistic import Problems, fitted, packed
 from .splits import class_counts
 
 
 def fold_accents(c: Column) -> Column:
-    """Lower case without accents (compatibility decomposition, combining marks dropped)."""
+    """Lower case without accents (compatibility decomposition, combining marks dropped).
+
+    Only what is not ASCII is decomposed, run by run: a character's decomposition does not
+    depend on its neighbours, and the marks whose order it could change are dropped.
+    """
 
     @F.pandas_udf(T.StringType())
     def fold(texts):
+        import re
         import unicodedata
+        from functools import lru_cache
+
+        @lru_cache(maxsize=1 << 16)
+        def run(found):
+            return "".join(ch for ch in unicodedata.normalize("NFKD", found) if not unicodedata.combining(ch))
+
+        foreign = re.compile(r"[^\x00-\x7f]+")
 
         def one(text):
-            if text is None or text.isascii():
-                return text
-            return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+            return text if text is None or text.isascii() else foreign.sub(lambda m: run(m.group()), text)
 
         return texts.map(one)
 
@@ -68,40 +81,90 @@ def tokenizing_stages(text: str) -> list:
     ]
 
 
-def frequent_terms(tokenized: DataFrame, size: int) -> DataFrame:
-    """(term, n): the terms that occur most often in the corpus, ties in alphabetical order.
+TERMS = "_terms"
+
+
+def with_terms(df: DataFrame, text: str) -> DataFrame:
+    """Add the terms that every feature model counts, for frames that several models score in a row."""
+    tokenized = PipelineModel(stages=tokenizing_stages(FOLDED)).transform(with_folded(df, text))
+    return tokenized.select(*df.columns, F.col("terms").alias(TERMS))
 
-    The outer form of explode keeps Spark from testing first whether the array is empty,
-    which would tokenize every text again for the test.
+
+def _counted(words: pa.Array, pairs: bool, known: pa.Array | None) -> pa.Table:
+    """(term, n, texts) of one batch of word arrays: occurrences, and texts that have the term.
+
+    Terms are the words, or the pairs of neighbours, both of them in `known` if given.
     """
-    return (
-        tokenized.select(F.explode_outer("terms").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "term")
-        .limit(size)
-    )
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(words.flatten())
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    if pairs:
+        inside = text[1:] == text[:-1]
+        if known is not None:
+            kept = pc.is_in(names, value_set=known).to_numpy(zero_copy_only=False)[code]
+            inside &= kept[1:] & kept[:-1]
+        code, text = code[:-1][inside] * len(names) + code[1:][inside], text[1:][inside]
+        seen = pc.dictionary_encode(pa.array(code))
+        found, code = seen.dictionary.to_numpy(), seen.indices.to_numpy().astype(np.int64)
+        first, second = np.divmod(found, max(len(names), 1))
+        names = pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), pa.scalar(" ", names.type))
+    once = np.sort(text * len(names) + code)
+    once = once[np.diff(once, prepend=-1) > 0] % max(len(names), 1)
+    n, texts = (np.bincount(x, minlength=len(names)) for x in (code, once))
+    return pa.table({"term": names.cast(pa.string()), "n": pa.array(n, pa.int64()), "texts": pa.array(texts, pa.int64())})
+
+
+def term_counts(worded: DataFrame, pairs: bool, known: list[str] | None = None) -> DataFrame:
+    """(term, n, texts) over all rows of `words`: each Arrow batch is counted in its task, Spark adds the counts up."""
+    among = None if known is None else worded.sparkSession.sparkContext.broadcast(known)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set = None if among is None else pa.array(among.value, pa.string())
+        for batch in batches:
+            yield from _counted(batch.column(0), pairs, value_set).to_batches(max_chunksize=100_000)
+
+    sent = worded.select("words").mapInArrow(counted, "term string, n long, texts long")
+    return sent.groupBy("term").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+
+
+def frequent_terms(worded: DataFrame, size: int) -> DataFrame:
+    """(term, n, texts): the terms that occur most often in the corpus, ties in alphabetical order.
+
+    A pair is at most as frequent as either of its words. So where `size` words occur at least
+    m times, a pair of a word that occurs less often is not among the `size` first: pairs are
+    counted of the other words alone. Where too many words are as frequent as that to be sent
+    to every task, all pairs are counted.
+    """
+    path = fresh_path(worded.sparkSession, "word-counts")
+    term_counts(worded, pairs=False).write.parquet(path)
+    words = worded.sparkSession.read.schema("term string, n long, texts long").parquet(path)
+    first = words.orderBy(F.desc("n"), "term").limit(size)
+    least = first.agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).first()
+    known = None
+    if least["rows"] == size:
+        often = words.where(F.col("n") >= least["least"])
+        known = [r["term"] for r in often.select("term").limit(BROADCAST_ROWS + 1).collect()]
+    pairs = term_counts(worded, pairs=True, known=None if known is None or len(known) > BROADCAST_ROWS else known)
+    return first.unionByName(pairs.orderBy(F.desc("n"), "term").limit(size)).orderBy(F.desc("n"), "term").limit(size)
 
 
 def fit_features(df: DataFrame, text: str, vocabulary: int = K.VOCABULARY_SIZE) -> PipelineModel:
     """TF-IDF model: the most frequent terms, idf = ln((n+1)/(df+1)) + 1, unit-length rows.
 
     The vocabulary is chosen here rather than by CountVectorizer, whose choice among equally
-    frequent terms depends on the partitioning. Spark's idf lacks the `+ 1`, which would
-    erase a term found in every text; the counts are multiplied by the fitted idf plus one.
+    frequent terms depends on the partitioning, and the texts that have a term are counted
+    with its occurrences. Spark's idf lacks the `+ 1`, which would erase a term found in every text.
     """
-    tokenizing = PipelineModel(stages=tokenizing_stages(text))
-    tokenized = tokenizing.transform(df)
-    terms = [r["term"] for r in frequent_terms(tokenized, vocabulary).collect()]
+    stages = tokenizing_stages(text)
+    terms = frequent_terms(stages[0].transform(df.select(text)).select("words"), vocabulary).collect()
     if not terms:
         raise ValueError("the texts hold no terms")
-    counting = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts")
-    counted = counting.transform(tokenized.select("terms")).select("counts")
-    idf = IDF(inputCol="counts", outputCol="unused").fit(counted).idf.toArray()
-    weigh = ElementwiseProduct(scalingVec=DenseVector(idf + 1.0), inputCol="counts", outputCol="weighted")
+    counting = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="terms", outputCol="counts")
+    idf = np.log((df.count() + 1.0) / (np.array([r["texts"] for r in terms]) + 1.0)) + 1.0
+    weigh = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol="counts", outputCol="weighted")
     unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    return PipelineModel(stages=[*tokenizing.stages, counting, weigh, unit])
+    return PipelineModel(stages=[*stages, counting, weigh, unit])
 
 
 @dataclass
@@ -120,12 +183,15 @@ class TextClassifier:
     def probabilities(self, df: DataFrame, text: str, name: str = "probabilities") -> DataFrame:
         """Add the map label -> probability (class sigmoids scaled to sum to 1).
 
-        A frame that went through `with_folded` keeps its folded text; scored by several
-        models in a row, the text is then folded once, below all of them.
+        A frame that went through `with_terms` keeps its terms; scored by several models in
+        a row, the text is then folded and split once, below all of them.
         """
         columns = list(df.columns)
-        folded = df if FOLDED in columns else with_folded(df, text)
-        shaped = self.features.transform(folded)
+        if TERMS in columns:
+            counting = self.features.stages[len(tokenizing_stages(FOLDED)) :]
+            shaped = PipelineModel(stages=counting).transform(df.withColumn("terms", F.col(TERMS)))
+        else:
+            shaped = self.features.transform(df if FOLDED in columns else with_folded(df, text))
         shaped = shaped.select(*columns, "features")
         for i, model in enumerate(self.models):
             scored = model.setRawPredictionCol("").setProbabilityCol("_prob").setPredictionCol("").transform(shaped)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import round_exact
 from ..operators import bootstrap, calibration, compare, coverage, metrics, rules
-from ..operators.models import FOLDED, TextClassifier, with_folded
+from ..operators.models import TERMS, TextClassifier, with_terms
 
 
 def headline(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -137,24 +137,24 @@ def compare_systems(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "
 
 def predict_frame(df: DataFrame, category: TextClassifier, priority: TextClassifier | None, text: str = "customer_message", digits: int | None = None, **options) -> DataFrame:
     """Add category and priority predictions and the risk columns (confidences unrounded)."""
-    scored = category.score(with_folded(df, text), text, "category", digits)
+    scored = category.score(with_terms(df, text), text, "category", digits)
     if priority is not None:
         scored = priority.score(scored, text, "priority", digits)
     else:
         options.update(priority=None, priority_confidence=None)
-    return rules.score_risk(scored.drop(FOLDED), text=text, **options)
+    return rules.score_risk(scored.drop(TERMS), text=text, **options)
 
 
 def evaluate_models(test: DataFrame, category: TextClassifier | None, priority: TextClassifier | None, text: str = "customer_message") -> dict[str, DataFrame]:
     """Per target `<target>_metrics`, `<target>_report` and `<target>_confusion` on the test
     part, and `errors`: the rows where any target is wrong."""
-    scored = with_folded(test, text)
+    scored = with_terms(test, text)
     frames: dict[str, DataFrame] = {}
     for target, model in (("category", category), ("priority", priority)):
         if model is None:
             continue
         scored = model.score(scored, text, target)
-    scored = scored.drop(FOLDED)
+    scored = scored.drop(TERMS)
     for target, model in (("category", category), ("priority", priority)):
         if model is None:
             continue
@@ -181,8 +181,8 @@ def triage(df: DataFrame, category: TextClassifier, priority: TextClassifier, te
 
     Confidences are rounded to four digits before the rules see them.
     """
-    scored = priority.score(category.score(with_folded(df, text), text, "category"), text, "priority")
-    return triage_document(rules.route_tickets(scored.drop(FOLDED), text=text, **options), text, id_column, metadata)
+    scored = priority.score(category.score(with_terms(df, text), text, "category"), text, "priority")
+    return triage_document(rules.route_tickets(scored.drop(TERMS), text=text, **options), text, id_column, metadata)
 
 
 def triage_document(routed: DataFrame, text: str = "customer_message", id_column: str = "ticket_id", metadata: Mapping[str, str] | None = None) -> DataFrame:

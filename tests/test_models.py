@@ -143,3 +143,31 @@ def test_evaluate_and_triage(tickets, category, priority):
     assert row["category"]["raw_model_prediction"] == row["category"]["prediction"]
     assert row["routing"]["decision"] and row["model_metadata"]["dataset_source"] == "set"
     assert 0.1 <= row["risk"]["escalation_risk"] <= 0.99
+
+
+def test_pairs_of_rarer_words_are_not_sent_and_terms_are_counted_with_their_texts(spark, monkeypatch):
+    texts = ["aa bb aa bb cc", "bb aa zz yy", "", "cc", "aa bb", "yy zz yy", "zz\U00010428 aa", "aa"] * 3 + ["qq"]
+    df = spark.createDataFrame([(t,) for t in texts], "folded string").repartition(3)
+    worded = models.tokenizing_stages("folded")[0].transform(df).select("words")
+    found = [plain_terms(t) for t in texts]
+    n, held = Counter(t for ts in found for t in ts), Counter(t for ts in found for t in set(ts))
+    best = sorted(n, key=lambda t: (-n[t], t))
+    for most in (200_000, 1):  # with the second bound all pairs are counted
+        monkeypatch.setattr(models, "BROADCAST_ROWS", most)
+        for size in (1, 3, 5, 100):
+            rows = models.frequent_terms(worded, size).collect()
+            assert [tuple(r) for r in rows] == [(t, n[t], held[t]) for t in best[:size]]
+    pairs = {tuple(r) for r in models.term_counts(worded, True, ["aa", "bb"]).collect()}
+    assert pairs == {(t, n[t], held[t]) for t in ("aa bb", "bb aa")}
+    assert models.term_counts(worded.where("size(words) = 0"), True).count() == 0
+
+
+def test_texts_scored_by_two_models_are_split_once(spark):
+    rows = [(i, "refund invoice" if i % 2 else "login password", "ab"[i % 2], "xy"[i % 2]) for i in range(12)]
+    df = spark.createDataFrame(rows, "i int, message string, category string, priority string")
+    category, priority = (models.train_classifier(df, "message", c, max_iterations=20) for c in ("category", "priority"))
+    shared = evaluation.predict_frame(df, category, priority, "message")
+    assert shared._jdf.queryExecution().optimizedPlan().toString().count("concat(UDF(") == 1
+    alone = category.score(df, "message", "category", None).join(priority.score(df, "message", "priority", None).select("i", "predicted_priority", "priority_confidence"), "i")
+    columns = ["i", "predicted_category", "category_confidence", "predicted_priority", "priority_confidence"]
+    assert sorted(shared.select(*columns).collect()) == sorted(alone.select(*columns).collect())
