@@ -9,7 +9,8 @@ one step meets the targets, and with the least change to the rates.
 
 Every step moves a rate by the same few numbers (one for each domain) times the posterior and
 cuts it at zero, so a rate is an expression of the posterior and the steps so far. A step is
-one aggregate over the posteriors; no table of rates is carried along. DataFrame operations only.
+one aggregate over the posteriors. The expression would grow with the steps, so the rates are
+written every few steps and the next steps start from them. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh_path, remove_path
 from .common import matching, named, small, stored, text_key
 
 BETWEEN_WORDS = r"[\s.,;:]+"
+STEPS_HELD = 6  # steps in one expression while the rates are fitted
 ANY = ""  # the pseudo-word every document has; its weights are the priors
 
 
@@ -111,10 +114,10 @@ class Mix:
     steps: list[list[float]] = field(default_factory=list)
     most: float | None = None
 
-    def rate(self) -> Column:
-        """The rate of a row with the posteriors p0, p1, ..."""
-        out = F.lit(1.0)
-        for step in self.steps:
+    def rate(self, start: Column | None = None, done: int = 0) -> Column:
+        """The rate of a row with the posteriors p0, p1, ...; `start` is the rate after `done` steps, if at hand."""
+        out = F.lit(1.0) if start is None else start
+        for step in self.steps[done:]:
             out = F.greatest(F.lit(0.0), out - sum((F.col(f"p{k}") * g for k, g in enumerate(step)), F.lit(0.0)))
             if self.most is not None:
                 out = F.least(F.lit(self.most), out)
@@ -177,6 +180,7 @@ def fit_rates(
     least = 1e-9 * sum(natural)
     moments = [[first[f"m{i}_{j}"] + (least if i == j else 0.0) for j in ks] for i in ks]
     error = float("inf")
+    rows, done, start, path = posteriors, 0, None, None
     for _ in range(most_steps):
         gaps = [r - t for r, t in zip(mix.reached, mix.targets, strict=True)]
         step = _solved(moments, gaps)
@@ -199,9 +203,18 @@ def fit_rates(
                 break
         error = now
         mix.steps.append(step)
-        rate = mix.rate()
-        sums = posteriors.agg(*[F.sum(m * rate).alias(f"n{k}") for k, m in enumerate(mass)]).first()
+        rate = mix.rate(start, done)
+        sums = rows.agg(*[F.sum(m * rate).alias(f"n{k}") for k, m in enumerate(mass)]).first()
         mix.reached = [sums[f"n{k}"] or 0.0 for k in ks]
+        if len(mix.steps) - done == STEPS_HELD:
+            last, path = path, fresh_path(posteriors.sparkSession, "domain-rates")
+            held = rows.select("copies", "n_tokens", *[f"p{k}" for k in ks], rate.alias("rate"))
+            held.write.parquet(path)
+            rows, done, start = posteriors.sparkSession.read.schema(held.schema).parquet(path), len(mix.steps), F.col("rate")
+            if last:
+                remove_path(posteriors.sparkSession, last)
+    if path:
+        remove_path(posteriors.sparkSession, path)
     return mix
 
 

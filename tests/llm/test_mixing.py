@@ -115,3 +115,22 @@ def test_domains_below_their_targets_reach_them_when_drawn(spark):
     key = spark.sql("SELECT xxhash64('') AS th").first().th
     drawn = draw_documents(texts, df.withColumn("rate", mix.rate()).withColumn("th", df["th"] + key)).toPandas()
     assert abs(drawn["p1"].mean() - 0.09) < 0.02 and abs(drawn["p2"].mean() - 0.04) < 0.015
+
+
+def test_rates_written_between_steps_are_those_of_one_expression(spark, monkeypatch, tmp_path):
+    from queuesight.llm import mixing
+
+    rng = random.Random(7)
+    rows = [(i, i, 1, rng.randint(0, 90), *(p := sorted((rng.random(), rng.random())))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, th long, copies int, n_tokens long, p0 double, p1 double")
+    df = df.selectExpr("doc_id", "th", "copies", "n_tokens", "p0 / (p0 + p1) AS p0", "p1 / (p0 + p1) AS p1")
+    depths, plain = [], mixing.Mix.rate
+    monkeypatch.setattr(mixing.Mix, "rate", lambda self, start=None, done=0: depths.append(len(self.steps) - done) or plain(self, start, done))
+    fits = []
+    for held in (2, 1_000):
+        monkeypatch.setattr(mixing, "STEPS_HELD", held)
+        fits.append(fit_rates(df, ["a", "b"], {"a": 0.97, "b": 0.03}, most_steps=9, tolerance=1e-12))
+        assert len(fits[-1].steps) > 3 and max(depths) <= held
+        depths.clear()
+    one, other = (np.array(df.select(f.rate()).collect()) for f in fits)
+    assert np.allclose(one, other, atol=1e-9) and np.allclose(fits[0].reached, fits[1].reached)
