@@ -54,7 +54,7 @@ def tfidf_features(spark, sf):
     texts = spread(table(spark, sf, "documents")).select("doc_id", models.fold_accents(F.col("text")).alias("folded"))
     features = models.fit_features(texts, "folded").transform(texts)
     return features.select(
-        "doc_id", F.size("terms").alias("n_terms"), F.round(F.array_max(vector_to_array("features")), 6).alias("top_weight")
+        "doc_id", "n_terms", F.round(F.array_max(vector_to_array("features")), 6).alias("top_weight")
     )
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,29 +36,71 @@ from .logistic import Problems, fitted, packed
 from .splits import class_counts
 
 
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, data): the bytes of all texts in a row, and where each begins, with the end. A null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return ends - ends[0], data[ends[0] : ends[-1]]
+
+
+def _foreign(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lead, extra, point) of each character that is not ASCII: its first byte, how many follow, its code point."""
+    lead = np.flatnonzero(data >= 0xC0)
+    extra = (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0) + 1
+    point = data[lead] & np.array([0, 0x1F, 0x0F, 0x07])[extra]
+    for k in (1, 2, 3):
+        more = extra >= k
+        point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+    return lead, extra, point
+
+
+def _without_accents(texts: pa.Array) -> pa.Array:
+    """Texts whose characters are decomposed, each by itself, and rid of combining marks. No text is null."""
+    ends, data = _utf8(texts)
+    lead, _, point = _foreign(data)
+    if not len(lead):
+        return texts
+    found, which = np.unique(point, return_inverse=True)
+    forms = [unicodedata.normalize("NFKD", chr(p)) for p in found]
+    forms = [np.frombuffer("".join(c for c in form if not unicodedata.combining(c)).encode(), np.uint8) for form in forms]
+    lengths = np.array([len(form) for form in forms])
+    size = (data < 0x80).astype(np.int32)
+    size[lead] = lengths[which]
+    place = np.append(0, np.cumsum(size, dtype=np.int64))
+    out = np.empty(place[-1], np.uint8)
+    plain = data < 0x80
+    out[place[:-1][plain]] = data[plain]
+    for k in range(lengths.max()):
+        byte = np.array([form[k] if len(form) > k else 0 for form in forms], np.uint8)
+        at = lengths[which] > k
+        out[place[lead[at]] + k] = byte[which[at]]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(place[ends].astype("<i4").tobytes()), pa.py_buffer(out.tobytes()))
+
+
+STEP = 1 << 20  # bytes of text worked on at a time: little enough to stay in the processor's caches
+BLOCK = 1 << 24  # bytes of text whose words are numbered together
+
+
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts in turn, some together: those that end in the same `size` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    for start, end in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+        yield texts.slice(start, end - start)
+
+
 def fold_accents(c: Column) -> Column:
     """Lower case without accents (compatibility decomposition, combining marks dropped).
 
-    Only what is not ASCII is decomposed, run by run: a character's decomposition does not
-    depend on its neighbours, and the marks whose order it could change are dropped.
+    Only what is not ASCII is decomposed, character by character: a decomposition does not
+    depend on the neighbours, and the marks whose order it could change are dropped.
     """
 
-    @F.pandas_udf(T.StringType())
-    def fold(texts):
-        import re
-        import unicodedata
-        from functools import lru_cache
-
-        @lru_cache(maxsize=1 << 16)
-        def run(found):
-            return "".join(ch for ch in unicodedata.normalize("NFKD", found) if not unicodedata.combining(ch))
-
-        foreign = re.compile(r"[^\x00-\x7f]+")
-
-        def one(text):
-            return text if text is None or text.isascii() else foreign.sub(lambda m: run(m.group()), text)
-
-        return texts.map(one)
+    @F.arrow_udf(T.StringType())
+    def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([_without_accents(part).cast(pa.string()) for part in _slices(texts, STEP)])
 
     return fold(F.lower(F.coalesce(c, F.lit(""))))
 
@@ -90,15 +134,69 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     return tokenized.select(*df.columns, F.col("terms").alias(TERMS))
 
 
-def _counted(words: pa.Array, pairs: bool, known: pa.Array | None) -> pa.Table:
-    """(term, n, texts) of one batch of word arrays: occurrences, and texts that have the term.
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """Whether each code point is a letter, a numeral or `_`, as the tokenizing stage has it."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words per text, words): runs of two word characters or more, found in the UTF-8 bytes of all texts at once."""
+    ends, data = _utf8(texts)
+    known = _word_characters()
+    word, after = np.append(known[:128], np.zeros(128, bool))[data], data & 0xC0 == 0x80
+    lead, extra, point = _foreign(data)
+    for k in range(4):
+        word[lead[extra >= k] + k] = known[point[extra >= k]]
+    border = np.zeros(len(data) + 1, bool)  # where a text begins or ends
+    border[ends] = border[-1:] = True
+    first = np.flatnonzero(word & (border[:-1] | ~np.append(False, word)[:-1]))
+    last = np.flatnonzero(word & (border[1:] | ~np.append(word, False)[1:])) + 1
+    seen = np.append(0, np.cumsum(after, dtype=np.int32)) if len(lead) else np.zeros(len(data) + 1, np.int32)
+    long = last - first - (seen[last] - seen[first]) >= 2
+    for k in range(4):  # words of one character
+        at = first[~long & (last - first > k)]
+        word[at + k] = False
+    first, last = first[long], last[long]
+    places = np.append(0, np.cumsum(last - first)).astype("<i4")
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(places.tobytes()), pa.py_buffer(data[word].tobytes()))
+    return np.diff(np.searchsorted(first, ends)), words
+
+
+def _coded(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(names, codes, sizes) of folded texts or of word arrays: the distinct words, each word's place among them, words per row."""
+    if pa.types.is_list(words.type):
+        sizes, flat = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), words.flatten()
+    else:
+        found = [_words(part) for part in _slices(words, STEP)]
+        sizes, flat = np.concatenate([n for n, _ in found]), pa.concat_arrays([w for _, w in found])
+    coded = pc.dictionary_encode(flat)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), sizes
+
+
+def coded_words(worded: DataFrame) -> DataFrame:
+    """(names, codes, sizes) in blocks of rows of `words`, which are word arrays or folded texts."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            for part in [column] if pa.types.is_list(column.type) else _slices(column, BLOCK):
+                names, codes, sizes = _coded(part)
+                yield pa.record_batch({
+                    "names": pa.ListArray.from_arrays([0, len(names)], names.cast(pa.string())),
+                    "codes": pa.array([codes.astype("<i4").tobytes()]),
+                    "sizes": pa.array([sizes.astype("<i4").tobytes()]),
+                })
+
+    return worded.select("words").mapInArrow(blocks, "names array<string>, codes binary, sizes binary")
+
+
+def _counted(names: pa.Array, code: np.ndarray, sizes: np.ndarray, pairs: bool, known: pa.Array | None) -> pa.Table:
+    """(term, n, texts) of one block: occurrences, and texts that have the term.
 
     Terms are the words, or the pairs of neighbours, both of them in `known` if given.
     """
-    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    coded = pc.dictionary_encode(words.flatten())
-    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.repeat(np.arange(len(sizes)), sizes)
+    code, text = code.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     if pairs:
         inside = text[1:] == text[:-1]
         if known is not None:
@@ -116,15 +214,18 @@ def _counted(words: pa.Array, pairs: bool, known: pa.Array | None) -> pa.Table:
 
 
 def term_counts(worded: DataFrame, pairs: bool, known: list[str] | None = None) -> DataFrame:
-    """(term, n, texts) over all rows of `words`: each Arrow batch is counted in its task, Spark adds the counts up."""
+    """(term, n, texts) over all rows of `words`, or blocks of them: each block is counted in its task, Spark adds the counts up."""
     among = None if known is None else worded.sparkSession.sparkContext.broadcast(known)
+    blocks = coded_words(worded) if "words" in worded.columns else worded
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = None if among is None else pa.array(among.value, pa.string())
         for batch in batches:
-            yield from _counted(batch.column(0), pairs, value_set).to_batches(max_chunksize=100_000)
+            for names, codes, sizes in zip(*(batch.column(c) for c in ("names", "codes", "sizes")), strict=True):
+                rows = [np.frombuffer(x.as_buffer(), "<i4") for x in (codes, sizes)]
+                yield from _counted(names.values, *rows, pairs, value_set).to_batches(max_chunksize=100_000)
 
-    sent = worded.select("words").mapInArrow(counted, "term string, n long, texts long")
+    sent = blocks.select("names", "codes", "sizes").mapInArrow(counted, "term string, n long, texts long")
     return sent.groupBy("term").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
@@ -134,44 +235,99 @@ def frequent_terms(worded: DataFrame, size: int) -> DataFrame:
     A pair is at most as frequent as either of its words. So where `size` words occur at least
     m times, a pair of a word that occurs less often is not among the `size` first: pairs are
     counted of the other words alone. Where too many words are as frequent as that to be sent
-    to every task, all pairs are counted.
+    to every task, all pairs are counted. Texts are split once: their words are stored as codes.
     """
-    path = fresh_path(worded.sparkSession, "word-counts")
-    term_counts(worded, pairs=False).write.parquet(path)
-    words = worded.sparkSession.read.schema("term string, n long, texts long").parquet(path)
+    spark = worded.sparkSession
+    coded, path = (fresh_path(spark, name) for name in ("word-codes", "word-counts"))
+    coded_words(worded).write.parquet(coded)
+    blocks = spark.read.schema("names array<string>, codes binary, sizes binary").parquet(coded)
+    term_counts(blocks, pairs=False).write.parquet(path)
+    words = spark.read.schema("term string, n long, texts long").parquet(path)
     first = words.orderBy(F.desc("n"), "term").limit(size)
     least = first.agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).first()
     known = None
     if least["rows"] == size:
         often = words.where(F.col("n") >= least["least"])
         known = [r["term"] for r in often.select("term").limit(BROADCAST_ROWS + 1).collect()]
-    pairs = term_counts(worded, pairs=True, known=None if known is None or len(known) > BROADCAST_ROWS else known)
+    pairs = term_counts(blocks, pairs=True, known=None if known is None or len(known) > BROADCAST_ROWS else known)
     return first.unionByName(pairs.orderBy(F.desc("n"), "term").limit(size)).orderBy(F.desc("n"), "term").limit(size)
 
 
-def fit_features(df: DataFrame, text: str, vocabulary: int = K.VOCABULARY_SIZE) -> PipelineModel:
+def _weighed(texts: pa.Array, vocabulary: pa.Array, idf: np.ndarray) -> pa.Array:
+    """(n_terms, features) of folded texts: how many terms each has, and its unit vector of counts times idf."""
+    size = len(vocabulary)
+    names, code, sizes = _coded(texts)
+    places = lambda among: pc.fill_null(pc.index_in(names, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+    text, at = np.repeat(np.arange(len(sizes)), sizes), places(vocabulary)
+    cells = [(text * size + at)[at >= 0]]
+    double = np.flatnonzero(pc.match_substring(vocabulary, " ").to_numpy(zero_copy_only=False))
+    if len(double):
+        sides = pc.dictionary_encode(pc.list_flatten(pc.split_pattern(vocabulary.take(pa.array(double)), " ")))
+        first, second = sides.indices.to_numpy().astype(np.int64).reshape(-1, 2).T
+        keys = first * len(sides.dictionary) + second
+        order = np.argsort(keys)
+        side = places(sides.dictionary)
+        near = np.flatnonzero((text[1:] == text[:-1]) & (side[1:] >= 0) & (side[:-1] >= 0))
+        key = side[near] * len(sides.dictionary) + side[near + 1]
+        found = np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)
+        held = keys[order][found] == key
+        cells.append(text[near[held]] * size + double[order[found[held]]])
+    every = np.sort(np.concatenate(cells))
+    start = np.flatnonzero(np.diff(every, prepend=-1))
+    row, term = np.divmod(every[start], size)
+    value = np.diff(start, append=len(every)) * idf[term]
+    value /= np.sqrt(np.bincount(row, value * value, len(sizes)))[row]
+    ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((term, pa.int32()), (value, pa.float64()))]
+    sparse = [pa.array(np.full(len(sizes), x), kind) for x, kind in ((0, pa.int8()), (size, pa.int32()))]
+    vectors = pa.StructArray.from_arrays([*sparse, *lists], ["type", "size", "indices", "values"])
+    return pa.StructArray.from_arrays([pa.array(np.maximum(2 * sizes - 1, 0), pa.int32()), vectors], ["n_terms", "features"])
+
+
+class FeatureModel(PipelineModel):
+    """The stages of the features; applied, it adds their columns and `n_terms`, the number of terms.
+
+    `features` is computed from the text in Arrow batches, equal to what the stages give (but
+    for letters that the JVM's Unicode tables lack), so the other columns cost only those who read them.
+    """
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counting, weigh = self.stages[-3:-1]
+        sent = dataset.sparkSession.sparkContext.broadcast((list(counting.vocabulary), weigh.getScalingVec().toArray()))
+
+        @F.arrow_udf(T.StructType([T.StructField("n_terms", T.IntegerType()), T.StructField("features", VectorUDT())]))
+        def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            vocabulary, idf = pa.array(sent.value[0], pa.string()), sent.value[1]
+            for texts in batches:
+                yield pa.concat_arrays([_weighed(part, vocabulary, idf) for part in _slices(texts, STEP)])
+
+        shaped = PipelineModel(stages=self.stages[:-1]).transform(dataset)
+        shaped = shaped.withColumn("_weighed", weighed(F.col(self.stages[0].getInputCol())))
+        return shaped.select("*", "_weighed.n_terms", "_weighed.features").drop("_weighed")
+
+
+def fit_features(df: DataFrame, text: str, vocabulary: int = K.VOCABULARY_SIZE) -> FeatureModel:
     """TF-IDF model: the most frequent terms, idf = ln((n+1)/(df+1)) + 1, unit-length rows.
 
     The vocabulary is chosen here rather than by CountVectorizer, whose choice among equally
     frequent terms depends on the partitioning, and the texts that have a term are counted
     with its occurrences. Spark's idf lacks the `+ 1`, which would erase a term found in every text.
     """
-    stages = tokenizing_stages(text)
-    terms = frequent_terms(stages[0].transform(df.select(text)).select("words"), vocabulary).collect()
+    terms = frequent_terms(df.select(F.col(text).alias("words")), vocabulary).collect()
     if not terms:
         raise ValueError("the texts hold no terms")
     counting = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="terms", outputCol="counts")
     idf = np.log((df.count() + 1.0) / (np.array([r["texts"] for r in terms]) + 1.0)) + 1.0
     weigh = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol="counts", outputCol="weighted")
     unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    return PipelineModel(stages=[*stages, counting, weigh, unit])
+    return FeatureModel(stages=[*tokenizing_stages(text), counting, weigh, unit])
 
 
 @dataclass
 class TextClassifier:
     """A fitted classifier: feature model, one binary model per class, and its metadata."""
 
-    features: PipelineModel
+    features: FeatureModel
     labels: list[str]
     models: list[LogisticRegressionModel]
     metadata: dict = field(default_factory=dict)
@@ -241,7 +397,7 @@ class TextClassifier:
     def load(cls, spark: SparkSession, path: str) -> TextClassifier:
         about = spark.read.schema("labels string, models int, metadata string").json(f"{path}/about").first()
         models = [LogisticRegressionModel.load(f"{path}/class-{i}") for i in range(about["models"])]
-        return cls(PipelineModel.load(f"{path}/features"), json.loads(about["labels"]), models, json.loads(about["metadata"]))
+        return cls(FeatureModel(PipelineModel.load(f"{path}/features").stages), json.loads(about["labels"]), models, json.loads(about["metadata"]))
 
 
 def linear_model(spark: SparkSession, name: str, weights: np.ndarray) -> LogisticRegressionModel:

@@ -1,11 +1,14 @@
 """TF-IDF against a plain computation, and the classifiers built on it."""
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -171,3 +174,45 @@ def test_texts_scored_by_two_models_are_split_once(spark):
     alone = category.score(df, "message", "category", None).join(priority.score(df, "message", "priority", None).select("i", "predicted_priority", "priority_confidence"), "i")
     columns = ["i", "predicted_category", "category_confidence", "predicted_priority", "priority_confidence"]
     assert sorted(shared.select(*columns).collect()) == sorted(alone.select(*columns).collect())
+
+
+def awkward_texts():
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice("ab Z_9.é€ßﬁ²語\U00010428\u0301\n") for _ in range(rng.randint(0, 15))) for _ in range(400)]
+    return [None, "", "a", "ab", "b", "—aa—", "_", "__", "日本 語", "a\u0301b", "Ａ①Ⅳ", "\x00ab", *mixed, "a", "ab", None]
+
+
+def test_words_and_folds_of_many_texts_are_those_of_each(monkeypatch):
+    texts = awkward_texts()
+    for step in (1, 64, 1 << 20):
+        monkeypatch.setattr(models, "STEP", step)
+        for rows in (pa.array(texts), pa.array(texts).slice(3, 50), pa.array([], pa.string()), pa.array([None, None], pa.string())):
+            plain = [unicodedata.normalize("NFKD", t or "") for t in rows.to_pylist()]
+            plain = ["".join(c for c in t if not unicodedata.combining(c)) for t in plain]
+            folded = pa.concat_arrays([models._without_accents(part).fill_null("") for part in models._slices(rows, step)])
+            assert folded.to_pylist() == plain
+            names, codes, sizes = models._coded(rows)
+            found = [re.findall(r"\w{2,}", t or "") for t in rows.to_pylist()]
+            assert sizes.tolist() == [len(x) for x in found]
+            assert names.take(pa.array(codes)).to_pylist() == [w for x in found for w in x]
+
+
+def test_features_are_those_of_the_stages_without_arrays_of_terms(spark):
+    texts = [*TEXTS, *awkward_texts()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", models.fold_accents(F.col("t")).alias("folded")).repartition(3)
+    for size in (4, 5_000):
+        fitted = models.fit_features(df, "folded", size)
+        applied = fitted.transform(df)
+        staged = PipelineModel(stages=fitted.stages).transform(df).select("i", F.size("terms").alias("n_terms"), "features")
+        assert sorted(applied.select("i", "n_terms", "features").collect()) == sorted(staged.collect())
+    plan = applied.select("n_terms", "features")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(" not in plan and "weighed(" in plan
+
+
+def test_texts_are_split_once_by_a_fit(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in ["aa bb aa", "bb cc aa", None, "aa"] * 5], "folded string").repartition(2)
+    calls, coded = [], models.coded_words
+    monkeypatch.setattr(models, "coded_words", lambda worded: calls.append(worded.columns) or coded(worded))
+    fitted = models.fit_features(df, "folded", 3)
+    assert calls == [["words"]]
+    assert next(s for s in fitted.stages if hasattr(s, "vocabulary")).vocabulary == ["aa", "bb", "aa bb"]
