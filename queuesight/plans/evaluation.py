@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import round_exact
 from ..operators import bootstrap, calibration, compare, coverage, metrics, rules
-from ..operators.models import TERMS, TextClassifier, with_terms
+from ..operators.models import FOLDED, TERMS, TextClassifier, with_folded, with_terms
 
 
 def headline(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -148,13 +148,13 @@ def predict_frame(df: DataFrame, category: TextClassifier, priority: TextClassif
 def evaluate_models(test: DataFrame, category: TextClassifier | None, priority: TextClassifier | None, text: str = "customer_message") -> dict[str, DataFrame]:
     """Per target `<target>_metrics`, `<target>_report` and `<target>_confusion` on the test
     part, and `errors`: the rows where any target is wrong."""
-    scored = with_terms(test, text)
+    scored = with_folded(test, text)
     frames: dict[str, DataFrame] = {}
     for target, model in (("category", category), ("priority", priority)):
         if model is None:
             continue
         scored = model.score(scored, text, target)
-    scored = scored.drop(TERMS)
+    scored = scored.drop(FOLDED)
     for target, model in (("category", category), ("priority", priority)):
         if model is None:
             continue

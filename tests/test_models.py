@@ -216,3 +216,10 @@ def test_texts_are_split_once_by_a_fit(spark, monkeypatch):
     fitted = models.fit_features(df, "folded", 3)
     assert calls == [["words"]]
     assert next(s for s in fitted.stages if hasattr(s, "vocabulary")).vocabulary == ["aa", "bb", "aa bb"]
+
+
+def test_evaluation_makes_no_arrays_of_terms(tickets, category, priority):
+    frames = evaluation.evaluate_models(tickets, category, priority)
+    for name in ("category_metrics", "priority_metrics", "errors"):
+        plan = frames[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "concat(UDF(" not in plan and "weighed(" in plan and "_folded" not in frames[name].columns, name
