@@ -185,7 +185,7 @@ def score_batch(spark, sf):
     path = fresh_path(spark, "model")
     _stated(spark, sf, "category").save(path)
     model = models.TextClassifier.load(spark, path)
-    tickets = table(spark, sf, "documents").selectExpr("doc_id AS ticket_id", "text")
+    tickets = spread(table(spark, sf, "documents")).selectExpr("doc_id AS ticket_id", "text")
     scored = model.score(tickets, "text", "category")
     return scored.select("ticket_id", "predicted_category", "category_confidence", F.size("category_distribution").alias("classes"))
 

@@ -95,14 +95,21 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table scan that has fewer partitions than there are cores.
+    """Repartition a table scan whose rows are not spread over the cores.
 
     For steps that are heavy per row: one large file would otherwise keep a single task
-    busy. A table of many files has enough partitions and is left as it is. Meant for
-    scans only: counting the partitions of a frame with shuffles would run them.
+    busy. A file is cut by bytes, but a Parquet row group is read whole by one task, so a
+    file of one group gives many partitions of which one has all rows; counting them reads
+    no columns. A table of many files is left as it is. Meant for scans only: counting the
+    partitions of a frame with shuffles would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if parts >= cores:
+        rows = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+        held = rows.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+        if not held["rows"] or held["most"] * cores <= 2 * held["rows"]:
+            return df
+    return df.repartition(max(cores, parts))
 
 
 # A broadcast side stays below this many narrow rows (tens of MB); beyond it the
