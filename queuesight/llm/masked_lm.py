@@ -30,6 +30,8 @@ TOKENS_PER_TASK = 8_000_000  # a task that trains sends a whole network, so it s
 SMALL = 1_000_000  # tokens; a corpus of fewer is gone through several times, up to 100
 BATCH = 16_384
 BLOCK = 1_024  # token rows sent together
+FEW = 32  # tokens whose rows are added up by a product
+PIECE = 512  # places worked on at a time, so that their logits stay in the processor's caches
 
 
 def class_starts(size: int, first: int = 64, growth: float = 1.1) -> np.ndarray:
@@ -41,6 +43,19 @@ def class_starts(size: int, first: int = 64, growth: float = 1.1) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
+def _pieces(rows: slice) -> Iterator[slice]:
+    for at in range(rows.start, rows.stop, PIECE):
+        yield slice(at, min(at + PIECE, rows.stop))
+
+
+def _with_one(h: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows of h as columns, and a last row of ones, which the biases are weights of."""
+    out = np.ones((h.shape[1] + 1, len(places)), h.dtype)
+    for part in _pieces(slice(0, len(places))):
+        out[:-1, part] = h.take(places[part], axis=0).T
+    return out
+
+
 def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, turn, ids) of every row; `ids` are the text's token ids as bytes, none for a null text."""
 
@@ -86,7 +101,7 @@ class ContextNetwork:
         self.rank = np.empty(size, np.int32)
         self.rank[order] = np.arange(size)
         self.starts = class_starts(size)
-        self.classes = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        self.classes = np.repeat(np.arange(len(self.starts) - 1, dtype=np.uint16), np.diff(self.starts))
         usual = counts[order] + 0.1
         mass = np.add.reduceat(usual, self.starts[:-1])
         self.p = {
@@ -113,84 +128,153 @@ class ContextNetwork:
                 own += [np.full(len(ids), i), np.full(self.side, -1)]
         return np.concatenate(parts), np.concatenate(own)
 
-    def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embeddings of a stream, and h at all its places but the `side` first and last."""
-        n, found = len(x) - 2 * self.side, self.p["E"][x]
-        total = np.tile(self.p["b"], (n, 1))
-        for j in self.places():
-            total += found[j : j + n] @ self.p["W"][j]
-        return found, np.tanh(total, out=total)
+    def _met(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct tokens of a stream in order, and which of them each place has."""
+        found = np.zeros(self.size + 1, bool)
+        found[x] = True
+        tokens = np.flatnonzero(found)
+        number = np.empty(self.size + 1, np.uint16 if len(tokens) <= 1 << 16 else np.int64)  # few bits sort faster
+        number[tokens] = np.arange(len(tokens))
+        return tokens, number[x]
+
+    def _moved(self, tokens: np.ndarray) -> np.ndarray:
+        """What each of the tokens adds to h from each place around; `b` is in the first."""
+        moved = self.p["E"][tokens] @ self.p["W"][self.places()]
+        moved[0] += self.p["b"]
+        return moved
+
+    def _hidden(self, moved: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """h at all places of a stream but the `side` first and last."""
+        out = np.empty((len(at) - 2 * self.side, moved.shape[2]), moved.dtype)
+        room = np.empty_like(out[:PIECE])
+        for start in range(0, len(out), PIECE):
+            total = out[start : start + PIECE]
+            for one, j in zip(moved, self.places(), strict=True):
+                near = at[start + j : start + j + len(total)]
+                if j:
+                    total += one.take(near, axis=0, out=room[: len(total)], mode="clip")
+                else:
+                    one.take(near, axis=0, out=total, mode="clip")
+            np.tanh(total, out=total)
+        return out
 
-    @staticmethod
-    def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Turn the logits into exponentials in place; the logarithms of the probabilities at `at`, and the rows' sums."""
-        top = z.max()
-        if top - z.min() > 60:  # else no row can vanish beside another
-            top = z.max(axis=1, keepdims=True)
-        z -= top
-        picked = z[np.arange(len(z)), at]
-        np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], np.float32)
-        return picked - np.log(total), total
-
-    def _logits(self, h: np.ndarray, weights: str, bias: str, rows: slice = slice(None)) -> np.ndarray:  # noqa: B008
-        z = h @ self.p[weights][rows].T
-        z += self.p[bias][rows]
-        return z
-
-    def _errors(self, z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Probabilities, less one where the target is."""
-        z *= 1 / self._softmax(z, at)[1][:, None]
-        z[np.arange(len(z)), at] -= 1
-        return z
-
-    def _groups(self, targets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, rows) of each class: the places whose target is in it."""
+    def _targets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, tokens, classes) of a stream's tokens between its `side` first and last places, by class."""
+        real = np.flatnonzero(x[self.side : len(x) - self.side] != self.edge)
+        targets = x[self.side + real]
         classes = self.classes[targets]
         order = np.argsort(classes, kind="stable")
-        cuts = np.flatnonzero(np.diff(classes[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else ():
-            k = classes[rows[0]]
-            yield self.starts[k], self.starts[k + 1], rows
+        return real[order], targets[order], classes[order]
+
+    def _weights(self, weights: str, bias: str, rows: slice = slice(None)) -> tuple[np.ndarray, bool]:  # noqa: B008
+        """Weights with the bias as the last column, and whether logits under them may be too far apart for exp()."""
+        both = np.column_stack((self.p[weights][rows], self.p[bias][rows]))
+        return both, np.abs(both).sum(axis=1).max() > 60  # h is between -1 and 1
+
+    @staticmethod
+    def _exponentials(h: np.ndarray, weights: np.ndarray, far: bool, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """exp() of the logits, a column for each place, their sums, and the logits at `at`."""
+        z = weights @ h
+        if far:
+            top = z.max()
+            z -= z.max(axis=0) if top - z.min() > 60 else top  # else no column can vanish beside another
+        picked = z[at, np.arange(len(at))]
+        np.exp(z, out=z)
+        return z, np.ones(len(z), z.dtype) @ z, picked
+
+    def _logs(self, h: np.ndarray, weights: np.ndarray, far: bool, at: np.ndarray) -> np.ndarray:
+        """The logarithms of the probabilities at `at`."""
+        _, total, picked = self._exponentials(h, weights, far, at)
+        return picked - np.log(total)
+
+    def _errors(self, h: np.ndarray, weights: np.ndarray, far: bool, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of minus the summed logarithms at `at`, by h and by the weights.
+
+        Both are products with the probabilities less one at `at`; what is small is divided by
+        the sums of the exponentials, not these.
+        """
+        z, total, _ = self._exponentials(h, weights, far, at)
+        z[at, np.arange(len(at))] -= total
+        dh = weights[:, :-1].T @ z
+        dh /= total
+        return dh, z @ (h / total).T
+
+    def _groups(self, classes: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+        """(start, end, rows) of each class among places sorted by class."""
+        cuts = [0, *(np.flatnonzero(np.diff(classes)) + 1), len(classes)]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True) if len(classes) else ():
+            k = classes[first]
+            yield self.starts[k], self.starts[k + 1], slice(first, last)
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """Of each token of a stream between its `side` first and last places; 0 at edges."""
         out = np.zeros(len(x) - 2 * self.side)
+        tokens, near = self._met(x)
+        moved, c = self._moved(tokens), self._weights("C", "c")
         for at in range(0, len(out), BATCH):
-            part = x[at : at + BATCH + 2 * self.side]
-            real = np.flatnonzero(part[self.side : len(part) - self.side] != self.edge)
-            targets = part[self.side + real]
-            h = self.hidden(part)[1][real]
-            found = self._softmax(self._logits(h, "C", "c"), self.classes[targets])[0].astype(np.float64)
-            for s, e, rows in self._groups(targets):
-                found[rows] += self._softmax(self._logits(h[rows], "O", "o", slice(s, e)), targets[rows] - s)[0]
-            out[at + real] = found
+            to = at + BATCH + 2 * self.side
+            places, targets, classes = self._targets(x[at:to])
+            h = _with_one(self._hidden(moved, near[at:to]), places)
+            found = np.empty(len(places))
+            for part in _pieces(slice(0, len(places))):
+                found[part] = self._logs(h[:, part], *c, classes[part])
+            for s, e, rows in self._groups(classes):
+                o = self._weights("O", "o", slice(s, e))
+                for part in _pieces(rows):
+                    found[part] += self._logs(h[:, part], *o, targets[part] - s)
+            out[at + places] = found
         return out
 
     def gradients(self, x: np.ndarray) -> Iterator[tuple[str, slice | np.ndarray, np.ndarray]]:
         """(parameter, rows, gradient) of minus the summed log probabilities of a stream."""
-        k = self.side
-        real = np.flatnonzero(x[k : len(x) - k] != self.edge)
-        targets, n, every = x[k + real], len(x) - 2 * k, slice(None)
-        found, full = self.hidden(x)
-        h = full[real]
-        z = self._errors(self._logits(h, "C", "c"), self.classes[targets])
-        dh, changes = z @ self.p["C"], [("C", every, z.T @ h), ("c", every, z.sum(axis=0))]
-        for s, e, rows in self._groups(targets):
-            own = h[rows]
-            y = self._errors(self._logits(own, "O", "o", slice(s, e)), targets[rows] - s)
-            dh[rows] += y @ self.p["O"][s:e]
-            changes += [("O", slice(s, e), y.T @ own), ("o", slice(s, e), y.sum(axis=0))]
-        da = np.zeros_like(full)
-        da[real] = dh * (1 - h * h)
-        dx, dw = np.zeros_like(found), np.zeros_like(self.p["W"])
-        for j in self.places():
-            dw[j] = found[j : j + n].T @ da
-            dx[j : j + n] += da @ self.p["W"][j].T
-        order = np.argsort(x, kind="stable")
-        first = np.flatnonzero(np.diff(x[order], prepend=-1))
-        changes += [("W", every, dw), ("b", every, da.sum(axis=0)), ("E", x[order[first]], np.add.reduceat(dx[order], first, axis=0))]
-        yield from changes
+        k, every = self.side, slice(None)
+        tokens, near = self._met(x)
+        full = self._hidden(self._moved(tokens), near)
+        places, targets, classes = self._targets(x)
+        h = _with_one(full, places)
+        dh, changes = np.empty_like(h[:-1]), []
+        c, total = self._weights("C", "c"), 0
+        for part in _pieces(slice(0, len(places))):
+            dh[:, part], change = self._errors(h[:, part], *c, classes[part])
+            total += change
+        if len(places):
+            changes += [("C", every, total[:, :-1]), ("c", every, total[:, -1])]
+        for s, e, rows in self._groups(classes):
+            o, total = self._weights("O", "o", slice(s, e)), 0
+            for part in _pieces(rows):
+                change_h, change = self._errors(h[:, part], *o, targets[part] - s)
+                dh[:, part] += change_h
+                total += change
+            changes += [("O", slice(s, e), total[:, :-1]), ("o", slice(s, e), total[:, -1])]
+        dh *= 1 - h[:-1] ** 2
+        da = np.zeros((len(full) + 4 * k, full.shape[1]), full.dtype)
+        for part in _pieces(slice(0, len(places))):
+            da[2 * k + places[part]] = dh[:, part].T
+        sums, e, w = self._summed_around(da, near, len(tokens)), self.p["E"][tokens], self.p["W"][self.places()]
+        dw = np.zeros_like(self.p["W"])
+        dw[self.places()] = e.T @ sums
+        yield from [*changes, ("W", every, dw), ("b", every, dh.sum(axis=1)), ("E", tokens, (sums @ w.transpose(0, 2, 1)).sum(axis=0))]
+
+    def _summed_around(self, da: np.ndarray, near: np.ndarray, size: int) -> np.ndarray:
+        """For each place around and each of `size` tokens: the sum of `da` where the token is at that place.
+
+        `da` has twice `side` rows of zeros before and after those of the places in the middle of `near`.
+        """
+        order, shifts = np.argsort(near, kind="stable"), [2 * self.side - j for j in self.places()]
+        sums = np.zeros((len(shifts), size, da.shape[1]), da.dtype)
+        room = np.empty((len(shifts), PIECE, da.shape[1]), da.dtype)
+        for part in _pieces(slice(0, len(order))):
+            rows = order[part]
+            for one, shift in zip(room, shifts, strict=True):
+                da.take(rows + shift, axis=0, out=one[: len(rows)], mode="clip")
+            held, of = room[:, : len(rows)], near[rows].astype(np.int64)
+            first, last = of[0], of[-1] + 1
+            if last - first <= FEW:
+                sums[:, first:last] += (of == np.arange(first, last)[:, None]).astype(da.dtype) @ held
+            else:
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                sums[:, of[starts]] += np.add.reduceat(held, starts, axis=1)
+        return sums
 
     def train(self, streams: Iterable[np.ndarray], rate: float, batch: int = BATCH) -> ContextNetwork:
         """Adagrad, a step for each `batch` places."""

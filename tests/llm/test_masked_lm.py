@@ -5,6 +5,7 @@ import public_tokenizers
 from helpers import DOCS, awkward, clashing, documents, prose, rows_of
 from tokenizers import Tokenizer
 
+from queuesight.llm import masked_lm
 from queuesight.llm.masked_lm import ContextNetwork, learn_masked_lm, score_documents_masked, score_tokens, token_counts, tokenized
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -91,3 +92,34 @@ def test_nothing_to_learn(spark):
     assert rows_of(score_documents_masked(empty, PATH)) == []
     got = score_documents_masked(documents(spark, [(1, None), (2, "")]), PATH).collect()
     assert [(r.n_tokens, r.log_prob, r.mean_log_prob) for r in got] == [(0, 0.0, None)] * 2
+
+
+def test_pieces_and_far_logits_do_not_matter(monkeypatch):
+    rng = np.random.default_rng(1)
+    for far in (1, 40):
+        network = ContextNetwork(np.arange(300)[::-1] ** 2, hidden=6, side=2)
+        network.p = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in network.p.items()}
+        network.p["O"] *= far
+        network.p["o"] *= far
+        texts = [rng.integers(0, 300, n) for n in (90, 0, 1, 40)] + [np.zeros(60, np.int64), rng.integers(0, 3, 50)]
+        x, place = network.stream(texts)
+        scores, changes = [], []
+        for piece, few in ((512, 32), (7, 0), (7, 3), (1, 1)):
+            monkeypatch.setattr(masked_lm, "PIECE", piece)
+            monkeypatch.setattr(masked_lm, "FEW", few)
+            scores.append(network.log_probabilities(x))
+            changes.append({key: np.zeros_like(value) for key, value in network.p.items()})
+            for key, rows, g in network.gradients(x):
+                changes[-1][key][rows] += g
+        for score, change in zip(scores, changes, strict=True):
+            assert np.allclose(score, scores[0], rtol=1e-9, atol=1e-9)
+            assert all(np.allclose(change[key], changes[0][key], rtol=1e-7, atol=1e-9) for key in change)
+        sums = np.bincount(place[2:-2][place[2:-2] >= 0], scores[0][place[2:-2] >= 0], len(texts))
+        assert np.allclose(sums, [plain(network, ids) for ids in texts], rtol=1e-9)
+
+
+def test_a_stream_without_tokens():
+    network = ContextNetwork(np.arange(50), hidden=4)
+    x = network.stream([np.zeros(0, np.int64)])[0]
+    assert not network.log_probabilities(x).any()
+    assert all(not np.asarray(g).any() for _, _, g in network.gradients(np.full(9, network.edge)))
