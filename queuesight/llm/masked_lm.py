@@ -43,9 +43,9 @@ def class_starts(size: int, first: int = 64, growth: float = 1.1) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def _pieces(rows: slice) -> Iterator[slice]:
-    for at in range(rows.start, rows.stop, PIECE):
-        yield slice(at, min(at + PIECE, rows.stop))
+def _pieces(rows: slice, times: int = 1) -> Iterator[slice]:
+    for at in range(rows.start, rows.stop, times * PIECE):
+        yield slice(at, min(at + times * PIECE, rows.stop))
 
 
 def _with_one(h: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -146,11 +146,11 @@ class ContextNetwork:
     def _hidden(self, moved: np.ndarray, at: np.ndarray) -> np.ndarray:
         """h at all places of a stream but the `side` first and last."""
         out = np.empty((len(at) - 2 * self.side, moved.shape[2]), moved.dtype)
-        room = np.empty_like(out[:PIECE])
-        for start in range(0, len(out), PIECE):
-            total = out[start : start + PIECE]
+        room = np.empty_like(out[: 4 * PIECE])
+        for part in _pieces(slice(0, len(out)), 4):
+            total = out[part]
             for one, j in zip(moved, self.places(), strict=True):
-                near = at[start + j : start + j + len(total)]
+                near = at[part.start + j : part.stop + j]
                 if j:
                     total += one.take(near, axis=0, out=room[: len(total)], mode="clip")
                 else:
@@ -169,23 +169,24 @@ class ContextNetwork:
     def _weights(self, weights: str, bias: str, rows: slice = slice(None)) -> tuple[np.ndarray, bool]:  # noqa: B008
         """Weights with the bias as the last column, and whether logits under them may be too far apart for exp()."""
         both = np.column_stack((self.p[weights][rows], self.p[bias][rows]))
-        return both, np.abs(both).sum(axis=1).max() > 60  # h is between -1 and 1
+        most = 60  # h is between -1 and 1
+        return both, max(both.max(), -both.min()) * both.shape[1] > most and np.abs(both).sum(axis=1).max() > most
 
     @staticmethod
-    def _exponentials(h: np.ndarray, weights: np.ndarray, far: bool, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """exp() of the logits, a column for each place, their sums, and the logits at `at`."""
+    def _logits(h: np.ndarray, weights: np.ndarray, far: bool) -> np.ndarray:
+        """A column for each place, fit for exp()."""
         z = weights @ h
         if far:
             top = z.max()
             z -= z.max(axis=0) if top - z.min() > 60 else top  # else no column can vanish beside another
-        picked = z[at, np.arange(len(at))]
-        np.exp(z, out=z)
-        return z, np.ones(len(z), z.dtype) @ z, picked
+        return z
 
     def _logs(self, h: np.ndarray, weights: np.ndarray, far: bool, at: np.ndarray) -> np.ndarray:
         """The logarithms of the probabilities at `at`."""
-        _, total, picked = self._exponentials(h, weights, far, at)
-        return picked - np.log(total)
+        z = self._logits(h, weights, far)
+        picked = z[at, np.arange(len(at))]
+        np.exp(z, out=z)
+        return picked - np.log(np.ones(len(z), z.dtype) @ z)
 
     def _errors(self, h: np.ndarray, weights: np.ndarray, far: bool, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of minus the summed logarithms at `at`, by h and by the weights.
@@ -193,7 +194,9 @@ class ContextNetwork:
         Both are products with the probabilities less one at `at`; what is small is divided by
         the sums of the exponentials, not these.
         """
-        z, total, _ = self._exponentials(h, weights, far, at)
+        z = self._logits(h, weights, far)
+        np.exp(z, out=z)
+        total = np.ones(len(z), z.dtype) @ z
         z[at, np.arange(len(at))] -= total
         dh = weights[:, :-1].T @ z
         dh /= total
@@ -246,10 +249,10 @@ class ContextNetwork:
                 dh[:, part] += change_h
                 total += change
             changes += [("O", slice(s, e), total[:, :-1]), ("o", slice(s, e), total[:, -1])]
-        dh *= 1 - h[:-1] ** 2
         da = np.zeros((len(full) + 4 * k, full.shape[1]), full.dtype)
         for part in _pieces(slice(0, len(places))):
-            da[2 * k + places[part]] = dh[:, part].T
+            dh[:, part] *= 1 - h[:-1, part] ** 2
+            da[2 * k + places[part]] = dh[:, part].T.copy()
         sums, e, w = self._summed_around(da, near, len(tokens)), self.p["E"][tokens], self.p["W"][self.places()]
         dw = np.zeros_like(self.p["W"])
         dw[self.places()] = e.T @ sums
@@ -282,9 +285,13 @@ class ContextNetwork:
         for x in streams:
             for at in range(0, len(x) - 2 * self.side, batch):
                 for key, rows, g in self.gradients(x[at : at + batch + 2 * self.side]):
-                    total = seen[key][rows] + g * g
+                    total = g * g
+                    total += seen[key][rows]
                     seen[key][rows] = total
-                    self.p[key][rows] -= rate * g / np.sqrt(total)
+                    step = np.sqrt(total, out=total)
+                    np.divide(g, step, out=step)
+                    step *= rate
+                    self.p[key][rows] -= step
         return self
 
 
