@@ -18,12 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import fresh_path, write_blocks
 
 BLOCK_ROWS = 4_000
+BLOCK_CELLS = 1 << 18  # values of the rows of a block: 3 MB
+KINDS = {"sizes": "<i4", "terms": "<i4", "amounts": "<f8", "codes": "<i4"}
+BLOCK_COLUMNS = ", ".join(f"{name} binary" for name in KINDS)
+NO_CLASS = -1  # of rows without a class: they count against every class
 PART = 1 << 16  # numbers in one part of a task's sums
 FAN = 32  # sums added up by one task
 MEMORY = 10  # steps a direction remembers
@@ -40,22 +46,36 @@ def sparse_rows(features: str | Column) -> tuple[Column, Column]:
     return indices, raw["values"]
 
 
+def _row_blocks(rows: pa.RecordBatch, most: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, some together: at most `most`, and those whose values end in the same `cells`."""
+    if rows.column("v").null_count:
+        raise ValueError("an example has no features")
+    sizes = pc.list_value_length(rows.column("v")).to_numpy(zero_copy_only=False)
+    at, ends = np.arange(len(sizes)), np.cumsum(sizes, dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // cells) | np.diff(at // most)) + 1
+    for start, end in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+        if end > start:
+            yield rows.slice(start, end - start)
+
+
 def packed(examples: DataFrame, features: str, code: str) -> DataFrame:
     """Blocks of sparse rows with their class codes, written once to the shared folder."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                rows = batch.iloc[at : at + BLOCK_ROWS]
-                sizes = np.array([len(v) for v in rows["v"]], "<i4")
-                joined = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in rows[c]]).tobytes()  # noqa: B023, E731
-                yield pd.DataFrame({"sizes": [sizes.tobytes()], "terms": [joined("i", "<i4")], "amounts": [joined("v", "<f8")], "codes": [rows["c"].to_numpy("<i4").tobytes()]})
+            for rows in _row_blocks(batch, BLOCK_ROWS, BLOCK_CELLS):
+                indices, values, codes = rows.columns
+                found = pc.list_value_length(values), indices.flatten(), values.flatten(), pc.fill_null(codes, NO_CLASS)
+                yield pa.record_batch({
+                    name: pa.array([x.to_numpy(zero_copy_only=False).astype(kind, copy=False).tobytes()], pa.binary())
+                    for x, (name, kind) in zip(found, KINDS.items(), strict=True)
+                })
 
     indices, values = sparse_rows(features)
     rows = examples.select(indices.alias("i"), values.alias("v"), F.col(code).cast("int").alias("c"))
     path = fresh_path(examples.sparkSession, "example-blocks")
-    rows.mapInPandas(blocks, "sizes binary, terms binary, amounts binary, codes binary").write.parquet(path)
-    return examples.sparkSession.read.parquet(path)
+    write_blocks(rows.mapInArrow(blocks, BLOCK_COLUMNS), path)
+    return examples.sparkSession.read.schema(BLOCK_COLUMNS).parquet(path)
 
 
 def block_sums(sizes: np.ndarray, terms: np.ndarray, amounts: np.ndarray, codes: np.ndarray, problems: np.ndarray, weights: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
@@ -105,20 +125,21 @@ class Problems:
         sent = session.sparkContext.broadcast((self.codes[which], weights, self.positive[which], self.negative[which]))
         shape = (len(which), self.width + 2)
 
-        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             problems, points, positive, negative = sent.value
             total = np.zeros(shape)
             for batch in batches:
-                for sizes, terms, amounts, codes in zip(batch["sizes"], batch["terms"], batch["amounts"], batch["codes"], strict=True):
-                    rows = [np.frombuffer(x, kind) for x, kind in ((sizes, "<i4"), (terms, "<i4"), (amounts, "<f8"), (codes, "<i4"))]
+                for block in zip(*(batch.column(c) for c in KINDS), strict=True):
+                    rows = [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(block, KINDS.values(), strict=True)]
                     total += block_sums(*rows, problems, points, positive, negative)
             flat = total.ravel()
             parts = [flat[at : at + PART].tobytes() for at in range(0, len(flat), PART)]
-            yield pd.DataFrame({"task": TaskContext.get().partitionId(), "part": np.arange(len(parts)), "data": parts})
+            task = np.full(len(parts), TaskContext.get().partitionId())
+            yield pa.record_batch({"task": pa.array(task), "part": pa.array(np.arange(len(parts))), "data": pa.array(parts, pa.binary())})
 
-        sums = self.blocks.mapInPandas(summed, "task long, part long, data binary")
+        sums = self.blocks.mapInArrow(summed, "task long, part long, data binary")
         tasks = self.blocks.rdd.getNumPartitions()
         while tasks > 1:
             sums = sums.withColumn("up", F.expr(f"task div {FAN}")).groupBy("part", "up").applyInPandas(_added, "task long, part long, data binary")

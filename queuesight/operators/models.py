@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.numeric import round_exact
-from ..session import BROADCAST_ROWS, fresh_path
+from ..session import BROADCAST_ROWS, fresh_path, write_blocks
 from .columns import require_no_leak
 from .logistic import Problems, fitted, packed
 from .splits import class_counts
@@ -239,7 +239,7 @@ def frequent_terms(worded: DataFrame, size: int) -> DataFrame:
     """
     spark = worded.sparkSession
     coded, path = (fresh_path(spark, name) for name in ("word-codes", "word-counts"))
-    coded_words(worded).write.parquet(coded)
+    write_blocks(coded_words(worded), coded)
     blocks = spark.read.schema("names array<string>, codes binary, sizes binary").parquet(coded)
     term_counts(blocks, pairs=False).write.parquet(path)
     words = spark.read.schema("term string, n long, texts long").parquet(path)

@@ -52,6 +52,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+BLOCKS_A_FILE = 8
+
+
+def write_blocks(df: DataFrame, path: str) -> None:
+    """Store rows of some MB each, such as packed arrays, a few to a file and one to a page.
+
+    A Parquet writer first looks at its size after 100 rows and until then holds them all,
+    with buffers of the codec as large as a page; a reader fills its columns with up to
+    4,096 rows of a file. Small files bound both, however many rows a task has.
+    """
+    df.write.option("maxRecordsPerFile", BLOCKS_A_FILE).option("parquet.page.size.row.check.min", 1).parquet(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write `df` beside a stored table and put it in the table's place by renaming.
 

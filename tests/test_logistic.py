@@ -2,13 +2,16 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from queuesight import session
 from queuesight.operators import logistic
 from queuesight.operators.models import linear_model
 
 WIDTH, CLASSES = 12, 3
+EXAMPLES = T.StructType([T.StructField("features", VectorUDT()), T.StructField("code", T.IntegerType())])
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +56,34 @@ def test_losses_and_gradients(data, problems, monkeypatch, which):
             assert losses[i] == pytest.approx(loss, rel=1e-12) and np.allclose(gradients[i], gradient, rtol=1e-10, atol=1e-10)
 
 
+def test_blocks_are_bounded_in_values_and_few_to_a_file(spark, data, problems, monkeypatch):
+    """However long the rows and however many a task has: neither a block nor what is read at once grows with them."""
+    x, codes = data
+    rows = [(Vectors.dense(r), None if i == 3 else int(c)) for i, (r, c) in enumerate(zip(x, codes))]
+    examples = spark.createDataFrame(rows, EXAMPLES).coalesce(1)
+    monkeypatch.setattr(logistic, "BLOCK_CELLS", 4 * WIDTH)
+    blocks = logistic.packed(examples, "features", "code")
+    found = blocks.select(F.input_file_name().alias("file"), "sizes", "terms", "amounts", "codes").collect()
+    assert max(len(r["terms"]) for r in found) <= 4 * 5 * WIDTH and max(len(r["amounts"]) for r in found) <= 8 * 5 * WIDTH
+    held = [sum(r["file"] == name for r in found) for name in {r["file"] for r in found}]
+    assert len(found) >= 48 and max(held) <= session.BLOCKS_A_FILE
+    read = [np.concatenate([np.frombuffer(r[c], kind) for r in found]).tolist() for c, kind in (("sizes", "<i4"), ("codes", "<i4"))]
+    assert read[0] == [WIDTH] * len(x) and sorted(read[1]) == sorted([-1, *codes[:3].tolist(), *codes[4:].tolist()])
+    points = np.random.default_rng(1).normal(size=(CLASSES, WIDTH + 1))
+    bounded = logistic.Problems(blocks, problems.codes, problems.positive, problems.negative, WIDTH)
+    losses, gradients = bounded.evaluated(problems.codes, points)
+    for k in range(CLASSES):
+        loss, gradient, _ = plain((x, np.r_[codes[:3], -1, codes[4:]]), problems, k, points[k])
+        assert losses[k] == pytest.approx(loss, rel=1e-12) and np.allclose(gradients[k], gradient, rtol=1e-10, atol=1e-10)
+
+
+def test_rows_larger_than_a_block_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(logistic, "BLOCK_CELLS", 5)
+    rows = [(Vectors.dense(np.ones(n)), 0) for n in (12, 1, 1, 12)] + [(Vectors.sparse(12, {}), 1)]
+    blocks = logistic.packed(spark.createDataFrame(rows, EXAMPLES).coalesce(1), "features", "code").collect()
+    assert sorted(np.frombuffer(r["sizes"], "<i4").tolist() for r in blocks) == [[12, 0], [12, 1, 1]]
+
+
 def test_fit_finds_each_least_loss(data, problems):
     found, figures = logistic.fitted(problems, 1e-8, 200)
     for k in range(CLASSES):

@@ -12,6 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from queuesight import session
 from queuesight.operators import models
 from queuesight.plans import evaluation, training
 
@@ -218,6 +219,21 @@ def test_texts_are_split_once_by_a_fit(spark, monkeypatch):
     assert next(s for s in fitted.stages if hasattr(s, "vocabulary")).vocabulary == ["aa", "bb", "aa bb"]
 
 
+def test_stored_words_are_few_blocks_to_a_file(spark, monkeypatch):
+    """A file is read, and its writer holds it, as a whole: it must not grow with the rows of a task."""
+    texts = [f"aa bb{i % 7} cc{i % 11}" for i in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "words string").coalesce(1)
+    paths, fresh = [], models.fresh_path
+    monkeypatch.setattr(models, "fresh_path", lambda spark, name: paths.append(fresh(spark, name)) or paths[-1])
+    monkeypatch.setattr(models, "BLOCK", 100)
+    rows = models.frequent_terms(df, 30).collect()
+    n = Counter(t for text in texts for t in plain_terms(text))
+    assert [(r["term"], r["n"]) for r in rows] == sorted(n.items(), key=lambda x: (-x[1], x[0]))[:30]
+    stored = next(p for p in paths if "word-codes" in p)
+    blocks = spark.read.parquet(stored).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in blocks) > 40 and max(r["count"] for r in blocks) <= session.BLOCKS_A_FILE
+
+
 def test_evaluation_makes_no_arrays_of_terms(tickets, category, priority):
     frames = evaluation.evaluate_models(tickets, category, priority)
     for name in ("category_metrics", "priority_metrics", "errors"):
