@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import compare, logistic, models, scoring, sketches, splits
 from ..plans import evaluation, training
-from ..session import fresh_path, spread
+from ..session import fresh_path, small_batches, spread
 from ..streaming import jobs
 from .metrics import rounded
 from .routing import _P
@@ -53,9 +53,13 @@ def tfidf_features(spark, sf):
     """Terms per document and the largest weight of its TF-IDF vector."""
     texts = spread(table(spark, sf, "documents")).select("doc_id", models.fold_accents(F.col("text")).alias("folded"))
     features = models.fit_features(texts, "folded").transform(texts)
-    return features.select(
+    weights = features.select(
         "doc_id", "n_terms", F.round(F.array_max(vector_to_array("features")), 6).alias("top_weight")
     )
+    path = fresh_path(spark, "top-weights")
+    with small_batches(spark):
+        weights.write.parquet(path)
+    return spark.read.schema(weights.schema).parquet(path)
 
 
 @query(

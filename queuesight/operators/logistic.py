@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, write_blocks
+from ..session import fresh_path, small_batches, write_blocks
 
 BLOCK_ROWS = 4_000
-BLOCK_CELLS = 1 << 18  # values of the rows of a block: 3 MB
+BLOCK_CELLS = 1 << 19  # values of the rows of a block, if a batch has as many: 6 MB
 KINDS = {"sizes": "<i4", "terms": "<i4", "amounts": "<f8", "codes": "<i4"}
 BLOCK_COLUMNS = ", ".join(f"{name} binary" for name in KINDS)
 NO_CLASS = -1  # of rows without a class: they count against every class
@@ -74,7 +74,8 @@ def packed(examples: DataFrame, features: str, code: str) -> DataFrame:
     indices, values = sparse_rows(features)
     rows = examples.select(indices.alias("i"), values.alias("v"), F.col(code).cast("int").alias("c"))
     path = fresh_path(examples.sparkSession, "example-blocks")
-    write_blocks(rows.mapInArrow(blocks, BLOCK_COLUMNS), path)
+    with small_batches(examples.sparkSession):
+        write_blocks(rows.mapInArrow(blocks, BLOCK_COLUMNS), path)
     return examples.sparkSession.read.schema(BLOCK_COLUMNS).parquet(path)
 
 
@@ -144,7 +145,8 @@ class Problems:
         while tasks > 1:
             sums = sums.withColumn("up", F.expr(f"task div {FAN}")).groupBy("part", "up").applyInPandas(_added, "task long, part long, data binary")
             tasks = -(-tasks // FAN)
-        data = b"".join(r["data"] for r in sorted(sums.select("part", "data").collect(), key=lambda r: r["part"]))
+        with small_batches(session):
+            data = b"".join(r["data"] for r in sorted(sums.select("part", "data").collect(), key=lambda r: r["part"]))
         sent.destroy()
         found = np.frombuffer(data, "<f8").reshape(shape) if data else np.zeros(shape)
         inner = weights.copy()

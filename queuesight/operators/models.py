@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.numeric import round_exact
-from ..session import BROADCAST_ROWS, fresh_path, write_blocks
+from ..session import BROADCAST_ROWS, fresh_path, small_batches, write_blocks
 from .columns import require_no_leak
 from .logistic import Problems, fitted, packed
 from .splits import class_counts
@@ -79,7 +79,7 @@ def _without_accents(texts: pa.Array) -> pa.Array:
 
 
 STEP = 1 << 20  # bytes of text worked on at a time: little enough to stay in the processor's caches
-BLOCK = 1 << 24  # bytes of text whose words are numbered together
+BLOCK = 1 << 23  # bytes of text whose words are numbered together, if a batch has as many
 
 
 def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
@@ -100,7 +100,8 @@ def fold_accents(c: Column) -> Column:
     @F.arrow_udf(T.StringType())
     def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.concat_arrays([_without_accents(part).cast(pa.string()) for part in _slices(texts, STEP)])
+            for part in _slices(texts, STEP):
+                yield _without_accents(part).cast(pa.string())
 
     return fold(F.lower(F.coalesce(c, F.lit(""))))
 
@@ -299,7 +300,8 @@ class FeatureModel(PipelineModel):
         def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocabulary, idf = pa.array(sent.value[0], pa.string()), sent.value[1]
             for texts in batches:
-                yield pa.concat_arrays([_weighed(part, vocabulary, idf) for part in _slices(texts, STEP)])
+                for part in _slices(texts, STEP):
+                    yield _weighed(part, vocabulary, idf)
 
         shaped = PipelineModel(stages=self.stages[:-1]).transform(dataset)
         shaped = shaped.withColumn("_weighed", weighed(F.col(self.stages[0].getInputCol())))
@@ -313,7 +315,8 @@ def fit_features(df: DataFrame, text: str, vocabulary: int = K.VOCABULARY_SIZE)
     frequent terms depends on the partitioning, and the texts that have a term are counted
     with its occurrences. Spark's idf lacks the `+ 1`, which would erase a term found in every text.
     """
-    terms = frequent_terms(df.select(F.col(text).alias("words")), vocabulary).collect()
+    with small_batches(df.sparkSession):
+        terms = frequent_terms(df.select(F.col(text).alias("words")), vocabulary).collect()
     if not terms:
         raise ValueError("the texts hold no terms")
     counting = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="terms", outputCol="counts")

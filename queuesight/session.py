@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,26 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+ARROW_BYTES, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send rows to Python in batches of 4 MB, unless the session names a size itself.
+
+    A batch is 64 MB else. Every Python step of every task holds several, beside the heap of the
+    JVM and in its worker, so that is most of what texts and blocks take of an executor.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(ARROW_BYTES, SMALL_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+
+
 BLOCKS_A_FILE = 8
 
 
