@@ -90,18 +90,23 @@ def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         yield texts.slice(start, end - start)
 
 
+def _give_back() -> None:
+    """Return what Arrow has freed to the system: a worker would keep what its largest batch took, also while it waits."""
+    pa.default_memory_pool().release_unused()
+
+
 def fold_accents(c: Column) -> Column:
     """Lower case without accents (compatibility decomposition, combining marks dropped).
 
     Only what is not ASCII is decomposed, character by character: a decomposition does not
-    depend on the neighbours, and the marks whose order it could change are dropped.
+    depend on the neighbours, and the marks whose order it could change are dropped. A function
+    of one batch, not of an iterator, so that a function of the folded text runs in the same step.
     """
 
     @F.arrow_udf(T.StringType())
-    def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            for part in _slices(texts, STEP):
-                yield _without_accents(part).cast(pa.string())
+    def fold(texts: pa.Array) -> pa.Array:
+        _give_back()
+        return pa.concat_arrays([_without_accents(part).cast(pa.string()) for part in _slices(texts, STEP)])
 
     return fold(F.lower(F.coalesce(c, F.lit(""))))
 
@@ -180,6 +185,7 @@ def coded_words(worded: DataFrame) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            _give_back()
             column = batch.column(0)
             for part in [column] if pa.types.is_list(column.type) else _slices(column, BLOCK):
                 names, codes, sizes = _coded(part)
@@ -222,6 +228,7 @@ def term_counts(worded: DataFrame, pairs: bool, known: list[str] | None = None)
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = None if among is None else pa.array(among.value, pa.string())
         for batch in batches:
+            _give_back()
             for names, codes, sizes in zip(*(batch.column(c) for c in ("names", "codes", "sizes")), strict=True):
                 rows = [np.frombuffer(x.as_buffer(), "<i4") for x in (codes, sizes)]
                 yield from _counted(names.values, *rows, pairs, value_set).to_batches(max_chunksize=100_000)
@@ -297,11 +304,10 @@ class FeatureModel(PipelineModel):
         sent = dataset.sparkSession.sparkContext.broadcast((list(counting.vocabulary), weigh.getScalingVec().toArray()))
 
         @F.arrow_udf(T.StructType([T.StructField("n_terms", T.IntegerType()), T.StructField("features", VectorUDT())]))
-        def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def weighed(texts: pa.Array) -> pa.Array:
+            _give_back()
             vocabulary, idf = pa.array(sent.value[0], pa.string()), sent.value[1]
-            for texts in batches:
-                for part in _slices(texts, STEP):
-                    yield _weighed(part, vocabulary, idf)
+            return pa.concat_arrays([_weighed(part, vocabulary, idf) for part in _slices(texts, STEP)])
 
         shaped = PipelineModel(stages=self.stages[:-1]).transform(dataset)
         shaped = shaped.withColumn("_weighed", weighed(F.col(self.stages[0].getInputCol())))

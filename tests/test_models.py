@@ -210,25 +210,14 @@ def test_features_are_those_of_the_stages_without_arrays_of_terms(spark):
     assert "concat(" not in plan and "weighed(" in plan
 
 
-def test_slices_of_a_batch_leave_one_by_one(spark, monkeypatch):
-    """A task holds what it made of one slice, not of a batch of up to 10,000 texts."""
-    texts, made = [f"Éa bb{i % 7} cc{i % 11}" for i in range(400)], {}
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(models.fold_accents(F.col("t")).alias("folded"))
-    fitted = models.fit_features(df, "folded")
-
-    def kept(_):
-        return lambda function: made.setdefault(function.__name__, function) and (lambda c: F.struct(F.lit(0).alias("n_terms"), F.lit(0).alias("features")))
-
-    monkeypatch.setattr(models.F, "arrow_udf", kept)
-    monkeypatch.setattr(models, "STEP", 100)
-    models.fold_accents(F.col("t"))
-    fitted.transform(df)
-    folded = list(made["fold"](iter([pa.array(t.lower() for t in texts)])))
-    weighed = list(made["weighed"](iter([pa.concat_arrays(folded)])))
-    assert pa.concat_arrays(folded).to_pylist() == [t.lower().replace("é", "e") for t in texts]
-    assert pa.concat_arrays(weighed).field("n_terms").to_pylist() == [5] * len(texts)
-    for batches in (folded, weighed):
-        assert len(batches) > 40 and max(len(b) for b in batches) <= 15
+def test_texts_are_folded_and_weighed_in_one_step(spark):
+    """Each Python step of a task has workers and batches of its own."""
+    df = spark.createDataFrame([(i, f"Éa bb{i % 7}") for i in range(40)], "i int, t string")
+    folded = df.select("i", models.fold_accents(F.col("t")).alias("folded"))
+    applied = models.fit_features(folded, "folded").transform(folded).select("i", "n_terms", "features")
+    plan = applied._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "weighed(fold(" in plan
+    assert [r["n_terms"] for r in applied.collect()] == [3] * 40
 
 
 def test_texts_are_split_once_by_a_fit(spark, monkeypatch):
